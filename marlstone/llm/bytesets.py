@@ -19,6 +19,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Everything but ASCII letters and bytes of longer characters.
+NOT_LETTER = np.ones(256, dtype=bool)
+NOT_LETTER[65:91] = NOT_LETTER[97:123] = NOT_LETTER[128:] = False
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -63,9 +66,9 @@ def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, np
         row = end
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, lengths, row of each word); no word crosses from a row to the next."""
-    solid = ~SPACE[data]
+    solid = ~space[data]
     before = np.empty(len(data) + 1, dtype=bool)
     before[0] = False
     before[1:] = solid
@@ -98,6 +101,14 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
     return mix64(sums + lengths.astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+def prefix_hashes(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of the first ``width`` bytes of lower-cased words that are longer."""
+    out = np.zeros(len(starts), U64)
+    for k in range(width):
+        out += (LOWER[data[starts + k]].astype(U64) + U64(1)) * _POSITION[k]
+    return mix64(out + _SHINGLE[width])
+
+
 def shingle_hashes(words: np.ndarray, rows: np.ndarray, n_rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, offsets by row) of runs of ``width`` words.
 

@@ -12,6 +12,15 @@ counts AS (SELECT source, line, count(*) AS pages_with FROM (SELECT source, unne
 bad AS (SELECT c.source, list(c.line) AS boilerplate FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source WHERE c.pages_with >= 5 AND c.pages_with >= 0.02 * t.host_pages GROUP BY c.source),
 cleaned AS (SELECT p.doc_id, p.source, p.lines, list_filter(p.lines, lambda x: NOT list_contains(coalesce(b.boilerplate, []), x)) AS kept FROM pages p LEFT JOIN bad b ON p.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, source, len(lines) AS n_lines, len(lines) - len(kept) AS n_dropped, sha256(array_to_string(kept, chr(10))) AS clean_sha256, length(array_to_string(kept, chr(10))) AS clean_chars FROM cleaned
+""",
+    "op9_decontaminate": r"""
+WITH rows_ AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+words AS (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM rows_),
+sets AS (SELECT kind, id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+docs AS (SELECT id, unnest(s) AS x FROM sets WHERE kind = 0),
+items AS (SELECT id, len(s) AS n, unnest(s) AS x FROM sets WHERE kind = 1)
+SELECT d.id AS doc_id, i.id AS item_id, max(i.n) AS n_shingles, count(*) AS n_common, count(*)::DOUBLE / max(i.n) AS containment
+FROM docs d JOIN items i ON d.x = i.x GROUP BY 1, 2 HAVING count(*) >= 0.8 * max(i.n)
 """,
     "op10_exact_dedup": """
 WITH groups AS (SELECT coalesce(text, '') AS t, max(doc_id) AS keep_id, count(*) AS group_size FROM documents GROUP BY 1)

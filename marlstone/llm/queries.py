@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import format_chats, read_back
+from .decontaminate import contained_items
 from .exact_dedup import exact_duplicates
 from .mixing import mixing_plan
 from .sharding import assign_shards
 from .site_lines import drop_boilerplate
+from .toxicity import score_documents
 from .url_reputation import judge_urls
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -28,6 +30,18 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), outcomes, RULES)
 
 
+CATEGORIES = ["low_quality", "toxic"]
+
+
+def category_labels(labels: DataFrame) -> DataFrame:
+    """The label columns there are, as the chain's categories."""
+    return labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+
+
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), category_labels(table(spark, sf_dir, "labels")), CATEGORIES)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
@@ -55,8 +69,12 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), digest(joined).alias("turns_sha256"), F.char_length(loss).cast("long").alias("loss_chars"), digest(loss).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_reputation, op4_mixing, op6_ring_sharding, op7_site_lines, op8_chat_format, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_reputation, op2_toxicity_chain, op4_mixing, op6_ring_sharding, op7_site_lines, op8_chat_format, op9_decontaminate, op10_exact_dedup)}
