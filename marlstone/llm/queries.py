@@ -11,6 +11,7 @@ from .chat_format import format_chats, read_back
 from .decontaminate import contained_items
 from .exact_dedup import exact_duplicates
 from .mixing import mixing_plan
+from .near_dedup import near_duplicates
 from .sharding import assign_shards
 from .site_lines import drop_boilerplate
 from .toxicity import score_documents
@@ -42,6 +43,10 @@ def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), category_labels(table(spark, sf_dir, "labels")), CATEGORIES)
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
@@ -77,4 +82,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_reputation, op2_toxicity_chain, op4_mixing, op6_ring_sharding, op7_site_lines, op8_chat_format, op9_decontaminate, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_reputation, op2_toxicity_chain, op3_minhash_near_dedup, op4_mixing, op6_ring_sharding, op7_site_lines, op8_chat_format, op9_decontaminate, op10_exact_dedup)}
