@@ -220,18 +220,19 @@ def _blocked(rows: DataFrame, key: str, total: str) -> DataFrame:
     return dealt.repartition(key, "bi", "bj").sortWithinPartitions(key, "bi", "bj", "cid")
 
 
-def near_classes(docs: DataFrame, width: int = 5) -> DataFrame:
+def near_classes(docs: DataFrame, width: int = 5, number: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, uid, n_shingles, component (a long, null for texts without words), component_id.
 
-    component_id is the smallest doc_id of the component. uid numbers the rows of the table
-    as it was read. Null texts count as empty; texts without words are linked with nothing, and their
+    component_id is the smallest doc_id of the component. uid numbers the rows: the column
+    ``number`` where that is given, else their places in the table as it was read. Null texts count as empty; texts without words are linked with nothing, and their
     component_id is their own id. Rows that repeat a text are in one component, and so are
     rows that repeat an id if their texts are linked. Null ids are passed over for component_id. Other
     columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.coalesce("text", F.lit("")).alias("text"))
+    place = F.col(number) if number else F.monotonically_increasing_id()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), place.alias("uid"), F.coalesce("text", F.lit("")).alias("text"))
     rows = scratch.keep(texts.mapInArrow(_features(width), "doc_id long, uid long, n long, lo long, hi long, sig binary"))
     classes = rows.filter("n > 0").groupBy("n", "lo", "hi").agg(F.min("uid").alias("cid"), F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"))
     classes = scratch.keep(classes)
@@ -275,3 +276,17 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (doc_id is the component's smallest)."""
     found = near_classes(docs, width)
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
+    """The rows of ``docs``, one of each near-duplicate group: the one with the smallest doc_id.
+
+    Of rows that repeat that id one stays; texts without words stay as they are. The table is written with
+    row numbers first, so that a row means the same document in every pass.
+    """
+    scratch = Scratch(docs.sparkSession, "rows")
+    numbered = scratch.keep(docs.select("*", F.monotonically_increasing_id().alias("__row")))
+    found = near_classes(numbered.select("doc_id", "text", "__row"), width, "__row")
+    best = found.filter("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid"))["uid"].alias("__row"), F.count(F.lit(1)).alias("size"))
+    gone = found.filter("component is not null").select(F.col("uid").alias("__row")).join(best.select("__row"), "__row", "left_anti")
+    return numbered.join(gone, "__row", "left_anti").drop("__row")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import format_chats, read_back
+from .context_tree import score_texts
 from .decontaminate import contained_items
 from .exact_dedup import exact_duplicates
 from .mixing import mixing_plan
@@ -52,6 +53,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
+def op5_context_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
@@ -82,4 +87,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_reputation, op2_toxicity_chain, op3_minhash_near_dedup, op4_mixing, op6_ring_sharding, op7_site_lines, op8_chat_format, op9_decontaminate, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_reputation, op2_toxicity_chain, op3_minhash_near_dedup, op4_mixing, op5_context_tree_scoring, op6_ring_sharding, op7_site_lines, op8_chat_format, op9_decontaminate, op10_exact_dedup)}
