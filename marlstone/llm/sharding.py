@@ -55,7 +55,7 @@ def place_cells(cells: list[tuple[int, int, int]], shards: int, slack: float = S
     """
     orders = ring_orders(shards)
     most = (1 + slack) * sum(c[2] for c in cells) / shards
-    code = mix64(np.array([c[0] * SPLIT * 4 + c[1] for c in cells], dtype=U64))
+    code = mix64(np.array([c[0] * SPLIT * 4 + c[1] + 1 for c in cells], dtype=U64))
     load, out = [0] * shards, {}
     for i in np.argsort(code, kind="stable"):
         arc, cell, size = cells[i]
