@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from marlstone.functions.udf import batch_udf
+
 ATTACHMENT = "struct<filename:string,mime:string,size:int,body:binary>"
 EMAIL = f"headers array<struct<name:string,value:string>>, sender string, to array<string>, cc array<string>, bcc array<string>, subject string, date string, message_id string, text string, html string, attachments array<{ATTACHMENT}>"
 
@@ -77,7 +79,7 @@ def _mail(raw: bytes) -> tuple:
     return pairs, _get(headers, "from"), people("to"), people("cc"), people("bcc"), _get(headers, "subject"), _get(headers, "date"), _get(headers, "message-id"), text, html, files
 
 
-@F.pandas_udf(EMAIL)
+@batch_udf(EMAIL)
 def parse_email(raw: pd.Series) -> pd.DataFrame:
     """A mail's headers (the first of a name holds), addresses, bodies and attachments; one level of parts."""
     return pd.DataFrame([_mail(r if r is not None else b"") for r in raw], columns=["headers", "sender", "to", "cc", "bcc", "subject", "date", "message_id", "text", "html", "attachments"])
@@ -97,7 +99,7 @@ def _entries(data: bytes) -> list[dict]:
     return out
 
 
-@F.pandas_udf("array<struct<name:string,size:long,offset:long>>")
+@batch_udf("array<struct<name:string,size:long,offset:long>>")
 def list_zip(data: pd.Series) -> pd.Series:
     """The central directory's entries; none for other bytes."""
     return data.map(lambda d: _entries(bytes(d)) if d is not None else [])
@@ -134,7 +136,7 @@ def _exif(data: bytes) -> dict:
     return out
 
 
-@F.pandas_udf("make string, model string, software string, date_time string")
+@batch_udf("make string, model string, software string, date_time string")
 def read_exif(data: pd.Series) -> pd.DataFrame:
     """Make, model, software and time of a JPEG; nulls for other bytes."""
     return pd.DataFrame([_exif(bytes(d) if d is not None else b"") for d in data], columns=list(EXIF_TAGS.values()))
@@ -253,7 +255,7 @@ def _read_address(address: str | None) -> tuple:
     return prefix, data[0], data[1:21], None
 
 
-@F.pandas_udf("prefix string, version int, digest binary, error string")
+@batch_udf("prefix string, version int, digest binary, error string")
 def decode_address(addresses: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_read_address(a) for a in addresses], columns=["prefix", "version", "digest", "error"]).astype({"version": "Int32"})
 

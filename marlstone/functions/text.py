@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marlstone.functions.udf import batch_udf
+
 # The Unicode ranges of each script, in the order of precedence.
 SCRIPTS = {
     "latin": r"[A-Za-z\x{C0}-\x{24F}]",
@@ -76,7 +78,7 @@ def estimate_tokens(text: Column) -> Column:
     return (_matches(text, SINGLE) + F.aggregate(words, F.lit(0), lambda acc, w: acc + F.ceil(utf16_length(w) / 4).cast("int"))).cast("int")
 
 
-@F.pandas_udf("string")
+@batch_udf("string")
 def truncate_to_tokens(texts: pd.Series, budgets: pd.Series) -> pd.Series:
     """The longest prefix of at most that many estimated tokens; whole characters are kept."""
     import re
@@ -114,7 +116,7 @@ def strip_html(html: Column) -> Column:
     return F.trim(F.regexp_replace(html, r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@batch_udf("string")
 def _decomposed(texts: pd.Series) -> pd.Series:
     import unicodedata
 
@@ -224,7 +226,7 @@ def query_tokens(query: Column) -> Column:
 PARSED = "required array<string>, excluded array<string>, optional array<array<string>>, phrases array<string>"
 
 
-@F.pandas_udf(PARSED)
+@batch_udf(PARSED)
 def parse_web_search(queries: pd.Series) -> pd.DataFrame:
     """struct(required, excluded, optional, phrases): blanks are AND, OR makes groups, ``-`` excludes, quotes make phrases."""
     import re
