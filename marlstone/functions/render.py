@@ -69,13 +69,17 @@ JSON_LD = {
 VOCABULARIES = {"schema": "http://schema.org/", "dct": "http://purl.org/dc/terms/", "skos": "http://www.w3.org/2004/02/skos/core#", "prov": "http://www.w3.org/ns/prov#"}
 
 
+def _elements(name: str, values: Column) -> Column:
+    return F.transform(values, lambda v: F.concat(F.lit(f"  <dc:{name}>"), xml_escape(v), F.lit(f"</dc:{name}>")))
+
+
 def render_dc_xml(record: dict[str, Column]) -> Column:
     """XML of a record: element name -> ARRAY<STRING> Column; empty values are left out."""
     lines = [F.array(F.lit('<?xml version="1.0" encoding="UTF-8"?>'), F.lit('<metadata xmlns:dc="http://purl.org/dc/elements/1.1/">'))]
     for name in DUBLIN_CORE:
         if name in record:
             values = F.filter(F.coalesce(record[name], F.array().cast("array<string>")), lambda v: v.isNotNull() & (v != ""))
-            lines.append(F.transform(values, lambda v, name=name: F.concat(F.lit(f"  <dc:{name}>"), xml_escape(v), F.lit(f"</dc:{name}>"))))
+            lines.append(_elements(name, values))
     return F.array_join(F.concat(*lines, F.array(F.lit("</metadata>"))), "\n")
 
 

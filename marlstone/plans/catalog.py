@@ -1,6 +1,11 @@
-"""Queries over the test tables, one or more per operator, and their SQL."""
+"""All queries of this package over the test tables, and DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
+from marlstone.plans import graphs, media, retrieval, stores, texts
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _module in (retrieval, stores, graphs, texts, media):
+    QUERIES |= _module.HERE.queries
+    ORACLES |= _module.HERE.oracles
