@@ -58,7 +58,7 @@ def fold_uploads(chunks: DataFrame) -> DataFrame:
 
 def upload_metadata(header: Column) -> Column:
     """MAP of key to text from ``key base64,key base64``; a key alone has an empty value, the last of a key holds."""
-    pairs = F.filter(F.transform(F.split(F.coalesce(header, F.lit("")), ","), F.trim), lambda p: p != "")
+    pairs = F.filter(F.transform(F.split(F.coalesce(header, F.lit("")), ","), lambda p: F.trim(p)), lambda p: p != "")
     value = lambda p: F.when(p.contains(" "), F.coalesce(F.try_to_binary(F.substring_index(p, " ", -1), F.lit("base64")).cast("string"), F.lit(""))).otherwise("")
     key = lambda p: F.substring_index(p, " ", 1)
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: key(q) == key(p)))

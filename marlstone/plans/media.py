@@ -146,8 +146,8 @@ def envelopes(spark, d):
 @HERE.add("SELECT n_nationkey, '| name | note |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_name || ' | a\\|b' || chr(10) || 'x |  |' AS text, '3' AS rows FROM nation")
 def csv_markdown(spark, d):
     data = F.concat(F.lit("name,note\r\n"), "n_name", F.lit(',"a|b"\nx'))
-    r = A.spreadsheet_strategy(F.lit("f.csv"), F.lit(None).cast("string"), data.cast("binary"))
-    return table(spark, d, "nation").select("n_nationkey", r.alias("r")).select("n_nationkey", "r.text", F.col("r.metadata")["rowCount"].alias("rows"))
+    files = table(spark, d, "nation").select("n_nationkey", F.lit("f.csv").alias("filename"), F.lit("text/csv").alias("mime"), data.cast("binary").alias("bytes"))
+    return A.extract(files).select("n_nationkey", "text", F.col("metadata")["rowCount"].alias("rows"))
 
 
 @HERE.add("SELECT doc_id, '<?xml version=\"1.0\" encoding=\"UTF-8\"?>' || chr(10) || '<metadata xmlns:dc=\"http://purl.org/dc/elements/1.1/\">' || chr(10) || '  <dc:identifier>' || doc_id || '</dc:identifier>' || chr(10) || '  <dc:title>a &amp; &lt;b&gt;</dc:title>' || chr(10) || '  <dc:source>' || source || '</dc:source>' || chr(10) || '  <dc:language>' || lang || '</dc:language>' || chr(10) || '  <dc:language>en</dc:language>' || chr(10) || '</metadata>' AS xml FROM documents")

@@ -13,28 +13,28 @@ HERE = Registry()
 
 #: Pages about suppliers: a role phrase, a link, a bare slug, inline code.
 PAGE = "s_name || ' ' || (CASE s_suppkey % 5 WHEN 0 THEN 'founded Acme ' || n_name WHEN 1 THEN 'invested in Big ' || n_name WHEN 2 THEN 'advises Jane ' || n_name WHEN 3 THEN 'works at Shop ' || n_name ELSE 'is the CTO of Lab ' || n_name END) || '. See [home](companies/s' || s_suppkey || ') and @People/P' || s_suppkey || ' but not `deals/x`.'"
-SLUGGED = "regexp_replace(regexp_replace(lower(x), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+SLUGGED = "regexp_replace(regexp_replace(lower(@x@), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 
 def supplier_pages(spark, d):
     s, n = table(spark, d, "supplier"), table(spark, d, "nation")
     joined = s.join(n, F.col("s_nationkey") == F.col("n_nationkey"))
     kind = F.when(F.col("s_suppkey") % 7 == 0, "meeting").otherwise("note")
-    return joined.select(F.concat(F.lit("s/"), "s_suppkey").alias("slug"), kind.alias("page_type"), F.expr(PAGE.replace("'. See", "'. See")).alias("content"))
+    return joined.select(F.concat(F.lit("s/"), "s_suppkey").alias("slug"), kind.alias("page_type"), F.expr(PAGE).alias("content"))
 
 
 @HERE.add(
     f"""WITH p AS (SELECT s_suppkey AS k, n_name, CASE WHEN s_suppkey % 7 = 0 THEN 'attended' ELSE 'mentions' END AS seen, {PAGE} AS content FROM supplier JOIN nation ON s_nationkey = n_nationkey)
 SELECT 's/' || k AS source, 'companies/s' || k AS target, seen AS type, '[home](companies/s' || k || ')' AS evidence FROM p
 UNION ALL SELECT 's/' || k, 'people/p' || k, seen, '@People/P' || k FROM p
-UNION ALL SELECT 's/' || k, CASE k % 5 WHEN 2 THEN 'people/' ELSE 'companies/' END || {SLUGGED.replace("x", "(CASE k % 5 WHEN 0 THEN 'Acme ' WHEN 1 THEN 'Big ' WHEN 2 THEN 'Jane ' WHEN 3 THEN 'Shop ' ELSE 'Lab ' END) || n_name")},
+UNION ALL SELECT 's/' || k, CASE k % 5 WHEN 2 THEN 'people/' ELSE 'companies/' END || {SLUGGED.replace("@x@", "(CASE k % 5 WHEN 0 THEN 'Acme ' WHEN 1 THEN 'Big ' WHEN 2 THEN 'Jane ' WHEN 3 THEN 'Shop ' ELSE 'Lab ' END) || n_name")},
 CASE k % 5 WHEN 0 THEN 'founded' WHEN 1 THEN 'invested_in' WHEN 2 THEN 'advises' ELSE 'works_at' END, (CASE k % 5 WHEN 0 THEN 'founded Acme ' WHEN 1 THEN 'invested in Big ' WHEN 2 THEN 'advises Jane ' WHEN 3 THEN 'works at Shop ' ELSE 'CTO of Lab ' END) || n_name || '.' FROM p"""
 )
 def extract_edges(spark, d):
     return E.extract_edges(supplier_pages(spark, d))
 
 
-@HERE.add(f"WITH v AS (SELECT doc_id, replace(left(text, 60), '&', ' and ') AS x FROM documents WHERE lang = 'en') SELECT doc_id, left({SLUGGED}, 80) AS slug FROM v")
+@HERE.add(f"WITH v AS (SELECT doc_id, replace(left(text, 60), '&', ' and ') AS x FROM documents WHERE lang = 'en') SELECT doc_id, left({SLUGGED.replace('@x@', 'x')}, 80) AS slug FROM v")
 def slugs(spark, d):
     return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", T.slugify(F.left("text", F.lit(60)), ascii_only=True).alias("slug"))
 
@@ -105,7 +105,7 @@ ASKED = """('"hello world" foo OR bar -baz qux'), ('rust async'), ('-only'), ('a
 
 
 @HERE.add(
-    """SELECT * FROM (VALUES ('"hello world" foo OR bar -baz qux', '"hello world" AND qux AND (foo OR bar) NOT baz'), ('rust async', 'rust AND async'), ('-only', 'NOT only'), ('a OR b OR c d', 'd AND (a OR b OR c)'), ('"x y" OR z', '"x y" AND (OR OR z)'), ('tail OR', 'OR AND (tail)')) AS t(q, m)"""
+    """SELECT * FROM (VALUES ('"hello world" foo OR bar -baz qux', '"hello world" AND qux AND (foo OR bar) NOT baz'), ('rust async', 'rust AND async'), ('-only', 'NOT only'), ('a OR b OR c d', 'd AND (a OR b OR c)'), ('"x y" OR z', '"x y" AND OR AND z'), ('tail OR', 'OR AND (tail)')) AS t(q, m)"""
 )
 def web_search(spark, d):
     return spark.sql(f"SELECT * FROM VALUES {ASKED} AS t(q)").select("q", T.match_expression(T.parse_web_search(F.col("q"))).alias("m"))

@@ -65,17 +65,19 @@ def text_strategy(filename: Column, mime: Column, data: Column) -> Column:
     return _result(decoded(data))
 
 
-def spreadsheet_strategy(filename: Column, mime: Column, data: Column) -> Column:
-    """Tables of CSV and TSV; a note for others."""
+def _delimited(filename: Column, mime: Column, data: Column) -> Column:
     name = F.lower(filename)
     csv, tsv = name.endswith(".csv") | F.coalesce(mime == "text/csv", F.lit(False)), name.endswith(".tsv") | F.coalesce(mime == "text/tab-separated-values", F.lit(False))
-    rows = F.when(csv, codecs.parse_delimited(F.decode(data, "UTF-8"), ",")).when(tsv, codecs.parse_delimited(F.decode(data, "UTF-8"), "\t"))
+    return F.when(csv, codecs.parse_delimited(F.decode(data, "UTF-8"), ",")).when(tsv, codecs.parse_delimited(F.decode(data, "UTF-8"), "\t"))
+
+
+def spreadsheet_strategy(filename: Column, mime: Column, data: Column, rows: Column) -> Column:
+    """Tables of CSV and TSV; a note for others."""
     note = F.concat(F.lit("(spreadsheet: "), filename, F.lit("; a decoder must be registered)"))
     return _result(F.when(rows.isNotNull(), render.markdown_table(rows)).otherwise(note), {"rowCount": F.when(rows.isNotNull(), F.size(rows))})
 
 
-def email_strategy(filename: Column, mime: Column, data: Column) -> Column:
-    mail = codecs.parse_email(data)
+def email_strategy(filename: Column, mime: Column, data: Column, mail: Column) -> Column:
     to = F.array_join(mail["to"], ", ")
     line = lambda name, v: F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"{name}: "), v))
     head = F.concat_ws("\n", line("From", mail["sender"]), line("To", to), line("Subject", mail["subject"]), line("Date", mail["date"]))
@@ -83,34 +85,45 @@ def email_strategy(filename: Column, mime: Column, data: Column) -> Column:
     return _result(F.concat(head, F.lit("\n\n"), mail["text"]), {"from": mail["sender"], "to": to, "cc": F.array_join(mail["cc"], ", "), "bcc": F.array_join(mail["bcc"], ", "), "subject": mail["subject"], "date": mail["date"], "messageId": mail["message_id"]}, files)
 
 
-def archive_strategy(filename: Column, mime: Column, data: Column) -> Column:
-    entries = codecs.list_zip(data)
+def archive_strategy(filename: Column, mime: Column, data: Column, entries: Column) -> Column:
     lines = F.array_join(F.transform(entries, lambda e: F.concat(F.lit("- "), e["name"], F.lit(" ("), e["size"].cast("string"), F.lit(" bytes)"))), "\n")
     zipped = F.coalesce(codecs.is_zip(data), F.lit(False))
     text = F.when(zipped, F.concat(F.lit("# "), filename, F.lit("\n\n"), lines)).otherwise(F.concat(F.lit("(archive: "), filename, F.lit("; unsupported format)")))
     return _result(text, {"entries": F.when(zipped, F.to_json(entries))})
 
 
-def exif_strategy(filename: Column, mime: Column, data: Column) -> Column:
-    exif = codecs.read_exif(data)
+def exif_strategy(filename: Column, mime: Column, data: Column, exif: Column) -> Column:
     camera = F.concat_ws(" ", exif["make"], exif["model"])
     line = lambda name, v: F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"{name}: "), v))
     text = F.concat_ws("\n", F.concat(F.lit("# "), filename), line("Camera", camera), line("Software", exif["software"]), line("Captured", exif["date_time"]))
     return _result(text, {k: exif[k] for k in ("make", "model", "software", "date_time")})
 
 
-def code_strategy(filename: Column, mime: Column, data: Column) -> Column:
+def code_strategy(filename: Column, mime: Column, data: Column, found: Column) -> Column:
     source = F.decode(data, "UTF-8")
-    chunks = F.transform(code_chunks(source, filename), lambda c: F.struct(c["symbol"], F.array(c["start_line"], c["end_line"]).alias("lines")))
+    chunks = F.transform(found, lambda c: F.struct(c["symbol"], F.array(c["start_line"], c["end_line"]).alias("lines")))
     return _result(source, {"language": F.coalesce(code_language(filename), F.lit("plain")), "chunks": F.to_json(chunks)})
 
 
 _ADAPTERS: dict[str, Callable] = {"text": text_strategy, "email": email_strategy, "spreadsheet": spreadsheet_strategy, "archive": archive_strategy, "exif": exif_strategy, "code": code_strategy}
 
 
-def register_adapter(strategy: str, adapter: Callable) -> None:
-    """An adapter maps the Columns (filename, mime, bytes) to a result Column; the last registration holds."""
+#: What a Python UDF parses first, by strategy; the adapter gets it as a fourth Column.
+_PARSERS: dict[str, Callable] = {
+    "email": lambda f, m, b: codecs.parse_email(b),
+    "spreadsheet": _delimited,
+    "archive": lambda f, m, b: codecs.list_zip(b),
+    "exif": lambda f, m, b: codecs.read_exif(b),
+    "code": lambda f, m, b: code_chunks(F.decode(b, "UTF-8"), f),
+}
+
+
+def register_adapter(strategy: str, adapter: Callable, parser: Callable | None = None) -> None:
+    """An adapter maps the Columns (filename, mime, bytes), and its parser's if there is one, to a result Column; the last registration holds."""
     _ADAPTERS[strategy] = adapter
+    _PARSERS.pop(strategy, None)
+    if parser:
+        _PARSERS[strategy] = parser
 
 
 def get_adapter(strategy: str) -> Callable | None:
@@ -131,7 +144,11 @@ def extract(files: DataFrame, strategy: Column | None = None) -> DataFrame:
     out = None
     for name, adapter in _ADAPTERS.items():
         mine = F.col("strategy") == name if name != "text" else ~F.col("strategy").isin([a for a in _ADAPTERS if a != "text"])
-        part = picked.filter(mine).withColumn("result", adapter(F.col("filename"), F.col("mime"), F.col("bytes")))
+        part, given = picked.filter(mine), [F.col("filename"), F.col("mime"), F.col("bytes")]
+        if name in _PARSERS:
+            part = part.withColumn("__parsed", _PARSERS[name](*given))
+            given.append(F.col("__parsed"))
+        part = part.withColumn("result", adapter(*given))
         part = part.select(*files.columns, "strategy", "result.text", "result.metadata", "result.derived")
         out = part if out is None else out.unionByName(part)
     return out
