@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from marlstone.functions.text import parse_slug
 
@@ -166,7 +167,7 @@ class CircuitBreaker:
 
 def generate(rows: DataFrame, factory: Callable, out: str = "reply", prompt: str = "prompt") -> DataFrame:
     """Adds a client's reply to each prompt; a client, with retries, for each task."""
-    schema = rows.schema.add(out, "string")
+    schema = StructType([*rows.schema.fields, StructField(out, StringType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = factory()
