@@ -55,9 +55,9 @@ def bm25(pages: DataFrame, terms: list[str], slug: str = "slug", text: str = "co
     return found.select("slug", score.alias("score"))
 
 
-def ranked(hits: DataFrame, limit: int | None = None, order: str = "score") -> DataFrame:
-    """Adds ``rank``; ties go by slug. With a limit the cut comes first, as a top-k."""
-    top = hits.orderBy(F.desc(order), "slug").limit(limit) if limit else hits
+def ranked(hits: DataFrame, limit: int, order: str = "score") -> DataFrame:
+    """The first ``limit`` with their ``rank``; ties go by slug. The cut comes first, so that only those few are numbered in one task."""
+    top = hits.orderBy(F.desc(order), "slug").limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(order), "slug")) - 1)
 
 

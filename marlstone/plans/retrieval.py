@@ -43,7 +43,7 @@ def bm25_hits(spark: SparkSession, d: str) -> DataFrame:
 
 def hybrid_hits(spark: SparkSession, d: str) -> DataFrame:
     words = R.ranked(bm25_hits(spark, d), 50).withColumn("list_idx", F.lit(0))
-    near = R.ranked(R.vector_search(vectors(spark, d), query_vector(spark, d), 50)).withColumn("list_idx", F.lit(1))
+    near = R.ranked(R.vector_search(vectors(spark, d), query_vector(spark, d), 50), 50).withColumn("list_idx", F.lit(1))
     return words.unionByName(near)
 
 
@@ -152,7 +152,7 @@ SELECT ks.k::INT AS k, coalesce((SELECT 1.0 / min(pos) FROM g WHERE g = 1), 0) A
 def eval_metrics(spark, d):
     every = vectors(spark, d)
     label = every.filter("slug = 0").select("label").first()[0]
-    run = R.ranked(R.vector_search(every, query_vector(spark, d), 20)).select(F.lit(0).alias("qid"), (F.col("rank") + 1).alias("pos"), "slug")
+    run = R.ranked(R.vector_search(every, query_vector(spark, d), 20), 20).select(F.lit(0).alias("qid"), (F.col("rank") + 1).alias("pos"), "slug")
     qrels = every.filter(F.col("label") == label).select(F.lit(0).alias("qid"), "slug", F.lit(1).alias("grade"))
     return R.evaluate(run, qrels)
 
