@@ -30,17 +30,17 @@ snn AS (SELECT e.source, e.target, len(list_intersect(a.near, b.near)) / (len(a.
 )
 
 
-@HERE.add(f"WITH {TRADE} SELECT * FROM norm")
+@HERE.add(f"WITH {TRADE} SELECT * FROM norm", floats=("weight",))
 def graph_normalize(spark, d):
     return G.normalize_edges(trade(spark, d))
 
 
-@HERE.add(f"WITH {SNN} SELECT * FROM snn")
+@HERE.add(f"WITH {SNN} SELECT * FROM snn", floats=("weight",))
 def graph_snn(spark, d):
     return G.snn_score(G.normalize_edges(trade(spark, d)))
 
 
-@HERE.add(f"WITH {TRADE} SELECT * FROM norm e WHERE NOT EXISTS (SELECT 1 FROM norm a JOIN norm b ON a.target = b.source WHERE a.source = e.source AND b.target = e.target AND a.target <> e.target AND least(a.weight, b.weight) > e.weight)")
+@HERE.add(f"WITH {TRADE} SELECT * FROM norm e WHERE NOT EXISTS (SELECT 1 FROM norm a JOIN norm b ON a.target = b.source WHERE a.source = e.source AND b.target = e.target AND a.target <> e.target AND least(a.weight, b.weight) > e.weight)", floats=("weight",))
 def graph_pfnet(spark, d):
     return G.pfnet(G.normalize_edges(trade(spark, d)))
 

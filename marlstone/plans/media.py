@@ -77,14 +77,14 @@ def places(spark, d):
     return table(spark, d, "nation").select(k.alias("k"), (k * 7 % 120 - 60).cast("double").alias("lat"), (k * 13 % 300 - 150).cast("double").alias("lng"))
 
 
-@HERE.add(f"WITH {PLACES} SELECT a.k AS a, b.k AS b, {HAV} AS km FROM p a JOIN p b ON b.k = a.k + 1")
+@HERE.add(f"WITH {PLACES} SELECT a.k AS a, b.k AS b, {HAV} AS km FROM p a JOIN p b ON b.k = a.k + 1", floats=("km",))
 def haversine(spark, d):
     a = places(spark, d)
     b = places(spark, d).select(F.col("k").alias("b"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"))
     return a.join(b, F.col("b") == F.col("k") + 1).select(F.col("k").alias("a"), "b", haversine_km(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2")).alias("km"))
 
 
-@HERE.add(f"WITH {PLACES}, b AS (SELECT k, lat, lng, lat - 500 / 111.0 AS x0, lat + 500 / 111.0 AS x1, lng - 500 / (111.0 * cos(radians(lat))) AS y0, lng + 500 / (111.0 * cos(radians(lat))) AS y1 FROM p) SELECT k, x0 AS min_lat, y1 AS max_lng, lat + 2 BETWEEN x0 AND x1 AND lng - 4 BETWEEN y0 AND y1 AS inside FROM b")
+@HERE.add(f"WITH {PLACES}, b AS (SELECT k, lat, lng, lat - 500 / 111.0 AS x0, lat + 500 / 111.0 AS x1, lng - 500 / (111.0 * cos(radians(lat))) AS y0, lng + 500 / (111.0 * cos(radians(lat))) AS y1 FROM p) SELECT k, x0 AS min_lat, y1 AS max_lng, lat + 2 BETWEEN x0 AND x1 AND lng - 4 BETWEEN y0 AND y1 AS inside FROM b", floats=("min_lat", "max_lng"))
 def bbox(spark, d):
     lat, lng = F.col("lat"), F.col("lng")
     box = bbox_around(lat, lng, F.lit(500.0))

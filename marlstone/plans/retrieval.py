@@ -47,7 +47,7 @@ def hybrid_hits(spark: SparkSession, d: str) -> DataFrame:
     return words.unionByName(near)
 
 
-@HERE.add(f"WITH {BM25} SELECT slug, score FROM bm ORDER BY score DESC, slug LIMIT 20")
+@HERE.add(f"WITH {BM25} SELECT slug, score FROM bm ORDER BY score DESC, slug LIMIT 20", floats=("score",))
 def bm25_topk(spark, d):
     return bm25_hits(spark, d).orderBy(F.desc("score"), "slug").limit(20)
 
@@ -71,7 +71,7 @@ ok AS (SELECT sc.*, row_number() OVER (PARTITION BY qid ORDER BY score DESC, slu
 SELECT qid, slug, score, rank FROM ok WHERE rank < 10"""
 
 
-@HERE.add("WITH " + WORDS + MANY)
+@HERE.add("WITH " + WORDS + MANY, floats=("score",))
 def search_many(spark, d):
     docs = table(spark, d, "documents")
     corpus = docs.select(F.size(R.tokens(F.col("text"))).alias("n")).agg(F.count("n").alias("n"), F.avg("n").alias("avg_len"))
@@ -79,19 +79,18 @@ def search_many(spark, d):
     return R.search_many(R.postings(docs, "doc_id", "text"), corpus, asked, 10)
 
 
-@HERE.add(f"WITH {LISTS}, f AS (SELECT slug, least(1.0, sum(1.0 / (20 + rank + 1)) / (2 / 21.0)) AS score, min(list_idx * 1000 + rank) AS first FROM hits GROUP BY 1) SELECT slug, score, 'fused' AS source FROM f ORDER BY score DESC, first LIMIT 20")
+@HERE.add(f"WITH {LISTS}, f AS (SELECT slug, least(1.0, sum(1.0 / (20 + rank + 1)) / (2 / 21.0)) AS score, min(list_idx * 1000 + rank) AS first FROM hits GROUP BY 1) SELECT slug, score, 'fused' AS source FROM f ORDER BY score DESC, first LIMIT 20", floats=("score",))
 def hybrid_rrf(spark, d):
     return R.rrf_fuse(hybrid_hits(spark, d), 2, 20)
 
 
 @HERE.add(
-    f"WITH {LISTS}, b AS (SELECT list_idx, min(score) AS lo, max(score) AS hi FROM hits GROUP BY 1), f AS (SELECT slug, sum((CASE list_idx WHEN 0 THEN 0.7 ELSE 0.3 END) * CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END) AS score, min(list_idx * 1000 + rank) AS first FROM hits JOIN b USING (list_idx) GROUP BY 1) SELECT slug, score, 'fused' AS source FROM f ORDER BY score DESC, first LIMIT 20"
-)
+    f"WITH {LISTS}, b AS (SELECT list_idx, min(score) AS lo, max(score) AS hi FROM hits GROUP BY 1), f AS (SELECT slug, sum((CASE list_idx WHEN 0 THEN 0.7 ELSE 0.3 END) * CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END) AS score, min(list_idx * 1000 + rank) AS first FROM hits JOIN b USING (list_idx) GROUP BY 1) SELECT slug, score, 'fused' AS source FROM f ORDER BY score DESC, first LIMIT 20", floats=("score",))
 def hybrid_rsf(spark, d):
     return R.rsf_fuse(hybrid_hits(spark, d), 2, [0.7, 0.3], 20)
 
 
-@HERE.add(f"WITH {COSINE} SELECT slug, score FROM cs ORDER BY score DESC, slug LIMIT 20")
+@HERE.add(f"WITH {COSINE} SELECT slug, score FROM cs ORDER BY score DESC, slug LIMIT 20", floats=("score",))
 def vector_topk(spark, d):
     return R.vector_search(vectors(spark, d), query_vector(spark, d), 20)
 
@@ -99,8 +98,7 @@ def vector_topk(spark, d):
 @HERE.add(
     """WITH vec AS (SELECT vec_id AS slug, embedding::DOUBLE[] AS v, embedding[1:8]::DOUBLE[] AS c FROM embeddings), q AS (SELECT v AS q, c AS qc FROM vec WHERE slug = 0),
 top AS (SELECT slug, v, q, list_dot_product(c, qc) / (sqrt(list_dot_product(c, c)) * sqrt(list_dot_product(qc, qc))) AS coarse FROM vec, q ORDER BY coarse DESC, slug LIMIT 50)
-SELECT slug, list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))) AS score FROM top ORDER BY score DESC, slug LIMIT 10"""
-)
+SELECT slug, list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))) AS score FROM top ORDER BY score DESC, slug LIMIT 10""", floats=("score",))
 def two_stage(spark, d):
     candidates = vectors(spark, d).select("slug", F.col("slug").alias("ord"), mrl_truncate(F.col("embedding"), 8).alias("coarse"), F.col("embedding").alias("full"))
     return R.two_stage_rank(candidates, query_vector(spark, d), 8, 50, 10)
@@ -127,8 +125,7 @@ def chunk_dedup(spark, d):
 
 
 @HERE.add(
-    f"WITH {BM25}, h AS (SELECT d.lang AS memory, bm.slug, row_number() OVER (PARTITION BY d.lang ORDER BY bm.score DESC, bm.slug) - 1 AS rank FROM bm JOIN documents d ON d.doc_id = bm.slug) SELECT slug, least(1.0, (1.0 / (20 + rank + 1)) / (4 / 21.0)) AS score, memory FROM h"
-)
+    f"WITH {BM25}, h AS (SELECT d.lang AS memory, bm.slug, row_number() OVER (PARTITION BY d.lang ORDER BY bm.score DESC, bm.slug) - 1 AS rank FROM bm JOIN documents d ON d.doc_id = bm.slug) SELECT slug, least(1.0, (1.0 / (20 + rank + 1)) / (4 / 21.0)) AS score, memory FROM h", floats=("score",))
 def federated_lang(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("slug"), F.col("lang").alias("memory"))
     place = F.row_number().over(Window.partitionBy("memory").orderBy(F.desc("score"), "slug")) - 1
@@ -148,7 +145,7 @@ ideal AS (SELECT k, (SELECT sum(1 / log2(i + 1)) FROM range(1, least(k, (SELECT
 SELECT ks.k::INT AS k, coalesce((SELECT 1.0 / min(pos) FROM g WHERE g = 1), 0) AS mrr, (SELECT sum(g) FROM g WHERE pos <= ks.k) / (SELECT n FROM rel)::DOUBLE AS recall, (SELECT sum(g) FROM g WHERE pos <= ks.k) / least(ks.k, 20)::DOUBLE AS "precision", (SELECT sum(g / log2(pos + 1)) FROM g WHERE pos <= ks.k) / ideal AS ndcg FROM ks JOIN ideal USING (k)"""
 
 
-@HERE.add(EVAL)
+@HERE.add(EVAL, floats=("mrr", "recall", "precision", "ndcg"))
 def eval_metrics(spark, d):
     every = vectors(spark, d)
     label = every.filter("slug = 0").select("label").first()[0]
@@ -168,7 +165,7 @@ def query_kinds(spark, d):
     return spark.sql(f"SELECT * FROM VALUES {ASKED} AS t(q)").select("q", R.select_rrf_k(q).alias("k"), R.select_weights(q)["fts"].alias("fts"))
 
 
-@HERE.add("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS similarity FROM v a JOIN v b ON b.vec_id = a.vec_id + 1")
+@HERE.add("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS similarity FROM v a JOIN v b ON b.vec_id = a.vec_id + 1", floats=("similarity",))
 def neighbour_cosine(spark, d):
     v = vectors(spark, d)
     a, b = v.select(F.col("slug").alias("a"), F.col("embedding").alias("x")), v.select(F.col("slug").alias("b"), F.col("embedding").alias("y"))

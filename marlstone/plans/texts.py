@@ -49,8 +49,7 @@ def link_rules(spark, d):
 
 @HERE.add(
     r"""WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-zÀ-ɏ]')) AS latin, length(text) - len(regexp_extract_all(text, '[\x{0}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7E}]')) AS total FROM documents)
-SELECT doc_id, CASE WHEN latin > 0 THEN 'latin' ELSE 'other' END AS "primary", CASE WHEN total > 0 THEN latin / total ELSE 0.0 END AS latin, false AS has_cjk, false AS has_emoji FROM c"""
-)
+SELECT doc_id, CASE WHEN latin > 0 THEN 'latin' ELSE 'other' END AS "primary", CASE WHEN total > 0 THEN latin / total ELSE 0.0 END AS latin, false AS has_cjk, false AS has_emoji FROM c""", floats=("latin",))
 def script_report(spark, d):
     s = T.detect_script(F.col("text"))
     return table(spark, d, "documents").select("doc_id", s.alias("s")).select("doc_id", "s.primary", F.col("s.fractions")["latin"].alias("latin"), "s.has_cjk", "s.has_emoji")
