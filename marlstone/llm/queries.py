@@ -29,7 +29,8 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is good if it is labelled of quality and not toxic."""
     labels = table(spark, sf_dir, "labels")
     outcomes = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("good"))
-    return judge_urls(table(spark, sf_dir, "pages"), outcomes, RULES)
+    judged = judge_urls(table(spark, sf_dir, "pages"), outcomes, RULES)
+    return judged.withColumns({c: F.round(c, 9) for c in ("host_mean", "host_lower", "host_upper")})
 
 
 CATEGORIES = ["low_quality", "toxic"]
