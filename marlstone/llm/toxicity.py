@@ -148,17 +148,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 2e-3, steps: int = 150)
         out[-1] = 12.0 if y[0] else -12.0
         return out
     rate = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    rate = 0.5 * rate + 0.5 / len(y)
+    rate = (0.5 * rate + 0.5 / len(y)).astype(x.dtype)
+    y = y.astype(x.dtype)
     probe = np.ones(x.shape[1], x.dtype)
     for _ in range(12):
-        probe = x.T @ (rate * (x @ probe))
+        probe = (rate * (x @ probe)) @ x
         top = float(np.linalg.norm(probe))
         probe /= top
     step = 1 / (0.25 * top + l2)
     w, at, t = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 1.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ at.astype(x.dtype), -30, 30)))
-        slope = x.T @ (rate * (p - y)) + l2 * np.append(at[:-1], 0)
+        slope = (rate * (p - y)) @ x + l2 * np.append(at[:-1], 0)
         new, ahead = at - step * slope, (1 + np.sqrt(1 + 4 * t * t)) / 2
         w, at, t = new, new + (t - 1) / ahead * (new - w), ahead
     return w
