@@ -41,10 +41,10 @@ def bm25(pages: DataFrame, terms: list[str], slug: str = "slug", text: str = "co
     The inverse document frequency is floored at 1e-6.
     """
     terms = sorted({t.lower() for t in terms})
-    words = pages.select(F.col(slug).alias("slug"), tokens(F.col(text)).alias("words"))
-    times = lambda term: F.size(F.filter("words", lambda w: w == F.lit(term))).cast("double")
-    tf = [times(t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    counted = words.select("slug", F.size("words").cast("double").alias("len"), *tf)
+    words = pages.select(F.col(slug).alias("slug"), F.lower(text).alias("words"))
+    times = lambda pattern: F.regexp_count("words", F.lit(pattern)).cast("double")
+    tf = [times(rf"(?<![\p{{L}}\p{{N}}])\Q{t}\E(?![\p{{L}}\p{{N}}])").alias(f"tf{i}") for i, t in enumerate(terms)]
+    counted = words.select("slug", times(r"[\p{L}\p{N}]+").alias("len"), *tf)
     figures = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"), *[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))])
     found = counted.filter(" AND ".join(f"tf{i} > 0" for i in range(len(terms))) or "false").join(F.broadcast(figures))  # one row
     score = F.lit(0.0)
