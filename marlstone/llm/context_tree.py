@@ -11,11 +11,11 @@ probabilities of a byte's values sum to 1, so the code length is proper.
 
 Scale: training is one pass that counts runs of DEPTH + 1 bytes and words inside tasks,
 then partially aggregated sums over all of the corpus; nodes and weights are grouped
-sums by depth. For scoring, nodes are laid into a table of ``SLOTS`` places, which is
-broadcast; its size doesn't depend on the corpus. Where two nodes meet in a
-place, the one with more counts stays, and the other's texts are predicted by its shorter
-contexts. The base score's word counts are joined by word; the most frequent ``HOT_WORDS`` are broadcast
-to keep them out of the shuffle.
+sums by depth. All nodes stay in tables: joins from each depth to the next mix a node's chance
+of a one, and each distinct gram (a byte and its last ``DEPTH`` bytes) is scored once, by a join with
+the nodes of its context, and with those of shorter ones only where it wasn't met in training. Gram scores and the
+base score's word counts are joined to documents and summed; at most ``HOT_GRAMS`` and ``HOT_WORDS`` of the most
+frequent are broadcast with the same values, to keep them out of the shuffle.
 """
 
 from __future__ import annotations
@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytesets import LOWER, U64, mix64, pieces, word_hashes, word_spans
+from .bytesets import LOWER, pieces, word_hashes, word_spans
 from .common import Scratch
 
 DEPTH = 5
-SLOTS = 1 << 22
+HOT_GRAMS = 1 << 21
 HOT_WORDS = 1 << 18
 PIECE = 4 << 20
 END, SPACE = 0xFF, 0x20
@@ -136,8 +136,8 @@ def _kt(a: Column, b: Column) -> Column:
     return lgamma(a + 0.5) + lgamma(b + 0.5) - lgamma(a + b + 1) - F.lit(math.log(math.pi))
 
 
-def tree_nodes(counts: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
-    """(depth, ctx, node, zeros, ones, weight) from (key, n): all nodes met, with their weights."""
+def tree_nodes(counts: DataFrame, depth: int, scratch: Scratch) -> list[DataFrame]:
+    """By depth, (ctx, node, zeros, ones, weight) from (key, n): all nodes met, with their weights."""
     bits = F.explode(F.array(*[F.struct(F.lit(1 << i).alias("lead"), F.lit(8 - i).alias("drop"), F.lit(7 - i).alias("shift")) for i in range(8)]))
     each = counts.select(F.shiftright("key", 8).alias("ctx"), F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("byte"), "n", bits.alias("bit"))
     node = F.col("bit.lead") + F.expr("shiftright(byte, bit.drop)")
@@ -145,65 +145,119 @@ def tree_nodes(counts: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
     each = each.select("ctx", node.cast("int").alias("node"), "n", one.alias("one"))
     level = each.groupBy("ctx", "node").agg(F.sum(F.when(F.col("one") == 0, F.col("n")).otherwise(0)).alias("zeros"), F.sum(F.when(F.col("one") == 1, F.col("n")).otherwise(0)).alias("ones"))
     level = scratch.keep(level.withColumn("log_mix", _kt(F.col("zeros"), F.col("ones"))))
-    out = level.select(F.lit(depth).alias("depth"), "ctx", "node", "zeros", "ones", F.lit(1.0).alias("weight"))
+    out = [level.select("ctx", "node", "zeros", "ones", F.lit(1.0).alias("weight"))]
     for d in range(depth - 1, -1, -1):
-        shorter = F.col("ctx").bitwiseAND(F.lit((1 << (8 * d)) - 1))
-        up = level.groupBy(shorter.alias("ctx"), "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log_mix").alias("longer"))
+        up = level.groupBy(_shorter(d).alias("ctx"), "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log_mix").alias("longer"))
         up = up.withColumn("kt", _kt(F.col("zeros"), F.col("ones")))
         high = F.greatest("kt", "longer")
         mixed = F.lit(math.log(0.5)) + high + F.log1p(F.exp(F.least("kt", "longer") - high))
         level = scratch.keep(up.withColumn("log_mix", mixed).withColumn("weight", 1 / (1 + F.exp(F.least(F.lit(700.0), F.col("longer") - F.col("kt"))))))
-        out = out.unionByName(level.select(F.lit(d).alias("depth"), "ctx", "node", "zeros", "ones", "weight"))
+        out.append(level.select("ctx", "node", "zeros", "ones", "weight"))
+    return out[::-1]
+
+
+def _shorter(d: int) -> Column:
+    """The last ``d`` bytes of ``ctx``."""
+    return F.col("ctx").bitwiseAND(F.lit((1 << (8 * d)) - 1))
+
+
+def context_chances(nodes: list[DataFrame], scratch: Scratch) -> list[DataFrame]:
+    """By depth, (ctx, nodes): for each context at most 255 (node, chance), where chance is that of a one if no longer context was met.
+
+    From each depth to the next, a node takes over what its shorter contexts settled (``got``) and left (``share``).
+    A parent has at most 256 children, so no key of these joins is hot.
+    """
+    p = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
+    out, state = [], None
+    for d, level in enumerate(nodes):
+        level = level.select("ctx", "node", p.alias("p"), "weight")
+        if d:
+            above = state.select(F.col("ctx").alias("short"), "node", (F.col("got") + F.col("share") * F.col("weight") * F.col("p")).alias("got"), (F.col("share") * (1 - F.col("weight"))).alias("share"))
+            level = level.withColumn("short", _shorter(d - 1)).join(above.hint("broadcast" if d <= 2 else "merge"), ["short", "node"]).drop("short")  # at most 256 contexts
+        else:
+            level = level.withColumns({"got": F.lit(0.0), "share": F.lit(1.0)})
+        state = scratch.keep(level.select("ctx", "node", "p", "weight", "got", "share"))
+        chance = F.struct("node", (F.col("got") + F.col("share") * F.col("p")).alias("chance"))
+        out.append(scratch.keep(state.groupBy("ctx").agg(F.collect_list(chance).alias("nodes"))))
     return out
 
 
-def _address(depth: int, ctx: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(slot, tag) of nodes."""
-    code = mix64((ctx.astype(U64) << U64(11)) + (node.astype(U64) << U64(3)) + U64(depth))
-    return (code & U64(SLOTS - 1)).astype(np.int64), (code >> U64(48)).astype(np.int32)
+#: A gram, the bits that no context has settled yet (the first is 1), and the log10 of the others' probability.
+OPEN = "key long, open int, score double"
 
 
-def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Settles those open bits of grams whose nodes the joined context has."""
     for batch in batches:
-        depth, ctx, node = batch.column("depth").to_numpy(), batch.column("ctx").to_numpy(), batch.column("node").to_numpy()
-        slot, tag = np.zeros(len(depth), np.int64), np.zeros(len(depth), np.int32)
-        for d in np.unique(depth):
-            at = depth == d
-            slot[at], tag[at] = _address(int(d), ctx[at], node[at])
-        zeros, ones = batch.column("zeros").to_numpy(), batch.column("ones").to_numpy()
-        p = ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(zeros + ones), pa.array(tag), pa.array(p), pa.array(batch.column("weight").to_numpy().astype(np.float32))], names=["slot", "n", "tag", "p", "weight"])
+        key, left = batch.column("key").to_numpy(), batch.column("open").to_numpy().copy()
+        score, nodes = batch.column("score").to_numpy().copy(), batch.column("nodes")
+        flat = nodes.flatten()
+        if len(flat):
+            sizes = np.diff(nodes.offsets.to_numpy())
+            sizes = np.where(nodes.is_valid().to_numpy(zero_copy_only=False), sizes, 0)
+            places = np.repeat(np.arange(len(key)), sizes) * 256 + flat.field("node").to_numpy()
+            order = np.argsort(places, kind="stable")
+            places, chances = places[order], flat.field("chance").to_numpy()[order]
+            byte = key & 255
+            for i in range(8):
+                want = np.arange(len(key)) * 256 + (1 << i) + (byte >> (8 - i))
+                at = np.minimum(np.searchsorted(places, want), len(places) - 1)
+                met = (places[at] == want) & ((left >> i) & 1 == 1)
+                chance = chances[at[met]]
+                score[met] += np.log10(np.where((byte[met] >> (7 - i)) & 1 == 1, chance, 1 - chance))
+                left[met] &= ~np.int32(1 << i)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(left), pa.array(score)], names=["key", "open", "score"])
 
 
 @dataclass
 class TreeModel:
-    """Nodes by slot: tag (-1: free), probability of a one, weight against longer contexts."""
+    """All contexts by depth, and the scores of the training grams as (key, n, score)."""
 
     depth: int
-    tag: np.ndarray
-    p: np.ndarray
-    weight: np.ndarray
+    contexts: list[DataFrame]
+    known: DataFrame
+
+    def gram_scores(self, keys: DataFrame) -> DataFrame:
+        """(key, score) of distinct (key): log10 probability of the byte after its context, each bit by the longest context that has its node."""
+        grams = keys.select("key", F.lit(255).alias("open"), F.lit(0.0).alias("score"))
+        for d in range(self.depth, -1, -1):
+            grams = _settled(grams, self.contexts[d], d)
+        return grams.select("key", (F.col("score") + F.bit_count("open") * math.log10(0.5)).alias("score"))
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of the byte of each key after its context."""
-        byte, ctx = keys & 255, keys >> 8
-        out = np.zeros(len(keys))
-        for i in range(8):
-            node = (1 << i) + (byte >> (8 - i))
-            one = ((byte >> (7 - i)) & 1) == 1
-            got, share, live, last = np.zeros(len(keys)), np.ones(len(keys)), np.ones(len(keys), bool), np.full(len(keys), 0.5)
-            weight = np.zeros(len(keys))
-            for d in range(self.depth + 1):
-                slot, tag = _address(d, ctx & ((1 << (8 * d)) - 1), node)
-                met = live & (self.tag[slot] == tag)
-                got = np.where(met, got + share * weight * last, got)
-                share = np.where(met, share * (1 - weight), share)
-                last = np.where(met, self.p[slot], last)
-                weight = np.where(met, self.weight[slot], weight)
-                live = met
-            chance = got + share * last
-            out += np.log10(np.where(one, chance, 1 - chance))
-        return out
+        """log10 probability of the byte of each of a few keys after its context."""
+        frame = self.known.sparkSession.createDataFrame([(int(k),) for k in np.unique(keys)], "key long")
+        found = {r.key: r.score for r in self.gram_scores(frame).collect()}
+        return np.array([found[int(k)] for k in keys])
+
+
+def _settled(grams: DataFrame, contexts: DataFrame, d: int) -> DataFrame:
+    own = grams.withColumn("ctx", F.shiftright("key", 8)).withColumn("ctx", _shorter(d))
+    joined = own.join(contexts.hint("broadcast" if d <= 1 else "merge"), "ctx", "left")  # at most 256 contexts
+    return joined.select("key", "open", "score", "nodes").mapInArrow(_settle, OPEN)
+
+
+@dataclass
+class HotGrams:
+    """The most frequent training grams, and their scores."""
+
+    keys: np.ndarray
+    scores: np.ndarray
+
+
+def hot_grams(known: DataFrame) -> HotGrams:
+    """The grams above the least frequency that at most HOT_GRAMS reach."""
+    most = 1 << 16
+    by_count = known.groupBy(F.least("n", F.lit(most)).alias("n")).agg(F.count(F.lit(1)).alias("grams")).collect()  # at most 2^16 rows
+    held, least = 0, None
+    for r in sorted(by_count, key=lambda r: -r.n):
+        held += r.grams
+        if held > HOT_GRAMS:
+            break
+        least = r.n
+    top = known.filter(F.col("n") >= least if least else F.lit(False)).select("key", "score").toArrow()  # at most HOT_GRAMS rows
+    order = np.argsort(top["key"].to_numpy(), kind="stable")
+    return HotGrams(top["key"].to_numpy()[order], top["score"].to_numpy()[order])
 
 
 @dataclass
@@ -214,7 +268,25 @@ class HotWords:
     counts: np.ndarray
 
 
-def _scorer(tree, hot):
+def _look_up(keys: np.ndarray, values: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(found, value) of each sought key in sorted keys."""
+    if not len(keys):
+        return np.zeros(len(sought), bool), np.zeros(len(sought))
+    place = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
+    return keys[place] == sought, values[place]
+
+
+def _tail(keys: np.ndarray, rows: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
+    """Lists by row of the distinct keys and of how often each occurs."""
+    order = np.lexsort((keys, rows))
+    keys, rows = keys[order], rows[order]
+    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])])) if len(keys) else np.zeros(0, np.int64)
+    times = np.diff(np.append(first, len(keys)))
+    edges = pa.array(np.concatenate([[0], np.cumsum(np.bincount(rows[first], minlength=n))]), pa.int32())
+    return pa.ListArray.from_arrays(edges, pa.array(keys[first])), pa.ListArray.from_arrays(edges, pa.array(times))
+
+
+def _scorer(depth: int, tree, hot):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, words = tree.value, hot.value
         for batch in batches:
@@ -222,42 +294,47 @@ def _scorer(tree, hot):
                 n = len(offsets) - 1
                 starts, lengths, rows = word_spans(data, offsets)
                 text, at = normalised(data, starts, lengths, rows, n)
-                codes, met = pd.factorize(grams(text, at, model.depth))
-                total = np.add.reduceat(model.log10(met)[codes], at[:-1])
+                codes, met = pd.factorize(grams(text, at, depth))
+                order = np.argsort(met)
+                held, scores = np.zeros(len(met), bool), np.zeros(len(met))
+                held[order], scores[order] = _look_up(model.keys, model.scores, met[order])
+                scores[~held] = 0
+                total = np.add.reduceat(scores[codes], at[:-1])
+                rare = np.flatnonzero(~held[codes])
+                gram_tail, gram_times = _tail(met[codes[rare]], np.searchsorted(at, rare, "right") - 1, n)
                 hashes = word_hashes(data, starts, lengths).view(np.int64)
-                place = np.minimum(np.searchsorted(words.keys, hashes), max(0, len(words.keys) - 1))
-                known = words.keys[place] == hashes if len(words.keys) else np.zeros(len(hashes), bool)
-                hot_log = np.bincount(rows[known], weights=np.log10(words.counts[place[known]] + 0.1), minlength=n).astype(np.float64)
+                known, counts = _look_up(words.keys, words.counts, hashes)
+                hot_log = np.bincount(rows[known], weights=np.log10(counts[known] + 0.1), minlength=n).astype(np.float64)
                 hot_known = np.bincount(rows[known], minlength=n)
-                tail, tail_rows = hashes[~known], rows[~known]
-                order = np.lexsort((tail, tail_rows))
-                tail, tail_rows = tail[order], tail_rows[order]
-                first = np.flatnonzero(np.concatenate([[True], (tail[1:] != tail[:-1]) | (tail_rows[1:] != tail_rows[:-1])])) if len(tail) else np.zeros(0, np.int64)
-                times = np.diff(np.append(first, len(tail)))
-                edges = pa.array(np.concatenate([[0], np.cumsum(np.bincount(tail_rows[first], minlength=n))]), pa.int32())
+                tail, times = _tail(hashes[~known], rows[~known], n)
                 part = batch.slice(row, n)
                 columns = [part.column("uid"), part.column("doc_id"), part.column("held_out"), pa.array(np.bincount(rows, minlength=n) + 1), pa.array(np.diff(at)), pa.array(hot_log), pa.array(hot_known)]
-                columns += [pa.array(total), pa.ListArray.from_arrays(edges, pa.array(tail[first])), pa.ListArray.from_arrays(edges, pa.array(times))]
+                columns += [pa.array(total), tail, times, gram_tail, gram_times]
                 yield pa.RecordBatch.from_arrays(columns, names=NAMES)
 
     return score
 
 
-NAMES = ["uid", "doc_id", "held_out", "n_tokens", "n_bytes", "hot_log", "hot_known", "score", "tail", "times"]
-SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_bytes long, hot_log double, hot_known long, score double, tail array<long>, times array<long>"
+NAMES = ["uid", "doc_id", "held_out", "n_tokens", "n_bytes", "hot_log", "hot_known", "hot_score", "tail", "times", "gram_tail", "gram_times"]
+SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_bytes long, hot_log double, hot_known long, hot_score double, tail array<long>, times array<long>, gram_tail array<long>, gram_times array<long>"
 
 
 def train(texts: DataFrame, scratch: Scratch, depth: int = DEPTH) -> tuple[TreeModel, DataFrame]:
     """The tree of (text) rows, and all counts as (kind, key, n)."""
     counts = scratch.keep(texts.select("text").mapInArrow(_counter(depth), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    nodes = tree_nodes(counts.filter(F.col("kind") == GRAM).select("key", "n"), depth, scratch)
-    placed = nodes.mapInArrow(_place, "slot int, n long, tag int, p float, weight float")
-    best = placed.groupBy("slot").agg(F.max(F.struct("n", "tag", "p", "weight")).alias("x")).select("slot", "x.tag", "x.p", "x.weight")
-    got = best.toArrow()  # at most SLOTS rows
-    slot = got["slot"].to_numpy()
-    tag, p, weight = np.full(SLOTS, -1, np.int32), np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float32)
-    tag[slot], p[slot], weight[slot] = got["tag"].to_numpy(), got["p"].to_numpy(), got["weight"].to_numpy()
-    return TreeModel(depth, tag, p, weight), counts
+    met = counts.filter(F.col("kind") == GRAM).select("key", "n")
+    contexts = context_chances(tree_nodes(met, depth, scratch), scratch)
+    opened = met.select(F.struct("key", "n").alias("gram"), F.shiftright("key", 8).alias("ctx"))
+    scored = opened.join(contexts[depth].hint("merge"), "ctx").select("gram.key", "gram.n", F.lit(255).alias("open"), F.lit(0.0).alias("score"), "nodes")
+    known = scratch.keep(scored.mapInArrow(_settle_counted, "key long, n long, score double"))
+    return TreeModel(depth, contexts, known), counts
+
+
+def _settle_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Training grams, which the longest contexts settle whole, with their counts."""
+    for batch in batches:
+        for done in _settle([batch]):
+            yield pa.RecordBatch.from_arrays([done.column("key"), batch.column("n"), done.column("score")], names=["key", "n", "score"])
 
 
 def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -283,17 +360,24 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     top = words.orderBy(F.desc("n"), "key").limit(HOT_WORDS).toArrow()  # at most HOT_WORDS rows
     order = np.argsort(top["key"].to_numpy(), kind="stable")
     hot = spark.sparkContext.broadcast(HotWords(top["key"].to_numpy()[order], top["n"].to_numpy()[order].astype(np.float64)))
-    tree = spark.sparkContext.broadcast(model)
+    tree = spark.sparkContext.broadcast(hot_grams(model.known))
 
-    rows = texts.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_scorer(tree, hot), SCORED)
+    rows = texts.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_scorer(depth, tree, hot), SCORED)
     rows = scratch.keep(rows)
     tail = rows.select("uid", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("uid", F.col("t.tail").alias("key"), F.col("t.times").alias("times"))
-    found = tail.join(words.hint("merge"), "key", "left").groupBy("uid").agg(
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("tail_log"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("tail_known")
+    counted = tail.join(words.hint("merge"), "key", "left").select(
+        "uid", (F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("log"), F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).alias("known"), F.lit(0.0).alias("score")
     )
+    rare = rows.select("uid", "held_out", F.explode(F.arrays_zip("gram_tail", "gram_times")).alias("t")).select("uid", "held_out", F.col("t.gram_tail").alias("key"), F.col("t.gram_times").alias("times"))
+    new = rare.filter("held_out").select("key").distinct().join(model.known.select("key").hint("merge"), "key", "left_anti")
+    new = scratch.keep(model.gram_scores(scratch.keep(new)))
+    scores = model.known.select("key", "score").unionByName(new)
+    weighed = rare.join(scores.hint("merge"), "key").select("uid", F.lit(0.0).alias("log"), F.lit(0).cast("long").alias("known"), (F.col("times") * F.col("score")).alias("score"))
+    found = counted.unionByName(weighed).groupBy("uid").agg(F.sum("log").alias("tail_log"), F.sum("known").alias("tail_known"), F.sum("score").alias("tail_score"))
     base = F.col("hot_log") + F.coalesce("tail_log", F.lit(0.0)) + math.log10(ends + 0.1) - F.col("n_tokens") * math.log10(total + 0.1 * (v + 1))
     known = F.col("hot_known") + F.coalesce("tail_known", F.lit(0)) + (1 if ends else 0)
-    joined = rows.drop("tail", "times").join(found, "uid", "left")
+    score = F.col("hot_score") + F.coalesce("tail_score", F.lit(0.0))
+    joined = rows.drop("tail", "times", "gram_tail", "gram_times").join(found, "uid", "left").withColumn("score", score)
     return joined.select(
         "doc_id", "held_out", "n_tokens", known.cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes", (-F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte")
     )

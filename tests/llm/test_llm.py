@@ -396,6 +396,18 @@ def test_context_tree_matches_brute_force(spark):
         assert got[i].score == pytest.approx(score(t), rel=1e-4, abs=1e-4)
 
 
+@pytest.mark.parametrize("hot", [0, 1 << 21])
+def test_context_tree_keeps_every_node(spark, hot, monkeypatch):
+    """Enough random bytes for tens of thousands of nodes: none is lost, whether its gram is joined or broadcast."""
+    monkeypatch.setattr(context_tree, "HOT_GRAMS", hot)
+    rng = np.random.default_rng(5)
+    rows = [(i, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 100))) for i in range(300)]
+    got = {r.doc_id: r.score for r in context_tree.score_texts(frame(spark, rows)).collect()}
+    score = brute_ctw([t for i, t in rows if zlib.crc32(str(i).encode()) % 10], 5)
+    for i, t in rows:
+        assert got[i] == pytest.approx(score(t), rel=1e-9)
+
+
 def test_bytes_probabilities_sum_to_one(spark):
     docs = spark.createDataFrame([("some text and more of it " * 9,)], "text string")
     model, _ = context_tree.train(docs, Scratch(spark, "ctw"), 4)
