@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.operators.components import connected_components
+
 from .bytesets import U64, MinHasher, pieces, shingle_hashes, word_hashes, word_spans
 from .common import Scratch, sorted_groups
-from .components import connected_components
 
 K = 64
 MATCHES = 34

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
 
-
-def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
+def connected_components(links: DataFrame, scratch) -> DataFrame:
     """(node, component) for the nodes of links (a, b): the smallest node reachable.
 
     Each step is a partially aggregated minimum by node and a join of two plain
-    exchanges; tables are written between steps. Self-links are kept out.
+    exchanges; tables are written between steps by ``scratch.keep`` and let go by ``scratch.drop``.
+    Steps go on until nothing changes. Self-links are kept out.
     """
     edges = scratch.keep(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None

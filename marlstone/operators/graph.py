@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .components import connected_components
+
 
 def normalize_edges(edges: DataFrame) -> DataFrame:
     """Weights min-max scaled over all edges; all 1 if they are equal."""
@@ -55,21 +57,21 @@ def pfnet(edges: DataFrame) -> DataFrame:
     return joined.filter(F.col("path").isNull() | (F.col("path") <= F.col("weight"))).select(*edges.columns)
 
 
-def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(node, component): the smallest node reachable, by rounds of neighbours' minima and pointer jumps."""
-    both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
-    label = both.groupBy("source").agg(F.least(F.first("source"), F.min("target")).alias("component")).withColumnRenamed("source", "node")
-    label, before = _checkpoint(label), None
-    for _ in range(max_rounds):
-        near = both.join(label.withColumnRenamed("node", "target"), "target").groupBy("source").agg(F.min("component").alias("near"))
-        step = label.join(near.withColumnRenamed("source", "node"), "node").select("node", F.least("component", "near").alias("component"))
-        jump = step.select(F.col("node").alias("component"), F.col("component").alias("jump"))
-        label = _checkpoint(step.join(jump, "component", "left").select("node", F.coalesce("jump", "component").alias("component")))
-        mark = label.agg(F.sum(F.xxhash64("node", "component").cast("decimal(38,0)"))).first()[0]
-        if mark == before:
-            break
-        before = mark
-    return label
+class _Checkpoints:
+    """Tables between steps, as checkpoints."""
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        return _checkpoint(df)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Checkpoints stay until their folder is cleared."""
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node reachable; a node that only links to itself is its own."""
+    found = _checkpoint(connected_components(edges.select(F.col("source").alias("a"), F.col("target").alias("b")), _Checkpoints()))
+    loops = edges.filter("source = target").select(F.col("source").alias("node")).distinct().join(found, "node", "left_anti")
+    return found.unionByName(loops.select("node", F.col("node").alias("component")))
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:

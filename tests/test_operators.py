@@ -189,6 +189,13 @@ def test_louvain(spark):
     assert graph.graph_maintenance(weighted(spark, ("a", "b", 5), ("b", "c", 3)))["communities"].select("community").distinct().count() == 3
 
 
+def test_components_of_a_long_path(spark):
+    path = [*range(0, 200, 2), *range(199, 0, -2)]  # even ids rise to the middle, odd ones fall to the end
+    edges = spark.createDataFrame([*zip(path, path[1:], strict=False), (500, 501), (600, 600), (7, 7)], "source long, target long")
+    got = [(r.node, r.component) for r in graph.components(edges).collect()]
+    assert sorted(got) == [*((n, 0) for n in range(200)), (500, 500), (501, 500), (600, 600)]
+
+
 def test_traverse_and_closures(spark):
     edges = spark.createDataFrame([("a", "b", "t"), ("b", "c", "t"), ("c", "a", "t"), ("c", "d", "u"), ("d", "e", "t")], "source string, target string, type string")
     assert pairs(graph.traverse(edges, "a", 3), "node", "depth") == {"a": 0, "b": 1, "c": 2, "d": 3}
