@@ -1,7 +1,9 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 A short item inside a long document has a tiny Jaccard similarity with it, so items are
-partitioned by size: the class of U has the items of U/2 to U shingle positions. For
+partitioned by size: the class of U has the items of U/2 to U shingle positions that have at least U/2 distinct
+shingles. Items with fewer, or with fewer than ``FEW``, are looked up by each of their shingles: any that a document
+has makes it a candidate, so none of them is missed. For
 each class a document is covered by windows of 2U positions, U apart, so a
 passage of the item's length lies in one window whole, and its similarity with
 that window is at least 0.19 at containment 0.8. A window that shares a MinHash
@@ -27,6 +29,8 @@ BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 32 << 20
 COORDINATES = 48
 SMALLEST = 8
+FEW = 8
+FILTER = (1 << 20) - 1
 
 
 class ItemIndex:
@@ -35,7 +39,7 @@ class ItemIndex:
     def __init__(self, ids: list[int], texts: list[str], width: int, k: int = COORDINATES):
         self.width, self.k, self.seed = width, k, 733
         hasher = MinHasher(k, self.seed)
-        self.ids, self.sets, sizes, minima = [], [], [], []
+        self.ids, self.sets, sizes, minima, few = [], [], [], [], []
         for row, data, offsets in pieces(pa.array(texts, pa.large_string())):
             starts, lengths, rows = word_spans(data, offsets)
             hashes, at = shingle_hashes(word_hashes(data, starts, lengths), rows, len(offsets) - 1, width)
@@ -44,10 +48,19 @@ class ItemIndex:
                     distinct = np.unique(hashes[at[i] : at[i + 1]])
                     self.ids.append(ids[row + i])
                     self.sets.append(distinct)
-                    sizes.append(max(SMALLEST, 1 << int(at[i + 1] - at[i] - 1).bit_length()))
-                    minima.append(hasher(distinct))
+                    size = max(SMALLEST, 1 << int(at[i + 1] - at[i] - 1).bit_length())
+                    if len(distinct) < FEW or 2 * len(distinct) < size:
+                        few.append(len(self.sets) - 1)
+                        size = 0
+                    sizes.append(size)
+                    minima.append(hasher(distinct) if size else None)
+        hashes = np.concatenate([self.sets[m] for m in few]) if few else np.zeros(0, U64)
+        owners = np.repeat(np.array(few, np.int64), [len(self.sets[m]) for m in few])
+        order = np.argsort(hashes, kind="stable")
+        self.few, self.few_owners, self.few_hit = hashes[order], owners[order], np.zeros(FILTER + 1, dtype=bool)
+        self.few_hit[(hashes & U64(FILTER)).astype(np.int64)] = True
         self.classes = []
-        for u in sorted(set(sizes)):
+        for u in sorted(set(sizes) - {0}):
             members = np.flatnonzero(np.array(sizes) == u)
             by_coordinate = []
             for c in range(k):
@@ -59,10 +72,11 @@ class ItemIndex:
             self.classes.append((u, by_coordinate))
 
     def candidates(self, hashes: np.ndarray, at: np.ndarray) -> set[tuple[int, int]]:
-        """(document row, item) that share a coordinate in some window."""
+        """(document row, item) that share a coordinate in some window, or a shingle of an item with few."""
         counts = np.diff(at)
+        found = self._with_few(hashes, at)
         if not len(hashes) or not self.classes:
-            return set()
+            return found
         unit = self.classes[0][0]
         blocks = -(-counts // unit)
         doc = np.repeat(np.arange(len(counts)), blocks)
@@ -72,7 +86,6 @@ class ItemIndex:
         low = np.empty((self.k, len(doc)), dtype=np.uint32)
         for c in range(self.k):
             low[c] = np.minimum.reduceat(((hashes * a[c] + b[c]) >> U64(32)).astype(np.uint32), first)
-        found: set[tuple[int, int]] = set()
         for u, by_coordinate in self.classes:
             while unit < u:
                 lead = np.flatnonzero(place % 2 == 0)
@@ -87,6 +100,17 @@ class ItemIndex:
                     found.update((int(doc[w]), int(m)) for m in members[x:y])
         return found
 
+    def _with_few(self, hashes: np.ndarray, at: np.ndarray) -> set[tuple[int, int]]:
+        """(document row, item) that share a shingle, of the items that are looked up by shingle."""
+        if not len(self.few) or not len(hashes):
+            return set()
+        maybe = np.flatnonzero(self.few_hit[(hashes & U64(FILTER)).astype(np.int64)])
+        lo, hi = np.searchsorted(self.few, hashes[maybe], "left"), np.searchsorted(self.few, hashes[maybe], "right")
+        maybe, lo, n = maybe[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+        doc = np.repeat(np.searchsorted(at, maybe, "right") - 1, n)
+        item = self.few_owners[np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+        return {(int(d), int(m)) for d, m in zip(doc, item, strict=True)}
+
     def search(self, texts: pa.Array, threshold: float) -> pa.Array:
         """For each text, the items it contains: list<struct<item_id, n_shingles, n_common>>."""
         out: list[list[dict]] = [[] for _ in range(len(texts))]

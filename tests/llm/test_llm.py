@@ -153,6 +153,17 @@ def test_contained_items_match_brute_force(spark):
     assert {100 + i for i in range(40)} <= {r.doc_id for r in got}
 
 
+def test_items_of_few_shingles_are_never_missed(spark):
+    rng = np.random.default_rng(6)
+    say = lambda n: " ".join(rng.choice([f"v{i}" for i in range(400)], n))
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(5))) for i in range(400)]
+    items += [(500 + 3 * i + e, " ".join(f"r{i}e{e}w{k % distinct}" for k in range(64))) for i in range(30) for e, distinct in enumerate((1, 2, 4))]
+    docs = [(i, f"{say(60)} {item} {say(60)}") for i, item in items]
+    got = decontaminate.contained_items(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert Counter((r.doc_id, r.item_id, r.n_shingles, r.n_common) for r in got) == brute_contained(docs, items)
+    assert {r.doc_id for r in got} == {i for i, _ in items}
+
+
 def test_blocks_of_a_larger_benchmark_and_nothing(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 3)
     items = spark.createDataFrame([(i, " ".join(f"i{i}w{k}" for k in range(12))) for i in range(10)], "item_id long, text string")
