@@ -39,8 +39,7 @@ def relabel_speakers(spark, d):
     return E.relabel_speakers(o, spark.createDataFrame([("1-URGENT", "Ann")], "speaker string, name string")).select("o_orderkey", "speaker")
 
 
-def captions(spark, d):
-    line = table(spark, d, "lineitem").filter("l_orderkey <= 500")
+def captions(line):
     s = F.struct(F.col("l_linenumber").alias("n"), (F.col("l_linenumber") * 700.25).alias("start"), (F.col("l_linenumber") * 700.25 + 1.5).alias("end"), F.col("l_linestatus").alias("text"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag")).alias("speaker"))
     return line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(s)).alias("s"))
 
@@ -50,12 +49,25 @@ AT = lambda x, mark: CLOCK.replace("x", x).replace("@", mark)
 CUES = f"WITH c AS (SELECT l_orderkey, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_linestatus, l_returnflag) AS i, l_linenumber * 700.25::DOUBLE AS a, l_linenumber * 700.25::DOUBLE + 1.5 AS b, l_linestatus AS t, CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag END AS sp FROM lineitem WHERE l_orderkey <= 500)"
 
 
-@HERE.add(
+TEXTS = (
     f"{CUES} SELECT l_orderkey, 'WEBVTT' || chr(10) || chr(10) || string_agg(i || chr(10) || {AT('a', '.')} || ' --> ' || {AT('b', '.')} || chr(10) || CASE WHEN sp IS NULL THEN t ELSE '<v ' || sp || '>' || t || '</v>' END || chr(10) || chr(10), '' ORDER BY i) AS vtt, string_agg(i || chr(10) || {AT('a', ',')} || ' --> ' || {AT('b', ',')} || chr(10) || coalesce(sp || ': ', '') || t || chr(10) || chr(10), '' ORDER BY i) AS srt, coalesce(string_agg('SPEAKER audio 1 ' || printf('%.3f', a) || ' ' || printf('%.3f', b - a) || ' <NA> <NA> ' || sp || ' <NA> <NA>' || chr(10), '' ORDER BY i) FILTER (sp IS NOT NULL), '') AS rttm FROM c GROUP BY l_orderkey"
 )
-def captions_text(spark, d):
+
+
+def rendered(line):
     s = F.col("s")
-    return captions(spark, d).select("l_orderkey", V.render_vtt(s).alias("vtt"), V.render_srt(s).alias("srt"), V.render_rttm(s).alias("rttm"))
+    return captions(line).select("l_orderkey", V.render_vtt(s).alias("vtt"), V.render_srt(s).alias("srt"), V.render_rttm(s).alias("rttm"))
+
+
+@HERE.add(TEXTS)
+def captions_text(spark, d):
+    return rendered(table(spark, d, "lineitem").filter("l_orderkey <= 500"))
+
+
+@HERE.add(TEXTS.replace(" WHERE l_orderkey <= 500", ""))
+def captions_all(spark, d):
+    """``captions_text`` over all orders."""
+    return rendered(table(spark, d, "lineitem"))
 
 
 @HERE.add(

@@ -18,6 +18,8 @@ from marlstone.operators import extract, filters, graph, inference, retrieval, s
 from marlstone.sources import adapters
 from marlstone.streaming import feeds
 
+SF = "/root/testdata/sf0.001"
+
 
 def one(spark, column, **values):
     """The value of a Column over one row of literals."""
@@ -267,6 +269,18 @@ def test_captions(spark):
     assert one(spark, render.render_sprite_vtt(n(4), n(2), n(160), n(90), n("s"), n(10.0), n(60.0))).count("-->") == 6
 
 
+def test_captions_of_all_orders(spark):
+    got = texts_and_media()["captions_all"](spark, SF)
+    assert got.count() == spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey").distinct().count()
+    assert got.filter("l_orderkey > 500").count() > 0
+
+
+def texts_and_media():
+    from marlstone.plans.catalog import QUERIES
+
+    return QUERIES
+
+
 def test_uploads_and_checksums(spark):
     r = one(spark, protocols.upload_patched(F.lit(100), F.lit(100), F.lit(900), F.lit(1000)))
     assert (r.status, r.new_offset, r.complete) == (204, 1000, True)
