@@ -39,6 +39,12 @@ def slugs(spark, d):
     return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", T.slugify(F.left("text", F.lit(60)), ascii_only=True).alias("slug"))
 
 
+@HERE.add()
+def slugs_all(spark, d):
+    """Slugs of all documents' whole texts, decomposed; DuckDB can't decompose, so tests hold it against brute force."""
+    return table(spark, d, "documents").select("doc_id", T.slugify(F.col("text")).alias("slug"))
+
+
 RULED = "CASE WHEN regexp_matches(e, '(?i)\\bfounded\\b') THEN 'founded' WHEN regexp_matches(e, '(?i)\\binvested\\s+in\\b') THEN 'invested_in' WHEN regexp_matches(e, '(?i)\\badvis(or|es|ing)\\b') THEN 'advises' WHEN regexp_matches(e, '(?i)\\bworks?\\s+(at|for)\\b') THEN 'works_at' ELSE 'mentions' END"
 
 

@@ -6,7 +6,9 @@ import hmac
 import io
 import json
 import math
+import re
 import struct
+import unicodedata
 import zipfile
 
 import pytest
@@ -275,6 +277,23 @@ def test_captions_of_all_orders(spark):
     assert got.filter("l_orderkey > 500").count() > 0
 
 
+def test_slugs_of_all_documents(spark, tmp_path):
+    said = [(1, "Élan vital & Crème brûlée " * 9), (2, "ÅNGSTRÖM ﬁne"), (3, "  --x-- "), (4, "日本"), (5, ""), (6, None), (7, "z" * 200)]
+    spark.createDataFrame([(i, t, "fr") for i, t in said], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def brute(text):
+        if text is None:
+            return None
+        plain = re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", text)).lower().replace("&", " and ")
+        return re.sub("^-+|-+$", "", re.sub("[^a-z0-9]+", "-", plain))[:80]
+
+    for folder in (str(tmp_path), SF):
+        docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+        got = texts_and_media()["slugs_all"](spark, folder).collect()
+        assert sorted((r.doc_id, r.slug) for r in got if r.slug is not None) == sorted((r.doc_id, brute(r.text)) for r in docs if r.text is not None)
+        assert len(got) == len(docs)
+
+
 def texts_and_media():
     from marlstone.plans.catalog import QUERIES
 
