@@ -32,11 +32,11 @@ def _draw(seed: Column | int) -> Column:
     return F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed) if isinstance(seed, int) else seed), 11) / F.lit(float(1 << 53))
 
 
-def _ranked(sources: DataFrame) -> DataFrame:
-    """Adds ``rank`` (from 0): place by code point, null last; by range partitions."""
+def _ranked(sources: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds ``rank`` (from 0): place by code point, null last; by range partitions, written so that counts and ranks see the same."""
     split = sources.withColumn("last", F.col("source").isNull()).repartitionByRange("last", "source").withColumn("part", F.spark_partition_id())
     inner = Window.partitionBy("part").orderBy("last", "source")
-    split = split.withColumn("at", F.row_number().over(inner) - 1)
+    split = scratch.keep(split.withColumn("at", F.row_number().over(inner) - 1))
     tops = split.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = tops.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     return split.join(before, "part").select("source", "source_size", (F.col("at") + F.col("before")).alias("rank"))
@@ -48,7 +48,7 @@ def source_targets(sources: DataFrame, scratch: Scratch, weights: list[int], cap
     No target exceeds ``cap`` times its source's size; what is above is shared anew by
     weight among the others until none is above. Each pass is one aggregation of sums.
     """
-    ranked = _ranked(sources)
+    ranked = _ranked(sources, scratch)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
     ranked = scratch.keep(ranked.withColumn("weight", weight).withColumn("most", F.col("source_size") * F.lit(float(cap))))
     total = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("t")).first().t

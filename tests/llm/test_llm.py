@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.llm import chat_format, context_tree, decontaminate, exact_dedup, mixing, near_dedup, sharding, site_lines, toxicity, url_reputation
 from marlstone.llm.bytesets import pieces, shingle_hashes, word_hashes, word_spans
@@ -220,6 +221,26 @@ def _copies(rows):
     return out
 
 
+def test_ranks_of_many_sources_are_gapless(spark):
+    """With small parts, adaptive execution joins them by size, which differs with the columns that are read."""
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16384", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        n = 20000
+        docs = frame(spark, [(i + 1, "a b", f"s{i:05}") for i in range(n)])
+        scratch = Scratch(spark, "test")
+        targets = mixing.source_targets(scratch.keep(docs.groupBy("source").agg(F.sum("doc_id").alias("source_size"))), scratch, [1, 2, 4, 8, 16], 1e9)
+        got = sorted((r.source, r.target) for r in targets.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    unit = n * (n + 1) / 2 / (31 * n / 5)
+    assert [s for s, _ in got] == [f"s{i:05}" for i in range(n)]
+    assert [t / unit for _, t in got] == pytest.approx([2 ** (i % 5) for i in range(n)])
+
+
 def test_mixing_nothing(spark):
     assert mixing.mixing_plan(frame(spark, [])).count() == 0
     assert mixing.mix(frame(spark, [(1, None, "a"), (2, "", None)])).count() == 0
