@@ -73,30 +73,34 @@ def utf16_length(text: Column) -> Column:
 
 
 def estimate_tokens(text: Column) -> Column:
-    """CJK and emoji characters count one each; other words a quarter of their UTF-16 length, rounded up."""
-    words = F.filter(F.split(F.regexp_replace(text, SINGLE, " "), r"\s+"), lambda w: w != "")
-    return (_matches(text, SINGLE) + F.aggregate(words, F.lit(0), lambda acc, w: acc + F.ceil(utf16_length(w) / 4).cast("int"))).cast("int")
+    """CJK and emoji characters count one each; other words a quarter of their UTF-16 length, rounded up.
+
+    Words are counted in runs of at most four, so no array of words is walked; characters that take two units count as two.
+    """
+    plain = F.regexp_replace(F.regexp_replace(text, SINGLE, " "), r"[\x{10000}-\x{10FFFF}]", "xx")
+    return (_matches(text, SINGLE) + _matches(plain, r"\S{1,4}")).cast("int")
 
 
 @batch_udf("string")
 def truncate_to_tokens(texts: pd.Series, budgets: pd.Series) -> pd.Series:
-    """The longest prefix of at most that many estimated tokens; whole characters are kept."""
+    """The longest prefix of at most that many estimated tokens; whole characters are kept.
+
+    Words are read only up to the budget, so the work doesn't grow with what is cut off.
+    """
     import re
 
-    single = re.compile(r"[\u3400-\u4DBF\u4E00-\u9FFF\u3040-\u30FF\uAC00-\uD7AF\u2600-\u27BF\U0001F300-\U0001FAFF]")
+    word = re.compile(r"([\u3400-\u4DBF\u4E00-\u9FFF\u3040-\u30FF\uAC00-\uD7AF\u2600-\u27BF\U0001F300-\U0001FAFF])|[^\s\u3400-\u4DBF\u4E00-\u9FFF\u3040-\u30FF\uAC00-\uD7AF\u2600-\u27BF\U0001F300-\U0001FAFF]+")
 
     def cut(text: str, budget: int) -> str:
-        spent, length = 0, 0
-        for i, ch in enumerate(text):
-            if single.match(ch):
-                spent, length = spent + 1, 0
-            elif ch.isspace():
-                length = 0
-            else:
-                grown = length + (2 if ord(ch) > 0xFFFF else 1)
-                spent, length = spent + -(-grown // 4) - -(-length // 4), grown
-            if spent > budget:
-                return text[:i]
+        for m in word.finditer(text):
+            units = 1 if m[1] else len(m[0]) + sum(ch > "\uffff" for ch in m[0]) if not m[0].isascii() else len(m[0])
+            price = 1 if m[1] else -(-units // 4)
+            if price > budget:
+                room, end = 4 * budget, m.start()
+                while not m[1] and end < m.end() and room >= (2 if text[end] > "\uffff" else 1):
+                    room, end = room - (2 if text[end] > "\uffff" else 1), end + 1
+                return text[:end]
+            budget -= price
         return text
 
     return pd.Series([None if t is None else cut(t, int(b)) for t, b in zip(texts, budgets, strict=True)])
@@ -123,11 +127,27 @@ def _decomposed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
 
 
+@batch_udf("array<string>")
+def _all_decomposed(lists: pd.Series) -> pd.Series:
+    import unicodedata
+
+    return lists.map(lambda ts: None if ts is None else [None if t is None else unicodedata.normalize("NFKD", t) for t in ts])
+
+
+def _dashed(plain: Column) -> Column:
+    plain = F.replace(F.lower(F.regexp_replace(plain, r"[\x{300}-\x{36F}]", "")), F.lit("&"), F.lit(" and "))
+    return F.left(F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", ""), F.lit(80))
+
+
 def slugify(text: Column, ascii_only: bool = False) -> Column:
     """Lower-case letters, digits and dashes, at most 80. ``ascii_only`` skips the decomposition of other characters."""
-    plain = text if ascii_only else F.regexp_replace(_decomposed(text), r"[\x{300}-\x{36F}]", "")
-    plain = F.replace(F.lower(plain), F.lit("&"), F.lit(" and "))
-    return F.left(F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", ""), F.lit(80))
+    return _dashed(text if ascii_only else _decomposed(text))
+
+
+def slugify_all(texts: Column) -> Column:
+    """``slugify`` of each text of an array. Only arrays with other than ASCII characters meet Python."""
+    other = F.when(F.exists(texts, lambda t: F.coalesce(t.rlike(r"[^\x00-\x7F]"), F.lit(False))), texts)
+    return F.transform(F.coalesce(_all_decomposed(other), texts), _dashed)
 
 
 # What names a link type, in order.
@@ -195,10 +215,26 @@ DOC_TYPES = [
 ]
 
 
+_TYPES = {t[0]: t for t in DOC_TYPES}
+
+
+def register_doc_type(slug: str, label: str, chunking: str, names: list[str] = (), mimes: list[str] = (), content: str | None = None) -> None:
+    """The last registration of a slug holds; it keeps the place of the first."""
+    _TYPES[slug] = (slug, label, chunking, list(names), list(mimes), content)
+
+
+def get_doc_type(slug: str) -> tuple | None:
+    return _TYPES.get(slug)
+
+
+def list_doc_types() -> list[str]:
+    return list(_TYPES)
+
+
 def detect_doc_type(filename: Column, mime: Column, body: Column, types: list[tuple] | None = None) -> Column:
     """The type of the best score: 2 for each file name pattern, 3 for the media type, 1 for the content; ties go to the first."""
     scored = []
-    for i, (slug, _label, _chunking, names, mimes, content) in enumerate(types or DOC_TYPES):
+    for i, (slug, _label, _chunking, names, mimes, content) in enumerate(types or _TYPES.values()):
         score = F.lit(0)
         for n in names:
             score = score + F.when(filename.rlike("(?i)" + n), 2).otherwise(0)
@@ -212,7 +248,20 @@ def detect_doc_type(filename: Column, mime: Column, body: Column, types: list[tu
 
 
 def doc_types(spark):
-    return spark.createDataFrame([(s, lb, c) for s, lb, c, *_ in DOC_TYPES], "slug string, label string, chunking string")
+    return spark.createDataFrame([(s, lb, c) for s, lb, c, *_ in _TYPES.values()], "slug string, label string, chunking string")
+
+
+#: What turns a flag on or off, and the flags of full-text search; all are on by default.
+FLAG_WORDS = {**dict.fromkeys(["1", "true", "TRUE", "yes", "on"], True), **dict.fromkeys(["0", "false", "FALSE", "no", "off"], False)}
+SEARCH_FLAGS = ["FTS_SCRIPT_DETECTION", "FTS_TRIGRAM_FALLBACK", "FTS_BIGRAM_CJK", "FTS_MULTILINGUAL_CONFIGS", "FTS_WEBSEARCH_TO_TSQUERY"]
+
+
+def search_flags(environment: dict[str, str] | None = None) -> dict[str, bool]:
+    """Each flag from the environment; other words than those known leave it on."""
+    import os
+
+    environment = os.environ if environment is None else environment
+    return {name: FLAG_WORDS.get(environment.get(name), True) for name in SEARCH_FLAGS}
 
 
 # Query syntax

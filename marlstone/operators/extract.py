@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marlstone.functions.text import slugify
+from marlstone.functions.text import slugify_all
 
 # Link, bare slug and role patterns with their edge types, in order.
 MD_LINK = r"\[([^\]]+)\]\(([^)#\s]+)\)"
@@ -40,28 +40,35 @@ def infer_category(kind: Column) -> Column:
     return out
 
 
-def extract_edges(pages: DataFrame, ascii_only: bool = False) -> DataFrame:
+def extract_edges(pages: DataFrame) -> DataFrame:
     """(source, target, type, evidence) of pages (slug, page_type, content), each target and type once a page.
 
-    Links come first, then bare slugs, then the first match of every role; the first names the evidence. All is in one
-    projection per page and its array is exploded once, so pages aren't shuffled until their edges are told apart.
+    Links come first, then bare slugs, then the first match of every role; the first names the evidence. A page's edges are
+    told apart in the projection that finds them, so pages aren't shuffled; only pages that come in
+    several rows give an edge more than once. Null content has no edges.
     """
-    body = strip_code(F.coalesce("content", F.lit("")))
-    seen = F.when(F.col("page_type") == "meeting", "attended").otherwise("mentions")
     edge = lambda target, kind, evidence: F.struct(target.alias("target"), kind.alias("type"), evidence.alias("evidence"))
+    seen = F.when(F.col("page_type") == "meeting", "attended").otherwise("mentions")
+    body = pages.select("slug", seen.alias("seen"), strip_code(F.coalesce("content", F.lit(""))).alias("body"))
+    clean = lambda name: F.regexp_replace(F.trim(name), r"[.,;:!?]+$", "")
+    found = body.select(
+        "slug", "seen", F.regexp_extract_all("body", F.lit(MD_LINK), 0).alias("links"), F.regexp_extract_all("body", F.lit(BARE_SLUG), 0).alias("bare"),
+        F.array(*[F.regexp_extract("body", p, 0) for p, _ in ROLES]).alias("said"),
+    )
+    found = found.filter(F.size("links") + F.size("bare") + F.size(F.filter("said", lambda s: s != "")) > 0)
+    found = found.withColumn("names", slugify_all(F.array(*[clean(F.regexp_extract(F.col("said")[i], p, 1)) for i, (p, _) in enumerate(ROLES)])))
     links = F.filter(
-        F.transform(F.regexp_extract_all(body, F.lit(MD_LINK), 0), lambda m: edge(F.trim(F.regexp_extract(m, MD_LINK, 2)), seen, m)),
+        F.transform("links", lambda m: edge(F.trim(F.regexp_extract(m, MD_LINK, 2)), F.col("seen"), m)),
         lambda e: ~e["target"].startswith("http") & ~e["target"].startswith("/") & e["target"].contains("/"),
     )
-    bare = F.transform(F.regexp_extract_all(body, F.lit(BARE_SLUG), 0), lambda m: edge(F.lower(F.regexp_replace(m, "^@", "")), seen, m))
-    roles = []
-    for pattern, kind in ROLES:
-        name = slugify(F.regexp_replace(F.trim(F.regexp_extract("__body", pattern, 1)), r"[.,;:!?]+$", ""), ascii_only)
-        roles.append(edge(F.when(name != "", F.concat(infer_category(F.lit(kind)), F.lit("/"), name)), F.lit(kind), F.regexp_extract("__body", pattern, 0)))
-    named = F.filter(F.array(*roles), lambda e: e["target"].isNotNull())
-    found = pages.withColumn("__body", body).select(F.col("slug").alias("source"), F.posexplode(F.concat(links, bare, named)).alias("pos", "edge"))
-    first = found.groupBy("source", "edge.target", "edge.type").agg(F.min_by("edge.evidence", "pos").alias("evidence"))
-    return first.select("source", "target", "type", "evidence")
+    bare = F.transform("bare", lambda m: edge(F.lower(F.regexp_replace(m, "^@", "")), F.col("seen"), m))
+    roles = F.array(*[edge(F.concat(infer_category(F.lit(kind)), F.lit("/"), F.col("names")[i]), F.lit(kind), F.col("said")[i]) for i, (_, kind) in enumerate(ROLES)])
+    named = F.filter(F.zip_with(roles, "names", lambda e, n: F.when(n != "", e)), lambda e: e.isNotNull())
+    each = found.select("slug", F.concat(links, bare, named).alias("edges"))
+    key = lambda e: F.struct(e["target"], e["type"])
+    keys = each.withColumn("keys", F.transform("edges", key))
+    first = F.filter("edges", lambda e, i: F.array_position("keys", key(e)) == i + 1)
+    return keys.select(F.col("slug").alias("source"), F.inline(first))
 
 
 # How a line that opens a symbol looks, by language and file name.

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import connected_components
+from .scratch import Checkpoints, checkpoint
 
 
 def normalize_edges(edges: DataFrame) -> DataFrame:
@@ -43,60 +44,61 @@ def snn_score(edges: DataFrame, k: int = 10) -> DataFrame:
 def pfnet(edges: DataFrame) -> DataFrame:
     """Edges that no path of two edges, each strictly heavier, goes around.
 
-    Parallel edges count as their heaviest, not below 0. Only half-paths heavier than the edge are joined:
-    two equi-joins, each split by adaptive execution at hubs, with the weight condition inside.
+    Parallel edges count as their heaviest, not below 0. The middle of a path is sought from the end of the edge that has
+    fewer neighbours, so a hub is walked only for edges between hubs; what is found is checked by an equi-join.
     """
-    best = edges.groupBy("source", "target").agg(F.greatest(F.lit(0.0), F.max("weight")).alias("w"))
-    first = best.select(F.col("source").alias("u"), F.col("target").alias("x"), F.col("w").alias("w1"))
-    second = best.select(F.col("source").alias("x2"), F.col("target").alias("v2"), F.col("w").alias("w2"))
-    lightest = edges.groupBy("source", "target").agg(F.min("weight").alias("low"))
-    half = lightest.join(first, (F.col("source") == F.col("u")) & (F.col("x") != F.col("target")) & (F.col("w1") > F.col("low")))
-    whole = half.join(second, (F.col("x") == F.col("x2")) & (F.col("target") == F.col("v2")) & (F.col("w2") > F.col("low")))
+    best = checkpoint(edges.groupBy("source", "target").agg(F.greatest(F.lit(0.0), F.max("weight")).alias("w"), F.min("weight").alias("low")))
+    outs = best.groupBy("source").agg(F.count(F.lit(1)).alias("outs"))
+    ins = best.groupBy("target").agg(F.count(F.lit(1)).alias("ins"))
+    sized = checkpoint(best.select("source", "target", "low").join(outs, "source").join(ins, "target"))
+    step = lambda a, b, w: best.select(F.col("source").alias(a), F.col("target").alias(b), F.col("w").alias(w))
+    heavier = lambda w: F.col(w) > F.col("low")
+    ahead = sized.filter("outs <= ins").join(step("source", "x", "w1"), "source").filter(heavier("w1") & (F.col("x") != F.col("target")))
+    ahead = ahead.join(step("x", "target", "w2"), ["x", "target"])
+    back = sized.filter("outs > ins").join(step("x", "target", "w2"), "target").filter(heavier("w2") & (F.col("x") != F.col("target")))
+    back = back.join(step("source", "x", "w1"), ["source", "x"])
+    columns = ["source", "target", "low", "w1", "w2"]
+    whole = ahead.select(*columns).unionByName(back.select(*columns)).filter(heavier("w1") & heavier("w2"))
     around = whole.groupBy("source", "target").agg(F.max(F.least("w1", "w2")).alias("path"))
     joined = edges.join(around, ["source", "target"], "left")
     return joined.filter(F.col("path").isNull() | (F.col("path") <= F.col("weight"))).select(*edges.columns)
 
 
-class _Checkpoints:
-    """Tables between steps, as checkpoints."""
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        return _checkpoint(df)
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Checkpoints stay until their folder is cleared."""
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable; a node that only links to itself is its own."""
-    found = _checkpoint(connected_components(edges.select(F.col("source").alias("a"), F.col("target").alias("b")), _Checkpoints()))
+    found = checkpoint(connected_components(edges.select(F.col("source").alias("a"), F.col("target").alias("b")), Checkpoints()))
     loops = edges.filter("source = target").select(F.col("source").alias("node")).distinct().join(found, "node", "left_anti")
     return found.unionByName(loops.select("node", F.col("node").alias("component")))
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the cluster's shared folder; in tests a temporary one."""
-    import tempfile
-
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint()
-
+def louvain(edges: DataFrame, passes: int = 10, whole: int = 50_000) -> DataFrame:
+    """(node, community): one level of greedy modularity moves; ids count communities in the order of their nodes.
 
-def louvain(edges: DataFrame, passes: int = 10) -> DataFrame:
-    """(node, community): one level of greedy modularity moves.
-
-    Communities never cross connected components, so each component is one task; the total
-    weight is global. Nodes are visited in the order in which edges first name them (source before
-    target), a move must gain more than 0, ties go to the community met first, and ids count
-    communities in the order of their nodes. A component must fit one task: cut giant ones first, with ``pfnet``.
+    Communities never cross connected components; the total weight is global. Components of at most ``whole`` edges
+    are one task each: nodes are visited in the order in which edges first name them (source before target), a move must
+    gain more than 0, and ties go to the community met first. Larger components are clustered by
+    ``moved_in_rounds``, which spreads over all tasks and visits half of the nodes at a time instead.
     """
     total = edges.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
-    labelled = edges.join(components(edges).withColumnRenamed("node", "source"), "source").select("source", "target", "weight", "ord", "component")
+    labelled = checkpoint(edges.join(components(edges).withColumnRenamed("node", "source"), "source").select("source", "target", "weight", "ord", "component"))
+    sizes = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("edges"))
+    giant = checkpoint(sizes.filter(F.col("edges") > whole).select("component"))
+    small = labelled.join(giant, "component", "left_anti")
     kind = dict(edges.dtypes)["source"]
+    found = small.groupBy("component").applyInPandas(_sequential(passes, total), f"node {kind}, lead long, seen long").select("node", "lead")
+    if not giant.isEmpty():
+        found = found.unionByName(moved_in_rounds(labelled.join(giant, "component", "left_semi"), total, passes))
+    found = checkpoint(found)
+    leads = found.select("lead").distinct().repartitionByRange("lead").withColumn("part", F.spark_partition_id())
+    leads = checkpoint(leads.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("lead")) - 1))
+    tops = leads.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = tops.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row per partition
+    ids = leads.join(before, "part").select("lead", (F.col("at") + F.col("before")).alias("community"))
+    return found.join(ids, "lead").select("node", "community")
+
+
+def _sequential(passes: int, total: float):
+    """Clusters a component's edges, node by node."""
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord", kind="stable")
@@ -130,20 +132,47 @@ def louvain(edges: DataFrame, passes: int = 10) -> DataFrame:
             lead.setdefault(home[n], seen[n])
         return pd.DataFrame({"node": list(seen), "lead": [lead[home[n]] for n in seen], "seen": list(seen.values())})
 
-    found = labelled.groupBy("component").applyInPandas(cluster, f"node {kind}, lead long, seen long")
-    leads = found.select("lead").distinct().repartitionByRange("lead").withColumn("part", F.spark_partition_id())
-    leads = _checkpoint(leads.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("lead")) - 1))
-    tops = leads.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = tops.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    ids = leads.join(before, "part").select("lead", (F.col("at") + F.col("before")).alias("community"))
-    return found.join(ids, "lead").select("node", "community")
+    return cluster
+
+
+def moved_in_rounds(edges: DataFrame, total: float, passes: int = 10) -> DataFrame:
+    """(node, lead): communities of a large graph; ``lead`` is the first place in which an edge names a node of the community.
+
+    A round sums each node's weight by neighbouring community (partially, before the shuffle) and moves a hashed half
+    of the nodes to the community of the best gain, if that is more than staying gains; halves keep
+    neighbours from swapping for ever. It ends when a pass of two rounds moves nothing, or after ``passes``.
+    """
+    both = edges.select(F.col("source").alias("node"), F.col("target").alias("other"), "weight", (F.col("ord") * 2).alias("at"))
+    both = checkpoint(both.unionByName(edges.select(F.col("target").alias("node"), F.col("source").alias("other"), "weight", (F.col("ord") * 2 + 1).alias("at"))))
+    nodes = both.groupBy("node").agg(F.sum("weight").alias("degree"), F.min("at").alias("seen"))
+    state = checkpoint(nodes.withColumn("home", F.col("seen")))
+    quiet = 0
+    for turn in range(2 * passes):
+        held = state.groupBy("home").agg(F.sum("degree").alias("held"))
+        pulls = both.join(state.select(F.col("node").alias("other"), F.col("home").alias("to")), "other").groupBy("node", "to").agg(F.sum(F.when(F.col("node") != F.col("other"), F.col("weight")).otherwise(0.0)).alias("pull"))
+        rated = pulls.join(state, "node").join(held.select(F.col("home").alias("to"), "held"), "to")
+        stays = F.col("to") == F.col("home")
+        gain = F.col("pull") - F.col("degree") * (F.col("held") - F.when(stays, F.col("degree")).otherwise(0.0)) / F.lit(max(2 * total, 1e-9))
+        best = rated.select("node", "to", "pull", gain.alias("gain"), stays.alias("stays")).groupBy("node").agg(
+            F.max_by("to", F.when(~F.col("stays"), F.struct("gain", -F.col("to")))).alias("to"), F.max(F.when(~F.col("stays"), F.col("gain"))).alias("gain"), F.max(F.when(F.col("stays"), F.col("gain"))).alias("stay")
+        )
+        alone = state.join(held, "home").select("node", (-F.col("degree") * (F.col("held") - F.col("degree")) / F.lit(max(2 * total, 1e-9))).alias("alone"))
+        rated = state.join(best, "node").join(alone, "node")
+        moves = (F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2) & (F.col("gain") > F.coalesce("stay", "alone") + 1e-12)
+        new = checkpoint(rated.select("node", "degree", "seen", F.when(F.coalesce(moves, F.lit(False)), F.col("to")).otherwise(F.col("home")).alias("home"), F.coalesce(moves, F.lit(False)).alias("moved")))
+        quiet = (quiet if turn % 2 else 0) + new.filter("moved").isEmpty()
+        state = new.drop("moved")
+        if turn % 2 and quiet == 2:
+            break
+    leads = state.groupBy("home").agg(F.min("seen").alias("lead"))
+    return state.join(leads, "home").select("node", "lead")
 
 
 def graph_maintenance(edges: DataFrame, k: int = 10) -> dict[str, DataFrame]:
     """normalized, snn, sparse, communities: each made from the one before."""
     normalized = normalize_edges(edges)
-    snn = _checkpoint(snn_score(normalized, k))
-    sparse = _checkpoint(pfnet(snn))
+    snn = checkpoint(snn_score(normalized, k))
+    sparse = checkpoint(pfnet(snn))
     return {"normalized": normalized, "snn": snn, "sparse": sparse, "communities": louvain(sparse)}
 
 
@@ -167,7 +196,7 @@ def traverse(edges: DataFrame, start: str, depth: int = 3, direction: str = "out
     reached = front = spark.createDataFrame([(start, 0, [start])], "node string, depth int, path array<string>")
     for d in range(1, depth + 1):
         new = front.join(steps, F.col("node") == F.col("a")).select(F.col("b").alias("node"), F.lit(d).alias("depth"), F.concat("path", F.array("b")).alias("path"))
-        front = _checkpoint(new.groupBy("node", "depth").agg(F.min("path").alias("path")).join(reached.select("node"), "node", "left_anti"))
+        front = checkpoint(new.groupBy("node", "depth").agg(F.min("path").alias("path")).join(reached.select("node"), "node", "left_anti"))
         if front.isEmpty():
             break
         reached = reached.unionByName(front)
@@ -199,7 +228,7 @@ def closure(links: DataFrame, start: str, up: bool = True) -> DataFrame:
     reached = front = spark.createDataFrame([(start,)], "uri string")
     while True:
         new = front.join(steps, F.col("uri") == F.col("a")).select(F.col("b").alias("uri")).distinct()
-        front = _checkpoint(new.join(reached, "uri", "left_anti"))
+        front = checkpoint(new.join(reached, "uri", "left_anti"))
         if front.isEmpty():
             return reached
         reached = reached.unionByName(front)

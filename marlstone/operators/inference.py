@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from marlstone.functions.text import parse_slug
+from marlstone.functions.text import LINK_TYPES, link_label, parse_slug
 
 # Profiles (slug, capabilities, general score, context tokens) and what tasks need.
 PROFILES = [
@@ -44,6 +44,11 @@ def profiles(spark: SparkSession, more: list[tuple] = ()) -> DataFrame:
     return spark.createDataFrame([(i, *p) for i, p in enumerate(rows.values())], "ord int, slug string, capabilities array<string>, general_score double, context_tokens int")
 
 
+def profile(models: DataFrame, slug: str) -> DataFrame:
+    """The catalogue's row of a slug; none if it isn't there."""
+    return models.filter(F.col("slug") == slug)
+
+
 def tasks(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TASKS.items()), "task string, need array<string>")
 
@@ -74,17 +79,6 @@ def recommended(tier):
     return out
 
 
-def settings(overrides: DataFrame, environment: DataFrame, defaults: DataFrame) -> DataFrame:
-    """(key, value, source) of three tables (key, value): override before environment before default."""
-    layers = [(overrides, "db_override"), (environment, "env"), (defaults, "default")]
-    rows = None
-    for at, (table, source) in enumerate(layers):
-        part = table.select("key", "value", F.lit(at).alias("at"), F.lit(source).alias("source"))
-        rows = part if rows is None else rows.unionByName(part)
-    best = rows.filter("value is not null").groupBy("key").agg(F.min_by(F.struct("value", "source"), "at").alias("b"))
-    return best.select("key", "b.value", "b.source")
-
-
 _CLIENTS: dict[str, Callable] = {}
 
 
@@ -101,13 +95,16 @@ def list_clients() -> list[str]:
 
 
 class MockClient:
-    """Echoes; for tests."""
+    """Echoes; for tests. ``usage`` has the last call's sizes in tokens, a quarter of the characters."""
 
     def __init__(self, model: str = "mock"):
         self.model = model
+        self.usage = {"prompt_tokens": 0.0, "completion_tokens": 0.0}
 
     def generate(self, prompt: str) -> str:
-        return f"[mock:{self.model}] {prompt}"
+        reply = f"[mock:{self.model}] {prompt}"
+        self.usage = {"prompt_tokens": len(prompt) / 4, "completion_tokens": len(reply) / 4}
+        return reply
 
 
 register_client("mock", MockClient)
@@ -177,45 +174,90 @@ def generate(rows: DataFrame, factory: Callable, out: str = "reply", prompt: str
     return rows.mapInPandas(run, schema)
 
 
-def self_refine(draft: str, say: Callable, rounds: int = 3, stop: Callable | None = None) -> tuple[str, int]:
-    """(output, rounds): critique, then revise, until ``stop`` or the last round."""
-    for r in range(rounds):
-        critique = say(f"Critique the following draft. Be specific.\n\n{draft}\n\nCritique:")
-        if stop and stop(draft, critique):
-            return draft, r
-        draft = say(f"Revise the draft using the critique. Output only the revised version.\n\nDraft:\n{draft}\n\nCritique:\n{critique}\n\nRevised:").strip()
-    return draft, rounds
+@dataclass
+class Run:
+    """What an agent loop has so far: its text, the steps it took, and whether it ended by itself."""
+
+    text: str
+    steps: list = field(default_factory=list)
+    ended: bool = False
 
 
-def react(goal: str, say: Callable, act: Callable, done: Callable = lambda _: False, most: int = 8) -> tuple[list[tuple[str, str, str]], str]:
-    """(steps, final): thought, action and observation in turn; FINISH or a reply without action ends."""
-    steps: list[tuple[str, str, str]] = []
+def drive(run: Run, step: Callable[[Run], None], most: int) -> Run:
+    """Calls ``step`` until it ends the run, at most ``most`` times."""
     for _ in range(most):
-        trace = "\n".join(f"Thought {j}: {t}\nAction {j}: {a}\nObservation {j}: {o}" for j, (t, a, o) in enumerate(steps, 1))
-        reply = say(f"You are solving: {goal}\n{trace}\n\nWhat is the next Thought / Action?")
-        thought, action = re.search(r"(?s)Thought[^:]*:\s*(.+?)(?:Action|$)", reply), re.search(r"(?s)Action[^:]*:\s*(.+?)(?:Observation|$)", reply)
-        thought = (thought[1] if thought else reply).strip()
-        if not action or action[1].strip() == "FINISH":
-            return steps, thought
-        steps.append((thought, action[1].strip(), act(action[1].strip())))
-        if done(steps):
+        step(run)
+        if run.ended:
             break
-    trace = "\n".join(f"T: {t}\nA: {a}\nO: {o}" for t, a, o in steps)
-    return steps, say(f"Goal: {goal}\n\nTrace:\n{trace}\n\nFinal answer:").strip()
+    return run
 
 
-def reflexion(task: str, say: Callable, good: Callable, most: int = 3) -> tuple[str, int, list[str]]:
-    """(output, attempts, reflections): tries again with what it learnt until the output is good."""
-    output, learnt = say(task), []
-    for attempt in range(1, most + 1):
-        if good(output):
-            return output, attempt, learnt
-        if attempt == most:
-            break
-        learnt.append(say(f"Reflect on why the following attempt failed and what to do differently.\n\nTask: {task}\nAttempt: {output}\n\nReflection:").strip())
-        past = "\n".join(f"{j}. {r}" for j, r in enumerate(learnt, 1))
-        output = say(f"Task: {task}\nPast reflections:\n{past}\n\nNew attempt:")
-    return output, most, learnt
+#: What loops ask a model by default; any other templates with the same fields can be passed.
+REFINE = {"fault": "List what is wrong or weak in this text.\n\n{text}", "mend": "Write the text again without these faults, and nothing else.\n\nText:\n{text}\n\nFaults:\n{faults}"}
+ACT = {"next": "Goal: {goal}\n{log}\nReply with one line 'Thought: ...' and one line 'Action: ...'; the action FINISH ends.", "last": "Goal: {goal}\n{log}\nGive the result."}
+LEARN = {"why": "An attempt at this task failed. Say in short what to change.\n\n{task}\n\nAttempt:\n{text}", "again": "{task}\n\nKeep in mind:\n{lessons}"}
+
+
+def self_refine(draft: str, say: Callable, rounds: int = 3, stop: Callable | None = None, ask: dict = REFINE) -> tuple[str, int]:
+    """(text, times mended): a critique, then a new text, until ``stop(text, critique)`` or the last round."""
+
+    def step(run: Run) -> None:
+        faults = say(ask["fault"].format(text=run.text))
+        run.ended = bool(stop and stop(run.text, faults))
+        if not run.ended:
+            run.text = say(ask["mend"].format(text=run.text, faults=faults)).strip()
+            run.steps.append(faults)
+
+    run = drive(Run(draft), step, rounds)
+    return run.text, len(run.steps)
+
+
+def react(goal: str, say: Callable, act: Callable, done: Callable = lambda _: False, most: int = 8, ask: dict = ACT) -> tuple[list[tuple[str, str, str]], str]:
+    """((thought, action, observation) by step, final text). A reply without action, or with FINISH, ends with its thought."""
+    log = lambda run: "\n".join(f"{name} {i}: {part}" for i, s in enumerate(run.steps, 1) for name, part in zip(("Thought", "Action", "Observation"), s, strict=True))
+
+    def step(run: Run) -> None:
+        reply = say(ask["next"].format(goal=goal, log=log(run)))
+        parts = dict(re.findall(r"(?ms)^\s*(Thought|Action)[^:\n]*:\s*(.*?)\s*(?=^\s*(?:Thought|Action|Observation)[^:\n]*:|\Z)", reply))
+        thought, action = parts.get("Thought", reply.strip()), parts.get("Action", "FINISH")
+        if action == "FINISH":
+            run.text, run.ended = thought, True
+            return
+        run.steps.append((thought, action, act(action)))
+        if done(run.steps):
+            run.text, run.ended = say(ask["last"].format(goal=goal, log=log(run))).strip(), True
+
+    run = drive(Run(""), step, most)
+    return run.steps, run.text if run.ended else say(ask["last"].format(goal=goal, log=log(run))).strip()
+
+
+def reflexion(task: str, say: Callable, good: Callable, most: int = 3, ask: dict = LEARN) -> tuple[str, int, list[str]]:
+    """(text, attempts, lessons): each attempt after the first comes with a lesson drawn from the one before."""
+    tries = []
+
+    def step(run: Run) -> None:
+        if tries:
+            run.steps.append(say(ask["why"].format(task=task, text=run.text)).strip())
+        lessons = "\n".join(f"- {lesson}" for lesson in run.steps)
+        run.text = say(ask["again"].format(task=task, lessons=lessons) if tries else task)
+        tries.append(run.text)
+        run.ended = bool(good(run.text))
+
+    run = drive(Run(""), step, max(1, most))
+    return run.text, len(tries), run.steps
+
+
+#: What a model is asked for the type of a link.
+LINK_PROMPT = "Which of these labels fits how the source relates to the target: {labels}? Reply with the label alone.\nSource: {source}\nTarget: {target}\nText: {evidence}"
+
+
+def typed_by_model(links: DataFrame, factory: Callable, template: str = LINK_PROMPT) -> DataFrame:
+    """Adds ``type`` to links (source, target, evidence) by a client's reply; replies that are no label count as mentions."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    said = {"labels": F.lit(", ".join(LINK_TYPES))}
+    parts = [said.get(p, F.coalesce(F.col(p), F.lit(""))) if i % 2 else F.lit(p) for i, p in enumerate(pieces) if i % 2 or p]
+    replied = generate(links.withColumn("__prompt", F.concat(*parts)), factory, "__reply", "__prompt")
+    return replied.withColumn("type", link_label(F.col("__reply"))).drop("__prompt", "__reply")
 
 
 def run_loops(rows: DataFrame, factory: Callable, loop: Callable, schema: str) -> DataFrame:

@@ -6,6 +6,8 @@ passed as ``keys`` and partition everything. Ranks and positions count from 0.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,36 +25,55 @@ BM25_K1, BM25_B = 1.2, 0.75
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9\p{L}\p{N}]+"), 0)
+
+
+def postings(pages: DataFrame, slug: str = "slug", text: str = "content", more: list[str] = ()) -> DataFrame:
+    """The inverted index: (slug, term, tf, doc_len) and the columns in ``more``; one row per page and term."""
+    words = pages.select(F.col(slug).alias("slug"), *more, tokens(F.col(text)).alias("words"))
+    each = words.select("slug", *more, F.size("words").alias("doc_len"), F.explode("words").alias("term"))
+    return each.groupBy("slug", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"), *[F.first(c).alias(c) for c in more])
+
+
+def corpus_figures(pages: DataFrame, text: str = "content") -> DataFrame:
+    """One row (n, avg_len)."""
+    return pages.select(F.size(tokens(F.col(text))).alias("n")).agg(F.count("n").alias("n"), F.avg("n").alias("avg_len"))
 
 
-def postings(pages: DataFrame, slug: str = "slug", text: str = "content") -> DataFrame:
-    """The inverted index: (slug, term, tf, doc_len); one row per page and term."""
-    words = pages.select(F.col(slug).alias("slug"), tokens(F.col(text)).alias("words"))
-    each = words.select("slug", F.size("words").alias("doc_len"), F.explode("words").alias("term"))
-    return each.groupBy("slug", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
+def _weight(n: Column, df: Column, tf: Column, length: Column, avg_len: Column) -> Column:
+    """A term's part of the score; its inverse document frequency is floored at 1e-6."""
+    idf = F.greatest(F.lit(1e-6), F.log((n - df + 0.5) / (df + 0.5)))
+    return idf * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / avg_len))
 
 
-def bm25(pages: DataFrame, terms: list[str], slug: str = "slug", text: str = "content") -> DataFrame:
-    """(slug, score) of the pages that have all ``terms``.
+def bm25(pages: DataFrame, terms: list[str], slug: str = "slug", text: str = "content", keep: list[str] = ()) -> DataFrame:
+    """(slug, score) of the pages that have all ``terms``, and their columns in ``keep``.
 
-    Terms are counted in place while pages are scanned, so nothing but one narrow row per
-    matching page leaves the scan; corpus figures are one partial aggregation.
-    The inverse document frequency is floored at 1e-6.
+    Texts are scanned once: what leaves the scan is one narrow row per page, which both the corpus
+    figures and the scores read from the same exchange.
     """
     terms = sorted({t.lower() for t in terms})
-    words = pages.select(F.col(slug).alias("slug"), tokens(F.col(text)).alias("words"))
+    words = pages.select(F.col(slug).alias("slug"), *keep, tokens(F.col(text)).alias("words"))
     times = lambda term: F.size(F.filter("words", lambda w: w == F.lit(term))).cast("double")
     tf = [times(t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    counted = words.select("slug", F.size("words").cast("double").alias("len"), *tf)
-    figures = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"), *[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))])
-    found = counted.filter(" AND ".join(f"tf{i} > 0" for i in range(len(terms))) or "false").join(F.broadcast(figures))  # one row
+    counted = words.select("slug", *keep, F.size("words").cast("double").alias("len"), *tf).repartition("slug")
+    held = F.struct(*counted.columns)  # both readers take all columns, so that Spark makes the exchange once
+    figures = counted.select(held.alias("r")).agg(F.count("r").alias("n"), F.avg("r.len").alias("avg_len"), *[F.sum(F.when(F.col(f"r.tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))], F.max("r.slug").alias("last"))
     score = F.lit(0.0)
     for i in range(len(terms)):
-        df, f = F.col(f"df{i}"), F.col(f"tf{i}")
-        idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - df + 0.5) / (df + 0.5)))
-        score = score + idf * f * (BM25_K1 + 1) / (f + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.col("avg_len")))
-    return found.select("slug", score.alias("score"))
+        score = score + _weight(F.col("n"), F.col(f"df{i}"), F.col(f"tf{i}"), F.col("len"), F.col("avg_len"))
+    every = F.least(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(1.0)) if terms else F.lit(0.0)
+    scored = counted.join(F.broadcast(figures)).withColumn("score", F.when((every > 0) & (F.col("n") > 0), score))  # one row
+    return scored.filter("score is not null").select("slug", *keep, "score")
+
+
+def bm25_of_postings(matches: DataFrame, figures: DataFrame, terms: list[str]) -> DataFrame:
+    """(slug, score) of the pages that have all ``terms``, from (slug, term, tf, doc_len) of these and one row (n, avg_len)."""
+    wanted = len({t.lower() for t in terms})
+    frequency = matches.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    met = matches.join(F.broadcast(frequency), "term").join(F.broadcast(figures))  # a row per term; one row
+    part = _weight(F.col("n"), F.col("df"), F.col("tf"), F.col("doc_len"), F.col("avg_len"))
+    return met.groupBy("slug").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("got")).filter(F.col("got") == wanted).select("slug", "score")
 
 
 def ranked(hits: DataFrame, limit: int, order: str = "score") -> DataFrame:
@@ -61,10 +82,20 @@ def ranked(hits: DataFrame, limit: int, order: str = "score") -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(order), "slug")) - 1)
 
 
-def hybrid_search(pages: DataFrame, terms: list[str], top_k: int = 5, slug: str = "slug", text: str = "content") -> DataFrame:
-    """(slug, score, source): twice ``top_k`` by BM25, scored 1 / (60 + rank), then the first ``top_k``."""
-    top = ranked(bm25(pages, terms, slug, text), 2 * top_k)
-    return top.filter(F.col("rank") < top_k).select("slug", (1 / (60 + F.col("rank"))).alias("score"), F.lit("keyword").alias("source"))
+def fused_search(words: DataFrame, near: DataFrame | None, top_k: int) -> DataFrame:
+    """(slug, score, source) of two ranked lists: the sum of 1 / (60 + rank); the source is keyword, vector, or fused where both have it."""
+    lists = words.select("slug", "rank", F.lit("keyword").alias("source"))
+    if near is None:
+        return lists.filter(F.col("rank") < top_k).select("slug", (1 / (60 + F.col("rank"))).alias("score"), "source")
+    lists = lists.unionByName(near.select("slug", "rank", F.lit("vector").alias("source")))
+    source = F.when(F.count(F.lit(1)) > 1, "fused").otherwise(F.min("source"))
+    return lists.groupBy("slug").agg(F.sum(1 / (60 + F.col("rank"))).alias("score"), source.alias("source")).orderBy(F.desc("score"), "slug").limit(top_k)
+
+
+def hybrid_search(pages: DataFrame, terms: list[str], top_k: int = 5, slug: str = "slug", text: str = "content", near: DataFrame | None = None) -> DataFrame:
+    """(slug, score, source): twice ``top_k`` by BM25, and of (slug, score) in ``near`` where there is one, fused to the first ``top_k``."""
+    words = ranked(bm25(pages, terms, slug, text), 2 * top_k)
+    return fused_search(words, None if near is None else ranked(near, 2 * top_k), top_k)
 
 
 def snippet(text: Column, term: str, words: int = 32) -> Column:
@@ -142,13 +173,13 @@ def mmr_rerank(hits: DataFrame, key: str, lam: float = 0.5, limit: int | None =
 
     ``hits`` has key, ord, slug, score, embedding. The greedy choice is sequential, so a query's
     hits (a result list, cut before) are one group. Similarity to those chosen is floored at 0; hits
-    without an embedding follow in input order.
+    without an embedding, or with an empty one, follow in input order.
     """
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord", kind="stable").reset_index(drop=True)
         most = len(pdf) if limit is None else limit
-        has = [i for i, e in enumerate(pdf["embedding"]) if e is not None]
+        has = [i for i, e in enumerate(pdf["embedding"]) if e is not None and len(e)]
         rest = [i for i in range(len(pdf)) if i not in set(has)]
         chosen: list[int] = []
         if has:
@@ -192,17 +223,63 @@ def vector_search(vectors: DataFrame, query: list[float], top_k: int) -> DataFra
     return vectors.select("slug", cosine(F.col("embedding"), at).alias("score")).orderBy(F.desc("score"), "slug").limit(top_k)
 
 
+def vector_search_many(vectors: DataFrame, asked: DataFrame, top_k: int, block: int = 256) -> DataFrame:
+    """(qid, slug, score, rank) of the nearest ``top_k`` by cosine of each query (qid, embedding), ties by slug.
+
+    Queries go round in blocks of ``block``, so what a task holds is bounded however many there are; a task multiplies
+    its batches with a block and passes on the best of its own, which a window group limit then cuts per query.
+    """
+    spark = vectors.sparkSession
+    queries = asked.select(F.col("qid").cast("long").alias("qid"), F.col("embedding").cast("array<double>").alias("embedding")).withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-asked.count() // block)))))
+    blocks = [r.block for r in queries.select("block").distinct().orderBy("block").collect()]
+    found = None
+    for b in blocks:
+        rows = queries.filter(F.col("block") == b).orderBy("qid").collect()  # a block
+        held = spark.sparkContext.broadcast((np.array([r.qid for r in rows]), _unit(np.array([r.embedding for r in rows]))))
+        part = vectors.select("slug", F.col("embedding").cast("array<double>").alias("embedding")).mapInPandas(_nearest(held, top_k), f"qid long, slug {dict(vectors.dtypes)['slug']}, score double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], f"qid long, slug {dict(vectors.dtypes)['slug']}, score double, rank int")
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "slug")) - 1
+    return found.withColumn("rank", place).filter(F.col("rank") < top_k)
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
+
+
+def _nearest(held, top_k: int):
+    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qids, queries = held.value
+        for pdf in frames:
+            pdf = pdf[pdf["embedding"].map(lambda e: e is not None and len(e) == queries.shape[1])]
+            if not len(pdf):
+                continue
+            slugs = pdf["slug"].to_numpy()
+            scores = queries @ _unit(np.stack(pdf["embedding"].to_numpy())).T
+            # all that reach a query's k-th best stay, so that ties are settled by slug later
+            least = np.partition(scores, -top_k, axis=1)[:, -top_k][:, None] if len(slugs) > top_k else -np.inf
+            query, row = np.nonzero(scores >= least)
+            yield pd.DataFrame({"qid": qids[query], "slug": slugs[row], "score": scores[query, row]})
+
+    return nearest
+
+
 def two_stage_rank(candidates: DataFrame, query: list[float], coarse: int, coarse_k: int, final_k: int) -> DataFrame:
     """(slug, score): the best ``coarse_k`` by cosine of short vectors, then by cosine of full ones.
 
     ``candidates`` has slug, ord, coarse and full; only the query is cut to ``coarse``. A slug that repeats takes the
-    full vector of its first row; rows whose full vector is null keep the coarse score.
+    full vector of its first row; rows whose full vector is null keep the coarse score. Only the
+    full vectors of the first stage's slugs leave their scan.
     """
     whole = F.array(*[F.lit(float(x)) for x in query])
     short = l2_normalize(F.slice(whole, 1, coarse))
     top = candidates.select("slug", "ord", cosine(F.col("coarse"), short).alias("coarse_score")).orderBy(F.desc("coarse_score"), "ord").limit(coarse_k)
-    full = candidates.filter("full is not null").groupBy("slug").agg(F.min_by("full", "ord").alias("full"))
-    scored = top.join(full, "slug", "left").withColumn("score", F.coalesce(cosine(F.col("full"), whole), F.col("coarse_score")))
+    full = candidates.select(F.col("slug").alias("its"), F.col("ord").alias("at"), "full")
+    met = full.join(F.broadcast(top), F.col("its") == F.col("slug"))  # at most ``coarse_k`` rows
+    first = F.min_by("full", F.when(F.col("full").isNotNull(), F.col("at")))
+    scored = met.groupBy("slug", "ord", "coarse_score").agg(first.alias("full")).withColumn("score", F.coalesce(cosine(F.col("full"), whole), F.col("coarse_score")))
     return scored.orderBy(F.desc("score"), F.desc("coarse_score"), "ord").limit(final_k).select("slug", "score")
 
 
@@ -268,8 +345,7 @@ def search_many(index: DataFrame, corpus: DataFrame, queries: DataFrame, top_k:
     asked = queries.select("qid", F.lower("term").alias("term")).distinct()
     frequency = index.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     met = index.join(asked, "term").join(frequency, "term").join(F.broadcast(corpus))  # one row
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("doc_len") / F.col("avg_len")))
+    part = _weight(F.col("n"), F.col("df"), F.col("tf"), F.col("doc_len"), F.col("avg_len"))
     wanted = asked.groupBy("qid").agg(F.count(F.lit(1)).alias("wanted"))
     scored = met.groupBy("qid", "slug").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("got")).join(wanted, "qid").filter("got = wanted")
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "slug")) - 1

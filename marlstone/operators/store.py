@@ -1,8 +1,9 @@
 """The knowledge store: append logs, and views that give each key's present state.
 
-Every table is a log with a sequence column ``seq``; a write appends, a view aggregates. Views are
-grouped max_by / min_by, which combine before the shuffle, so a key that is
-written very often is no burden. Logs are kept as Parquet or any other table format.
+Every write is a numbered batch, a folder ``batch=N`` in each table it touches, so a batch that is written
+again (a replayed micro-batch) replaces itself. ``seq`` is (batch, row): a view is a grouped
+max_by / min_by over it, which combines before the shuffle, so a key that is written very often is no
+burden. Full-text postings and corpus figures are kept with each write of pages, so a search reads no texts.
 """
 
 from __future__ import annotations
@@ -14,13 +15,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.operators.retrieval import hybrid_search
+from marlstone.operators.retrieval import bm25_of_postings, fused_search, postings, ranked, snippet, tokens, vector_search
 
 SCHEMAS = {
-    "pages": "seq long, slug string, content string, frontmatter string, updated_at string, id string, collection string, collection_path string, scope string, memory string, deleted boolean",
-    "edges": "seq long, source string, target string, type string, evidence string, deleted boolean",
-    "facts": "seq long, id string, subject string, predicate string, object string, source string, ts string, confidence double",
-    "page_tags": "page string, tag string",
+    "pages": "row long, slug string, content string, frontmatter string, updated_at string, id string, collection string, collection_path string, scope string, memory string, deleted boolean, doc_len int",
+    "edges": "row long, source string, target string, type string, evidence string, deleted boolean",
+    "facts": "row long, id string, subject string, predicate string, object string, source string, ts string, confidence double",
+    "page_tags": "row long, page string, tag string",
+    "vectors": "row long, slug string, embedding array<double>",
+    "concepts": "row long, uri string, pref_label string, alt_labels array<string>, hidden_labels array<string>, broader array<string>, narrower array<string>, related array<string>, scope_note string, in_scheme string, top_concept_of string",
+    "schemes": "row long, uri string, pref_label string, top_concepts array<string>",
+    "settings": "row long, key string, value string",
+    "postings": "row long, slug string, term string, tf long, doc_len int",
+    "figures": "pages long, words long",
 }
 
 #: Names of stores that need a package of their own.
@@ -45,48 +52,133 @@ def _elsewhere(name: str) -> Callable:
     return factory
 
 
+NOW = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
+
+
+def now() -> Column:
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), NOW)
+
+
 class Store:
-    """Pages, edges, facts and tags under one folder, read and written by Spark."""
+    """Pages, edges, facts, tags, vectors, concepts and settings under one folder, read and written by Spark."""
 
     kind = "parquet"
 
     def __init__(self, spark: SparkSession, path: str, fmt: str = "parquet"):
         self.spark, self.path, self.fmt = spark, path.rstrip("/"), fmt
+        self._held: list[DataFrame] = []
 
     def init(self) -> Store:
         for name, schema in SCHEMAS.items():
-            self.spark.createDataFrame([], schema).write.format(self.fmt).mode("append").save(f"{self.path}/{name}")
+            if not self._exists(f"{name}/batch=0"):
+                self.spark.createDataFrame([], schema).write.format(self.fmt).save(f"{self.path}/{name}/batch=0")
         return self
 
+    # batches
+
+    def _file(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _exists(self, name: str) -> bool:
+        fs, path = self._file(name)
+        return fs.exists(path)
+
+    def _claim(self) -> int:
+        """A batch number of one's own: the first whose marker could be created, so that two writers never share one."""
+        fs, path = self._file("_claims")
+        fs.mkdirs(path)
+        number = 1 + max((int(f.getPath().getName()) for f in fs.listStatus(path)), default=0)
+        while not fs.createNewFile(self._file(f"_claims/{number}")[1]):
+            number += 1
+        return number
+
+    def batch_of(self, stream: str, batch_id: int) -> int:
+        """The number of a stream's micro-batch: claimed once, and the same when the micro-batch is replayed."""
+        fs, path = self._file(f"_streams/{stream}-{batch_id}")
+        fs.mkdirs(path)
+        found = [int(f.getPath().getName()) for f in fs.listStatus(path)]
+        if not found:
+            found = [self._claim()]
+            fs.createNewFile(self._file(f"_streams/{stream}-{batch_id}/{found[0]}")[1])
+        return min(found)
+
+    def raw(self, name: str) -> DataFrame:
+        """A table with its columns ``batch`` and ``row``."""
+        return self.spark.read.format(self.fmt).schema(f"{SCHEMAS[name]}, batch long").load(f"{self.path}/{name}")
+
     def log(self, name: str) -> DataFrame:
-        return self.spark.read.format(self.fmt).schema(SCHEMAS[name]).load(f"{self.path}/{name}")
+        return self.raw(name).withColumn("seq", F.struct("batch", "row")).drop("batch", "row")
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        """Columns that ``rows`` lacks become null; ``seq`` goes on from the log's last."""
-        last = self.log(name).agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0] + 1 if "seq" in SCHEMAS[name] else 0
-        if "seq" not in rows.columns:
-            rows = rows.withColumn("seq", F.monotonically_increasing_id() + F.lit(last))
+    def append(self, name: str, rows: DataFrame, batch: int | None = None) -> int:
+        """Writes rows as a batch; columns that ``rows`` lacks become null. Rows keep their order."""
+        batch = self._claim() if batch is None else batch
+        rows = rows if "row" in rows.columns else rows.withColumn("row", F.monotonically_increasing_id())
         schema = T._parse_datatype_string(SCHEMAS[name])
-        rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).write.format(self.fmt).mode("append").save(f"{self.path}/{name}")
-
-    def upsert_pages(self, rows: DataFrame) -> None:
-        more = [] if "updated_at" in rows.columns else [F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("updated_at")]
-        self.append("pages", rows.select("*", *more))
+        rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).write.format(self.fmt).mode("overwrite").save(f"{self.path}/{name}/batch={batch}")
+        return batch
+
+    # pages and their index
+
+    def upsert_pages(self, rows: DataFrame, batch: int | None = None) -> int:
+        """Writes pages, and their postings and what they change in the corpus figures."""
+        more = [] if "updated_at" in rows.columns else [now().alias("updated_at")]
+        batch = self.append("pages", rows.select("*", F.size(tokens(F.coalesce("content", F.lit("")))).alias("doc_len"), *more), batch)
+        self._index(batch)
+        return batch
+
+    def _index(self, batch: int) -> None:
+        written = self.raw("pages").filter(F.col("batch") == batch)
+        last = written.groupBy("slug").agg(F.max_by(F.struct("row", "content", "deleted"), "row").alias("p")).select("slug", "p.*")
+        live = last.filter(~F.coalesce("deleted", F.lit(False)))
+        terms = postings(live, more=["row"])
+        self.append("postings", terms.repartitionByRange("term", "slug").sortWithinPartitions("term", "slug"), batch)
+        touched = written.select("slug").distinct()
+        sums = F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("words")
+        after = self.versions(touched, batch).agg(*sums)
+        before = self.versions(touched, batch - 1).agg(F.count(F.lit(1)).alias("p"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("w"))
+        change = after.join(F.broadcast(before)).select((F.col("pages") - F.col("p")).alias("pages"), (F.col("words") - F.col("w")).alias("words"))  # one row each
+        self.append("figures", change, batch)
+
+    def versions(self, slugs: DataFrame | None = None, upto: int | None = None) -> DataFrame:
+        """(slug, seq, doc_len) of the pages there are, without their texts; of some slugs, or as of a batch."""
+        log = self.raw("pages").select("slug", "batch", "row", "deleted", "doc_len")
+        log = log if upto is None else log.filter(F.col("batch") <= upto)
+        log = log if slugs is None else log.join(slugs, "slug", "left_semi")
+        last = log.groupBy("slug").agg(F.max(F.struct("batch", "row", "deleted", "doc_len")).alias("v")).filter(~F.coalesce("v.deleted", F.lit(False)))
+        return last.select("slug", F.struct("v.batch", "v.row").alias("seq"), "v.doc_len")
+
+    def figures(self) -> DataFrame:
+        """One row (n, avg_len) over all pages, from the figures that writes kept."""
+        sums = self.raw("figures").agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("n"), F.sum("words").alias("words"))
+        return sums.select("n", (F.col("words") / F.col("n")).alias("avg_len"))
+
+    def matches(self, terms: list[str]) -> DataFrame:
+        """(slug, term, tf, doc_len) of the terms in the present pages; the terms are pushed to the scan of sorted postings."""
+        asked = sorted({t.lower() for t in terms})
+        met = self.log("postings").filter(F.col("term").isin(asked))
+        live = self.versions(met.select("slug").distinct()).select("slug", "seq")
+        return met.join(live, ["slug", "seq"]).drop("seq")
 
     def delete_page(self, slug: str) -> None:
         """Marks the page and its outgoing edges as deleted; again is harmless."""
-        self.append("pages", self.spark.createDataFrame([(slug, True)], "slug string, deleted boolean"))
+        batch = self.append("pages", self.spark.createDataFrame([(slug, True)], "slug string, deleted boolean"))
+        self._index(batch)
         gone = edges_for(self.edges(), slug, "out").select("source", "target", "type").withColumn("deleted", F.lit(True))
-        self.append("edges", gone)
+        self.append("edges", gone, batch)
 
-    def upsert_edges(self, rows: DataFrame) -> None:
-        self.append("edges", rows)
+    def upsert_edges(self, rows: DataFrame, batch: int | None = None) -> None:
+        self.append("edges", rows, batch)
 
-    def upsert_facts(self, rows: DataFrame) -> None:
-        self.append("facts", with_fact_ids(rows))
+    def upsert_facts(self, rows: DataFrame, batch: int | None = None) -> None:
+        self.append("facts", with_fact_defaults(rows), batch)
+
+    def upsert_vectors(self, rows: DataFrame) -> None:
+        """Embeddings (slug, embedding) of pages, made by any client."""
+        self.append("vectors", rows)
 
     def pages(self) -> DataFrame:
-        return latest_pages(self.log("pages"))
+        return latest_pages(self.log("pages").drop("doc_len"))
 
     def edges(self) -> DataFrame:
         return latest_edges(self.log("edges"))
@@ -94,6 +186,9 @@ class Store:
     def facts(self) -> DataFrame:
         return latest_facts(self.log("facts"))
 
+    def vectors(self) -> DataFrame:
+        return self.log("vectors").groupBy("slug").agg(F.max_by("embedding", "seq").alias("embedding")).join(self.versions().select("slug"), "slug", "left_semi")
+
     def get_page(self, slug: str) -> DataFrame:
         """(slug, content, updated_at); the filter on the key reaches the scan."""
         return latest_pages(self.log("pages").filter(F.col("slug") == slug)).select("slug", "content", "updated_at")
@@ -107,17 +202,52 @@ class Store:
     def recall(self, entity: str, limit: int = 50, since: str = "1970-01-01") -> DataFrame:
         return recall(self.facts(), entity, limit, since)
 
-    def search(self, terms: list[str], limit: int = 50, tags: list[str] = (), since: str | None = None) -> DataFrame:
-        """Pages by full text, of those with any of the tags and updated since then."""
-        pages = self.pages()
-        if tags:
-            pages = pages.join(self.log("page_tags").filter(F.col("tag").isin(list(tags))).withColumnRenamed("page", "slug"), "slug", "left_semi")
-        if since:
-            pages = pages.filter(F.col("updated_at") >= since)
-        return hybrid_search(pages, terms, limit)
+    def search(self, terms: list[str], limit: int = 50, tags: list[str] = (), since: str | None = None, near: list[float] | None = None) -> DataFrame:
+        """(slug, excerpt, score, source) of pages by full text, and by the vector ``near`` where one is given; of those with any of the tags and updated since then.
+
+        Texts are read only for the excerpts of what was found.
+        """
+        words = bm25_of_postings(self.matches(terms), self.figures(), terms)
+        close = self.vectors() if near is not None else None
+        if tags or since:
+            fits = self.pages().select("slug", "updated_at").filter(F.col("updated_at") >= since if since else F.lit(True)).select("slug")
+            if tags:
+                fits = fits.join(self.log("page_tags").filter(F.col("tag").isin(list(tags))).select(F.col("page").alias("slug")), "slug", "left_semi")
+            words = words.join(fits, "slug", "left_semi")
+            close = close.join(fits, "slug", "left_semi") if close is not None else None
+        lists = ranked(words, 2 * limit), None if close is None else ranked(vector_search(close, near, 2 * limit), 2 * limit)
+        found = fused_search(*lists, limit)
+        texts = latest_pages(self.log("pages").join(F.broadcast(found.select("slug")), "slug", "left_semi")).select("slug", "content")  # at most ``limit`` slugs
+        return found.join(texts, "slug").select("slug", snippet(F.col("content"), terms[0] if terms else "").alias("excerpt"), "score", "source").orderBy(F.desc("score"), "slug")
+
+    # concepts and settings
+
+    def add_concepts(self, rows: DataFrame) -> None:
+        """Concepts by uri; a column that is null or missing leaves what was said before."""
+        self.append("concepts", rows)
+
+    def add_schemes(self, rows: DataFrame) -> None:
+        self.append("schemes", rows)
+
+    def concepts(self) -> DataFrame:
+        return latest_concepts(self.log("concepts"))
+
+    def schemes(self) -> DataFrame:
+        return self.log("schemes").groupBy("uri").agg(F.max_by(F.struct("pref_label", "top_concepts"), "seq").alias("v")).select("uri", "v.*")
+
+    def concept(self, uri: str):
+        """The concept's row, or None."""
+        return self.concepts().filter(F.col("uri") == uri).first()
+
+    def hold(self, table: DataFrame) -> DataFrame:
+        """Cache a view until the store is closed."""
+        self._held.append(table.persist())
+        return self._held[-1]
 
     def close(self) -> None:
-        self.spark.catalog.clearCache()
+        """Lets go of the views that this store holds; other cached tables of the session stay."""
+        while self._held:
+            self._held.pop().unpersist()
 
 
 register_backend("parquet", Store)
@@ -125,14 +255,62 @@ for _name in ELSEWHERE:
     register_backend(_name, _elsewhere(_name))
 
 
-def open_store(spark: SparkSession, path: str, backend: str | None = None, **more):
-    """The backend named by the argument, else by MARLSTONE_BACKEND, else parquet; initialised."""
+def open_store(spark: SparkSession, path: str | None = None, backend: str | None = None, **more):
+    """The backend named by the argument, else by MARLSTONE_BACKEND, else parquet; initialised. Without a path it lies in the warehouse."""
     name = backend or os.environ.get("MARLSTONE_BACKEND") or "parquet"
     if name not in _BACKENDS:
         raise ValueError(f"unknown store {name!r}; there are: {', '.join(_BACKENDS)}")
+    path = path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/marlstone"
     return _BACKENDS[name](spark, path, **more).init()
 
 
+class Settings:
+    """Values by key: set ones (kept in the store) before the environment before defaults.
+
+    Set values are an append log, so every session sees them; a null marks one that was cleared.
+    """
+
+    def __init__(self, store: Store, environment: dict[str, str], defaults: dict[str, str]):
+        self.store, self.environment, self.defaults = store, environment, defaults
+
+    def _layer(self, values: dict[str, str]) -> DataFrame:
+        return self.store.spark.createDataFrame(list(values.items()), "key string, value string")
+
+    def overrides(self) -> DataFrame:
+        last = self.store.log("settings").groupBy("key").agg(F.max_by(F.struct("value"), "seq").alias("v"))
+        return last.select("key", "v.value").filter("value is not null")
+
+    def snapshot(self) -> DataFrame:
+        """(key, value, source) of all keys."""
+        return settings(self.overrides(), self._layer(self.environment), self._layer(self.defaults))
+
+    def get(self, key: str) -> tuple[str | None, str]:
+        """(value, source); the source of a key that isn't there is ``absent``."""
+        row = self.snapshot().filter(F.col("key") == key).first()
+        return (row.value, row.source) if row else (None, "absent")
+
+    def set(self, values: dict[str, str]) -> None:
+        self.store.append("settings", self._layer(values))
+
+    def clear(self, keys: list[str]) -> None:
+        self.store.append("settings", self._layer(dict.fromkeys(keys)))
+
+    def reset(self) -> None:
+        """Clears all that are set."""
+        self.store.append("settings", self.overrides().select("key"))
+
+
+def settings(overrides: DataFrame, environment: DataFrame, defaults: DataFrame) -> DataFrame:
+    """(key, value, source) of three tables (key, value): override before environment before default."""
+    layers = [(overrides, "db_override"), (environment, "env"), (defaults, "default")]
+    rows = None
+    for at, (table, source) in enumerate(layers):
+        part = table.select("key", "value", F.lit(at).alias("at"), F.lit(source).alias("source"))
+        rows = part if rows is None else rows.unionByName(part)
+    best = rows.filter("value is not null").groupBy("key").agg(F.min_by(F.struct("value", "source"), "at").alias("b"))
+    return best.select("key", "b.value", "b.source")
+
+
 def latest_pages(log: DataFrame) -> DataFrame:
     """Each slug's last write; deleted ones are gone."""
     values = [c for c in log.columns if c not in ("slug", "seq")]
@@ -154,10 +332,28 @@ def latest_facts(log: DataFrame) -> DataFrame:
     return found.select("id", "f.subject", "f.predicate", "l.object", "f.source", "l.ts", F.coalesce("l.confidence", F.lit(1.0)).alias("confidence"))
 
 
-def with_fact_ids(facts: DataFrame) -> DataFrame:
-    """Facts without id get subject::predicate::milliseconds."""
+def latest_concepts(log: DataFrame) -> DataFrame:
+    """By uri, each column's last value that isn't null; broader and narrower also hold what other concepts say of them.
+
+    Concepts that are only linked to are labelled by their uri.
+    """
+    plain = [c for c in log.columns if c not in ("uri", "seq")]
+    last = lambda c: F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
+    own = log.groupBy("uri").agg(*[last(c) for c in plain])
+    links = own.select("uri", F.explode("broader").alias("broader")).unionByName(own.select(F.explode("narrower").alias("uri"), F.col("uri").alias("broader")))
+    up = links.groupBy("uri").agg(F.array_sort(F.collect_set("broader")).alias("up"))
+    down = links.groupBy(F.col("broader").alias("uri")).agg(F.array_sort(F.collect_set("uri")).alias("down"))
+    every = own.join(up, "uri", "full").join(down, "uri", "full")
+    none = F.array().cast("array<string>")
+    more = {"broader": F.coalesce("up", none), "narrower": F.coalesce("down", none), "pref_label": F.coalesce("pref_label", "uri")}
+    return every.withColumns(more).drop("up", "down")
+
+
+def with_fact_defaults(facts: DataFrame) -> DataFrame:
+    """Facts without time get the present one; those without id subject::predicate::milliseconds."""
     made = F.concat_ws("::", "subject", "predicate", F.unix_millis(F.current_timestamp()).cast("string"))
-    return facts.withColumn("id", F.coalesce("id", made) if "id" in facts.columns else made)
+    stamped = facts.withColumn("ts", F.coalesce("ts", now()) if "ts" in facts.columns else now())
+    return stamped.withColumn("id", F.coalesce("id", made) if "id" in facts.columns else made)
 
 
 def edges_for(edges: DataFrame, slug: str | Column, direction: str = "both") -> DataFrame:

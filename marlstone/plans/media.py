@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import io
+import struct
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marlstone.functions import codecs as C
 from marlstone.functions import protocols as P
 from marlstone.functions import render as V
 from marlstone.functions.spatial import bbox_around, haversine_km, in_box
+from marlstone.functions.udf import batch_udf
 from marlstone.operators import extract as E
 from marlstone.plans.registry import Registry, table
 from marlstone.sources import adapters as A
@@ -46,7 +53,7 @@ def captions(line):
 
 CLOCK = "lpad((floor(x)::BIGINT // 3600)::VARCHAR, 2, '0') || ':' || lpad((floor(x)::BIGINT % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((floor(x)::BIGINT % 60)::VARCHAR, 2, '0') || '@' || lpad(floor((x - floor(x)) * 1000)::BIGINT::VARCHAR, 3, '0')"
 AT = lambda x, mark: CLOCK.replace("x", x).replace("@", mark)
-CUES = f"WITH c AS (SELECT l_orderkey, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_linestatus, l_returnflag) AS i, l_linenumber * 700.25::DOUBLE AS a, l_linenumber * 700.25::DOUBLE + 1.5 AS b, l_linestatus AS t, CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag END AS sp FROM lineitem WHERE l_orderkey <= 500)"
+CUES = f"WITH c AS (SELECT l_orderkey, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_linestatus, l_returnflag) AS i, l_linenumber * 700.25::DOUBLE AS a, l_linenumber * 700.25::DOUBLE + 1.5 AS b, l_linestatus AS t, CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag END AS sp FROM lineitem)"
 
 
 TEXTS = (
@@ -61,13 +68,14 @@ def rendered(line):
 
 @HERE.add(TEXTS)
 def captions_text(spark, d):
-    return rendered(table(spark, d, "lineitem").filter("l_orderkey <= 500"))
+    return rendered(table(spark, d, "lineitem"))
 
 
-@HERE.add(TEXTS.replace(" WHERE l_orderkey <= 500", ""))
+@HERE.add(TEXTS)
 def captions_all(spark, d):
-    """``captions_text`` over all orders."""
-    return rendered(table(spark, d, "lineitem"))
+    """All orders' captions, sorted into the orders by a window before they are gathered."""
+    line = table(spark, d, "lineitem")
+    return rendered(line.withColumn("l_linenumber", F.col("l_linenumber").cast("int")))
 
 
 @HERE.add(
@@ -140,7 +148,10 @@ def checksums(spark, d):
     return table(spark, d, "customer").select("c_custkey", P.verify_checksum(said, raw).alias("good"))
 
 
-@HERE.add()
+INNER, OUTER = ("".join(f"{b ^ pad:02X}" for b in b"secret".ljust(64, b"\0")) for pad in (0x36, 0x5C))
+
+
+@HERE.add(f"SELECT c_custkey, 'sha256=' || sha256(unhex('{OUTER}') || unhex(sha256(unhex('{INNER}') || encode(c_name)))) AS signature FROM customer")
 def webhook_signatures(spark, d):
     return table(spark, d, "customer").select("c_custkey", P.sign_webhook(F.lit("secret"), F.col("c_name")).alias("signature"))
 
@@ -183,9 +194,12 @@ def sse_frames(spark, d):
     "WITH e AS (SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY length(n_name) DESC, n_nationkey) AS i FROM nation) SELECT n_regionkey, 'Name it.' || chr(10) || string_agg('Input: ' || n_name || chr(10) || 'Output: ' || length(n_name) || chr(10) || chr(10), '' ORDER BY i) || 'Input: q' || chr(10) || 'Output:' AS prompt FROM e WHERE i <= 3 GROUP BY 1"
 )
 def few_shot(spark, d):
-    size = F.char_length("n_name")
-    e = F.struct(size.cast("double").alias("score"), F.col("n_nationkey").alias("ord"), F.col("n_name").alias("input"), F.lit(None).cast("string").alias("reasoning"), size.cast("string").alias("output"))
-    return table(spark, d, "nation").groupBy("n_regionkey").agg(V.few_shot_prompt(F.lit("q"), F.collect_list(e), F.lit("Name it."), 3).alias("prompt"))
+    """The best three examples of a region are cut out before they are gathered."""
+    size = F.char_length("n_name").cast("double")
+    place = F.row_number().over(Window.partitionBy("n_regionkey").orderBy(F.desc("score"), "n_nationkey"))
+    best = table(spark, d, "nation").withColumn("score", size).withColumn("place", place).filter("place <= 3")
+    e = F.struct("score", F.col("n_nationkey").alias("ord"), F.col("n_name").alias("input"), F.lit(None).cast("string").alias("reasoning"), F.char_length("n_name").cast("string").alias("output"))
+    return best.groupBy("n_regionkey").agg(V.few_shot_prompt(F.lit("q"), F.collect_list(e), F.lit("Name it."), 3).alias("prompt"))
 
 
 @HERE.add()
@@ -196,16 +210,109 @@ def addresses(spark, d):
     return coded.select("c_custkey", "address", back["version"].alias("version"), back["error"].alias("error"))
 
 
+@HERE.add("SELECT c_custkey, true AS same, 1 AS version, CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'missing prefix' ELSE 'wrong length' END AS error FROM customer")
+def address_checks(spark, d):
+    """Two keys have one address only if they are equal; a third of the addresses are without prefix, a third too long."""
+    key = F.unhex(F.sha2(F.col("c_name").cast("binary"), 256))
+    coded = table(spark, d, "customer").select("c_custkey", C.encode_address(key).alias("address"), C.encode_address(F.unhex(F.hex(key))).alias("again"))
+    good, spoilt = C.decode_address(F.col("address")), F.when(F.col("c_custkey") % 3 == 1, F.substring_index("address", ":", -1)).when(F.col("c_custkey") % 3 == 2, F.concat("address", F.lit("11"))).otherwise(F.col("address"))
+    return coded.select("c_custkey", (F.col("address") == F.col("again")).alias("same"), good["version"].cast("int").alias("version"), C.decode_address(spoilt)["error"].alias("error"))
+
+
 @HERE.add()
 def mock_vectors(spark, d):
     return table(spark, d, "nation").select("n_nationkey", C.mock_embed(F.col("n_name"), 16).alias("v"))
 
 
-@HERE.add()
+@HERE.add("SELECT n_name || '.eml' AS filename, 'email' AS strategy, 'From: a@example.com' || chr(10) || 'To: b@example.com, c@example.com' || chr(10) || 'Subject: ' || n_name || chr(10) || chr(10) || 'hi' || chr(13) || chr(10) AS text, 'b@example.com, c@example.com' AS \"to\", 'f.txt' AS derived, 'hi' AS body FROM nation")
 def mail_extraction(spark, d):
     mail = F.concat(F.lit("From: a@example.com\r\nTo: b@example.com, c@example.com\r\nSubject: "), "n_name", F.lit('\r\nContent-Type: multipart/mixed; boundary="q"\r\n\r\n--q\r\nContent-Type: text/plain\r\n\r\nhi\r\n--q\r\nContent-Disposition: attachment; filename="f.txt"\r\nContent-Transfer-Encoding: base64\r\n\r\naGk=\r\n--q--\r\n'))
     files = table(spark, d, "nation").select(F.concat("n_name", F.lit(".eml")).alias("filename"), F.lit("message/rfc822").alias("mime"), mail.cast("binary").alias("bytes"))
-    return A.extract(files).select("filename", "strategy", "text", F.col("metadata")["to"].alias("to"), F.transform("derived", lambda x: x["filename"]).alias("derived"))
+    return A.extract(files).select("filename", "strategy", "text", F.col("metadata")["to"].alias("to"), F.col("derived")[0]["filename"].alias("derived"), F.col("derived")[0]["bytes"].cast("string").alias("body"))
+
+
+@batch_udf("binary")
+def zipped(names: pd.Series, texts: pd.Series) -> pd.Series:
+    """Archives of two files each: the text, and its first word packed."""
+
+    def pack(name: str, text: str) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr(f"{name}.txt", text)
+            z.writestr(f"{name}/first.txt", text.split(" ")[0], zipfile.ZIP_DEFLATED)
+        return out.getvalue()
+
+    return pd.Series([pack(n, t) for n, t in zip(names, texts, strict=True)])
+
+
+@HERE.add("SELECT c_custkey, c_name || '.txt' AS name, octet_length(encode(c_mktsegment || ' of nation ' || c_nationkey)) AS size FROM customer UNION ALL SELECT c_custkey, c_name || '/first.txt', octet_length(encode(c_mktsegment)) FROM customer")
+def zip_entries(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", zipped(F.col("c_name"), F.concat("c_mktsegment", F.lit(" of nation "), "c_nationkey")).alias("bytes"))
+    return c.select("c_custkey", F.explode(C.list_zip(F.col("bytes"))).alias("e")).select("c_custkey", "e.name", F.col("e")["size"].alias("size"))
+
+
+@batch_udf("binary")
+def pictured(makes: pd.Series, models: pd.Series) -> pd.Series:
+    """JPEG files that hold nothing but EXIF data, of both byte orders in turn."""
+
+    def picture(make: str, model: str) -> bytes:
+        order, mark = ("<", b"II*\0") if len(make) % 2 else (">", b"MM\0*")
+        words = [w.encode() + b"\0" * max(1, 5 - len(w)) for w in (make, model)]
+        entries = b"".join(struct.pack(order + "HHII", tag, 2, len(w), at) for tag, w, at in zip((0x010F, 0x0110), words, (38, 38 + len(words[0])), strict=True))
+        tiff = mark + struct.pack(order + "IH", 8, 2) + entries + struct.pack(order + "I", 0) + words[0] + words[1]
+        return b"\xff\xd8\xff\xe1" + struct.pack(">H", len(tiff) + 8) + b"Exif\0\0" + tiff + b"\xff\xd9\0\0\0\0"
+
+    return pd.Series([picture(a, b) for a, b in zip(makes, models, strict=True)])
+
+
+@HERE.add("SELECT c_custkey, c_mktsegment AS make, c_name AS model, '# f.jpg' || chr(10) || 'Camera: ' || c_mktsegment || ' ' || c_name AS text FROM customer")
+def exif_fields(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.lit("f.jpg").alias("filename"), F.lit("image/jpeg").alias("mime"), pictured(F.col("c_mktsegment"), F.col("c_name")).alias("bytes"))
+    return A.extract(c, F.lit("exif")).select("c_custkey", F.col("metadata")["make"].alias("make"), F.col("metadata")["model"].alias("model"), "text")
+
+
+@HERE.add(
+    """WITH s AS (SELECT s_suppkey AS k, s_name AS n FROM supplier)
+SELECT k, 'archive' AS strategy, '# a.zip' || chr(10) || chr(10) || '- ' || n || '.txt (' || length(n) || ' bytes)' || chr(10) || '- ' || n || '/first.txt (' || length(n) || ' bytes)' AS text FROM s
+UNION ALL SELECT k, 'archive', '(archive: a.tar; unsupported format)' FROM s
+UNION ALL SELECT k, 'text', n || chr(10) || 'plain' FROM s
+UNION ALL SELECT k, 'code', 'def ' || lower(replace(n, '#', '_')) || '():' || chr(10) || '    pass' FROM s
+UNION ALL SELECT k, 'spreadsheet', '(spreadsheet: t.ods; a decoder must be registered)' FROM s"""
+)
+def strategy_texts(spark, d):
+    """Archives, plain text with a byte order mark, code, and what has no decoder."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("n"))
+    kinds = [
+        ("a.zip", "application/zip", None, zipped(F.col("n"), F.col("n"))),
+        ("a.tar", "application/x-tar", None, F.col("n").cast("binary")),
+        ("t.txt", "text/plain", None, F.concat(F.lit("\ufeff"), "n", F.lit("\nplain")).cast("binary")),
+        ("c.py", "text/x-python", "code", F.concat(F.lit("def "), F.lower(F.replace("n", F.lit("#"), F.lit("_"))), F.lit("():\n    pass")).cast("binary")),
+        ("t.ods", "application/vnd.oasis.opendocument.spreadsheet", None, F.col("n").cast("binary")),
+    ]
+    files = None
+    for name, mime, strategy, data in kinds:
+        part = s.select("k", F.lit(name).alias("filename"), F.lit(mime).alias("mime"), F.lit(strategy).cast("string").alias("asked"), data.alias("bytes"))
+        files = part if files is None else files.unionByName(part)
+    return A.extract(files, F.col("asked")).select("k", "strategy", "text")
+
+
+@HERE.add(
+    f"""WITH {SEGMENTS}, o AS (SELECT s.media, s.seg, k.speaker, sum(least(s."end", k."end") - greatest(s."start", k."start")) AS v, min(k.ord) AS f FROM seg s JOIN spk k ON s.media = k.media AND s."start" < k."end" AND k."start" < s."end" GROUP BY 1, 2, 3),
+b AS (SELECT media, seg, arg_max(speaker, v * 1e7 - f / 1e6) AS speaker FROM o GROUP BY 1, 2), l AS (SELECT s.media, s.seg, coalesce(b.speaker, 'UNKNOWN') || ': part ' || s.seg AS line FROM seg s LEFT JOIN b USING (media, seg))
+SELECT media, '# ' || media || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY seg) AS text, count(*)::INT AS segments FROM l GROUP BY media"""
+)
+def audio_texts(spark, d):
+    segments = spans(spark, d, False, 600.0).withColumnRenamed("event_id", "seg").withColumn("text", F.concat(F.lit("part "), "seg"))
+    speakers = spans(spark, d, True, 3600.0).withColumnRenamed("event_id", "ord").withColumnRenamed("event_type", "speaker")
+    return A.audio_text(segments, speakers, 3600.0).select("media", "text", "segments")
+
+
+@HERE.add("SELECT n_nationkey, '# ' || n_name || chr(10) || chr(10) || '## Keyframes' || chr(10) || '- [' || n_nationkey || '.5s] view ' || n_regionkey || chr(10) || CASE WHEN n_nationkey % 2 = 0 THEN chr(10) || '## Transcript' || chr(10) || '[' || n_regionkey || '.0s] said' ELSE '' END AS text FROM nation")
+def video_texts(spark, d):
+    n = table(spark, d, "nation")
+    frames = F.array(F.struct((F.col("n_nationkey") + F.lit(0.5)).cast("double").alias("ts"), F.concat(F.lit("view "), "n_regionkey").alias("text")))
+    said = F.when(F.col("n_nationkey") % 2 == 0, F.array(F.struct(F.col("n_regionkey").cast("double").alias("start"), F.lit("said").alias("text")))).otherwise(F.array().cast("array<struct<start:double,text:string>>"))
+    return n.select("n_nationkey", A.video_text(F.col("n_name"), frames, said).alias("text"))
 
 
 @HERE.add("SELECT m AS mime, s AS strategy FROM (VALUES ('image/png', 'image'), ('audio/wav', 'audio'), ('video/mp4', 'video'), ('message/rfc822', 'email'), ('application/pdf', 'pdf'), ('application/zip', 'archive'), ('text/csv', 'spreadsheet'), ('application/vnd.oasis.opendocument.spreadsheet', 'spreadsheet'), ('text/plain', 'text')) AS t(m, s)")

@@ -74,9 +74,26 @@ SELECT qid, slug, score, rank FROM ok WHERE rank < 10"""
 @HERE.add("WITH " + WORDS + MANY, floats=("score",))
 def search_many(spark, d):
     docs = table(spark, d, "documents")
-    corpus = docs.select(F.size(R.tokens(F.col("text"))).alias("n")).agg(F.count("n").alias("n"), F.avg("n").alias("avg_len"))
     asked = spark.createDataFrame([(0, "from"), (0, "with"), (1, "this"), (2, "pour"), (2, "dans")], "qid int, term string")
-    return R.search_many(R.postings(docs, "doc_id", "text"), corpus, asked, 10)
+    return R.search_many(R.postings(docs, "doc_id", "text"), R.corpus_figures(docs, "text"), asked, 10)
+
+
+@HERE.add(f"WITH {BM25} SELECT slug, score FROM bm ORDER BY score DESC, slug LIMIT 20", floats=("score",))
+def postings_search(spark, d):
+    """``bm25_topk`` from postings."""
+    docs = table(spark, d, "documents")
+    met = R.postings(docs, "doc_id", "text").filter(F.col("term").isin(TERMS))
+    return R.bm25_of_postings(met, R.corpus_figures(docs, "text"), TERMS).orderBy(F.desc("score"), "slug").limit(20)
+
+
+BOTH = f"""WITH {LISTS}, l AS (SELECT * FROM hits WHERE rank < 10), f AS (SELECT slug, sum(1.0::DOUBLE / (60 + rank)) AS score, CASE WHEN count(*) > 1 THEN 'fused' WHEN min(list_idx) = 0 THEN 'keyword' ELSE 'vector' END AS source FROM l GROUP BY 1) SELECT slug, score, source FROM f ORDER BY score DESC, slug LIMIT 5"""
+
+
+@HERE.add(BOTH, floats=("score",))
+def hybrid_both(spark, d):
+    """Words and vectors in one search."""
+    near = R.vector_search(vectors(spark, d), query_vector(spark, d), 10)
+    return R.hybrid_search(table(spark, d, "documents"), TERMS, 5, "doc_id", "text", near)
 
 
 @HERE.add(f"WITH {LISTS}, f AS (SELECT slug, least(1.0, sum(1.0 / (20 + rank + 1)) / (2 / 21.0)) AS score, min(list_idx * 1000 + rank) AS first FROM hits GROUP BY 1) SELECT slug, score, 'fused' AS source FROM f ORDER BY score DESC, first LIMIT 20", floats=("score",))
@@ -95,6 +112,35 @@ def vector_topk(spark, d):
     return R.vector_search(vectors(spark, d), query_vector(spark, d), 20)
 
 
+NEAREST = "v AS (SELECT vec_id AS slug, embedding::DOUBLE[] AS v, label FROM embeddings), every AS (SELECT a.slug AS qid, a.label AS qlabel, b.slug, b.label, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS score FROM v a, v b WHERE a.slug % 50 = 0), near AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, slug) - 1 AS rank FROM every QUALIFY rank < @)"
+
+
+def nearest(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """(qid, slug, score, rank) of the vectors whose id is divisible by 50, among all."""
+    every = vectors(spark, d)
+    return R.vector_search_many(every, every.filter("slug % 50 = 0").select(F.col("slug").alias("qid"), "embedding"), k)
+
+
+@HERE.add(f"WITH {NEAREST.replace('@', '10')} SELECT qid, slug, score, rank FROM near", floats=("score",))
+def vector_topk_many(spark, d):
+    return nearest(spark, d, 10)
+
+
+MEANS = f"""WITH {NEAREST.replace('@', '20')}, g AS (SELECT *, (label = qlabel)::INT AS g FROM near), rel AS (SELECT a.slug AS qid, count(*) AS n FROM v a JOIN v b USING (label) WHERE a.slug % 50 = 0 GROUP BY 1), ks AS (SELECT unnest([1, 5, 10, 20]) AS k),
+per AS (SELECT ks.k, rel.qid, coalesce(1.0 / (min(CASE WHEN g = 1 THEN rank + 1 END)), 0) AS rr, sum(CASE WHEN rank < k THEN g ELSE 0 END) AS hits, any_value(rel.n) AS n, sum(CASE WHEN rank < k THEN g / log2(rank + 2) ELSE 0 END) AS dcg FROM ks, rel JOIN g ON g.qid = rel.qid GROUP BY 1, 2),
+best AS (SELECT k, qid, (SELECT sum(1 / log2(i + 1)) FROM range(1, 21) AS r(i) WHERE i <= least(k, n)) AS ideal FROM ks, rel)
+SELECT k::INT AS k, avg(rr) AS mrr, avg(hits / n::DOUBLE) AS recall, avg(hits / least(k, 20)::DOUBLE) AS "precision", avg(dcg / ideal) AS ndcg FROM per JOIN best USING (k, qid) GROUP BY 1"""
+
+
+@HERE.add(MEANS, floats=("mrr", "recall", "precision", "ndcg"))
+def eval_many(spark, d):
+    """Means over all queries: a hit is relevant if its label is the query's."""
+    every = vectors(spark, d)
+    asked = every.filter("slug % 50 = 0").select(F.col("slug").alias("qid"), "label")
+    run = nearest(spark, d, 20).select("qid", (F.col("rank") + 1).alias("pos"), "slug")
+    return R.evaluate(run, asked.join(every.select("slug", "label"), "label").select("qid", "slug", F.lit(1).alias("grade")))
+
+
 @HERE.add(
     """WITH vec AS (SELECT vec_id AS slug, embedding::DOUBLE[] AS v, embedding[1:8]::DOUBLE[] AS c FROM embeddings), q AS (SELECT v AS q, c AS qc FROM vec WHERE slug = 0),
 top AS (SELECT slug, v, q, list_dot_product(c, qc) / (sqrt(list_dot_product(c, c)) * sqrt(list_dot_product(qc, qc))) AS coarse FROM vec, q ORDER BY coarse DESC, slug LIMIT 50)
@@ -125,18 +171,34 @@ def chunk_dedup(spark, d):
 
 
 @HERE.add(
-    f"WITH {BM25}, h AS (SELECT d.lang AS memory, bm.slug, row_number() OVER (PARTITION BY d.lang ORDER BY bm.score DESC, bm.slug) - 1 AS rank FROM bm JOIN documents d ON d.doc_id = bm.slug) SELECT slug, least(1.0, (1.0 / (20 + rank + 1)) / (4 / 21.0)) AS score, memory FROM h", floats=("score",))
+    f"WITH {BM25}, h AS (SELECT d.lang AS memory, bm.slug, row_number() OVER (PARTITION BY d.lang ORDER BY bm.score DESC, bm.slug) - 1 AS rank FROM bm JOIN documents d ON d.doc_id = bm.slug) SELECT slug, least(1.0, (1.0 / (20 + rank + 1)) / (4 / 21.0)) AS score, memory FROM h WHERE rank < 50", floats=("score",))
 def federated_lang(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("slug"), F.col("lang").alias("memory"))
+    """Each language is a store; a store's first 50 take part."""
+    found = R.bm25(table(spark, d, "documents").withColumnRenamed("lang", "memory"), TERMS, "doc_id", "text", ["memory"])
     place = F.row_number().over(Window.partitionBy("memory").orderBy(F.desc("score"), "slug")) - 1
-    return R.federated_search(bm25_hits(spark, d).join(docs, "slug").withColumn("rank", place), ["de", "en", "es", "fr"])
+    return R.federated_search(found.withColumn("rank", place).filter(F.col("rank") < 50), ["de", "en", "es", "fr"])
+
+
+MMR = f"""WITH RECURSIVE {COSINE}, c AS (SELECT cs.slug, cs.score, vec.v, row_number() OVER (ORDER BY cs.slug) AS ord FROM (SELECT * FROM cs ORDER BY score DESC, slug LIMIT 100) AS cs JOIN vec USING (slug)),
+p AS (SELECT a.slug AS a, b.slug AS b, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS sim FROM c a, c b),
+pick AS (SELECT 0 AS n, []::BIGINT[] AS chosen UNION ALL SELECT n + 1, list_append(chosen, (SELECT slug FROM (SELECT c.slug, c.ord, 0.7 * c.score - 0.3 * coalesce((SELECT greatest(0, max(sim)) FROM p WHERE p.a = c.slug AND list_contains(chosen, p.b)), 0) AS v FROM c WHERE NOT list_contains(chosen, c.slug)) AS r ORDER BY v DESC, ord LIMIT 1)) FROM pick WHERE n < 10)
+SELECT 0 AS qid, c.slug, c.score, pos - 1 AS pos FROM (SELECT unnest(chosen) AS slug, generate_subscripts(chosen, 1) AS pos FROM pick WHERE n = 10) AS o JOIN c USING (slug)"""
+
+
+def mmr_hits(spark: SparkSession, d: str) -> DataFrame:
+    near = R.vector_search(vectors(spark, d), query_vector(spark, d), 100).join(vectors(spark, d).select("slug", "embedding"), "slug")
+    return near.select(F.lit(0).alias("qid"), F.col("slug").alias("ord"), "slug", "score", "embedding")
 
 
 @HERE.add()
 def mmr_topk(spark, d):
-    near = R.vector_search(vectors(spark, d), query_vector(spark, d), 100).join(vectors(spark, d).select("slug", "embedding"), "slug")
-    hits = near.select(F.lit(0).alias("qid"), F.col("slug").alias("ord"), "slug", "score", "embedding")
-    return R.mmr_rerank(hits, "qid", 0.5, 10)
+    """At one half every first step is a tie but for rounding, as the query is one of the vectors, so there is no SQL."""
+    return R.mmr_rerank(mmr_hits(spark, d), "qid", 0.5, 10)
+
+
+@HERE.add(MMR, floats=("score",))
+def mmr_relevant(spark, d):
+    return R.mmr_rerank(mmr_hits(spark, d), "qid", 0.7, 10)
 
 
 EVAL = f"""WITH {COSINE}, ql AS (SELECT label AS qlabel FROM vec WHERE slug = 0), run AS (SELECT slug, label, row_number() OVER (ORDER BY score DESC, slug) AS pos FROM cs QUALIFY pos <= 20),

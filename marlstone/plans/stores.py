@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from marlstone.functions.temporal import named_range, v7_ceiling, v7_floor
 from marlstone.operators import filters as X
 from marlstone.operators import store as S
-from marlstone.operators.inference import select_models, settings, tasks
+from marlstone.operators.inference import run_loops, select_models, self_refine, tasks
 from marlstone.operators.inference import profiles as model_profiles
+from marlstone.operators.scratch import shared_folder
 from marlstone.plans.registry import Registry, table
 
 HERE = Registry()
@@ -134,9 +137,9 @@ def named_ranges(spark, d):
 @HERE.add("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment WHEN c_custkey % 3 = 1 THEN 'default' ELSE 'default' END AS memory FROM customer")
 def memory_router(spark, d):
     c = table(spark, d, "customer")
-    headers = F.when(F.col("c_custkey") % 3 == 0, F.create_map(F.lit("x-memory"), F.col("c_mktsegment"))).when(F.col("c_custkey") % 3 == 1, F.create_map(F.lit("x-other"), F.lit("nowhere"))).otherwise(F.create_map(F.lit("x-brain"), F.lit("unknown")))
+    headers = F.when(F.col("c_custkey") % 3 == 0, F.create_map(F.lit("x-memory"), F.col("c_mktsegment"))).when(F.col("c_custkey") % 3 == 1, F.create_map(F.lit("x-other"), F.lit("nowhere"))).otherwise(F.create_map(F.lit("x-store"), F.lit("unknown")))
     handles = c.select(F.col("c_mktsegment").alias("slug")).distinct().withColumn("data_dir", F.concat(F.lit("/"), "slug"))
-    return S.resolve_memory(c.select("c_custkey", headers.alias("headers")), handles, ["x-memory", "x-brain"]).select("c_custkey", "memory")
+    return S.resolve_memory(c.select("c_custkey", headers.alias("headers")), handles, ["x-memory", "x-store"]).select("c_custkey", "memory")
 
 
 @HERE.add("SELECT * FROM (VALUES ('title-generation', 'ollama:qwen3.5:7b'), ('content-revision', 'ollama:qwen3.5:27b'), ('summarization', 'ollama:qwen3.5:27b'), ('embedding', 'ollama:nomic-embed-text'), ('link-typing', 'ollama:qwen3.5:27b'), ('chat', 'ollama:qwen3.5:27b'), ('structured-extract', 'ollama:qwen3.5:27b'), ('vision-description', 'ollama:qwen3.5:27b'), ('transcription', NULL), ('diarization', NULL)) AS t(task, slug)")
@@ -148,7 +151,7 @@ def model_choice(spark, d):
 def runtime_settings(spark, d):
     r = table(spark, d, "region")
     layer = lambda cond, v: r.filter(cond).select(F.col("r_name").alias("key"), F.lit(v).alias("value"))
-    return settings(layer("r_regionkey % 3 = 0", "o"), layer("r_regionkey % 3 <= 1", "e"), layer("true", "d"))
+    return S.settings(layer("r_regionkey % 3 = 0", "o"), layer("r_regionkey % 3 <= 1", "e"), layer("true", "d"))
 
 
 @HERE.add(
@@ -162,3 +165,49 @@ def breaker_log(spark, d):
 
     calls = table(spark, d, "events").select(F.col("user_id").alias("service"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), (F.col("value") >= 20).alias("ok"))
     return breaker_states(calls, 2, 3_600_000)
+
+
+@HERE.add("WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents), t AS (SELECT doc_id, len(w)::DOUBLE AS len, len(list_filter(w, lambda x: x = 'from'))::DOUBLE AS a, len(list_filter(w, lambda x: x = 'with'))::DOUBLE AS b FROM d WHERE doc_id % 7 <> 3), f AS (SELECT count(*) AS n, avg(len) AS l, sum((a > 0)::INT) AS da, sum((b > 0)::INT) AS db FROM t), s AS (SELECT doc_id, greatest(1e-6, ln((n - da + 0.5) / (da + 0.5))) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * len / l)) + greatest(1e-6, ln((n - db + 0.5) / (db + 0.5))) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * len / l)) AS score FROM t, f WHERE a > 0 AND b > 0), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, 'd/' || doc_id) - 1 AS rank FROM s) SELECT 'd/' || doc_id AS slug, 1 / (60 + rank) AS score, 'keyword' AS source FROM r WHERE rank < 20", floats=("score",))
+def store_search(spark, d):
+    """A store that was written in three batches (all pages with other texts, all texts, a seventh deleted), searched through its kept index."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("d/"), "doc_id").alias("slug"), F.col("text").alias("content"))
+    store = S.open_store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    store.upsert_pages(docs.select("slug", F.lit("from with an earlier text").alias("content")))
+    store.upsert_pages(docs.select("slug", "content"))
+    store.upsert_pages(docs.filter("doc_id % 7 = 3").select("slug", F.lit(True).alias("deleted"), F.lit("from with").alias("content")))
+    return store.search(["from", "with"], 20).select("slug", "score", "source")
+
+
+@HERE.add("SELECT event_type AS kind, 'all' AS listener, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1 UNION ALL SELECT event_type, event_type, count(*), min(event_id), max(event_id) FROM events WHERE event_type IN (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 2) GROUP BY 1")
+def event_fanout(spark, d):
+    """The events table as a stream to a listener of everything and two listeners of one kind; what each got, by kind."""
+    from marlstone.streaming.feeds import EventBus
+
+    root = f"{shared_folder(spark)}/fanout-{uuid.uuid4().hex}"
+    rows = table(spark, d, "events")
+    kinds = [r.event_type for r in rows.select("event_type").distinct().orderBy("event_type").limit(2).collect()]
+    bus = EventBus()
+    for name, kind in [("all", "*"), *((k, k) for k in kinds)]:
+        bus.on(kind, lambda df, name=name: df.select(F.lit(name).alias("listener"), F.col("type").alias("kind"), "event_id").write.mode("append").parquet(f"{root}/got"))
+    stream = spark.readStream.schema(rows.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    bus.attach(stream.withColumnRenamed("event_type", "type"), f"{root}/offsets").awaitTermination()
+    return spark.read.parquet(f"{root}/got").groupBy("kind", "listener").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+
+
+class Clerk:
+    """A scripted client: it mends a text twice, and finds fault with it until then."""
+
+    def generate(self, prompt: str) -> str:
+        text = prompt.partition("Text:\n")[2].partition("\n\nFaults:")[0]
+        return f"{text}!" if text else "too plain"
+
+
+def mended(client: Clerk, text: str) -> dict:
+    out, rounds = self_refine(text, client.generate, 5, lambda said, _: said.endswith("!!"))
+    return {"out": out, "rounds": rounds}
+
+
+@HERE.add("SELECT p_partkey AS id, p_name || '!!' AS out, 2 AS rounds FROM part")
+def agent_loops(spark, d):
+    """A refining loop per part, spread over tasks."""
+    return run_loops(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), Clerk, mended, "out string, rounds int")

@@ -2,19 +2,45 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
 from marlstone.operators import extract as E
 from marlstone.operators import retrieval as R
+from marlstone.operators.inference import typed_by_model
 from marlstone.plans.registry import Registry, table
 
 HERE = Registry()
 
-#: Pages about suppliers: a role phrase, a link, a bare slug, inline code.
-PAGE = "s_name || ' ' || (CASE s_suppkey % 5 WHEN 0 THEN 'founded Acme ' || n_name WHEN 1 THEN 'invested in Big ' || n_name WHEN 2 THEN 'advises Jane ' || n_name WHEN 3 THEN 'works at Shop ' || n_name ELSE 'is the CTO of Lab ' || n_name END) || '. See [home](companies/s' || s_suppkey || ') and @People/P' || s_suppkey || ' but not `deals/x`.'"
 SLUGGED = "regexp_replace(regexp_replace(lower(@x@), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 
+#: By supplier: what is said of a nation, the edge type and category it stands for, what goes before the evidence, the object, and what ends it.
+SAID = [
+    ("co-founded Acme @.", "founded", "companies", "co-founded Acme @."),
+    ("is founder and head of Orb @.", "founded", "companies", "founder and head of Orb @."),
+    ("invested in Big @.", "invested_in", "companies", "invested in Big @."),
+    ("led Seed @''s series A.", "invested_in", "companies", "led Seed @''s series"),
+    ("wrote a check into Cash @.", "invested_in", "companies", "wrote a check into Cash @."),
+    ("advises Jane @.", "advises", "people", "advises Jane @."),
+    ("is advisor to Joan @.", "advises", "people", "advisor to Joan @."),
+    ("is the CTO of Lab @.", "works_at", "companies", "CTO of Lab @."),
+    ("joined Hub as CTO.", "works_at", "companies", "joined Hub"),
+    ("works at Shop @.", "works_at", "companies", "works at Shop @."),
+]
+OBJECTS = ["Acme @", "Orb @", "Big @", "Seed @", "Cash @", "Jane @", "Joan @", "Lab @", "Hub", "Shop @"]
+
+
+def by_supplier(key: str, texts: list[str]) -> str:
+    """A CASE over the texts; @ stands for the nation's name."""
+    parts = [f"WHEN {i} THEN " + " || ".join("n_name" if p == "@" else f"'{p}'" for p in re.split("(@)", t) if p) for i, t in enumerate(texts)]
+    return f"(CASE {key} % {len(texts)} {' '.join(parts)} END)"
+
+
+#: Pages about suppliers: a role phrase, a link, a bare slug, inline code.
+PAGE = f"concat(s_name, ' ', {by_supplier('s_suppkey', [s[0] for s in SAID])}, ' See [home](companies/s', s_suppkey, ') and @People/P', s_suppkey, ' but not `deals/x`.')"
+
 
 def supplier_pages(spark, d):
     s, n = table(spark, d, "supplier"), table(spark, d, "nation")
@@ -27,30 +53,36 @@ def supplier_pages(spark, d):
     f"""WITH p AS (SELECT s_suppkey AS k, n_name, CASE WHEN s_suppkey % 7 = 0 THEN 'attended' ELSE 'mentions' END AS seen, {PAGE} AS content FROM supplier JOIN nation ON s_nationkey = n_nationkey)
 SELECT 's/' || k AS source, 'companies/s' || k AS target, seen AS type, '[home](companies/s' || k || ')' AS evidence FROM p
 UNION ALL SELECT 's/' || k, 'people/p' || k, seen, '@People/P' || k FROM p
-UNION ALL SELECT 's/' || k, CASE k % 5 WHEN 2 THEN 'people/' ELSE 'companies/' END || {SLUGGED.replace("@x@", "(CASE k % 5 WHEN 0 THEN 'Acme ' WHEN 1 THEN 'Big ' WHEN 2 THEN 'Jane ' WHEN 3 THEN 'Shop ' ELSE 'Lab ' END) || n_name")},
-CASE k % 5 WHEN 0 THEN 'founded' WHEN 1 THEN 'invested_in' WHEN 2 THEN 'advises' ELSE 'works_at' END, (CASE k % 5 WHEN 0 THEN 'founded Acme ' WHEN 1 THEN 'invested in Big ' WHEN 2 THEN 'advises Jane ' WHEN 3 THEN 'works at Shop ' ELSE 'CTO of Lab ' END) || n_name || '.' FROM p"""
+UNION ALL SELECT 's/' || k, {by_supplier("k", [s[2] + "/" for s in SAID])} || {SLUGGED.replace("@x@", by_supplier("k", OBJECTS))}, {by_supplier("k", [s[1] for s in SAID])}, {by_supplier("k", [s[3] for s in SAID])} FROM p"""
 )
 def extract_edges(spark, d):
+    """All ten roles occur."""
     return E.extract_edges(supplier_pages(spark, d))
 
 
-@HERE.add(f"WITH v AS (SELECT doc_id, replace(left(text, 60), '&', ' and ') AS x FROM documents WHERE lang = 'en') SELECT doc_id, left({SLUGGED.replace('@x@', 'x')}, 80) AS slug FROM v")
+SLUGS = f"SELECT doc_id, left({SLUGGED.replace('@x@', 'x')}, 80) AS slug FROM (SELECT doc_id, replace(strip_accents(text), '&', ' and ') AS x FROM documents) AS v"
+
+
+@HERE.add(SLUGS)
 def slugs(spark, d):
-    return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", T.slugify(F.left("text", F.lit(60)), ascii_only=True).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", T.slugify(F.col("text")).alias("slug"))
 
 
-@HERE.add()
+@HERE.add(SLUGS)
 def slugs_all(spark, d):
-    """Slugs of all documents' whole texts, decomposed; DuckDB can't decompose, so tests hold it against brute force."""
-    return table(spark, d, "documents").select("doc_id", T.slugify(F.col("text")).alias("slug"))
+    """Slugs by way of arrays, as titles of pages are made; tests also hold it against brute force."""
+    return table(spark, d, "documents").select("doc_id", T.slugify_all(F.array("text"))[0].alias("slug"))
 
 
-RULED = "CASE WHEN regexp_matches(e, '(?i)\\bfounded\\b') THEN 'founded' WHEN regexp_matches(e, '(?i)\\binvested\\s+in\\b') THEN 'invested_in' WHEN regexp_matches(e, '(?i)\\badvis(or|es|ing)\\b') THEN 'advises' WHEN regexp_matches(e, '(?i)\\bworks?\\s+(at|for)\\b') THEN 'works_at' ELSE 'mentions' END"
+#: What is said of a nation, by order, and the link type it stands for.
+LINKED = [("founded", "founded"), ("Invested  in", "invested_in"), ("advising", "advises"), ("work for", "works_at"), ("ATTENDED", "attended"), ("wrote", "authored"), ("coauthored", "authored"), ("cite", "cites"), ("succeeded by", "succeeded_by"), ("located in", "located_in"), ("refounded", "mentions"), ("works with", "mentions")]
 
 
-@HERE.add(f"WITH p AS (SELECT 's/' || s_suppkey AS slug, {PAGE} AS e FROM supplier JOIN nation ON s_nationkey = n_nationkey) SELECT slug, {RULED} AS type FROM p")
+@HERE.add(f"SELECT o_orderkey, {by_supplier('o_orderkey', [t for _, t in LINKED])} AS type FROM orders")
 def link_rules(spark, d):
-    return supplier_pages(spark, d).select("slug", T.classify_link(F.col("content")).alias("type"))
+    """All nine rules, and two texts that none fits."""
+    said = F.expr(by_supplier("o_orderkey", [f"It {s} @, they say" for s, _ in LINKED]).replace("n_name", "o_orderpriority"))
+    return table(spark, d, "orders").select("o_orderkey", T.classify_link(said).alias("type"))
 
 
 @HERE.add(
@@ -75,7 +107,7 @@ def token_estimate(spark, d):
     return table(spark, d, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@HERE.add()
+@HERE.add("WITH w AS (SELECT doc_id, length(text) AS n, unnest(regexp_extract_all(text, '\\s*\\S+')) AS w, generate_subscripts(regexp_extract_all(text, '\\s*\\S+'), 1) AS i FROM documents), c AS (SELECT *, length(w) - length(ltrim(w, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS gap FROM w), t AS (SELECT *, sum(ceil((length(w) - gap) / 4)) OVER r AS spent, coalesce(sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c WINDOW r AS (PARTITION BY doc_id ORDER BY i)), s AS (SELECT doc_id, min(before + gap + greatest(0, (50 - (spent - ceil((length(w) - gap) / 4))) * 4)) AS kept FROM t WHERE spent > 50 GROUP BY 1) SELECT documents.doc_id, coalesce(kept, length(text))::INT AS kept FROM documents LEFT JOIN s USING (doc_id)")
 def truncated(spark, d):
     docs = table(spark, d, "documents")
     return docs.select("doc_id", F.char_length(T.truncate_to_tokens(F.col("text"), F.lit(50))).alias("kept"))
@@ -99,7 +131,10 @@ def doc_type(spark, d):
     return p.select("p_partkey", T.detect_doc_type(F.col("f"), F.lit(None).cast("string"), body).alias("doc_type"), E.code_language(F.col("f")).alias("language"))
 
 
-@HERE.add()
+CHUNKED = "(VALUES (1, 3, 'f', '():' || chr(10) || '    return 1' || chr(10)), (4, 4, 'C', ':'), (5, 7, 'm', '    def m(self):' || chr(10) || '        pass' || chr(10))) AS c(a, b, s, t)"
+
+
+@HERE.add(f"SELECT p_partkey, 'python' AS language, a AS start_line, b AS end_line, CASE s WHEN 'f' THEN 'f' || p_partkey WHEN 'C' THEN 'C' || p_size ELSE s END AS symbol, CASE s WHEN 'f' THEN 'def f' || p_partkey || t WHEN 'C' THEN 'class C' || p_size || t ELSE t END AS content FROM part, {CHUNKED}")
 def code_chunks(spark, d):
     p = table(spark, d, "part")
     source = F.concat(F.lit("def f"), F.col("p_partkey"), F.lit("():\n    return 1\n\nclass C"), F.col("p_size"), F.lit(":\n    def m(self):\n        pass\n"))
@@ -129,10 +164,19 @@ def model_slugs(spark, d):
     return spark.sql("SELECT * FROM VALUES ('openai:gpt-4o'), ('qwen3:8b'), ('plain') AS t(s)").select("s", s["provider"].alias("provider"), s["model"].alias("model"), T.format_slug(s["provider"], s["model"]).alias("again"))
 
 
-@HERE.add("SELECT n_name, CASE n_nationkey % 3 WHEN 0 THEN 'founded' WHEN 1 THEN 'cites' ELSE 'mentions' END AS label FROM nation")
+class Labeller:
+    """A scripted client: it answers by the text that it is asked about."""
+
+    def generate(self, prompt: str) -> str:
+        return "Founded. It says so" if "URGENT" in prompt else " cites!" if "HIGH" in prompt else "perhaps none"
+
+
+@HERE.add("SELECT o_orderkey AS source, o_custkey AS target, CASE WHEN contains(o_orderpriority, 'URGENT') THEN 'founded' WHEN contains(o_orderpriority, 'HIGH') THEN 'cites' ELSE 'mentions' END AS type FROM orders")
 def link_labels(spark, d):
-    reply = F.when(F.col("n_nationkey") % 3 == 0, "Founded. It says so").when(F.col("n_nationkey") % 3 == 1, " cites!").otherwise("perhaps none")
-    return table(spark, d, "nation").select("n_name", T.link_label(reply).alias("label"))
+    """Link types by a (scripted) model."""
+    links = table(spark, d, "orders").select(F.col("o_orderkey").alias("source"), F.col("o_custkey").alias("target"), F.col("o_orderpriority").alias("evidence"))
+    as_text = links.withColumns({c: F.col(c).cast("string") for c in ("source", "target")})
+    return typed_by_model(as_text, Labeller).select(F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target"), "type")
 
 
 @HERE.add("WITH l AS (SELECT doc_id AS doc, string_split(text, chr(10)) AS l FROM documents), w AS (SELECT doc, unnest(range(0, ((len(l) - 1) // 5) + 1)) AS chunk, l FROM l) SELECT doc, chunk, chunk * 5 + 1 AS start_line, least(chunk * 5 + 5, len(l)) AS end_line, array_to_string(l[chunk * 5 + 1:chunk * 5 + 5], chr(10)) AS content FROM w")

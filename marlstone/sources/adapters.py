@@ -170,9 +170,9 @@ def with_client(files: DataFrame, factory: Callable, call: Callable, schema: str
     return files.select("filename", "bytes").mapInPandas(run, f"filename string, {schema}")
 
 
-def audio_text(segments: DataFrame, speakers: DataFrame | None = None) -> DataFrame:
+def audio_text(segments: DataFrame, speakers: DataFrame | None = None, bin_seconds: float = 30.0) -> DataFrame:
     """(media, text, vtt, srt, segments) of transcribed segments (media, seg, start, end, text), with speakers where given."""
-    said = align_speakers(segments, speakers) if speakers is not None else segments.withColumn("speaker", F.lit(None).cast("string"))
+    said = align_speakers(segments, speakers, bin_seconds) if speakers is not None else segments.withColumn("speaker", F.lit(None).cast("string"))
     lists = said.groupBy("media").agg(F.array_sort(F.collect_list(F.struct("seg", "start", "end", "text", "speaker"))).alias("s"))  # a recording is one row
     line = lambda s: F.when(s["speaker"].isNotNull(), F.concat(s["speaker"], F.lit(": "), s["text"])).otherwise(s["text"])
     return lists.select("media", F.concat(F.lit("# "), "media", F.lit("\n\n"), F.array_join(F.transform("s", line), "\n")).alias("text"), render.render_vtt(F.col("s")).alias("vtt"), render.render_srt(F.col("s")).alias("srt"), F.size("s").alias("segments"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
+import threading
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -15,33 +18,41 @@ from pyspark.sql.streaming import StreamingQuery
 
 from marlstone.operators.extract import extract_edges
 from marlstone.operators.graph import reconcile
-from marlstone.operators.store import SCHEMAS, Store
+from marlstone.operators.store import SCHEMAS, Store, latest_edges
 
 
-def on_page_write(store: Store, pages: DataFrame) -> None:
-    """Write pages (slug, content, page_type), add the edges found in them and mark those that are gone."""
-    store.upsert_pages(pages.drop("page_type"))
+def on_page_write(store: Store, pages: DataFrame, batch: int | None = None) -> None:
+    """Write pages (slug, content, page_type) and the edges found in them as one batch.
+
+    All edges found are written, so that one that stays takes its new evidence; those that are gone are marked.
+    """
+    batch = store.upsert_pages(pages.drop("page_type"), batch)
     new = extract_edges(pages)
-    prior = store.edges().join(pages.select(F.col("slug").alias("source")).distinct(), "source", "left_semi")
-    add, remove = reconcile(prior, new)
-    store.upsert_edges(add.select("source", "target", "type", "evidence").withColumn("deleted", F.lit(False)))
-    store.append("edges", remove.select("source", "target", "type").withColumn("deleted", F.lit(True)))
+    earlier = latest_edges(store.log("edges").filter(F.col("seq.batch") < batch))
+    prior = earlier.join(pages.select(F.col("slug").alias("source")).distinct(), "source", "left_semi")
+    _, remove = reconcile(prior, new)
+    gone = remove.select("source", "target", "type", F.lit(None).cast("string").alias("evidence"), F.lit(True).alias("deleted"))
+    store.upsert_edges(new.withColumn("deleted", F.lit(False)).unionByName(gone), batch)
 
 
 def ingest_stream(spark: SparkSession, store: Store, path: str, checkpoint: str, page_type: str | None = None) -> StreamingQuery:
-    """Every new text file under ``path`` becomes a page; its slug is its name without ending. Runs over what is there, then stops."""
+    """Every new text file under ``path`` becomes a page; its slug is its name without ending. Runs over what is there, then stops.
+
+    A micro-batch that is replayed writes the same batch again, so nothing is doubled.
+    """
+    name = f"{hash_text(checkpoint):x}"
     files = spark.readStream.format("text").option("wholetext", "true").load(path).select(F.col("value").alias("content"), F.col("_metadata.file_name").alias("name"))
     pages = files.select(F.regexp_replace(F.replace("name", F.lit("%20"), F.lit(" ")), r"\.[^.]+$", "").alias("slug"), "content", F.lit(page_type).cast("string").alias("page_type"))
-    return pages.writeStream.foreachBatch(lambda df, _: on_page_write(store, df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return pages.writeStream.foreachBatch(lambda df, i: on_page_write(store, df, store.batch_of(name, i))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def change_feed(spark: SparkSession, store: Store, kinds: list[str] = ("pages", "edges", "facts")) -> DataFrame:
-    """A stream of (kind, key, seq, event) of new rows of the logs."""
+    """A stream of (kind, key, batch, event) of new rows of the logs."""
     keys = {"pages": ["slug"], "edges": ["source", "target", "type"], "facts": ["id"]}
     out = None
     for kind in kinds:
-        rows = spark.readStream.schema(SCHEMAS[kind]).parquet(f"{store.path}/{kind}")
-        event = rows.select(F.lit(kind).alias("kind"), F.concat_ws("::", *keys[kind]).alias("key"), "seq", F.to_json(F.struct("*")).alias("event"))
+        rows = spark.readStream.format(store.fmt).schema(f"{SCHEMAS[kind]}, batch long").load(f"{store.path}/{kind}")
+        event = rows.select(F.lit(kind).alias("kind"), F.concat_ws("::", *keys[kind]).alias("key"), "batch", F.to_json(F.struct("*")).alias("event"))
         out = event if out is None else out.unionByName(event)
     return out
 
@@ -81,13 +92,21 @@ class EventBus:
 
 
 class RecipeError(ValueError):
-    """A recipe's arguments don't fit: field path and message."""
+    """A recipe can't run as asked: field path and message."""
 
     def __init__(self, path: str, message: str):
         super().__init__(f"{path}: {message}")
 
 
-def list_recipes(folder: str) -> list[str]:
+class RecipeTimeout(RuntimeError):
+    """A recipe's time was up; its Spark jobs were cancelled."""
+
+
+#: Where recipes are by default.
+RECIPES_DIR = os.path.join(os.getcwd(), "recipes")
+
+
+def list_recipes(folder: str = RECIPES_DIR) -> list[str]:
     """Names of the YAML files in a folder; none if it isn't there."""
     return sorted(f[:-5] for f in os.listdir(folder) if f.endswith(".yaml")) if os.path.isdir(folder) else []
 
@@ -105,14 +124,22 @@ def enabled_recipes(folder: str, enabled: list[str] = ()) -> list[dict]:
     return [load_recipe(folder, n) for n in (enabled or there) if n in there]
 
 
+def describe_recipe(folder: str, name: str) -> dict:
+    """name, version, backend, input (the schema of its arguments), path_allow and max_seconds of a recipe; raises RecipeError if it isn't there."""
+    if name not in list_recipes(folder):
+        raise RecipeError("$", f"no recipe {name!r}")
+    recipe = load_recipe(folder, name)
+    return {"name": recipe.get("recipe"), "version": recipe.get("version"), "backend": recipe.get("backend"), "input": recipe.get("input") or {}, "path_allow": recipe.get("path_allow"), "max_seconds": recipe.get("max_seconds", 300)}
+
+
 def recipe_table(spark: SparkSession, folder: str) -> DataFrame:
     """(name, version, backend, cron, body as JSON)."""
     rows = [(r.get("recipe"), r.get("version"), r.get("backend"), r.get("cron"), json.dumps(r, default=str)) for r in enabled_recipes(folder)]
     return spark.createDataFrame(rows, "name string, version int, backend string, cron string, body string")
 
 
-def check_arguments(schema: dict, arguments: dict, path: str = "$") -> None:
-    """Raises RecipeError where required arguments miss or types differ."""
+def check_arguments(schema: dict, arguments: dict, path: str = "$", path_allow: str | None = None) -> None:
+    """Raises RecipeError where required arguments miss, types differ, or a path or URL isn't one that ``path_allow`` matches."""
     kinds = {"string": str, "number": (int, float), "integer": int, "boolean": bool, "object": dict, "array": list}
     for name in schema.get("required", []):
         if name not in arguments:
@@ -121,19 +148,18 @@ def check_arguments(schema: dict, arguments: dict, path: str = "$") -> None:
         kind = schema.get("properties", {}).get(name, {}).get("type")
         if kind and not isinstance(value, kinds[kind]):
             raise RecipeError(f"{path}.{name}", f"must be {kind}")
+        if isinstance(value, str) and re.search(r"[/\\;|&$`]|^\.\.?$", value) and not (path_allow and re.fullmatch(path_allow, value)):
+            raise RecipeError(f"{path}.{name}", "isn't allowed")
 
 
-CALL = re.compile(r"^brain\.(recall|search)\((.*)\)$")
-
-
-def context_calls(specs: list[str], item: dict) -> list[tuple[str, list[str]]]:
-    """(function, arguments) of calls like ``brain.recall(from)``; names of the item's fields become their values."""
-    found = [CALL.match(s) for s in specs]
+def context_calls(specs: list[str], item: dict, prefix: str = "store") -> list[tuple[str, list[str]]]:
+    """(function, arguments) of calls like ``store.recall(from)``; names of the item's fields become their values."""
+    found = [re.match(rf"^{re.escape(prefix)}\.(recall|search)\((.*)\)$", s) for s in specs]
     return [(m[1], [str(item.get(a.strip(), a.strip())) for a in m[2].split(",") if a.strip()]) for m in found if m]
 
 
-def run_recipe(items: DataFrame, recipe: dict, classify: Callable[[], Callable], draft: Callable[[], Callable]) -> DataFrame:
-    """(item, classification, draft) as JSON of the items that need a reply.
+def run_recipe(items: DataFrame, recipe: dict, classify: Callable[[], Callable], draft: Callable[[], Callable], prefix: str = "store") -> DataFrame:
+    """(item, classification, draft, ttl) as JSON of the items that need a reply.
 
     ``items`` has item (JSON). The factories make, once a task, functions of (settings, item) and of
     (settings, item, context calls). Works on batches and on streams.
@@ -148,10 +174,79 @@ def run_recipe(items: DataFrame, recipe: dict, classify: Callable[[], Callable],
                 item = json.loads(raw)
                 said = judge(first, item)
                 if said.get("needs_reply"):
-                    out.append((raw, json.dumps(said), write(second, item, context_calls(second.get("context") or [], item))))
+                    out.append((raw, json.dumps(said), write(second, item, context_calls(second.get("context") or [], item, prefix))))
             yield pd.DataFrame(out, columns=["item", "classification", "draft"])
 
-    return items.select("item").mapInPandas(run, "item string, classification string, draft string")
+    ttl = (recipe.get("enqueue") or {}).get("ttl")
+    return items.select("item").mapInPandas(run, "item string, classification string, draft string").withColumn("ttl", F.lit(ttl).cast("string"))
+
+
+_FETCHERS: dict[str, Callable[[SparkSession, dict], DataFrame]] = {}
+
+
+def register_fetcher(backend: str, fetch: Callable[[SparkSession, dict], DataFrame]) -> None:
+    """How the items (item as JSON) of recipes with this backend are read; given the session and the recipe's ``ingest``."""
+    _FETCHERS[backend] = fetch
+
+
+def enqueue(results: DataFrame, queues: str, recipe: dict, run: str) -> None:
+    """Writes results to their queue, a table under ``queues``; a run that is repeated replaces its own rows."""
+    name = (recipe.get("enqueue") or {}).get("queue") or f"drafts.{recipe.get('recipe')}"
+    results.write.mode("overwrite").parquet(f"{queues}/queue={name}/run={run}")
+
+
+def fetch_and_run(spark: SparkSession, recipe: dict, queues: str, run: str, classify: Callable, draft: Callable, prefix: str = "store") -> bool:
+    """From the recipe's source to its queue; False, and nothing done, where its backend has no fetcher."""
+    fetch = _FETCHERS.get(recipe.get("backend"))
+    if fetch is None:
+        return False
+    enqueue(run_recipe(fetch(spark, recipe.get("ingest") or {}), recipe, classify, draft, prefix), queues, recipe, run)
+    return True
+
+
+def schedule_recipes(folder: str, enabled: list[str], register: Callable[[str, str | None, Callable], None], run: Callable[[dict], Any]) -> list[dict]:
+    """Registers (name, cron, handler) of each enabled recipe with a scheduler; returns the recipes."""
+    recipes = enabled_recipes(folder, enabled)
+    for recipe in recipes:
+        register(f"recipe.{recipe.get('recipe')}", recipe.get("cron"), lambda recipe=recipe: run(recipe))
+    return recipes
+
+
+def within(spark: SparkSession, seconds: float, run: Callable[[], Any]) -> Any:
+    """What ``run`` returns; after ``seconds`` its Spark jobs are cancelled and RecipeTimeout is raised."""
+    group, late = f"within-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        spark.sparkContext.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, stop)
+    spark.sparkContext.setJobGroup(group, "bounded", interruptOnCancel=True)
+    timer.start()
+    try:
+        out = run()
+    except Exception as error:
+        if late.is_set():
+            raise RecipeTimeout(f"more than {seconds} s") from error
+        raise
+    finally:
+        timer.cancel()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    if late.is_set():
+        raise RecipeTimeout(f"more than {seconds} s")
+    return out
+
+
+def run_named(spark: SparkSession, folder: str, enabled: list[str], name: str, arguments: dict, seconds: float, results: str, key: str, run: Callable[[dict, dict], DataFrame]) -> DataFrame:
+    """The result of an enabled recipe, with its arguments, paths and time checked; the same key and arguments give the kept one."""
+    about = describe_recipe(folder, name)
+    if enabled and name not in enabled:
+        raise RecipeError("$", f"{name!r} isn't enabled")
+    check_arguments(about["input"], arguments, path_allow=about["path_allow"])
+    if not 0 < seconds <= about["max_seconds"]:
+        raise RecipeError("$", f"time must be more than 0 and at most {about['max_seconds']} s")
+    recipe = load_recipe(folder, name)
+    return within(spark, seconds, lambda: run_once(spark, results, f"{name}-{key}", arguments, lambda: run(recipe, arguments)))
 
 
 def run_once(spark: SparkSession, results: str, key: str, arguments: dict, run: Callable[[], DataFrame]) -> DataFrame:
@@ -165,8 +260,6 @@ def run_once(spark: SparkSession, results: str, key: str, arguments: dict, run:
 
 
 def hash_text(text: str) -> int:
-    import hashlib
-
     return int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "big")
 
 

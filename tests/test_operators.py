@@ -6,14 +6,17 @@ import hmac
 import io
 import json
 import math
+import random
 import re
 import struct
+import time
 import unicodedata
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from marlstone import facade
 from marlstone.functions import codecs, protocols, render, text, vectors
 from marlstone.functions.temporal import named_range, v7_ceiling, v7_floor
 from marlstone.operators import extract, filters, graph, inference, retrieval, store
@@ -67,12 +70,12 @@ def test_query_kinds(spark):
 
 
 def test_mmr(spark):
-    rows = [(0, 0, "a", 0.9, [1.0, 0.0]), (0, 1, "b", 0.85, [1.0, 0.01]), (0, 2, "c", 0.6, [0.0, 1.0]), (0, 3, "orphan", 5.0, None), (1, 0, "x", 1.0, [-1.0, 0.0]), (1, 1, "y", 0.5, [1.0, 0.0])]
+    rows = [(0, 0, "a", 0.9, [1.0, 0.0]), (0, 1, "b", 0.85, [1.0, 0.01]), (0, 2, "c", 0.6, [0.0, 1.0]), (0, 3, "orphan", 5.0, None), (1, 0, "x", 1.0, [-1.0, 0.0]), (1, 1, "y", 0.5, [1.0, 0.0]), (1, 2, "blank", 9.0, [])]
     df = spark.createDataFrame(rows, "qid int, ord int, slug string, score double, embedding array<double>")
     first = retrieval.mmr_rerank(df.filter("qid = 0"), "qid", 0.2, 2).orderBy("pos").collect()
     assert [r.slug for r in first] == ["a", "c"]
     every = retrieval.mmr_rerank(df, "qid", 0.2).orderBy("qid", "pos").collect()
-    assert [r.slug for r in every] == ["a", "c", "b", "orphan", "x", "y"]
+    assert [r.slug for r in every] == ["a", "c", "b", "orphan", "x", "y", "blank"]
 
 
 def test_dedup_and_chains(spark):
@@ -126,7 +129,7 @@ def test_vectors(spark):
 
 
 def test_store_round_trip(spark, tmp_path):
-    s = store.open_store(spark, str(tmp_path / "brain"))
+    s = store.open_store(spark, str(tmp_path / "notes"))
     s.upsert_pages(spark.createDataFrame([("people/alice", "Alice is the CEO of Acme."), ("other", "text")], "slug string, content string"))
     s.upsert_pages(spark.createDataFrame([("other", "newer text")], "slug string, content string"))
     assert s.get_doc("other").content == "newer text" and s.search(["acme"]).first().slug == "people/alice"
@@ -150,6 +153,76 @@ def test_store_round_trip(spark, tmp_path):
     s.close()
 
 
+def test_store_index_and_replays(spark, tmp_path):
+    s = store.open_store(spark, str(tmp_path / "notes"))
+    page = "slug string, content string"
+    s.upsert_pages(spark.createDataFrame([("a", "red fox"), ("b", "red red cat sat"), ("a", "red dog dog")], page))
+    assert s.figures().first().n == 2 and s.figures().first().avg_len == 3.5
+    assert [r.slug for r in s.search(["fox"]).collect()] == [] and [r.slug for r in s.search(["RED", "dog"]).collect()] == ["a"]
+    n = s.batch_of("stream", 0)
+    for _ in range(2):  # a replayed micro-batch replaces itself
+        assert s.batch_of("stream", 0) == n
+        s.upsert_pages(spark.createDataFrame([("c", "blue fox"), ("b", "green")], page), n)
+    assert s.figures().first().n == 3 and s.figures().first().avg_len == pytest.approx(2) and s.log("pages").filter("slug = 'c'").count() == 1
+    s.delete_page("c")
+    assert s.figures().first().n == 2 and s.search(["blue"]).count() == 0
+    s.upsert_vectors(spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("gone", [1.0, 0.0])], "slug string, embedding array<double>"))
+    both = s.search(["green"], near=[1.0, 0.1]).collect()
+    assert [(r.slug, r.source) for r in both] == [("b", "fused"), ("a", "vector")] and both[0].excerpt == "<b>green</b>"
+    assert s.search([], near=[1.0, 0.0]).first().slug == "a"
+    kept = spark.range(3).persist()
+    held = s.hold(s.pages())
+    s.close()
+    assert not held.is_cached and kept.is_cached
+    kept.unpersist()
+
+
+def test_facts_without_time_are_found(spark, tmp_path):
+    s = store.open_store(spark, str(tmp_path / "notes"))
+    s.upsert_facts(spark.createDataFrame([("x", "p", "o")], "subject string, predicate string, object string"))
+    assert s.recall("x", since="2020-01-01").first().object == "o"
+
+
+def test_settings(spark, tmp_path):
+    c = store.Settings(store.open_store(spark, str(tmp_path / "notes")), {"a": "env", "b": "env"}, {"b": "default", "c": "default"})
+    c.set({"a": "set"})
+    assert [c.get(k) for k in "abcd"] == [("set", "db_override"), ("env", "env"), ("default", "default"), (None, "absent")]
+    c.set({"c": "set"})
+    c.clear(["a"])
+    assert c.get("a") == ("env", "env") and c.get("c")[0] == "set"
+    c.reset()
+    assert {r.key: r.source for r in c.snapshot().collect()} == {"a": "env", "b": "env", "c": "default"}
+
+
+def test_concepts(spark, tmp_path):
+    s = store.open_store(spark, str(tmp_path / "notes"))
+    s.add_concepts(spark.createDataFrame([("ai", "AI", ["tech"], None), ("all", "All", None, ["tech"])], "uri string, pref_label string, broader array<string>, scope_note array<string>").withColumnRenamed("scope_note", "narrower"))
+    s.add_concepts(spark.createDataFrame([("ai", "a note")], "uri string, scope_note string"))
+    ai, tech = s.concept("ai"), s.concept("tech")
+    assert (ai.pref_label, ai.scope_note, ai.broader, ai.narrower) == ("AI", "a note", ["tech"], [])
+    assert (tech.pref_label, tech.broader, tech.narrower) == ("tech", ["all"], ["ai"]) and s.concept("none") is None and s.concepts().count() == 3
+    s.add_schemes(spark.createDataFrame([("sch", "Old", ["ai"]), ("sch", "New", ["ai", "all"])], "uri string, pref_label string, top_concepts array<string>"))
+    assert s.schemes().first().pref_label == "New"
+
+
+def test_facade(spark, tmp_path):
+    notes = facade.Knowledge(spark, str(tmp_path / "notes"))
+    seen, tools = [], {}
+    notes.on_write(lambda df: seen.append(df.count()))
+    page = "slug string, content string, page_type string"
+    notes.write(spark.createDataFrame([("p", "Alice founded Acme.", None)], page))
+    notes.write(spark.createDataFrame([("p", "Bob co-founded Acme. See [x](deals/d).", None)], page))
+    notes.register(lambda name, tool: tools.setdefault(name, tool))
+    links = {r.target: r.evidence for r in tools["store.links"]("p", "out").collect()}
+    assert links == {"companies/acme": "co-founded Acme.", "deals/d": "[x](deals/d)"} and seen == [1, 1]
+    notes.write(spark.createDataFrame([("p", "nothing", None)], page))
+    assert tools["store.links"]("p").count() == 0 and tools["store.search"](["nothing"]).first().slug == "p"
+    plain = facade.Knowledge(spark, str(tmp_path / "plain"), graph=False)
+    plain.write(spark.createDataFrame([("p", "Alice founded Acme.", None)], page))
+    assert plain.store.edges().count() == 0
+    notes.close()
+
+
 def test_backends(spark, tmp_path):
     assert store.list_backends()[0] == "parquet" and set(store.ELSEWHERE) <= set(store.list_backends())
     with pytest.raises(ValueError):
@@ -193,6 +266,24 @@ def test_louvain(spark):
     assert graph.graph_maintenance(weighted(spark, ("a", "b", 5), ("b", "c", 3)))["communities"].select("community").distinct().count() == 3
 
 
+def test_louvain_in_rounds(spark):
+    """Cliques of six in a ring, in one component that is too large for a task: each clique is a community."""
+    ring = [(f"{c}-{i}", f"{c}-{j}", 1) for c in range(4) for i in range(6) for j in range(i)] + [(f"{c}-0", f"{(c + 1) % 4}-1", 0.5) for c in range(4)]
+    got = pairs(graph.louvain(weighted(spark, *ring), passes=4, whole=10), "node", "community")
+    groups = {}
+    for node, community in got.items():
+        groups.setdefault(community, set()).add(node)
+    assert sorted(map(sorted, groups.values())) == [sorted(f"{c}-{i}" for i in range(6)) for c in range(4)] and sorted(groups) == list(range(4))
+
+
+def test_pfnet_matches_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(a, b, rng.randint(1, 9)) for a in range(12) for b in range(12) if a != b and (a == 0 or b == 1 or rng.random() < 0.4)]
+    w = {(a, b): x for a, b, x in rows}
+    want = {(a, b) for a, b, x in rows if not any((a, m) in w and (m, b) in w and min(w[a, m], w[m, b]) > x for m in range(12) if m not in (a, b))}
+    assert {(int(r.source), int(r.target)) for r in graph.pfnet(weighted(spark, *[(str(a), str(b), x) for a, b, x in rows])).collect()} == want
+
+
 def test_components_of_a_long_path(spark):
     path = [*range(0, 200, 2), *range(199, 0, -2)]  # even ids rise to the middle, odd ones fall to the end
     edges = spark.createDataFrame([*zip(path, path[1:], strict=False), (500, 501), (600, 600), (7, 7)], "source long, target long")
@@ -238,6 +329,31 @@ def test_text_functions(spark):
     assert kinds == ["meeting/notes", "code/source", "meeting/notes"]
 
 
+def test_truncated_to_tokens_by_brute_force(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab 東🚀𝒳\n") for _ in range(rng.randint(0, 40))) for _ in range(150)]
+
+    def tokens(t):
+        single = re.compile("[\u3400-\u4DBF\u4E00-\u9FFF\u3040-\u30FF\uAC00-\uD7AF\u2600-\u27BF\U0001F300-\U0001FAFF]")
+        return len(single.findall(t)) + sum(-(-len(w.encode("utf-16-le")) // 8) for w in single.sub(" ", t).split())
+
+    rows = spark.createDataFrame([(t, i % 9) for i, t in enumerate(texts)], "t string, n int").select("t", "n", text.estimate_tokens(F.col("t")).alias("e"), text.truncate_to_tokens(F.col("t"), F.col("n")).alias("c")).collect()
+    for r in rows:
+        assert r.e == tokens(r.t)
+        assert r.c == next(r.t[:k] for k in range(len(r.t), -1, -1) if all(tokens(r.t[:j]) <= r.n for j in range(k + 1)))
+
+
+def test_document_types_and_flags(spark):
+    text.register_doc_type("own/log", "Log", "fixed", [r"\.log$"])
+    try:
+        assert one(spark, text.detect_doc_type(F.col("f"), F.lit(None).cast("string"), F.lit("")), f="a.log") == "own/log" and text.get_doc_type("own/log")[1] == "Log"
+        assert "own/log" in text.list_doc_types() and text.get_doc_type("none") is None
+    finally:
+        text._TYPES.pop("own/log")
+    flags = text.search_flags({"FTS_BIGRAM_CJK": "off", "FTS_TRIGRAM_FALLBACK": "perhaps", "FTS_SCRIPT_DETECTION": "1"})
+    assert [flags[f] for f in ("FTS_BIGRAM_CJK", "FTS_TRIGRAM_FALLBACK", "FTS_SCRIPT_DETECTION")] == [False, True, True] and all(text.search_flags({}).values())
+
+
 def test_web_search(spark):
     p = one(spark, text.parse_web_search(F.col("q")), q='"hello world" foo OR bar -baz qux')
     assert (p.phrases, p.optional, p.excluded, p.required) == (["hello world"], [["foo", "bar"]], ["baz"], ["hello world", "qux"])
@@ -394,14 +510,24 @@ def test_models_and_loops(spark):
         breaker.run(fail)
     assert breaker.state() == "half-open" and breaker.run(lambda: 1) == 1 and breaker.state() == "closed"
     assert inference.self_refine("d", lambda p: "r", 2) == ("r", 2)
-    assert inference.react("g", lambda p: "Thought: done\nAction: FINISH", str)[1] == "done"
-    assert inference.reflexion("t", lambda p: p[:4], lambda o: o == "Task", 3)[1] == 2
+    assert inference.self_refine("d", lambda p: " r ", 3, lambda text, _: text == "r") == ("r", 1)
+    assert inference.react("g", lambda p: "Thought: done\nAction: FINISH", str) == ([], "done")
+    said = iter(["Thought: look\nAction: count x", "no plan", "end"])
+    assert inference.react("g", lambda p: next(said), str.upper) == ([("look", "count x", "COUNT X")], "no plan")
+    assert inference.react("g", lambda p: " sum " if "result" in p else "Thought: t\nAction: a", str, lambda s: len(s) == 2)[1] == "sum"
+    asked = []
+    talk = lambda p: asked.append(p) or f"reply {len(asked)}"
+    assert inference.reflexion("task", talk, lambda o: o == "reply 3", 3) == ("reply 3", 2, ["reply 2"]) and asked[0] == "task" and "reply 2" in asked[2]
+    assert inference.reflexion("task", lambda p: p[:4], lambda o: False, 3)[1] == 3
+    mock = inference.MockClient("m")
+    assert mock.generate("12345678") == "[mock:m] 12345678" and mock.usage == {"prompt_tokens": 2.0, "completion_tokens": 4.25}
+    assert inference.profile(inference.profiles(spark), "openai:gpt-4o").first().context_tokens == 128000 and inference.profile(inference.profiles(spark), "none").isEmpty()
     replies = inference.generate(spark.createDataFrame([("a",)], "prompt string"), inference.get_client("mock")).first()
     assert replies.reply == "[mock:mock] a"
 
 
 def test_ingest_and_feed(spark, tmp_path):
-    s = store.open_store(spark, str(tmp_path / "brain"))
+    s = store.open_store(spark, str(tmp_path / "notes"))
     inbox = tmp_path / "in"
     inbox.mkdir()
     (inbox / "alice.md").write_text("Alice founded Acme. See companies/beta.")
@@ -419,13 +545,33 @@ def test_ingest_and_feed(spark, tmp_path):
 
 
 def test_recipes(spark, tmp_path):
-    (tmp_path / "mail.yaml").write_text("recipe: mail\nversion: 1\nbackend: x\nclassify: {model: m}\ndraft: {context: ['brain.recall(from)', 'other.call(x)']}\n")
+    (tmp_path / "mail.yaml").write_text("recipe: mail\nversion: 1\nbackend: x\nclassify: {model: m}\ndraft: {context: ['notes.recall(from)', 'other.call(x)']}\n")
     recipe, = feeds.enabled_recipes(str(tmp_path), ["mail", "unknown"])
     assert feeds.list_recipes(str(tmp_path / "none")) == [] and feeds.recipe_table(spark, str(tmp_path)).first().name == "mail"
     items = spark.createDataFrame([('{"from": "al", "q": true}',), ('{"from": "bo", "q": false}',)], "item string")
-    out = feeds.run_recipe(items, recipe, lambda: lambda s, i: {"needs_reply": i["q"]}, lambda: lambda s, i, c: f"{c}").collect()
+    out = feeds.run_recipe(items, recipe, lambda: lambda s, i: {"needs_reply": i["q"]}, lambda: lambda s, i, c: f"{c}", prefix="notes").collect()
     assert [r.draft for r in out] == ["[('recall', ['al'])]"]
     with pytest.raises(feeds.RecipeError, match="is required"):
         feeds.check_arguments({"required": ["a"]}, {})
+    feeds.register_fetcher("x", lambda spark, ingest: items)
+    assert feeds.fetch_and_run(spark, recipe, str(tmp_path / "queues"), "r1", lambda: lambda s, i: {"needs_reply": i["q"]}, lambda: lambda s, i, c: "d") is True
+    assert feeds.fetch_and_run(spark, {**recipe, "backend": "none"}, "", "r1", None, None) is False
+    assert spark.read.parquet(str(tmp_path / "queues")).select("queue", "draft").collect() == [("drafts.mail", "d")]
+    jobs = []
+    feeds.schedule_recipes(str(tmp_path), [], lambda name, cron, handler: jobs.append((name, cron, handler())), lambda r: r["version"])
+    assert jobs == [("recipe.mail", None, 1)]
+    assert feeds.describe_recipe(str(tmp_path), "mail")["max_seconds"] == 300
+    with pytest.raises(feeds.RecipeError, match="no recipe"):
+        feeds.describe_recipe(str(tmp_path), "other")
+    with pytest.raises(feeds.RecipeError, match="isn't allowed"):
+        feeds.check_arguments({}, {"file": "/etc/passwd"}, path_allow="/data/.*")
+    feeds.check_arguments({}, {"file": "/data/x"}, path_allow="/data/.*")
+    ask = lambda seconds, key="k": feeds.run_named(spark, str(tmp_path), ["mail"], "mail", {}, seconds, str(tmp_path / "named"), key, lambda r, a: spark.range(r["version"]))
+    assert ask(60).count() == ask(60).count() == 1
+    with pytest.raises(feeds.RecipeError, match="at most 300"):
+        ask(900)
+    with pytest.raises(feeds.RecipeTimeout):
+        feeds.within(spark, 0.5, lambda: spark.range(4).repartition(4).rdd.map(lambda x: time.sleep(60)).count())
+    assert spark.range(3).count() == 3
     run = lambda: spark.range(3).toDF("n")
     assert feeds.run_once(spark, str(tmp_path / "r"), "k", {"a": 1}, run).count() == feeds.run_once(spark, str(tmp_path / "r"), "k", {"a": 1}, None).count() == 3
