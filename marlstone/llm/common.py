@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.operators.scratch import shared_folder
+
 #: Words are maximal runs of characters other than these six.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,21 +20,27 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit("")).cast("binary")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like those given that no column of ``df`` has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Scratch:
-    """Tables written for reuse, in the shared folder that the cluster names.
+    """Tables written for reuse, in the shared folder that ``spark.checkpoint.dir`` names.
 
-    The folder is read from ``spark.checkpoint.dir``. Only where that is unset,
-    as in tests on one machine, a temporary folder is made and set.
-    Written tables cut lineage and survive lost executors.
+    Written tables cut lineage and survive lost executors. They stay until that folder is cleared, or ``drop`` lets them go.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            root = tempfile.mkdtemp(prefix="spark-")
-            spark.conf.set("spark.checkpoint.dir", root)
         self.spark = spark
-        self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
 
     def keep(self, df: DataFrame) -> DataFrame:
