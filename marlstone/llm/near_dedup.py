@@ -8,14 +8,16 @@
    (the prefix). Postings with a single member fill the prefix first, so most documents drop out there.
 3. Postings are merged: pairs below the match threshold, pairs whose sizes can't reach
    the similarity and pairs already met in an earlier posting of both prefixes are
-   skipped. What a merge emits is a forest of candidate links, never all its pairs; long postings are
-   merged block against block, so a task holds two blocks at most.
-4. Candidate links make candidate groups. Inside a group each set is compared with the group's
-   first in full; if that leaves more than one part, the group's sets are compared
+   skipped. What a merge emits is a forest of candidate links, never all its pairs.
+4. Candidate links make candidate groups. Inside a group each set is compared in full with a few
+   ``CENTRES`` of the group; links found make fragments, and what is still apart is compared
    in full, block against block. Confirmed links make the components.
 
-Every real link lies inside one candidate group, so none is lost but by the chance in 2.
-Nothing is capped. Links, groups and sets stay in tables written to the shared folder.
+Postings of more than ``BLOCK`` members are merged as groups are confirmed: first each member with a few centres, then
+only members whose fragments are still apart. So a posting or group of a million copies costs a
+few comparisons a member, and a task holds the centres, or two blocks. Every real link lies
+inside one candidate group, so none is lost but by the chance in 2. Nothing is capped. Equal sets are told by their
+size and a 128-bit digest. Links, groups and sets stay in tables written to the shared folder.
 """
 
 from __future__ import annotations
@@ -26,16 +28,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marlstone.operators.components import connected_components
 
 from .bytesets import U64, MinHasher, pieces, shingle_hashes, word_hashes, word_spans
-from .common import Scratch, sorted_groups
+from .common import Scratch, fresh, sorted_groups
 
 K = 64
 MATCHES = 34
 PREFIX = K - MATCHES + 1
 BLOCK = 768
+CENTRES = 6
+SPREAD = 4096
 PERCENT = 80
 
 
@@ -105,33 +110,92 @@ class Forest:
         return x != y
 
 
+def _signatures(group: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint32).reshape(group.num_rows, K)
+
+
+def _agree(sig: np.ndarray, size: np.ndarray, sigs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which of several signatures agree with one in enough coordinates, at sizes that can reach the similarity."""
+    fit = (sigs == sig).sum(axis=1) >= MATCHES
+    return fit & (100 * np.minimum(sizes, size) >= PERCENT * np.maximum(sizes, size))
+
+
+def _links(a: list, b: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _apart(group: pa.Table) -> Forest:
+    """A forest in which the rows of each fragment are joined already."""
+    forest, first = Forest(group.num_rows), {}
+    for i, f in enumerate(group["frag"].to_pylist()):
+        forest.join(i, first.setdefault(f, i))
+    return forest
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate links (a, b) of sorted postings: rows (key, bi, bj, cid, n, mask, sig)."""
+    """Candidate links (a, b) of sorted postings: rows (key, bi, bj, block, frag, cid, n, mask, sig). Fragments are joined already."""
     bits = U64(1) << np.arange(K, dtype=U64)
     for group in sorted_groups(batches, ["key", "bi", "bj"]):
         m = group.num_rows
         if m < 2:
             continue
-        cid, size = group["cid"].to_numpy(), group["n"].to_numpy()
+        cid, size, sig = group["cid"].to_numpy(), group["n"].to_numpy(), _signatures(group)
         mask = (group["mask"].to_numpy().view(U64)[:, None] & bits) != 0
-        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint32).reshape(m, K)
         earlier = np.arange(K) < (group["key"][0].as_py() >> 32)
-        cross, block = group["bi"][0].as_py() != group["bj"][0].as_py(), group["block"].to_numpy()
-        forest, a, b = Forest(m), [], []
+        frag, forest, a, b = group["frag"].to_numpy(), _apart(group), [], []
         for i in range(m - 1):
-            agree = sig[i + 1 :] == sig[i]
-            fit = agree.sum(axis=1) >= MATCHES
-            fit &= 100 * np.minimum(size[i + 1 :], size[i]) >= PERCENT * np.maximum(size[i + 1 :], size[i])
-            if cross:
-                fit &= block[i + 1 :] != block[i]
+            fit = _agree(sig[i], size[i], sig[i + 1 :], size[i + 1 :]) & (frag[i + 1 :] != frag[i])
             if fit.any():
-                fit &= ~(agree & mask[i + 1 :] & mask[i] & earlier).any(axis=1)
+                fit &= ~((sig[i + 1 :] == sig[i]) & mask[i + 1 :] & mask[i] & earlier).any(axis=1)
             for j in np.flatnonzero(fit) + i + 1:
                 if forest.join(i, int(j)):
                     a.append(cid[i])
                     b.append(cid[j])
         if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield _links(a, b)
+
+
+def _with_centres(key: str, near):
+    """Links (a, b) of members with the centres that come before them, from rows sorted by (key, part, member).
+
+    ``near(centres, members)`` gives a matrix. Only the centres and one batch are held.
+    """
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, centres = None, None
+        for batch in batches:
+            keys = list(zip(batch.column(key).to_pylist(), batch.column("part").to_pylist(), strict=True))
+            lo = 0
+            while lo < len(keys):
+                hi = lo
+                while hi < len(keys) and keys[hi] == keys[lo]:
+                    hi += 1
+                group = pa.Table.from_batches([batch.slice(lo, hi - lo)])
+                if keys[lo] != at:
+                    at, centres = keys[lo], group.slice(0, 0)
+                member = group["member"].to_numpy(zero_copy_only=False)
+                centres = pa.concat_tables([centres, group.filter(pa.array(~member))])
+                group = group.filter(pa.array(member))
+                if group.num_rows and centres.num_rows:
+                    x, y = np.nonzero(near(centres, group))
+                    a, b = centres["cid"].to_numpy()[x], group["cid"].to_numpy()[y]
+                    if (a != b).any():
+                        yield _links(a[a != b], b[a != b])
+                lo = hi
+
+    return links
+
+
+def _near_signatures(centres: pa.Table, members: pa.Table) -> np.ndarray:
+    sig, size, sigs, sizes = _signatures(centres), centres["n"].to_numpy(), _signatures(members), members["n"].to_numpy()
+    return np.stack([_agree(s, n, sigs, sizes) for s, n in zip(sig, size, strict=True)])
+
+
+def _near_sets(centres: pa.Table, members: pa.Table) -> np.ndarray:
+    own, theirs = centres["cid"].to_pylist(), members["cid"].to_pylist()
+    first, sets = [np.frombuffer(x, U64) for x in centres["members"].to_pylist()], [np.frombuffer(x, U64) for x in members["members"].to_pylist()]
+    twice = set(own)  # two centres are compared once
+    return np.array([[(i < j or j not in twice) and _linked(x, c) for j, x in zip(theirs, sets, strict=True)] for i, c in zip(own, first, strict=True)])
 
 
 def _representative_sets(width: int):
@@ -155,13 +219,6 @@ def _linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(x) + len(y) - common)
 
 
-def _with_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        own, first = batch.column("members").to_pylist(), batch.column("first_members").to_pylist()
-        near = [_linked(np.frombuffer(x, U64), np.frombuffer(y, U64)) for x, y in zip(own, first, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("grp"), pa.array(near)], names=["cid", "grp", "near"])
-
-
 def _common(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of ``rows`` of sets with all sets, by products over slices of their shingles."""
     every = np.concatenate(sets)
@@ -181,44 +238,97 @@ def _common(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Confirmed links (a, b) of blocks of candidate groups: rows (grp, bi, bj, block, cid, near, members)."""
+    """Confirmed links (a, b) between fragments of candidate groups: rows (grp, bi, bj, block, frag, cid, members)."""
     for group in sorted_groups(batches, ["grp", "bi", "bj"]):
         m = group.num_rows
         if m < 2:
             continue
-        cid, block = group["cid"].to_numpy(), group["block"].to_numpy()
-        near = group["near"].to_numpy(zero_copy_only=False)
+        cid, frag = group["cid"].to_numpy(), group["frag"].to_numpy()
         sets = [np.frombuffer(x, U64) for x in group["members"].to_pylist()]
         size = np.array([len(s) for s in sets])
-        cross = group["bi"][0].as_py() != group["bj"][0].as_py()
-        forest, a, b = Forest(m), [], []
-        star = np.flatnonzero(near)
-        for j in star[1:]:
-            forest.join(int(star[0]), int(j))  # known to be one part already
+        forest, a, b = _apart(group), [], []
         for lo in range(0, m, 128):
             rows = np.arange(lo, min(lo + 128, m))
             if m > 24:
                 common = _common(sets, rows)
                 fit = 100 * common >= PERCENT * (size[rows][:, None] + size[None, :] - common)
             else:
-                fit = np.array([[_linked(sets[i], sets[j]) if j > i else False for j in range(m)] for i in rows])
-            if cross:
-                fit &= block[rows][:, None] != block[None, :]
+                fit = np.array([[_linked(sets[i], sets[j]) if j > i and frag[i] != frag[j] else False for j in range(m)] for i in rows])
+            fit &= frag[rows][:, None] != frag[None, :]
             for i, j in zip(*np.nonzero(fit), strict=True):
                 if rows[i] < j and forest.join(int(rows[i]), int(j)):
                     a.append(cid[rows[i]])
                     b.append(cid[j])
         if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield _links(a, b)
+
+
+def _dealt(rows: DataFrame, key: str, totals: DataFrame) -> DataFrame:
+    """Members of each key with its centres, for ``_with_centres``: parts of about SPREAD members, each with all centres.
+
+    ``totals`` has (key, total). Centres are the member that names the key, if one does, and the first by a hash; a window
+    group limit picks them before its shuffle.
+    """
+    sized = rows.join(totals.hint("merge"), key)
+    parts = F.ceil(F.col("total") / SPREAD).cast("int")
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col("cid") != F.col(key), F.xxhash64("cid"), "cid"))
+    centres = sized.select(key, "cid", "total").withColumn("place", place).filter(F.col("place") <= CENTRES).select(key, "cid")
+    members = sized.withColumn("part", F.pmod(F.xxhash64("cid", F.lit(3)), parts).cast("int")).withColumn("member", F.lit(True))
+    first = sized.join(centres.hint("merge"), [key, "cid"]).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("member", F.lit(False))
+    both = members.unionByName(first.select(*members.columns)).drop("total")
+    return both.repartition(key, "part").sortWithinPartitions(key, "part", "member", "cid")
+
 
+def _across(rows: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """Rows of (key, frag, cid, ...) dealt to (key, bi, bj) so that any two of a key from different fragments meet.
 
-def _blocked(rows: DataFrame, key: str, total: str) -> DataFrame:
-    """Deal the ``total`` rows of a key into blocks and repeat each row for every pair of blocks that it is in."""
-    blocks = F.ceil(F.col(total) / BLOCK).cast("int")
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")).drop("other", total)
-    return dealt.repartition(key, "bi", "bj").sortWithinPartitions(key, "bi", "bj", "cid")
+    The largest fragment's rows meet only rows of others, in blocks of about BLOCK. Keys with one fragment are done and drop out.
+    """
+    sizes = rows.groupBy(key, "frag").agg(F.count(F.lit(1)).alias("rows"))
+    split = sizes.groupBy(key).agg(F.sum("rows").alias("total"), F.max(F.struct("rows", "frag")).alias("largest")).filter("total > largest.rows")
+    split = scratch.keep(split.select(key, F.col("largest.frag").alias("main"), F.ceil((F.col("total") - F.col("largest.rows")) / BLOCK).cast("int").alias("others"), F.ceil(F.col("largest.rows") / BLOCK).cast("int").alias("mains")))
+    known = rows.join(split.hint("merge"), key)
+    inside = F.col("frag") == F.col("main")
+    spot = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    known = known.withColumn("block", F.when(inside, F.col("others") + spot("mains")).otherwise(spot("others")))
+    known = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1))))
+    known = known.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")).drop("other", "main", "others", "mains")
+    return known.repartition(key, "bi", "bj").sortWithinPartitions(key, "bi", "bj", "cid")
+
+
+def _candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(cid, grp): groups of classes (cid, n, sig) that hold all pairs which agree in enough coordinates and share a posting of both prefixes."""
+    posted = classes.select("sig", "cid").mapInArrow(_postings, "key long, cid long")
+    shared = scratch.keep(posted.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"))
+    met = posted.join(shared.hint("merge"), "key")
+    ranked = met.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("times", "key"))).alias("met"))  # at most K entries
+    chosen = ranked.withColumn("met", F.slice("met", 1, F.greatest(F.lit(0), F.size("met") - (K - PREFIX)))).filter("size(met) > 0")
+    mask = F.expr("aggregate(met, 0L, (acc, x) -> acc | shiftleft(1L, cast(shiftright(x.key, 32) as int)))")
+    prefix = scratch.keep(chosen.select("cid", mask.alias("mask"), F.col("met.key").alias("keys")))
+    entries = prefix.select("cid", F.explode("keys").alias("key"))
+    totals = scratch.keep(entries.groupBy("key").agg(F.count(F.lit(1)).alias("total")).filter("total > 1"))
+    described = prefix.select("cid", "mask").join(classes.select("cid", "n", "sig"), "cid")
+    full = entries.join(totals.hint("merge"), "key").join(described, "cid")
+    zero = F.lit(0)
+    plain = ["key", "bi", "bj", "block", "frag", "cid", "n", "mask", "sig"]
+    short = full.filter(F.col("total") <= BLOCK).withColumns({"bi": zero, "bj": zero, "block": zero, "frag": F.col("cid")})
+    links = short.select(*plain).repartition("key").sortWithinPartitions("key", "cid").mapInArrow(_merge, LINKS)
+    long = scratch.keep(totals.filter(F.col("total") > BLOCK))
+    if long.isEmpty():
+        return _groups(scratch.keep(links), scratch)
+    members = scratch.keep(entries.join(long.select("key").hint("merge"), "key").join(described, "cid"))
+    links = scratch.keep(links.unionByName(_dealt(members.select("key", "cid", "n", "sig"), "key", long).mapInArrow(_with_centres("key", _near_signatures), LINKS)))
+    found = _groups(links, scratch)
+    split = members.join(found, "cid", "left").withColumn("frag", F.coalesce("grp", "cid")).drop("grp")
+    more = scratch.keep(_across(split, "key", scratch).select(*plain).mapInArrow(_merge, LINKS))
+    return found if more.isEmpty() else _groups(links.unionByName(more), scratch)
+
+
+LINKS = "a long, b long"
+
+
+def _groups(links: DataFrame, scratch: Scratch) -> DataFrame:
+    return scratch.keep(connected_components(links, scratch).withColumnRenamed("component", "grp").withColumnRenamed("node", "cid"))
 
 
 def near_classes(docs: DataFrame, width: int = 5, number: str | None = None) -> DataFrame:
@@ -230,42 +340,28 @@ def near_classes(docs: DataFrame, width: int = 5, number: str | None = None) ->
     rows that repeat an id if their texts are linked. Null ids are passed over for component_id. Other
     columns are ignored. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near")
-    place = F.col(number) if number else F.monotonically_increasing_id()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), place.alias("uid"), F.coalesce("text", F.lit("")).alias("text"))
+    scratch = Scratch(docs.sparkSession, "near")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(number) if number else F.monotonically_increasing_id()).alias("uid"), F.coalesce("text", F.lit("")).alias("text"))
+    if number is None:
+        texts = scratch.keep(texts)  # a row keeps its number in every pass
     rows = scratch.keep(texts.mapInArrow(_features(width), "doc_id long, uid long, n long, lo long, hi long, sig binary"))
     classes = rows.filter("n > 0").groupBy("n", "lo", "hi").agg(F.min("uid").alias("cid"), F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"))
     classes = scratch.keep(classes)
+    groups = _candidates(classes, scratch)
+    totals = scratch.keep(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("total")))
 
-    # postings that two or more classes share, and of those each class's prefix
-    posted = classes.select("sig", "cid").mapInArrow(_postings, "key long, cid long")
-    shared = scratch.keep(posted.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"))
-    met = posted.join(shared.hint("merge"), "key")
-    ranked = met.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("times", "key"))).alias("met"))  # at most K entries
-    chosen = ranked.withColumn("met", F.slice("met", 1, F.greatest(F.lit(0), F.size("met") - (K - PREFIX)))).filter("size(met) > 0")
-    mask = F.expr("aggregate(met, 0L, (acc, x) -> acc | shiftleft(1L, cast(shiftright(x.key, 32) as int)))")
-    prefix = scratch.keep(chosen.select("cid", mask.alias("mask"), F.col("met.key").alias("keys")))
-    entries = prefix.select("cid", F.explode("keys").alias("key"))
-    merged = scratch.keep(entries.groupBy("key").agg(F.count(F.lit(1)).alias("total")).filter("total > 1"))
-    full = entries.join(merged.hint("merge"), "key").join(prefix.select("cid", "mask").join(classes.select("cid", "n", "sig"), "cid"), "cid")
-    links = scratch.keep(_blocked(full.select("key", "cid", "n", "mask", "sig", "total"), "key", "total").select("key", "bi", "bj", "block", "cid", "n", "mask", "sig").mapInArrow(_merge, "a long, b long"))
-
-    groups = scratch.keep(connected_components(links, scratch).withColumnRenamed("component", "grp").withColumnRenamed("node", "cid"))
-    sizes = scratch.keep(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("total")))
     # the sets of all that are in a group, from their whole texts
     sought = texts.select("uid", "text").join(groups, texts["uid"] == groups["cid"]).select("cid", "grp", "text")
     sets = scratch.keep(sought.mapInArrow(_representative_sets(width), "cid long, grp long, members binary"))
-    firsts = sets.filter("cid = grp").select("grp", F.col("members").alias("first_members"))
-    stars = scratch.keep(sets.join(firsts.hint("merge"), "grp").mapInArrow(_with_first, "cid long, grp long, near boolean"))
-    confirmed = stars.filter("near").select(F.col("cid").alias("a"), F.col("grp").alias("b"))
-    open_groups = scratch.keep(stars.filter("not near").select("grp").distinct().join(sizes, "grp"))
-    open_rows = sets.join(open_groups.hint("merge"), "grp").join(stars.select("cid", "near"), "cid")
-    rest = _blocked(open_rows.select("grp", "cid", "near", "members", "total"), "grp", "total").select("grp", "bi", "bj", "block", "cid", "near", "members")
-    confirmed = scratch.keep(confirmed.unionByName(rest.mapInArrow(_confirm, "a long, b long")))
-
-    parts = connected_components(confirmed, scratch).withColumnRenamed("node", "cid")
-    labelled = classes.select("n", "lo", "hi", "cid", "first_id").join(parts, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    confirmed = scratch.keep(_dealt(sets, "grp", totals).mapInArrow(_with_centres("grp", _near_sets), LINKS))
+    parts = _groups(confirmed, scratch)
+    large = totals.filter(F.col("total") > CENTRES).select("grp")  # in smaller ones all were compared
+    split = sets.join(large.hint("merge"), "grp").join(parts.withColumnRenamed("grp", "frag"), "cid", "left").withColumn("frag", F.coalesce("frag", "cid"))
+    rest = _across(split, "grp", scratch).select("grp", "bi", "bj", "block", "frag", "cid", "members")
+    more = scratch.keep(rest.mapInArrow(_confirm, LINKS))
+    if not more.isEmpty():
+        parts = _groups(confirmed.unionByName(more), scratch)
+    labelled = classes.select("n", "lo", "hi", "cid", "first_id").join(parts, "cid", "left").withColumn("component", F.coalesce("grp", "cid")).drop("grp")
     labelled = scratch.keep(labelled)
     least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
     labelled = labelled.join(least, "component").select("n", "lo", "hi", "component", "component_id")
@@ -274,20 +370,21 @@ def near_classes(docs: DataFrame, width: int = 5, number: str | None = None) ->
 
 
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept (doc_id is the component's smallest)."""
+    """doc_id, n_shingles, component_id, kept (doc_id is the component's smallest). Rows, nulls and repeats are as in ``near_classes``."""
     found = near_classes(docs, width)
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
-    """The rows of ``docs``, one of each near-duplicate group: the one with the smallest doc_id.
+    """The rows of ``docs``, one of each near-duplicate group: the one with the smallest doc_id; null ids come last.
 
-    Of rows that repeat that id one stays; texts without words stay as they are. The table is written with
-    row numbers first, so that a row means the same document in every pass.
+    Of rows that repeat that id one stays; null texts and texts without words stay as they are. Columns of any name stay. The
+    table is written with row numbers first, so that a row means the same document in every pass. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "rows")
-    numbered = scratch.keep(docs.select("*", F.monotonically_increasing_id().alias("__row")))
-    found = near_classes(numbered.select("doc_id", "text", "__row"), width, "__row")
-    best = found.filter("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid"))["uid"].alias("__row"), F.count(F.lit(1)).alias("size"))
-    gone = found.filter("component is not null").select(F.col("uid").alias("__row")).join(best.select("__row"), "__row", "left_anti")
-    return numbered.join(gone, "__row", "left_anti").drop("__row")
+    (number,) = fresh(docs, "row_number")
+    numbered = scratch.keep(docs.select("*", F.monotonically_increasing_id().alias(number)))
+    found = near_classes(numbered.select("doc_id", "text", number), width, number)
+    best = found.filter("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid"))["uid"].alias("uid"))
+    gone = found.filter("component is not null").select("uid").join(best, "uid", "left_anti").withColumnRenamed("uid", number)
+    return numbered.join(gone, number, "left_anti").drop(number)
