@@ -2,50 +2,62 @@
 
 Keys and virtual nodes are hashed onto a ring. A key goes to the first shard
 clockwise that still has room; no shard takes more than (1 + ``slack``) times the
-mean number of bytes. Keys are placed by the ring's arc: the ring has a fixed
-number of arcs, so the table of bytes per arc has a proven bound whatever the
-input, and only that table is walked on the driver. A heavy arc (say, a
-key that holds a third of all rows) is split by a hash of the row into more cells.
+mean number of bytes. Keys are placed by the ring's arc: there are ``ARCS`` arcs for each
+shard, so the table of bytes per arc has a proven bound whatever the
+input, and only that table is walked on the driver, each arc from its own place until there is room. A heavy arc (say, a
+key that holds a third of all rows) is split into cells by a hash of its rows' texts, which moves with
+them, and a cell that is still heavy (one text very often) by the rows' places.
 
 Scale: one narrow pass counts bytes per cell with partial sums; the cell-to-shard
-table (at most ``ARCS + 512 * SPLIT`` rows) is broadcast; slots are numbered
+table is broadcast up to ``BROADCAST`` rows and joined beyond; slots are numbered
 within (shard, input partition), so that no window spans a shard.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bytesets import U64, mix64
-from .common import Scratch, utf8
+from .common import Scratch, fresh, utf8
 
-ARCS = 1 << 14
+ARCS = 1 << 11
 SPLIT = 256
 VIRTUAL = 256
 SLACK = 0.01
-
-
-def ring_orders(shards: int, virtual: int = VIRTUAL, arcs: int = ARCS) -> list[list[int]]:
-    """Shards in clockwise order from each arc. A shard's nodes don't depend on how many shards there are."""
-    node = (np.arange(shards, dtype=U64)[:, None] << U64(32)) + np.arange(virtual, dtype=U64)[None, :]
-    spots = (mix64(node.ravel() + U64(0x51ED2701)) >> U64(11)).astype(np.float64) / float(1 << 53)
-    owners = np.repeat(np.arange(shards), virtual)[np.argsort(spots, kind="stable")]
-    spots = np.sort(spots, kind="stable")
-    firsts = np.searchsorted(spots, (np.arange(arcs) + 0.5) / arcs)
-    out = []
-    for at in firsts:
-        order: list[int] = []
-        k = int(at)
-        while len(order) < shards:
-            owner = int(owners[k % len(owners)])
-            if owner not in order:
-                order.append(owner)
+#: A cell table of more rows isn't broadcast.
+BROADCAST = 1 << 19
+
+
+def arcs_of(shards: int) -> int:
+    """The number of arcs: a power of two, at least ARCS for each shard."""
+    return 1 << (ARCS * shards - 1).bit_length()
+
+
+class Ring:
+    """Virtual nodes of shards in clockwise order. A shard's nodes don't depend on how many shards there are."""
+
+    def __init__(self, shards: int, virtual: int = VIRTUAL):
+        node = (np.arange(shards, dtype=U64)[:, None] << U64(32)) + np.arange(virtual, dtype=U64)[None, :]
+        spots = (mix64(node.ravel() + U64(0x51ED2701)) >> U64(11)).astype(np.float64) / float(1 << 53)
+        order = np.argsort(spots, kind="stable")
+        self.shards, self.spots, self.owners = shards, spots[order], np.repeat(np.arange(shards), virtual)[order].tolist()
+        self.arcs = arcs_of(shards)
+        self.firsts = np.searchsorted(self.spots, (np.arange(self.arcs) + 0.5) / self.arcs).tolist()
+
+    def clockwise(self, arc: int) -> Iterator[int]:
+        """Each shard once, in the order in which its nodes are met from an arc."""
+        met, k = set(), self.firsts[arc]
+        while len(met) < self.shards:
+            owner = self.owners[k % len(self.owners)]
+            if owner not in met:
+                met.add(owner)
+                yield owner
             k += 1
-        out.append(order)
-    return out
 
 
 def place_cells(cells: list[tuple[int, int, int]], shards: int, slack: float = SLACK) -> dict[tuple[int, int], int]:
@@ -53,26 +65,31 @@ def place_cells(cells: list[tuple[int, int, int]], shards: int, slack: float = S
 
     A cell that fits nowhere (larger than all the room left) goes to the least loaded shard.
     """
-    orders = ring_orders(shards)
+    ring = Ring(shards)
     most = (1 + slack) * sum(c[2] for c in cells) / shards
-    code = mix64(np.array([c[0] * SPLIT * 4 + c[1] + 1 for c in cells], dtype=U64))
+    code = mix64(np.array([(c[0] << 24) + c[1] + 1 for c in cells], dtype=U64))
     load, out = [0] * shards, {}
     for i in np.argsort(code, kind="stable"):
         arc, cell, size = cells[i]
-        to = next((s for s in orders[arc] if load[s] + size <= most), None)
+        to = next((s for s in ring.clockwise(arc) if load[s] + size <= most), None)
         to = min(range(shards), key=lambda s: (load[s], s)) if to is None else to
         load[to] += size
         out[arc, cell] = to
     return out
 
 
-def _row_arc(doc_id: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(ARCS)).cast("int")
+def _row_arc(doc_id: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(arcs_of(shards))).cast("int")
 
 
-def _cell(arc: Column, uid: Column, heavy: list[int]) -> Column:
-    """-1, or the row's part of a heavy arc."""
-    return F.when(arc.isin(heavy), F.pmod(F.xxhash64(uid), F.lit(SPLIT)).cast("int")).otherwise(F.lit(-1))
+def _cell(row: DataFrame, heavy: list[int], heavier: list[tuple[int, int]]) -> DataFrame:
+    """Adds ``cell``: -1, the row's part of a heavy arc by its text, or by its place too where that part is still heavy."""
+    by_text = F.pmod(F.xxhash64("text_crc32", "size"), F.lit(SPLIT)).cast("int")
+    by_place = F.lit(SPLIT) + by_text * SPLIT + F.pmod(F.xxhash64("uid"), F.lit(SPLIT)).cast("int")
+    again = F.lit(False)
+    for arc in sorted({a for a, _ in heavier}):
+        again = again | ((F.col("arc") == arc) & by_text.isin([c for a, c in heavier if a == arc]))
+    return row.withColumn("cell", F.when(~F.col("arc").isin(heavy), -1).when(again, by_place).otherwise(by_text))
 
 
 def assign_shards(docs: DataFrame, shards: int = 8, slack: float = SLACK) -> DataFrame:
@@ -84,42 +101,69 @@ def assign_shards(docs: DataFrame, shards: int = 8, slack: float = SLACK) -> Dat
     and are split only if the arc is heavy; null ids share one. Other columns are ignored. An
     empty table gives no rows.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "ring")
+    return _numbered(_narrow(docs), shards, slack).drop("uid")
+
+
+def sharded(docs: DataFrame, shards: int = 8, slack: float = SLACK) -> DataFrame:
+    """The rows of ``docs`` with all their columns, and size, text_crc32, law, shard, slot and grown_shard as in ``assign_shards``.
+
+    Columns of these names give way to the new ones. Every row stays, repeated ones and
+    null texts too; an empty table gives no rows. The table is written with row numbers first, by which rows and their places meet.
+    """
+    return _with_places(docs, shards, slack, ["size", "text_crc32", "law", "shard", "slot", "grown_shard"])
+
+
+def _with_places(docs: DataFrame, shards: int, slack: float, made: list[str]) -> DataFrame:
+    (number,) = fresh(docs, "row_number", *made)[:1]
+    written = Scratch(docs.sparkSession, "rows").keep(docs.withColumn(number, F.monotonically_increasing_id()))
+    placed = _numbered(_narrow(written, number), shards, slack).select(F.col("uid").alias(number), *made)
+    kept = [c for c in docs.columns if c.lower() not in made]
+    return written.select(number, *kept).join(placed.hint("merge"), number).select(*kept, *made)
+
+
+def _narrow(docs: DataFrame, number: str | None = None) -> DataFrame:
     raw = utf8(F.col("text"))
-    narrow = docs.select("doc_id", (F.octet_length(raw) + F.lit(1)).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.monotonically_increasing_id().alias("uid"))
-    rows = scratch.keep(narrow.withColumn("arc", _row_arc(F.col("doc_id"))))
-    placed, heavy = cell_table(rows, shards, slack)
-    rows = rows.withColumn("cell", _cell(F.col("arc"), F.col("uid"), heavy))
-    rows = rows.join(F.broadcast(placed), ["arc", "cell"]).withColumn("block", F.shiftright("uid", 33))
+    return docs.select("doc_id", (F.octet_length(raw) + F.lit(1)).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), (F.col(number) if number else F.monotonically_increasing_id()).alias("uid"))
+
+
+def _numbered(narrow: DataFrame, shards: int, slack: float) -> DataFrame:
+    """Places of rows (doc_id, size, text_crc32, uid)."""
+    scratch = Scratch(narrow.sparkSession, "ring")
+    rows = scratch.keep(narrow.withColumn("arc", _row_arc(F.col("doc_id"), shards)))
+    placed, heavy, heavier = cell_table(rows, shards, slack)
+    rows = _cell(rows, heavy, heavier).join(placed, ["arc", "cell"]).withColumn("block", F.shiftright("uid", 33))
     counts = rows.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("shard", "block", (F.sum("n").over(Window.partitionBy("shard").orderBy("block")) - F.col("n")).alias("before"))
+    before = counts.select("shard", "block", (F.sum("n").over(Window.partitionBy("shard").orderBy("block")) - F.col("n")).alias("before"))  # a row per shard and input partition
     inner = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "uid"))
     numbered = rows.withColumn("at", inner - 1).join(before, ["shard", "block"])
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("at") + F.col("before")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return numbered.select("doc_id", "uid", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("at") + F.col("before")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-def cell_table(rows: DataFrame, shards: int, slack: float = SLACK) -> tuple[DataFrame, list[int]]:
-    """((arc, cell, shard), heavy arcs) for rows of (size, uid, arc); cell -1 stands for a whole arc."""
-    arcs = {r.arc: int(r.b) for r in rows.groupBy("arc").agg(F.sum("size").alias("b")).collect()}  # at most ARCS rows
+def cell_table(rows: DataFrame, shards: int, slack: float = SLACK) -> tuple[DataFrame, list[int], list[tuple[int, int]]]:
+    """((arc, cell, shard), heavy arcs, heavy cells) for rows of (size, text_crc32, uid, arc); cell -1 stands for a whole arc."""
+    arcs = {r.arc: int(r.b) for r in rows.groupBy("arc").agg(F.sum("size").alias("b")).collect()}  # at most ``arcs_of(shards)`` rows
     total = sum(arcs.values())
-    heavy = [a for a, b in arcs.items() if b * 512 > total and b > 1 << 16]  # fewer than 512
-    cells = [(a, -1, b) for a, b in arcs.items() if a not in set(heavy)]
+    limit = max(total / 512 * 8 / max(8, shards), 1 << 16)
+    heavy = [a for a, b in arcs.items() if b > limit]
+    cells, heavier = [(a, -1, b) for a, b in arcs.items() if b <= limit], []
+
+    def split() -> list[tuple[int, int, int]]:
+        inside = rows.filter(F.col("arc").isin(heavy))
+        return [(r.arc, r.cell, int(r.b)) for r in _cell(inside, heavy, heavier).groupBy("arc", "cell").agg(F.sum("size").alias("b")).collect()]  # at most SPLIT or SPLIT * SPLIT for each heavy arc
+
     if heavy:
-        split = rows.filter(F.col("arc").isin(heavy)).groupBy("arc", _cell(F.col("arc"), F.col("uid"), heavy).alias("cell")).agg(F.sum("size").alias("b"))
-        cells += [(r.arc, r.cell, int(r.b)) for r in split.collect()]
+        parts = split()
+        heavier = [(a, c) for a, c, b in parts if b > limit]
+        cells += split() if heavier else parts
     placed = place_cells(sorted(cells), shards, slack)
-    return rows.sparkSession.createDataFrame([(a, c, s) for (a, c), s in placed.items()] or [(-1, -1, 0)], "arc int, cell int, shard int"), heavy
+    table = rows.sparkSession.createDataFrame([(a, c, s) for (a, c), s in placed.items()] or [(-1, -1, 0)], "arc int, cell int, shard int")
+    return F.broadcast(table) if len(placed) <= BROADCAST else table, heavy, heavier
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, slack: float = SLACK) -> None:
-    """Write the rows of ``docs`` under ``path/shard=N``; texts are not shuffled.
+    """Write the rows of ``docs`` under ``path/shard=N``, each with its slot; rows and nulls are as in ``sharded``.
 
-    A column of ``docs`` named shard gives way to the new one.
+    Columns of ``docs`` named shard and slot give way to the new ones.
     """
-    narrow = docs.select("doc_id", (F.octet_length(utf8(F.col("text"))) + F.lit(1)).cast("long").alias("size"), F.monotonically_increasing_id().alias("uid"))
-    placed, heavy = cell_table(narrow.withColumn("arc", _row_arc(F.col("doc_id"))), shards, slack)
-    keyed = docs.drop("shard").withColumn("__arc", _row_arc(docs["doc_id"])).withColumn("__uid", F.monotonically_increasing_id())
-    keyed = keyed.withColumn("__cell", _cell(F.col("__arc"), F.col("__uid"), heavy))
-    joined = keyed.join(F.broadcast(placed), (F.col("__arc") == placed["arc"]) & (F.col("__cell") == placed["cell"]))
-    joined.select(*[keyed[c] for c in docs.columns if c != "shard"], placed["shard"]).write.partitionBy("shard").parquet(path)
+    placed = _with_places(docs, shards, slack, ["shard", "slot"])
+    placed.repartition("shard", F.floor(F.col("slot") / F.lit(100_000))).write.partitionBy("shard").parquet(path)
