@@ -9,8 +9,8 @@ Features are which of the selected words (runs of letters) and word beginnings (
 text has, and shares of upper case, symbols, digits and repeated words.
 They are selected on the labelled sample by their association with a category,
 by a distributed count of documents. The models are fitted on at most
-``max_rows`` labelled rows, taken in order of a hash of the id; the bound is a
-parameter. Scoring is one pass over whole texts, without a shuffle.
+``max_rows`` labelled rows, taken by a hash of the id; the bound is a
+parameter. They are written once, with their texts. Scoring is one pass over whole texts, without a shuffle.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import NOT_LETTER, SPACE, U64, pieces, prefix_hashes, word_hashes, word_spans
+from .common import Scratch
 
 MAX_ROWS = 12_000
 PER_CATEGORY = 384
@@ -135,7 +136,7 @@ def _design(model_args: tuple, categories: list[str]):
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]), pa.int32()), pa.array(features.astype(np.int32)))
                 shares = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * DENSE, pa.int32()), pa.array(dense.ravel()))
                 part = batch.slice(row, n)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, shares, *[part.column(c) for c in categories]], names=["doc_id", "features", "dense", *categories])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("fold"), lists, shares, *[part.column(c) for c in categories]], names=["doc_id", "fold", "features", "dense", *categories])
 
     return rows_of
 
@@ -165,19 +166,33 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 2e-3, steps: int = 150)
     return w
 
 
+def _bounded(known: DataFrame, max_rows: int, seed: int) -> DataFrame:
+    """At most ``max_rows`` rows: those below a bound of a hash of doc_id, found from counts by steps of the hash; all, if there are no more."""
+    step = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 48)
+    least, held = 1 << 16, 0
+    for r in sorted(known.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r.step):  # at most 2^16 rows
+        held += r.n
+        if held > max_rows:
+            least = r.step
+            break
+    return known.filter(step < least)
+
+
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: int = MAX_ROWS, seed: int = 11) -> ChainModel:
     """Fit the chain on labelled documents.
 
     ``labels`` has doc_id and a column 0/1 for each category; rows with a null
-    label or a null id, and labels without a document, aren't used. Without rows all probabilities are 0.
+    label or a null id, and labels without a document, aren't used; an id that is labelled twice counts once. Equal texts are in one
+    fold, so that none is judged by a model that learnt it. Without rows all probabilities are 0.
     """
-    pick = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    scratch = Scratch(docs.sparkSession, "labelled")
     known = labels.select("doc_id", *[F.col(c).cast("int").alias(c) for c in categories]).dropna().dropDuplicates(["doc_id"])
-    sample = F.broadcast(known.orderBy(pick, "doc_id").limit(max_rows))  # at most max_rows rows
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(sample, "doc_id")
+    sample = F.broadcast(_bounded(known, max_rows, seed))  # at most max_rows rows
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(sample, "doc_id")
+    rows = scratch.keep(texts.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")))
     schema = "feature long, n long, " + ", ".join(f"n_{c} long" for c in categories)
     counted = rows.select("text", *categories).mapInArrow(_count_features(categories), schema)
-    totals = known.orderBy(pick, "doc_id").limit(max_rows).agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in categories]).first()
+    totals = rows.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in categories]).first()
     counts = counted.groupBy("feature").agg(F.sum("n").alias("n"), *[F.sum(f"n_{c}").alias(f"n_{c}") for c in categories]).filter("n >= 3")
     selected: set[int] = set()
     scores = []
@@ -185,14 +200,13 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], max_row
         share = (totals[c] + 0.5) / (totals.n + 1)
         z = (F.col(f"n_{c}") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) + 0.25)
         scores.append(F.abs(z).alias(f"z_{c}"))
-    best = counts.select("feature", *scores).persist()
+    best = scratch.keep(counts.select("feature", *scores))
     for c in categories:
         selected |= {r.feature for r in best.filter(F.col(f"z_{c}") > 3.5).orderBy(F.desc(f"z_{c}"), "feature").limit(PER_CATEGORY).collect()}
-    best.unpersist()
     chosen = np.sort(np.array(sorted(selected), dtype=np.int64).view(U64))
     blank = (categories, chosen, np.zeros(DENSE), np.ones(DENSE), [], 0.5)
-    found = rows.mapInArrow(_design(blank, categories), "doc_id long, features array<int>, dense array<double>, " + ", ".join(f"{c} int" for c in categories))
-    got = found.orderBy("doc_id").toPandas()  # at most max_rows rows of at most PER_CATEGORY features a category
+    found = rows.mapInArrow(_design(blank, categories), "doc_id long, fold int, features array<int>, dense array<double>, " + ", ".join(f"{c} int" for c in categories))
+    got = found.orderBy("doc_id", "fold", "features").toPandas()  # at most max_rows rows of at most PER_CATEGORY features a category
     if not len(got):
         return ChainModel(categories, chosen[:0], np.zeros(DENSE), np.ones(DENSE), [np.append(np.zeros(DENSE + c), -30.0) for c in range(len(categories))], 0.5)
     dense = np.stack(got["dense"].to_numpy())
@@ -201,7 +215,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], max_row
     for i, f in enumerate(got["features"]):
         x[i, f] = 1
     x[:, len(chosen) :] = np.clip((dense - center) / scale, -8, 8)
-    fold = (got["doc_id"].to_numpy() * 2654435761 >> 7) % FOLDS
+    fold = got["fold"].to_numpy()
     weights, limit = [], 0.5
     for c in categories:
         y = got[c].to_numpy().astype(np.float64)
@@ -252,6 +266,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, categories: list[str], m
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: int = MAX_ROWS) -> DataFrame:
-    """The rows of ``docs`` that the chain's last category doesn't reject."""
+    """The rows of ``docs`` that the chain's last category doesn't reject, with their columns of any name.
+
+    Rows aren't shuffled. Null texts count as empty; repeated rows are judged alike and all
+    stay or go; without labels all stay. An empty table gives no rows.
+    """
     model = fit_chain(docs, labels, categories, max_rows)
     return docs.filter(chain_probabilities(model, docs)[len(categories) - 1] <= model.limit)
