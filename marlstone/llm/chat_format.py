@@ -19,12 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import string_buffers
 
 START, MIDDLE, END = b"<|im_start|>", b"\n", b"<|im_end|>\n"
+PIECE = 64 << 20
 FORMATTED = "conv_id long, n_turns long, formatted string, loss_spans array<struct<first:long,last:long>>"
 
 
@@ -43,12 +45,8 @@ def _scatter(out: np.ndarray, to: np.ndarray, raw: np.ndarray, starts: np.ndarra
 
 
 def assemble(table: pa.Table) -> pa.RecordBatch:
-    """Format whole conversations from rows of (conv_id, role, text, loss), sorted and escaped."""
-    n = table.num_rows
-    ids = table["conv_id"].combine_chunks()
-    known = ids.is_valid().to_numpy(zero_copy_only=False)
-    values = ids.fill_null(0).to_numpy()
-    first = np.flatnonzero(np.concatenate([[True], (values[1:] != values[:-1]) | (known[1:] != known[:-1])]))
+    """Format whole conversations from rows of (chat, alone, conv_id, role, text, loss), sorted and escaped."""
+    n, ids, first = table.num_rows, table["conv_id"].combine_chunks(), _firsts(table)
     roles, role_at = string_buffers(table["role"])
     texts, text_at = string_buffers(table["text"])
     role_n, text_n = np.diff(role_at), np.diff(text_at)
@@ -77,25 +75,39 @@ def assemble(table: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids.take(pa.array(first)), pa.array(np.diff(np.append(first, n))), formatted, lists], names=["conv_id", "n_turns", "formatted", "loss_spans"])
 
 
+def _firsts(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """Where conversations begin."""
+    chat, alone = table.column("chat").to_numpy(), table.column("alone").to_numpy(zero_copy_only=False)
+    return np.flatnonzero(np.concatenate([[True], (chat[1:] != chat[:-1]) | (alone[1:] != alone[:-1])]))
+
+
+def _pieces(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Whole conversations formatted in pieces of about PIECE bytes, so that a buffer of many long ones stays bounded."""
+    size = np.cumsum(len(START) + len(MIDDLE) + len(END) + sum(pc.binary_length(table[name]).to_numpy() for name in ("role", "text")))
+    ends = np.append(_firsts(table)[1:], table.num_rows)
+    lo, done = 0, 0
+    for i, end in enumerate(ends):
+        if i + 1 == len(ends) or size[ends[i + 1] - 1] - done > PIECE:
+            yield assemble(table.slice(lo, end - lo))
+            lo, done = end, size[end - 1]
+
+
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pass whole conversations on, holding back the one that a batch leaves open."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids = batch.column("conv_id").to_pylist()
-        if held and held[-1].column("conv_id")[0].as_py() != ids[0]:
-            yield assemble(pa.Table.from_batches(held))
+        if held and any(held[-1].column(c)[0] != batch.column(c)[0] for c in ("chat", "alone")):
+            yield from _pieces(pa.Table.from_batches(held))
             held = []
-        cut = len(ids)
-        while cut and ids[cut - 1] == ids[-1]:
-            cut -= 1
+        cut = int(_firsts(batch)[-1])
         if cut:
-            yield assemble(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            yield from _pieces(pa.Table.from_batches([*held, batch.slice(0, cut)]))
             held = []
         held.append(batch.slice(cut))
     if held:
-        yield assemble(pa.Table.from_batches(held))
+        yield from _pieces(pa.Table.from_batches(held))
 
 
 def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
@@ -103,14 +115,15 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
     ``turns`` has conv_id, turn, role, text. Null texts and roles count as empty; rows that
     share a turn go by role, then text, and each is a turn; null turns come first. Rows
-    without conv_id are one conversation. loss_spans are [first, last) code points of
+    without conv_id belong together with nothing, so each is a conversation of its own. loss_spans are [first, last) code points of
     the texts (escaped) of ``loss_role``, in order. Other columns are ignored. An empty
     table gives no rows.
     """
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("__role"), F.coalesce("text", F.lit("")).alias("__text"))
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "__role", "__text")
-    role = escape_text(F.regexp_replace(F.regexp_replace("__role", r"\\", r"\\\\"), "\n", r"\\n"))
-    rows = rows.select("conv_id", role.alias("role"), escape_text(F.col("__text")).alias("text"), (F.col("__role") == loss_role).alias("loss"))
+    chat = F.coalesce(F.col("conv_id").cast("long"), F.monotonically_increasing_id())
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), chat.alias("chat"), F.col("conv_id").isNull().alias("alone"), "turn", F.coalesce("role", F.lit("")).alias("said_by"), F.coalesce("text", F.lit("")).alias("said"))
+    rows = rows.repartition("chat", "alone").sortWithinPartitions("alone", "chat", "turn", "said_by", "said")
+    role = escape_text(F.regexp_replace(F.regexp_replace("said_by", r"\\", r"\\\\"), "\n", r"\\n"))
+    rows = rows.select("chat", "alone", "conv_id", role.alias("role"), escape_text(F.col("said")).alias("text"), (F.col("said_by") == loss_role).alias("loss"))
     return rows.mapInArrow(_whole, FORMATTED)
 
 

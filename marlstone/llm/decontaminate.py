@@ -10,9 +10,9 @@ that window is at least 0.19 at containment 0.8. A window that shares a MinHash
 coordinate with an item makes the document a candidate, and the exact containment of the item's shingles in
 the whole document decides. Minima of blocks are merged upwards from class to class.
 
-Scale: one pass over the texts, without a shuffle. The item index is broadcast in blocks of
-``BLOCK_ITEMS`` items or ``BLOCK_BYTES`` of text, so its size is bounded
-however large the benchmark is; more blocks mean more passes.
+Scale: one pass over the texts, without a shuffle. The item index is broadcast in blocks of at most
+``BLOCK_ITEMS`` items and ``BLOCK_BYTES`` of text (or one item that is longer), so its size is bounded
+however large the benchmark is; a benchmark of more blocks costs a pass for each.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .bytesets import U64, MinHasher, pieces, shingle_hashes, stream64, word_hashes, word_spans
 from .common import utf8
 
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS = 50_000
 BLOCK_BYTES = 32 << 20
 COORDINATES = 48
 SMALLEST = 8
@@ -134,11 +134,17 @@ def item_indexes(benchmark: DataFrame, width: int) -> list:
     """Broadcast indexes of bounded blocks of items; items without words are in none."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(utf8(F.col("text")))), F.lit(0)).alias("b")).first()
-    blocks = max(1, -(-size.n // BLOCK_ITEMS), -(-size.b // BLOCK_BYTES))
+    sized = items.select(F.octet_length(utf8(F.col("text"))).alias("b"), F.xxhash64("text", "item_id").alias("h"))
+    blocks = 1
+    while True:
+        block = lambda h, blocks=blocks: F.pmod(h, F.lit(blocks))
+        full = sized.groupBy(block(F.col("h")).alias("block")).agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).filter((F.col("n") > BLOCK_ITEMS) | ((F.col("n") > 1) & (F.col("b") > BLOCK_BYTES)))
+        if blocks >= 1 << 20 or full.isEmpty():
+            break
+        blocks *= 2
     out = []
     for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == b).collect()  # a bounded block
+        rows = items.filter(block(F.xxhash64("text", "item_id")) == b).collect()  # a bounded block
         out.append(spark.sparkContext.broadcast(ItemIndex([r.item_id for r in rows], [r.text for r in rows], width)))
     return out
 
@@ -168,7 +174,11 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, width: int = 5, thres
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that contain no item; rows aren't shuffled."""
+    """The rows of ``docs`` that contain no item, with their columns of any name; rows aren't shuffled.
+
+    Null and empty texts contain nothing and stay, as do all rows if the benchmark is empty; rows
+    that repeat stay or go together. An empty table gives no rows.
+    """
     for index in item_indexes(benchmark, width):
         leaks: Column = _searcher(index, threshold)(docs["text"])
         docs = docs.filter(F.size(leaks) == 0)

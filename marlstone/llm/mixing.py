@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, Scratch
+from .common import WORD, Scratch, fresh
 
 SEEDS = 32
 
@@ -96,14 +96,16 @@ def source_rates(docs: DataFrame, weights: list[int] | None = None, cap: float =
 
 
 def mix(docs: DataFrame, weights: list[int] | None = None, cap: float = 3.0) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, with its columns.
+    """The rows of ``docs``, each as often as the mix takes it, with its columns of any name.
 
     The rates come back as a small table by source, so texts meet them once and are
-    not dealt by key where that table is small enough for Spark to send it around.
+    not dealt by key where that table is small enough for Spark to send it around. Null texts have size 0 but
+    are taken like the others of their source; a source without words, null or not, gives no rows. Rows that
+    repeat a doc_id, or have none, get the same draw. An empty table gives no rows.
     """
     rates = Scratch(docs.sparkSession, "rates").keep(source_rates(docs, weights, cap))
     joined = docs.join(rates, docs["source"].eqNullSafe(rates["source"]))
     draw = F.shiftrightunsigned(F.xxhash64(docs["doc_id"], rates["seed"]), 11) / F.lit(float(1 << 53))
     copies = F.floor(rates["rate"]) + F.when(draw < rates["rate"] - F.floor(rates["rate"]), 1).otherwise(0)
-    each = joined.select(*[docs[c] for c in docs.columns], F.array_repeat(F.lit(1), copies.cast("int")).alias("__copies"))
-    return each.select("*", F.explode("__copies").alias("__copy")).drop("__copies", "__copy")
+    (copy,) = fresh(docs, "copy")
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias(copy)).drop(copy)

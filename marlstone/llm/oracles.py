@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .url_reputation import LONG_SUFFIXES
+
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: Prior strength from the moments of counts (n, good) around their prior means.
 STRENGTH = "1 / least(greatest(coalesce((sum(pow(good - n * prior, 2)) - sum(n * prior * (1 - prior))) / nullif(sum(n * (n - 1) * prior * (1 - prior)), 0), 0.0), 1e-3), 0.5) - 1"
@@ -11,8 +13,8 @@ ORACLES: dict[str, str] = {
     "op1_url_reputation": rf"""
 WITH split AS (SELECT page_id, coalesce({LOWER.format("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")}, '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 counted AS (SELECT host, count(*) AS n, sum((quality = 1 AND toxic = 0)::INT) AS good FROM split JOIN labels ON page_id = doc_id WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY 1),
-named AS (SELECT h.host, coalesce(n, 0) AS n, coalesce(good, 0) AS good, CASE WHEN long <> '' THEN long ELSE split_part(h.host, '.', -1) END AS suffix FROM (SELECT DISTINCT host, regexp_extract(host, '(?:^|\.)(co\.uk|org\.uk|ac\.uk|com\.au|co\.jp|com\.br|co\.in)$', 1) AS long FROM split) AS h LEFT JOIN counted c ON c.host = h.host),
-hosts AS (SELECT *, CASE WHEN length(host) - length(suffix) - 1 <= 0 THEN host ELSE split_part(substr(host, 1, length(host) - length(suffix) - 1), '.', -1) || '.' || suffix END AS domain FROM named),
+named AS (SELECT h.host, h.name, coalesce(n, 0) AS n, coalesce(good, 0) AS good, CASE WHEN long <> '' THEN long ELSE split_part(h.name, '.', -1) END AS suffix FROM (SELECT *, regexp_extract(name, '(?:^|\.)({"|".join(s.replace(".", "[.]") for s in LONG_SUFFIXES)})$', 1) AS long FROM (SELECT DISTINCT host, regexp_replace(regexp_replace(host, '^[^@]*@', ''), ':\d*$', '') AS name FROM split) AS every_host) AS h LEFT JOIN counted c ON c.host = h.host),
+hosts AS (SELECT *, CASE WHEN length(name) - length(suffix) - 1 <= 0 THEN name ELSE split_part(substr(name, 1, length(name) - length(suffix) - 1), '.', -1) || '.' || suffix END AS domain FROM named),
 overall AS (SELECT CASE WHEN sum(n) > 0 THEN (sum(good) + 1) / (sum(n) + 2)::DOUBLE ELSE 0.5 END AS prior FROM hosts),
 s1 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, any_value(prior) AS prior FROM hosts, overall GROUP BY 1), k1 AS (SELECT {STRENGTH} AS s FROM s1), p1 AS (SELECT suffix, (prior * s + good) / (s + n) AS prior FROM s1, k1),
 s2 AS (SELECT h.suffix, h.domain, sum(h.n) AS n, sum(h.good) AS good, any_value(p1.prior) AS prior FROM hosts h JOIN p1 USING (suffix) GROUP BY 1, 2), k2 AS (SELECT {STRENGTH} AS s FROM s2), p2 AS (SELECT domain, (prior * s + good) / (s + n) AS prior FROM s2, k2),

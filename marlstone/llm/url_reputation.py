@@ -21,8 +21,11 @@ from .common import Scratch
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: Suffixes of more than one label, after which the registered domain begins.
-LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in")
+#: Suffixes of more than one label, after which the registered domain begins, unless a caller passes its own (such as a public suffix list).
+LONG_SUFFIXES = (
+    "co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "com.br", "com.cn", "com.tw", "com.hk", "com.sg",
+    "com.mx", "com.ar", "com.tr", "co.kr", "co.in", "co.id", "co.il", "co.za", "com.ua", "com.pl", "github.io", "blogspot.com",
+)
 
 
 def url_host(url: Column) -> Column:
@@ -35,14 +38,24 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def host_suffix(host: Column) -> Column:
-    long = F.regexp_extract(host, r"(?:^|\.)(" + "|".join(s.replace(".", r"\.") for s in LONG_SUFFIXES) + r")$", 1)
-    return F.when(long != "", long).otherwise(F.substring_index(host, ".", -1))
+def host_name(host: Column) -> Column:
+    """A host without user and port."""
+    return F.regexp_replace(F.regexp_replace(host, r"^[^@]*@", ""), r":\d*$", "")
+
+
+def host_suffix(name: Column, suffixes: tuple[str, ...] = LONG_SUFFIXES) -> Column:
+    """The longest of ``suffixes`` that the name ends in, at a dot; else its last label."""
+    labels = F.split(name, r"\.")
+    ends = lambda n: F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - n + 1), F.lit(n)), ".")
+    out = F.substring_index(name, ".", -1)
+    for n in sorted({s.count(".") + 1 for s in suffixes}):
+        out = F.when(ends(n).isin([s for s in suffixes if s.count(".") + 1 == n]), ends(n)).otherwise(out)
+    return out
 
 
 def registered_domain(host: Column, suffix: Column) -> Column:
     """The suffix and one label before it; a host without such a label is its own domain."""
-    head = F.expr("substring(host, 1, greatest(0, length(host) - length(suffix) - 1))")
+    head = F.substr(host, F.lit(1), F.greatest(F.lit(0), F.char_length(host) - F.char_length(suffix) - 1))
     return F.when(head == "", host).otherwise(F.concat(F.substring_index(head, ".", -1), F.lit("."), suffix))
 
 
@@ -66,24 +79,24 @@ def _strength(level: DataFrame, mean: str) -> float:
     return 1 / min(max(rho, 1e-3), 0.5) - 1
 
 
-def host_reputation(hosts: DataFrame, outcomes: DataFrame, z: float = 1.64) -> DataFrame:
+def host_reputation(hosts: DataFrame, outcomes: DataFrame, z: float = 1.64, suffixes: tuple[str, ...] = LONG_SUFFIXES) -> DataFrame:
     """(host, n, good, mean, lower, upper) for every distinct host of ``hosts``.
 
-    ``outcomes`` has host and good (0 or 1; null: unlabelled, not counted). Hosts without outcomes
+    Domain and suffix leave a host's user and port out; the host itself keeps them. ``outcomes`` has host and good (0 or 1; null: unlabelled, not counted). Hosts without outcomes
     keep their domain's prior; with no outcomes at all the mean is one half.
     """
     scratch = Scratch(hosts.sparkSession, "hosts")
     counted = outcomes.filter("good is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"))
     names = hosts.select("host").distinct()
-    table = names.join(counted, "host", "left").fillna(0, ["n", "good"]).withColumn("suffix", host_suffix(F.col("host")))
-    table = scratch.keep(table.withColumn("domain", registered_domain(F.col("host"), F.col("suffix"))))
+    table = names.join(counted, "host", "left").fillna(0, ["n", "good"]).withColumn("suffix", host_suffix(host_name(F.col("host")), suffixes))
+    table = scratch.keep(table.withColumn("domain", registered_domain(host_name(F.col("host")), F.col("suffix"))))
     total = table.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     overall = (total.good + 1) / (total.n + 2) if total.n else 0.5
 
-    suffixes = scratch.keep(table.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("prior", F.lit(float(overall))))
-    s = _strength(suffixes, "prior")
-    suffixes = suffixes.select("suffix", ((F.col("prior") * s + F.col("good")) / (s + F.col("n"))).alias("prior"))
-    domains = scratch.keep(table.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).join(suffixes, "suffix"))
+    ends = scratch.keep(table.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("prior", F.lit(float(overall))))
+    s = _strength(ends, "prior")
+    ends = ends.select("suffix", ((F.col("prior") * s + F.col("good")) / (s + F.col("n"))).alias("prior"))
+    domains = scratch.keep(table.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).join(ends, "suffix"))
     s = _strength(domains, "prior")
     domains = domains.select("domain", ((F.col("prior") * s + F.col("good")) / (s + F.col("n"))).alias("prior"))
     table = scratch.keep(table.join(domains, "domain"))
@@ -93,7 +106,7 @@ def host_reputation(hosts: DataFrame, outcomes: DataFrame, z: float = 1.64) -> D
     return table.select("host", "n", "good", mean.alias("mean"), F.greatest(F.lit(0.0), mean - z * spread).alias("lower"), F.least(F.lit(1.0), mean + z * spread).alias("upper"))
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], limit: float = 0.5, z: float = 1.64) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], limit: float = 0.5, z: float = 1.64, suffixes: tuple[str, ...] = LONG_SUFFIXES) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, and the host's posterior.
 
     ``outcomes`` holds (page_id, good). Null urls and urls without ``://`` have empty host and
@@ -102,7 +115,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str
     """
     split = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     labelled = split.join(outcomes.select("page_id", "good"), "page_id").select("host", "good")
-    reputation = Scratch(pages.sparkSession, "reputation").keep(host_reputation(split, labelled, z))
+    reputation = Scratch(pages.sparkSession, "reputation").keep(host_reputation(split, labelled, z, suffixes))
     joined = split.join(reputation, "host").withColumn("fit", match_rule(F.col("host"), F.col("path"), rules))
     method = F.when(F.col("upper") < limit, "block").otherwise("allow")
     return joined.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", method).alias("verdict"), F.col("n").alias("host_labels"), F.col("good").alias("host_good"), F.col("mean").alias("host_mean"), F.col("lower").alias("host_lower"), F.col("upper").alias("host_upper"))
