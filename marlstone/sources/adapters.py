@@ -8,6 +8,7 @@ is made inside the task.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import codecs, render
 from marlstone.functions.text import estimate_tokens, truncate_to_tokens
 from marlstone.operators.extract import align_speakers, code_chunks, code_language
+from marlstone.operators.inference import generate
 
 DERIVED = "array<struct<filename:string,mime:string,bytes:binary,role:string>>"
 RESULT = f"struct<text:string,metadata:map<string,string>,derived:{DERIVED}>"
@@ -65,6 +67,29 @@ def text_strategy(filename: Column, mime: Column, data: Column) -> Column:
     return _result(decoded(data))
 
 
+_SHEETS: dict[str, Callable[[bytes], list[list[str]]]] = {}
+
+
+def register_sheet_decoder(ending: str, decoder: Callable[[bytes], list[list[str]]]) -> None:
+    """How spreadsheets with a file ending (such as ``xlsx``) become rows of cells; the last registration holds."""
+    _SHEETS[ending.lower()] = decoder
+
+
+def _decoded_sheet(filename: Column, data: Column) -> Column:
+    decoders = dict(_SHEETS)
+
+    @F.pandas_udf("array<array<string>>")
+    def rows(names: pd.Series, blobs: pd.Series) -> pd.Series:
+        return pd.Series([decoders[n.rpartition(".")[2].lower()](bytes(b)) if b is not None and n.rpartition(".")[2].lower() in decoders else None for n, b in zip(names, blobs, strict=True)])
+
+    return rows(filename, data)
+
+
+def _sheet_rows(filename: Column, mime: Column, data: Column) -> Column:
+    found = _delimited(filename, mime, data)
+    return F.coalesce(found, _decoded_sheet(filename, data)) if _SHEETS else found
+
+
 def _delimited(filename: Column, mime: Column, data: Column) -> Column:
     name = F.lower(filename)
     csv, tsv = name.endswith(".csv") | F.coalesce(mime == "text/csv", F.lit(False)), name.endswith(".tsv") | F.coalesce(mime == "text/tab-separated-values", F.lit(False))
@@ -111,7 +136,7 @@ _ADAPTERS: dict[str, Callable] = {"text": text_strategy, "email": email_strategy
 #: What a Python UDF parses first, by strategy; the adapter gets it as a fourth Column.
 _PARSERS: dict[str, Callable] = {
     "email": lambda f, m, b: codecs.parse_email(b),
-    "spreadsheet": _delimited,
+    "spreadsheet": _sheet_rows,
     "archive": lambda f, m, b: codecs.list_zip(b),
     "exif": lambda f, m, b: codecs.read_exif(b),
     "code": lambda f, m, b: code_chunks(F.decode(b, "UTF-8"), f),
@@ -154,20 +179,114 @@ def extract(files: DataFrame, strategy: Column | None = None) -> DataFrame:
     return out
 
 
-# Strategies with a client. A client factory is called once a task.
+# Strategies with a client. A factory makes the client inside the task; a client is any object with the methods named.
+
 
+def with_client(files: DataFrame, factory: Callable, call: Callable) -> DataFrame:
+    """(filename, text, metadata, derived) of ``call(client, filename, bytes)`` for each file.
 
-def with_client(files: DataFrame, factory: Callable, call: Callable, schema: str = "text string, metadata map<string,string>") -> DataFrame:
-    """(filename, ...) of ``call(client, filename, bytes)`` -> dict for each file; for PDF, vision, 3-D, media and sprite services."""
-    names = [p.strip().split(" ")[0] for p in schema.split(",") if " " in p.strip()]
+    ``call`` returns (text, metadata dict, derived files as (filename, mime, bytes, role)); metadata that is None is left out.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = factory()
         for pdf in frames:
-            rows = [{"filename": f, **call(client, f, bytes(b) if b is not None else b"")} for f, b in zip(pdf["filename"], pdf["bytes"], strict=True)]
-            yield pd.DataFrame(rows, columns=["filename", *[n for n in names if n in (rows[0] if rows else {n: 0 for n in names})]])
+            rows = []
+            for name, data in zip(pdf["filename"], pdf["bytes"], strict=True):
+                text, metadata, derived = call(client, name, bytes(data) if data is not None else b"")
+                rows.append((name, text, {k: str(v) for k, v in metadata.items() if v is not None}, [dict(zip(("filename", "mime", "bytes", "role"), d, strict=True)) for d in derived]))
+            yield pd.DataFrame(rows, columns=["filename", "text", "metadata", "derived"])
+
+    return files.select("filename", "bytes").mapInPandas(run, f"filename string, text string, metadata map<string,string>, derived {DERIVED}")
+
+
+def pdf_documents(files: DataFrame, factory: Callable) -> DataFrame:
+    """Text and number of pages; client: extract(filename, bytes) -> (text, pages)."""
+
+    def call(client, name: str, data: bytes):
+        text, pages = client.extract(name, data)
+        return text, {"pages": pages}, []
+
+    return with_client(files, factory, call)
+
+
+def image_texts(files: DataFrame, factory: Callable) -> DataFrame:
+    """What images show; client: describe(bytes) -> (description, tags)."""
+
+    def call(client, name: str, data: bytes):
+        said, tags = client.describe(data)
+        return f"# {name}\n\n{said}", {"tags": ", ".join(tags) if tags else None}, []
+
+    return with_client(files, factory, call)
+
+
+def model_views(files: DataFrame, factory: Callable) -> DataFrame:
+    """3-D models as described views, which come along as files; client: render(bytes, format) -> [(pose, image)], describe(image, pose) -> text."""
+
+    def call(client, name: str, data: bytes):
+        views = client.render(data, name.rpartition(".")[2].lower() if "." in name else "glb")
+        lines = [f"- ({pose}) {client.describe(image, pose)}" for pose, image in views]
+        return f"# {name}\n\n" + "\n".join(lines), {"views": len(views)}, [(f"{name}.view-{i}-{pose}.png", "image/png", image, "3d-view") for i, (pose, image) in enumerate(views)]
+
+    return with_client(files, factory, call)
+
+
+#: The roles of a recording's derived files.
+VARIANTS = ("faststart", "web_compatible", "audio_only", "preview_720p", "web_audio")
+
+
+def media_variants(files: DataFrame, factory: Callable) -> DataFrame:
+    """Derived files of recordings; client: optimize(filename, bytes) -> [(role, filename, mime, bytes)], roles in VARIANTS."""
+
+    def call(client, name: str, data: bytes):
+        made = client.optimize(name, data)
+        if other := [role for role, *_ in made if role not in VARIANTS]:
+            raise ValueError(f"unknown roles: {other}")
+        return f"# {name}\n\nDerived variants:\n" + "\n".join(f"- {role}" for role, *_ in made), {"variants": ", ".join(role for role, *_ in made)}, [(file, mime, out, role) for role, file, mime, out in made]
+
+    return with_client(files, factory, call)
+
+
+def sprite_sheets(files: DataFrame, factory: Callable) -> DataFrame:
+    """Sprite sheets of videos with their cues; client: build(filename, bytes) -> (image, cols, rows, width, height, seconds per tile, total seconds)."""
+    schema = "filename string, sheet binary, cols int, rows int, width int, height int, step double, total double"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = factory()
+        for pdf in frames:
+            yield pd.DataFrame([(f, *client.build(f, bytes(b))) for f, b in zip(pdf["filename"], pdf["bytes"], strict=True)], columns=[c.split(" ")[0] for c in schema.split(", ")])
+
+    built = files.select("filename", "bytes").mapInPandas(run, schema)
+    image = F.concat("filename", F.lit(".sprite.jpg"))
+    cues = render.render_sprite_vtt(F.col("cols"), F.col("rows"), F.col("width"), F.col("height"), image, F.col("step"), F.col("total"))
+    derived = F.array(
+        F.struct(image.alias("filename"), F.lit("image/jpeg").alias("mime"), F.col("sheet").alias("bytes"), F.lit("sprite-sheet").alias("role")),
+        F.struct(F.concat("filename", F.lit(".sprite.vtt")).alias("filename"), F.lit("text/vtt").alias("mime"), cues.cast("binary").alias("bytes"), F.lit("sprite-vtt").alias("role")),
+    )
+    text = F.concat(F.lit("# "), "filename", F.lit("\n\nSprite sheet generated ("), F.col("cols").cast("string"), F.lit("\u00d7"), F.col("rows").cast("string"), F.lit(")."))
+    return built.select("filename", _result(text, derived=derived).alias("r")).select("filename", "r.*")
+
+
+def structured_documents(files: DataFrame, factory: Callable, schema: dict, instruction: str | None = None) -> DataFrame:
+    """(filename, text, structured): what a model's JSON reply says of each text by a schema; null where the reply is no JSON."""
+    asked = files.select("filename", decoded(F.col("bytes")).alias("text"))
+    prompt = structured_prompt(F.col("filename"), F.col("text"), **({"instruction": instruction} if instruction else {}))
+    replied = generate(asked.withColumn("prompt", F.concat(prompt, F.lit("\nSchema: " + json.dumps(schema)))), factory)
+    return replied.select("filename", "text", structured_reply(F.col("reply")).alias("structured"))
+
+
+#: What a model is asked for a summary.
+SUMMARY = "Sum up in three to six points; keep names and decisions.\n\n"
+
 
-    return files.select("filename", "bytes").mapInPandas(run, f"filename string, {schema}")
+def summaries(files: DataFrame, fast: Callable, standard: Callable | None = None, max_input: int = 8000, cascade_at: int = 2000, ask: str = SUMMARY) -> DataFrame:
+    """(filename, text, route): short texts go to the fast model, longer ones to the standard one where there is one."""
+    route = summary_route(decoded(F.col("bytes")), max_input, cascade_at)
+    sent = files.select("filename", route.alias("r")).select("filename", "r.route", F.concat(F.lit(ask), F.lit("# "), "filename", F.lit("\n\n"), "r.input").alias("prompt"))
+    if standard is None:
+        return generate(sent.withColumn("route", F.lit("fast")), fast).select("filename", F.col("reply").alias("text"), "route")
+    parts = [generate(sent.filter(F.col("route") == name), client) for name, client in (("fast", fast), ("standard", standard))]
+    return parts[0].unionByName(parts[1]).select("filename", F.col("reply").alias("text"), "route")
 
 
 def audio_text(segments: DataFrame, speakers: DataFrame | None = None, bin_seconds: float = 30.0) -> DataFrame:
@@ -186,8 +305,8 @@ def video_text(filename: Column, keyframes: Column, segments: Column | None = No
     return F.array_join(F.concat(out, F.array(tail)), "\n")
 
 
-def structured_prompt(filename: Column, text: Column, instruction: str = "Extract structured fields. Output only valid JSON matching the schema.") -> Column:
-    return F.concat(F.lit(instruction), F.lit("\n\nDocument: "), filename, F.lit("\n\nContent:\n"), text, F.lit("\n\nJSON:"))
+def structured_prompt(filename: Column, text: Column, instruction: str = "Fill in the fields of the schema from this document. Reply with JSON alone.") -> Column:
+    return F.concat(F.lit(instruction), F.lit("\n\nName: "), filename, F.lit("\n\n"), text)
 
 
 def structured_reply(reply: Column) -> Column:

@@ -20,7 +20,7 @@ from marlstone import facade
 from marlstone.functions import codecs, protocols, render, text, vectors
 from marlstone.functions.temporal import named_range, v7_ceiling, v7_floor
 from marlstone.operators import extract, filters, graph, inference, retrieval, store
-from marlstone.sources import adapters
+from marlstone.sources import adapters, services
 from marlstone.streaming import feeds
 
 SF = "/root/testdata/sf0.001"
@@ -479,6 +479,71 @@ def test_adapters(spark, tmp_path):
     assert adapters.list_adapters() == ["text", "email", "spreadsheet", "archive", "exif", "code"]
 
 
+def test_strategies_with_clients(spark):
+    class Studio:
+        """Scripted clients of all kinds."""
+
+        extract = staticmethod(lambda name, data: (data.decode().upper(), 3))
+        describe = staticmethod(lambda data, pose=None: f"seen {pose}" if pose else ("a cat", ["cat", "grey"]))
+        render = staticmethod(lambda data, kind: [("front", data + kind.encode()), ("top", b"t")])
+        optimize = staticmethod(lambda name, data: [("audio_only", name + ".m4a", "audio/mp4", data[:1])])
+        build = staticmethod(lambda name, data: (b"jpg", 2, 1, 160, 90, 5.0, 7.0))
+        generate = staticmethod(lambda prompt: '{"n": 1}' if "Schema" in prompt and "good" in prompt else f"said {len(prompt)}")
+
+    files = spark.createDataFrame([("m.GLB", b"good"), ("n.txt", b"bad")], "filename string, bytes binary").coalesce(1)
+    row = lambda df: df.filter("filename = 'm.GLB'").first()
+    assert row(adapters.pdf_documents(files, Studio)).asDict() | {"derived": 0} == {"filename": "m.GLB", "text": "GOOD", "metadata": {"pages": "3"}, "derived": 0}
+    assert row(adapters.image_texts(files, Studio)).text == "# m.GLB\n\na cat" and row(adapters.image_texts(files, Studio)).metadata == {"tags": "cat, grey"}
+    views = row(adapters.model_views(files, Studio))
+    assert views.text == "# m.GLB\n\n- (front) seen front\n- (top) seen top" and [(d.filename, bytes(d.bytes), d.role) for d in views.derived] == [("m.GLB.view-0-front.png", b"goodglb", "3d-view"), ("m.GLB.view-1-top.png", b"t", "3d-view")]
+    made = row(adapters.media_variants(files, Studio))
+    assert made.metadata == {"variants": "audio_only"} and made.derived[0].mime == "audio/mp4" and made.text.endswith("- audio_only")
+    sheet = row(adapters.sprite_sheets(files, Studio))
+    assert sheet.text.endswith("(2\u00d71).") and bytes(sheet.derived[1].bytes).decode().count("-->") == 2 and "m.GLB.sprite.jpg#xywh=160,0,160,90" in bytes(sheet.derived[1].bytes).decode()
+    fields = {r.filename: r.structured for r in adapters.structured_documents(files, Studio, {"n": "int"}).select("filename", F.to_json("structured").alias("structured")).collect()}
+    assert fields == {"m.GLB": '{"n":1}', "n.txt": None}
+    long = spark.createDataFrame([("a", b"w " * 50), ("b", b"x")], "filename string, bytes binary")
+    assert {r.filename: r.route for r in adapters.summaries(long, Studio, Studio, cascade_at=10).collect()} == {"a": "standard", "b": "fast"}
+    assert {r.route for r in adapters.summaries(long, Studio, cascade_at=10).collect()} == {"fast"}
+    sheets = spark.createDataFrame([("t.xlsx", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", b"1;2")], "filename string, mime string, bytes binary")
+    adapters.register_sheet_decoder("xlsx", lambda data: [data.decode().split(";")])
+    try:
+        assert adapters.extract(sheets).first().text.startswith("| 1 | 2 |")
+    finally:
+        adapters._SHEETS.clear()
+    assert adapters.extract(sheets).first().text.startswith("(spreadsheet:")
+
+
+def test_services(spark):
+    def answer(url, body, headers):
+        """A stand-in for the services, by path."""
+        assert headers["Authorization"] == "Bearer k"
+        if url.endswith("/api/generate"):
+            asked = json.loads(body)
+            return json.dumps({"response": f"{asked['model']}: {base64.b64decode(asked['images'][0]).decode()}"}).encode()
+        if url.endswith("/transcriptions"):
+            assert b'name="language"' not in body and b'filename="a.wav"' in body and b"RIFF" in body
+            return json.dumps({"segments": [{"start": 0.5, "end": 1, "text": "hi"}], "language": "en"}).encode()
+        if url.endswith("/diarize"):
+            return json.dumps({"segments": [{"start": 0, "end": 9, "speaker": "S" + ("2" if b'name="num_speakers"\r\n\r\n2' in body else "?")}]}).encode()
+        if url.endswith("/pdf"):
+            return json.dumps({"text": "page", "pages": 2}).encode()
+        asked = json.loads(body)
+        return json.dumps({"entities": [{"text": w, "label": asked["labels"][0], "start": asked["text"].index(w), "end": asked["text"].index(w) + len(w), "score": asked["threshold"]} for w in asked["text"].split() if w.istitle()]}).encode()
+
+    factory = lambda: services.Service("http://host/", "k", answer)
+    files = spark.createDataFrame([("a.wav", bytearray(b"RIFF"), 60.0)], "filename string, bytes binary, start_offset double")
+    assert services.described(files, factory, "m").first().description == "m: RIFF"
+    said = services.transcribed(files, factory)
+    assert [tuple(r) for r in said.collect()] == [("a.wav", 0, 60.5, 61.0, "hi", "en")] and services.transcribed(files.drop("start_offset"), factory).first().start == 0.5
+    who = services.diarized(files, factory, 2)
+    assert [tuple(r) for r in who.collect()] == [("a.wav", 0, 0.0, 9.0, "S2")]
+    assert extract.align_speakers(said, who).first().speaker == "UNKNOWN"
+    texts = spark.createDataFrame([(1, "Bob met Ann"), (2, None)], "id long, text string")
+    assert [tuple(r) for r in services.entities(texts, factory, ["person"]).collect()] == [(1, "Bob", "person", 0, 3, 0.5), (1, "Ann", "person", 8, 11, 0.5)]
+    assert tuple(services.pdf_texts(files, factory, "/pdf").first()) == ("a.wav", "page", 2)
+
+
 # inference and streams
 
 
