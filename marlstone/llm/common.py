@@ -50,14 +50,26 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _delete(self, number: int) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{number}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _numbers(self, tables: tuple[DataFrame, ...]) -> set[int]:
+        """The numbers of this scratch's tables that some tables read."""
+        mark = f"/{self.root.rpartition('/')[2]}/"
+        return {int(f.rpartition(mark)[2].partition("/")[0]) for t in tables for f in t.inputFiles() if mark in f}
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete written tables that nothing reads any more."""
-        for table in tables:
-            for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
-                if folder.startswith(("file:", "/")) and self.root.split(":")[-1].lstrip("/") not in folder:
-                    continue
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for number in self._numbers(tables):
+            self._delete(number)
+
+    def clear(self, *kept: DataFrame) -> None:
+        """Delete all written tables but those that ``kept`` read."""
+        still = self._numbers(kept)
+        for number in range(1, self.made + 1):
+            if number not in still:
+                self._delete(number)
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

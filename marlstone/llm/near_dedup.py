@@ -364,7 +364,8 @@ def near_classes(docs: DataFrame, width: int = 5, number: str | None = None) ->
     labelled = classes.select("n", "lo", "hi", "cid", "first_id").join(parts, "cid", "left").withColumn("component", F.coalesce("grp", "cid")).drop("grp")
     labelled = scratch.keep(labelled)
     least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    labelled = labelled.join(least, "component").select("n", "lo", "hi", "component", "component_id")
+    labelled = scratch.keep(labelled.join(least, "component").select("n", "lo", "hi", "component", "component_id"))
+    scratch.clear(rows, labelled)
     out = rows.drop("sig").join(labelled.hint("merge"), ["n", "lo", "hi"], "left")
     return out.select("doc_id", "uid", F.col("n").alias("n_shingles"), "component", F.coalesce("component_id", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"))
 
