@@ -9,79 +9,85 @@ under even prior odds, from the batch probabilities of both, bottom-up. A contex
 that was never met leaves the prediction to the longest one that was. The
 probabilities of a byte's values sum to 1, so the code length is proper.
 
-Scale: training is one pass that counts runs of DEPTH + 1 bytes and words inside tasks,
-then partially aggregated sums over all of the corpus; nodes and weights are grouped
-sums by depth. All nodes stay in tables: joins from each depth to the next mix a node's chance
-of a one, and each distinct gram (a byte and its last ``DEPTH`` bytes) is scored once, by a join with
-the nodes of its context, and with those of shorter ones only where it wasn't met in training. Gram scores and the
-base score's word counts are joined to documents and summed; at most ``HOT_GRAMS`` and ``HOT_WORDS`` of the most
-frequent are broadcast with the same values, to keep them out of the shuffle.
+A gram is a byte with its last ``DEPTH`` bytes. One pass over all texts counts grams and words, with partial sums; grams that
+only held-out texts have come along with count 0. Every distinct gram is then scored once:
+
+1. Grams are dealt by the ``DEPTH`` - 2 nearest bytes of their context. All longer contexts of such a branch are in
+   its group, which has at most 256^3 grams whatever the corpus, so a task computes their part of the tree group by group.
+2. The few levels above are grouped sums, and mixed top-down by joins of each level with the one above it.
+3. A second pass over the groups, which now come with what the levels above settled, gives each gram's score.
+
+Nothing is cut off: all contexts of the corpus are nodes, and a gram's score depends on counts alone. Grams' scores are
+added up by document. Scores of at most ``HOT_GRAMS`` frequent grams, and counts of at most ``HOT_WORDS`` frequent
+words, are broadcast with the same values to keep them out of the shuffle; the others are joined.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytesets import LOWER, pieces, word_hashes, word_spans
+from .bytesets import LOWER, SPACE, U64, pieces, word_hashes, word_spans
 from .common import Scratch
 
 DEPTH = 5
 HOT_GRAMS = 1 << 21
 HOT_WORDS = 1 << 18
-PIECE = 4 << 20
-END, SPACE = 0xFF, 0x20
+PIECE = 1 << 20
+CHUNK = 150_000
+END, BLANK = 0xFF, 0x20
 GRAM, WORD, DOC = 0, 1, 2
 
 
-def normalised(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets by row) of words joined by spaces, with an end byte for each row."""
-    words = np.bincount(rows, minlength=n_rows)
-    own = np.bincount(rows, weights=lengths + 1, minlength=n_rows).astype(np.int64)
-    offsets = np.concatenate([[0], np.cumsum(np.where(words > 0, own, 1))])
-    out = np.full(offsets[-1], END, dtype=np.uint8)
-    if len(starts):
-        before = np.cumsum(lengths + 1) - (lengths + 1)
-        empty_before = np.cumsum(words == 0)[rows]
-        at = before + empty_before
-        inside = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        out[np.repeat(at, lengths) + inside] = LOWER[data[np.repeat(starts, lengths) + inside]]
-        last = np.append(rows[1:] != rows[:-1], True)
-        out[(at + lengths)[~last]] = SPACE
-    return out, offsets
-
-
-def grams(text: np.ndarray, offsets: np.ndarray, depth: int) -> np.ndarray:
-    """int64 by position: the byte in the lowest 8 bits, above it the last ``depth`` bytes, nearest first."""
-    out = text.astype(np.int64)
-    place = np.arange(len(text)) - np.repeat(offsets[:-1], np.diff(offsets))
-    for k in range(1, depth + 1):
-        earlier = np.full(len(text), END, dtype=np.int64)
-        earlier[k:] = text[:-k] if k < len(text) else text[:0]
-        earlier[place < k] = END
-        out |= earlier << (8 * k)
-    return out
-
-
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
+# Texts to grams
+
+
+def grams(data: np.ndarray, offsets: np.ndarray, spans: tuple[np.ndarray, np.ndarray, np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(grams of all rows in order, offsets by row).
+
+    A gram is an int64: the byte in its lowest 8 bits, above it the last ``depth`` bytes, nearest first. Rows
+    stand apart by ``depth`` end bytes, so that a gram is one load of the eight bytes up to its place.
+    """
+    starts, lengths, rows = spans
+    n_rows = len(offsets) - 1
+    gaps = (starts + lengths)[:-1][rows[1:] == rows[:-1]]
+    keep = ~SPACE[data]
+    keep[gaps] = True
+    low = np.take(LOWER, data)
+    low[gaps] = BLANK
+    sizes = np.maximum(np.bincount(rows, weights=lengths + 1, minlength=n_rows).astype(np.int64), 1)
+    stops = 8 + np.cumsum(sizes + depth) - depth
+    out = np.full(8 + int(sizes.sum()) + depth * n_rows, END, np.uint8)
+    own = np.ones(len(out), bool)
+    own[:8] = False
+    own[(stops[:, None] + np.arange(-1, depth)).ravel()] = False
+    out[own] = low[keep]
+    own[stops - 1] = True
+    loads = np.ndarray(len(out) - 7, ">u8", out, strides=(1,)).astype(U64)
+    keys = (loads[own[7:]] & U64((1 << (8 * (depth + 1))) - 1)).view(np.int64)
+    return keys, np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct sorted keys, and sums of the values by key."""
+    if not len(keys):
+        return keys, *values
+    order = np.argsort(keys)
+    keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts, first)
+    return keys[first], *[np.add.reduceat(v[order], first) for v in values]
 
 
-def _count(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    values = np.sort(values)
-    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-    return values[first], np.diff(np.append(first, len(values)))
+def _count(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
 
 
 def _counter(depth: int):
@@ -90,30 +96,37 @@ def _counter(depth: int):
         docs = 0
 
         def flush(kind: int) -> pa.RecordBatch:
-            keys, counts = _merged(held[kind])
+            keys, counts = held[kind][0]
             held[kind] = []
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(counts)], names=["kind", "key", "n"])
 
         for batch in batches:
-            docs += batch.num_rows
-            for _, data, offsets in pieces(batch.column("text"), PIECE):
-                starts, lengths, rows = word_spans(data, offsets)
-                text, at = normalised(data, starts, lengths, rows, len(offsets) - 1)
-                held[WORD].append(_count(word_hashes(data, starts, lengths).view(np.int64)))
-                held[GRAM].append(_count(grams(text, at, depth)))
-                for kind in (GRAM, WORD):
-                    if len(held[kind]) > 1 and sum(len(k) for k, _ in held[kind]) > 3_000_000:
-                        held[kind] = [_merged(held[kind])]
-                        if len(held[kind][0][0]) > 2_000_000:
-                            yield flush(kind)
+            apart = batch.column("held_out")
+            for learn in (True, False):
+                part = batch.filter(pc.invert(apart) if learn else apart)
+                docs += part.num_rows * learn
+                for _, data, offsets in pieces(part.column("text"), 2 * PIECE):
+                    spans = word_spans(data, offsets)
+                    keys, n = _count(grams(data, offsets, spans, depth)[0])
+                    held[GRAM].append((keys, n if learn else np.zeros_like(n)))
+                    if learn:
+                        held[WORD].append(_count(word_hashes(data, *spans[:2]).view(np.int64)))
+                    for kind in (GRAM, WORD):
+                        if sum(len(k) for k, _ in held[kind]) > 3_000_000:
+                            held[kind] = [_summed(np.concatenate([k for k, _ in held[kind]]), np.concatenate([c for _, c in held[kind]]))]
+                            if len(held[kind][0][0]) > 2_000_000:
+                                yield flush(kind)
         for kind in (GRAM, WORD):
             if held[kind]:
+                held[kind] = [_summed(np.concatenate([k for k, _ in held[kind]]), np.concatenate([c for _, c in held[kind]]))]
                 yield flush(kind)
         yield pa.RecordBatch.from_arrays([pa.array([DOC], pa.int32()), pa.array([0], pa.int64()), pa.array([docs], pa.int64())], names=["kind", "key", "n"])
 
     return count
 
 
+# The tree. A node's id is its context, nearest byte lowest, shifted over the 8 bits of its place in the byte.
+
 #: The Lanczos approximation of the gamma function for g = 7.
 LANCZOS = (
     0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059,
@@ -121,69 +134,118 @@ LANCZOS = (
 )
 
 
-def lgamma(x: Column) -> Column:
-    """Logarithm of the gamma function for x >= 0.5."""
+def lgamma(x, log: Callable = np.log):
+    """Logarithm of the gamma function for x >= 0.5, of arrays, or of a Column with its ``log``."""
     z = x - 1
-    series = F.lit(LANCZOS[0])
-    for i, c in enumerate(LANCZOS[1:], 1):
-        series = series + F.lit(c) / (z + i)
+    series = LANCZOS[0] + LANCZOS[1] / (z + 1)
+    for i, c in enumerate(LANCZOS[2:], 2):
+        series = series + c / (z + i)
     t = z + 7.5
-    return F.lit(0.5 * math.log(2 * math.pi)) + (z + 0.5) * F.log(t) - t + F.log(series)
-
-
-def _kt(a: Column, b: Column) -> Column:
-    """Logarithm of the Krichevsky-Trofimov probability of a zeros and b ones."""
-    return lgamma(a + 0.5) + lgamma(b + 0.5) - lgamma(a + b + 1) - F.lit(math.log(math.pi))
-
-
-def tree_nodes(counts: DataFrame, depth: int, scratch: Scratch) -> list[DataFrame]:
-    """By depth, (ctx, node, zeros, ones, weight) from (key, n): all nodes met, with their weights."""
-    bits = F.explode(F.array(*[F.struct(F.lit(1 << i).alias("lead"), F.lit(8 - i).alias("drop"), F.lit(7 - i).alias("shift")) for i in range(8)]))
-    each = counts.select(F.shiftright("key", 8).alias("ctx"), F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("byte"), "n", bits.alias("bit"))
-    node = F.col("bit.lead") + F.expr("shiftright(byte, bit.drop)")
-    one = F.expr("shiftright(byte, bit.shift) & 1")
-    each = each.select("ctx", node.cast("int").alias("node"), "n", one.alias("one"))
-    level = each.groupBy("ctx", "node").agg(F.sum(F.when(F.col("one") == 0, F.col("n")).otherwise(0)).alias("zeros"), F.sum(F.when(F.col("one") == 1, F.col("n")).otherwise(0)).alias("ones"))
-    level = scratch.keep(level.withColumn("log_mix", _kt(F.col("zeros"), F.col("ones"))))
-    out = [level.select("ctx", "node", "zeros", "ones", F.lit(1.0).alias("weight"))]
-    for d in range(depth - 1, -1, -1):
-        up = level.groupBy(_shorter(d).alias("ctx"), "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log_mix").alias("longer"))
-        up = up.withColumn("kt", _kt(F.col("zeros"), F.col("ones")))
-        high = F.greatest("kt", "longer")
-        mixed = F.lit(math.log(0.5)) + high + F.log1p(F.exp(F.least("kt", "longer") - high))
-        level = scratch.keep(up.withColumn("log_mix", mixed).withColumn("weight", 1 / (1 + F.exp(F.least(F.lit(700.0), F.col("longer") - F.col("kt"))))))
-        out.append(level.select("ctx", "node", "zeros", "ones", "weight"))
-    return out[::-1]
-
-
-def _shorter(d: int) -> Column:
-    """The last ``d`` bytes of ``ctx``."""
-    return F.col("ctx").bitwiseAND(F.lit((1 << (8 * d)) - 1))
-
-
-def context_chances(nodes: list[DataFrame], scratch: Scratch) -> list[DataFrame]:
-    """By depth, (ctx, nodes): for each context at most 255 (node, chance), where chance is that of a one if no longer context was met.
-
-    From each depth to the next, a node takes over what its shorter contexts settled (``got``) and left (``share``).
-    A parent has at most 256 children, so no key of these joins is hot.
-    """
-    p = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
-    out, state = [], None
-    for d, level in enumerate(nodes):
-        level = level.select("ctx", "node", p.alias("p"), "weight")
-        if d:
-            above = state.select(F.col("ctx").alias("short"), "node", (F.col("got") + F.col("share") * F.col("weight") * F.col("p")).alias("got"), (F.col("share") * (1 - F.col("weight"))).alias("share"))
-            level = level.withColumn("short", _shorter(d - 1)).join(above.hint("broadcast" if d <= 2 else "merge"), ["short", "node"]).drop("short")  # at most 256 contexts
-        else:
-            level = level.withColumns({"got": F.lit(0.0), "share": F.lit(1.0)})
-        state = scratch.keep(level.select("ctx", "node", "p", "weight", "got", "share"))
-        chance = F.struct("node", (F.col("got") + F.col("share") * F.col("p")).alias("chance"))
-        out.append(scratch.keep(state.groupBy("ctx").agg(F.collect_list(chance).alias("nodes"))))
-    return out
-
-
-#: A gram, the bits that no context has settled yet (the first is 1), and the log10 of the others' probability.
-OPEN = "key long, open int, score double"
+    return 0.5 * math.log(2 * math.pi) + (z + 0.5) * log(t) - t + log(series)
+
+
+def _kt(zeros, ones, log: Callable = np.log):
+    """Logarithm of the Krichevsky-Trofimov probability of so many zeros and ones."""
+    return lgamma(zeros + 0.5, log) + lgamma(ones + 0.5, log) - lgamma(zeros + ones + 1, log) - math.log(math.pi)
+
+
+def _nodes_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the eight nodes of each gram, its bit at each)."""
+    byte, context = keys & 255, keys >> 8 << 8
+    ids = np.stack([context | (1 << i) + (byte >> (8 - i)) for i in range(8)])
+    return ids, np.stack([byte >> (7 - i) & 1 for i in range(8)])
+
+
+class Branch:
+    """The nodes of levels ``top`` to ``depth`` below some contexts of level ``top``, from all of their grams."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, depth: int, top: int):
+        ids, bits = _nodes_of(keys)
+        times = np.broadcast_to(n, ids.shape)
+        self.ids, self.ones, self.all, self.weight = {}, {}, {}, {}
+        at, ones, total = _summed(ids.ravel(), (times * bits).ravel(), times.ravel())
+        mixed, weight = _kt((total - ones).astype(float), ones.astype(float)), np.ones(len(at))
+        for d in range(depth, top - 1, -1):
+            if d < depth:
+                at, ones, total, longer = _summed(at & ((1 << (8 * (d + 1))) - 1), ones, total, mixed)
+                own = _kt((total - ones).astype(float), ones.astype(float))
+                mixed, weight = math.log(0.5) + np.logaddexp(own, longer), 1 / (1 + np.exp(np.minimum(700, longer - own)))
+            self.ids[d], self.ones[d], self.all[d], self.weight[d] = at, ones, total, weight
+        self.mixed, self.depth, self.top = mixed, depth, top
+
+    def chances(self, ids: np.ndarray, got: np.ndarray, share: np.ndarray) -> dict[int, np.ndarray]:
+        """By level, each node's chance of a one, if no longer context was met; (got, share) come from above, by id of level ``top``."""
+        order, out = np.argsort(ids), {}
+        place = order[np.searchsorted(ids, self.ids[self.top], sorter=order)] if len(ids) else np.zeros(0, np.int64)
+        got, share = got[place], share[place]
+        for d in range(self.top, self.depth + 1):
+            if d > self.top:
+                up = np.searchsorted(self.ids[d - 1], self.ids[d] & ((1 << (8 * d)) - 1))
+                got, share = (got + share * self.weight[d - 1] * p)[up], (share * (1 - self.weight[d - 1]))[up]
+            p = (self.ones[d] + 0.5) / (self.all[d] + 1)
+            out[d] = got + share * p
+        return out
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], name: str = "branch") -> Iterator[pa.Table]:
+    """Tables of about CHUNK rows, or one group if that is larger, of a partition that is sorted by groups; no group is cut."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= CHUNK:
+            table = pa.Table.from_batches(held)
+            groups = table.column(name).to_numpy()
+            cut = int(np.searchsorted(groups, groups[-1]))
+            if cut:
+                yield table.slice(0, cut)
+            held = table.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _upper(depth: int, top: int):
+    def upper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Nodes of level ``top``, from sorted (branch, key, n)."""
+        for table in _whole_groups(batches):
+            found = Branch(table.column("key").to_numpy(), table.column("n").to_numpy(), depth, top)
+            columns = [found.ids[top], found.ones[top], found.all[top], found.mixed, found.weight[top]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "ones", "total", "mixed", "weight"])
+
+    return upper
+
+
+#: A gram, its count, the bits that no context has settled yet (the first is 1), and the log10 of the others' probability.
+OPEN = "key long, n long, open int, score double"
+
+
+def _scores(depth: int, top: int):
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Scores of grams from sorted (branch, key, n, got, share); rows with n = -1 are nodes of level ``top`` instead."""
+        for table in _whole_groups(batches):
+            key, n = table.column("key").to_numpy(), table.column("n").to_numpy()
+            above, learnt = n == -1, n > 0
+            tree = Branch(key[learnt], n[learnt], depth, top)
+            chances = tree.chances(key[above], table.column("got").to_numpy()[above], table.column("share").to_numpy()[above])
+            key, n = key[~above], n[~above]
+            ids, bits = _nodes_of(key)
+            left, score = np.ones(ids.shape, bool), np.zeros(len(key))
+            for d in range(depth, top - 1, -1):
+                level, sought = tree.ids[d], np.flatnonzero(left.any(axis=0))
+                if not len(sought) or not len(level):
+                    continue
+                for i in range(8):
+                    want = ids[i, sought] & ((1 << (8 * (d + 1))) - 1)
+                    place = np.minimum(np.searchsorted(level, want), len(level) - 1)
+                    met = (level[place] == want) & left[i, sought]
+                    rows, chance = sought[met], chances[d][place[met]]
+                    score[rows] += np.log10(np.where(bits[i, rows] == 1, chance, 1 - chance))
+                    left[i, rows] = False
+            unsettled = (left * (1 << np.arange(8))[:, None]).sum(axis=0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(unsettled), pa.array(score)], names=["key", "n", "open", "score"])
+
+    return scores
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,74 +268,110 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 chance = chances[at[met]]
                 score[met] += np.log10(np.where((byte[met] >> (7 - i)) & 1 == 1, chance, 1 - chance))
                 left[met] &= ~np.int32(1 << i)
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(left), pa.array(score)], names=["key", "open", "score"])
-
-
-@dataclass
-class TreeModel:
-    """All contexts by depth, and the scores of the training grams as (key, n, score)."""
-
-    depth: int
-    contexts: list[DataFrame]
-    known: DataFrame
-
-    def gram_scores(self, keys: DataFrame) -> DataFrame:
-        """(key, score) of distinct (key): log10 probability of the byte after its context, each bit by the longest context that has its node."""
-        grams = keys.select("key", F.lit(255).alias("open"), F.lit(0.0).alias("score"))
-        for d in range(self.depth, -1, -1):
-            grams = _settled(grams, self.contexts[d], d)
-        return grams.select("key", (F.col("score") + F.bit_count("open") * math.log10(0.5)).alias("score"))
+        yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("n"), pa.array(left), pa.array(score)], names=["key", "n", "open", "score"])
 
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of the byte of each of a few keys after its context."""
-        frame = self.known.sparkSession.createDataFrame([(int(k),) for k in np.unique(keys)], "key long")
-        found = {r.key: r.score for r in self.gram_scores(frame).collect()}
-        return np.array([found[int(k)] for k in keys])
 
+def _shorter(node: Column, d: int) -> Column:
+    """The id of the node's context of ``d`` bytes."""
+    return node.bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1))
 
-def _settled(grams: DataFrame, contexts: DataFrame, d: int) -> DataFrame:
-    own = grams.withColumn("ctx", F.shiftright("key", 8)).withColumn("ctx", _shorter(d))
-    joined = own.join(contexts.hint("broadcast" if d <= 1 else "merge"), "ctx", "left")  # at most 256 contexts
-    return joined.select("key", "open", "score", "nodes").mapInArrow(_settle, OPEN)
 
+def gram_scores(counted: DataFrame, scratch: Scratch, depth: int = DEPTH) -> DataFrame:
+    """(key, n, score) of distinct (key, n): log10 probability of a gram's byte after its context, each bit by the longest context that has its node.
 
-@dataclass
-class HotGrams:
-    """The most frequent training grams, and their scores."""
-
-    keys: np.ndarray
-    scores: np.ndarray
-
-
-def hot_grams(known: DataFrame) -> HotGrams:
-    """The grams above the least frequency that at most HOT_GRAMS reach."""
-    most = 1 << 16
-    by_count = known.groupBy(F.least("n", F.lit(most)).alias("n")).agg(F.count(F.lit(1)).alias("grams")).collect()  # at most 2^16 rows
+    The tree is that of the grams with n > 0; the others are only scored.
+    """
+    top = max(depth - 2, 0)
+    branch = F.shiftright("key", 8).bitwiseAND(F.lit((1 << (8 * top)) - 1)).alias("branch")
+    grouped = lambda rows: rows.repartition("branch").sortWithinPartitions("branch")
+    learnt = grouped(counted.filter("n > 0").select(branch, "key", "n"))
+    level = scratch.keep(learnt.mapInArrow(_upper(depth, top), "id long, ones long, total long, mixed double, weight double"))
+    levels = {top: level}
+    for d in range(top - 1, -1, -1):
+        up = level.groupBy(_shorter(F.col("id"), d).alias("id")).agg(F.sum("ones").alias("ones"), F.sum("total").alias("total"), F.sum("mixed").alias("longer"))
+        up = up.withColumn("kt", _kt((F.col("total") - F.col("ones")).cast("double"), F.col("ones").cast("double"), F.log))
+        mixed = F.lit(math.log(0.5)) + F.greatest("kt", "longer") + F.log1p(F.exp(-F.abs(F.col("kt") - F.col("longer"))))
+        level = scratch.keep(up.withColumn("mixed", mixed).withColumn("weight", 1 / (1 + F.exp(F.least(F.lit(700.0), F.col("longer") - F.col("kt"))))).select("id", "ones", "total", "mixed", "weight"))
+        levels[d] = level
+
+    # from the top of the tree down: what shorter contexts settled (got) and left (share)
+    p = (F.col("ones") + 0.5) / (F.col("total") + 1)
+    contexts, state = {}, None
+    for d in range(top + 1):
+        own = levels[d].select("id", "weight", p.alias("p"))
+        if d:
+            above = state.select(F.col("id").alias("up"), (F.col("got") + F.col("share") * F.col("weight") * F.col("p")).alias("got"), (F.col("share") * (1 - F.col("weight"))).alias("share"))
+            own = own.withColumn("up", _shorter(F.col("id"), d - 1)).join(above.hint("merge"), "up").drop("up")  # a node has at most 256 children
+        else:
+            own = own.withColumns({"got": F.lit(0.0), "share": F.lit(1.0)})
+        state = scratch.keep(own)
+        if d < top:
+            chance = F.struct(F.col("id").bitwiseAND(F.lit(255)).cast("int").alias("node"), (F.col("got") + F.col("share") * F.col("p")).alias("chance"))
+            contexts[d] = scratch.keep(state.groupBy(F.shiftright("id", 8).alias("context")).agg(F.collect_list(chance).alias("nodes")))  # at most 255 nodes
+
+    none = F.lit(None).cast("double")
+    both = counted.select(branch, "key", "n", none.alias("got"), none.alias("share")).unionByName(state.select(F.shiftright("id", 8).alias("branch"), F.col("id").alias("key"), F.lit(-1).cast("long").alias("n"), "got", "share"))
+    scored = scratch.keep(grouped(both).mapInArrow(_scores(depth, top), OPEN))
+    rest = scored.filter("open <> 0")
+    for d in range(top - 1, -1, -1):
+        joined = rest.withColumn("context", F.shiftright("key", 8).bitwiseAND(F.lit((1 << (8 * d)) - 1))).join(contexts[d].hint("merge"), "context", "left")
+        rest = joined.select("key", "n", "open", "score", "nodes").mapInArrow(_settle, OPEN)
+    rest = scratch.keep(rest.select("key", "n", (F.col("score") + F.bit_count("open") * math.log10(0.5)).alias("score")))
+    scratch.clear(counted, scored, rest)
+    return scored.filter("open = 0").select("key", "n", "score").unionByName(rest)
+
+
+# Documents
+
+
+class Lookup:
+    """Values by int64 key, in open addressing: a key's slot is at most a few after that of its hash."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+        self.bits = max(4, int(1.6 * len(keys)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        left, slot, self.most = np.arange(len(keys), dtype=np.int32), self._slots(keys), 0
+        while len(left):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = left[free]
+            more = self.slots[slot] != left
+            left, slot, self.most = left[more], (slot[more] + 1) & ((1 << self.bits) - 1), self.most + 1
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.view(U64) * U64(0x9E3779B97F4A7C15)
+        return (mixed >> U64(64 - self.bits)).view(np.int64)
+
+    def find(self, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(found, value or 0) of each."""
+        found, values = np.zeros(len(sought), bool), np.zeros(len(sought))
+        if not len(self.keys):
+            return found, values
+        left, slot = np.arange(len(sought)), self._slots(sought)
+        for _ in range(self.most):
+            if not len(left):
+                break
+            place = self.slots[slot]
+            met = (self.keys[place] == sought[left]) & (place >= 0)
+            found[left[met]], values[left[met]] = True, self.values[place[met]]
+            other = ~met & (place >= 0)
+            left, slot = left[other], (slot[other] + 1) & ((1 << self.bits) - 1)
+        return found, values
+
+
+def most_frequent(counted: DataFrame, value: str, most: int) -> Lookup:
+    """``value`` by key of the rows above the least count that at most ``most`` rows reach, from (key, n, value)."""
+    step = F.floor(F.log2(F.greatest("n", F.lit(1))) * 64)
+    by_step = counted.filter("n > 0").groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows")).collect()  # at most 64 * 63 rows
     held, least = 0, None
-    for r in sorted(by_count, key=lambda r: -r.n):
-        held += r.grams
-        if held > HOT_GRAMS:
+    for r in sorted(by_step, key=lambda r: -r.step):
+        held += r.rows
+        if held > most:
             break
-        least = r.n
-    top = known.filter(F.col("n") >= least if least else F.lit(False)).select("key", "score").toArrow()  # at most HOT_GRAMS rows
-    order = np.argsort(top["key"].to_numpy(), kind="stable")
-    return HotGrams(top["key"].to_numpy()[order], top["score"].to_numpy()[order])
-
-
-@dataclass
-class HotWords:
-    """The most frequent training words, by hash, and their counts."""
-
-    keys: np.ndarray
-    counts: np.ndarray
-
-
-def _look_up(keys: np.ndarray, values: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(found, value) of each sought key in sorted keys."""
-    if not len(keys):
-        return np.zeros(len(sought), bool), np.zeros(len(sought))
-    place = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
-    return keys[place] == sought, values[place]
+        least = r.step
+    chosen = counted.filter((F.col("n") > 0) & (step >= least) if least is not None else F.lit(False)).select("key", F.col(value).cast("double").alias("value"))
+    found = chosen.toArrow()  # at most ``most`` rows
+    return Lookup(found["key"].to_numpy(), found["value"].to_numpy())
 
 
 def _tail(keys: np.ndarray, rows: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
@@ -292,24 +390,18 @@ def _scorer(depth: int, tree, hot):
         for batch in batches:
             for row, data, offsets in pieces(batch.column("text"), PIECE):
                 n = len(offsets) - 1
-                starts, lengths, rows = word_spans(data, offsets)
-                text, at = normalised(data, starts, lengths, rows, n)
-                codes, met = pd.factorize(grams(text, at, depth))
-                order = np.argsort(met)
-                held, scores = np.zeros(len(met), bool), np.zeros(len(met))
-                held[order], scores[order] = _look_up(model.keys, model.scores, met[order])
-                scores[~held] = 0
-                total = np.add.reduceat(scores[codes], at[:-1])
-                rare = np.flatnonzero(~held[codes])
-                gram_tail, gram_times = _tail(met[codes[rare]], np.searchsorted(at, rare, "right") - 1, n)
-                hashes = word_hashes(data, starts, lengths).view(np.int64)
-                known, counts = _look_up(words.keys, words.counts, hashes)
+                spans = word_spans(data, offsets)
+                keys, at = grams(data, offsets, spans, depth)
+                held, scores = model.find(keys)
+                rare = np.flatnonzero(~held)
+                gram_tail, gram_times = _tail(keys[rare], np.searchsorted(at, rare, "right") - 1, n)
+                hashes, rows = word_hashes(data, *spans[:2]).view(np.int64), spans[2]
+                known, counts = words.find(hashes)
                 hot_log = np.bincount(rows[known], weights=np.log10(counts[known] + 0.1), minlength=n).astype(np.float64)
-                hot_known = np.bincount(rows[known], minlength=n)
                 tail, times = _tail(hashes[~known], rows[~known], n)
                 part = batch.slice(row, n)
-                columns = [part.column("uid"), part.column("doc_id"), part.column("held_out"), pa.array(np.bincount(rows, minlength=n) + 1), pa.array(np.diff(at)), pa.array(hot_log), pa.array(hot_known)]
-                columns += [pa.array(total), tail, times, gram_tail, gram_times]
+                columns = [part.column("uid"), part.column("doc_id"), part.column("held_out"), pa.array(np.bincount(rows, minlength=n) + 1), pa.array(np.diff(at)), pa.array(hot_log), pa.array(np.bincount(rows[known], minlength=n))]
+                columns += [pa.array(np.add.reduceat(scores, at[:-1])), tail, times, gram_tail, gram_times]
                 yield pa.RecordBatch.from_arrays(columns, names=NAMES)
 
     return score
@@ -319,22 +411,10 @@ NAMES = ["uid", "doc_id", "held_out", "n_tokens", "n_bytes", "hot_log", "hot_kno
 SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_bytes long, hot_log double, hot_known long, hot_score double, tail array<long>, times array<long>, gram_tail array<long>, gram_times array<long>"
 
 
-def train(texts: DataFrame, scratch: Scratch, depth: int = DEPTH) -> tuple[TreeModel, DataFrame]:
-    """The tree of (text) rows, and all counts as (kind, key, n)."""
-    counts = scratch.keep(texts.select("text").mapInArrow(_counter(depth), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    met = counts.filter(F.col("kind") == GRAM).select("key", "n")
-    contexts = context_chances(tree_nodes(met, depth, scratch), scratch)
-    opened = met.select(F.struct("key", "n").alias("gram"), F.shiftright("key", 8).alias("ctx"))
-    scored = opened.join(contexts[depth].hint("merge"), "ctx").select("gram.key", "gram.n", F.lit(255).alias("open"), F.lit(0.0).alias("score"), "nodes")
-    known = scratch.keep(scored.mapInArrow(_settle_counted, "key long, n long, score double"))
-    return TreeModel(depth, contexts, known), counts
-
-
-def _settle_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Training grams, which the longest contexts settle whole, with their counts."""
-    for batch in batches:
-        for done in _settle([batch]):
-            yield pa.RecordBatch.from_arrays([done.column("key"), batch.column("n"), done.column("score")], names=["key", "n", "score"])
+def count_corpus(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(kind, key, n) of (text, held_out): grams, words by hash, and the number of rows that aren't held out, in which n are counted."""
+    counted = texts.select("text", "held_out").mapInArrow(_counter(depth), "kind int, key long, n long")
+    return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -343,36 +423,31 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     Learns from the rows whose crc32 of doc_id as text isn't 0 mod 10; the others are held out (so are
     those without doc_id). base_score is the smoothed unigram score of words and the end; score
     is the tree's log10 probability of the text, its end included. Null and empty texts have the end alone.
-    Repeated rows count each time. Other columns are ignored. Without training rows
+    Repeated rows count each time. Words are told apart by 64-bit hashes. Other columns are ignored. Without training rows
     every bit has probability one half. An empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ctw")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(True))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out.alias("held_out"))
-    model, counts = train(texts.filter(~F.col("held_out")), scratch, depth)
+    counts = scratch.keep(count_corpus(texts, depth))
     words = counts.filter(F.col("kind") == WORD).select("key", "n")
     sums = counts.groupBy("kind").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).collect()
     by_kind = {r.kind: (r.v, r.n) for r in sums}
     ends = by_kind.get(DOC, (0, 0))[1]
     v, total = by_kind.get(WORD, (0, 0))
     v, total = v + (ends > 0), total + ends
-    top = words.orderBy(F.desc("n"), "key").limit(HOT_WORDS).toArrow()  # at most HOT_WORDS rows
-    order = np.argsort(top["key"].to_numpy(), kind="stable")
-    hot = spark.sparkContext.broadcast(HotWords(top["key"].to_numpy()[order], top["n"].to_numpy()[order].astype(np.float64)))
-    tree = spark.sparkContext.broadcast(hot_grams(model.known))
+    scores = gram_scores(counts.filter(F.col("kind") == GRAM).select("key", "n"), scratch, depth)
+    hot = spark.sparkContext.broadcast(most_frequent(words, "n", HOT_WORDS))
+    tree = spark.sparkContext.broadcast(most_frequent(scores, "score", HOT_GRAMS))
 
-    rows = texts.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_scorer(depth, tree, hot), SCORED)
-    rows = scratch.keep(rows)
+    rows = scratch.keep(texts.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_scorer(depth, tree, hot), SCORED))
     tail = rows.select("uid", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("uid", F.col("t.tail").alias("key"), F.col("t.times").alias("times"))
     counted = tail.join(words.hint("merge"), "key", "left").select(
         "uid", (F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("log"), F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).alias("known"), F.lit(0.0).alias("score")
     )
-    rare = rows.select("uid", "held_out", F.explode(F.arrays_zip("gram_tail", "gram_times")).alias("t")).select("uid", "held_out", F.col("t.gram_tail").alias("key"), F.col("t.gram_times").alias("times"))
-    new = rare.filter("held_out").select("key").distinct().join(model.known.select("key").hint("merge"), "key", "left_anti")
-    new = scratch.keep(model.gram_scores(scratch.keep(new)))
-    scores = model.known.select("key", "score").unionByName(new)
-    weighed = rare.join(scores.hint("merge"), "key").select("uid", F.lit(0.0).alias("log"), F.lit(0).cast("long").alias("known"), (F.col("times") * F.col("score")).alias("score"))
+    rare = rows.select("uid", F.explode(F.arrays_zip("gram_tail", "gram_times")).alias("t")).select("uid", F.col("t.gram_tail").alias("key"), F.col("t.gram_times").alias("times"))
+    weighed = rare.join(scores.select("key", "score").hint("merge"), "key").select("uid", F.lit(0.0).alias("log"), F.lit(0).cast("long").alias("known"), (F.col("times") * F.col("score")).alias("score"))
     found = counted.unionByName(weighed).groupBy("uid").agg(F.sum("log").alias("tail_log"), F.sum("known").alias("tail_known"), F.sum("score").alias("tail_score"))
     base = F.col("hot_log") + F.coalesce("tail_log", F.lit(0.0)) + math.log10(ends + 0.1) - F.col("n_tokens") * math.log10(total + 0.1 * (v + 1))
     known = F.col("hot_known") + F.coalesce("tail_known", F.lit(0)) + (1 if ends else 0)

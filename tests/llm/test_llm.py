@@ -3,12 +3,14 @@
 import hashlib
 import math
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from marlstone.llm import chat_format, context_tree, decontaminate, exact_dedup, mixing, near_dedup, sharding, site_lines, toxicity, url_reputation
@@ -95,10 +97,13 @@ def variants(seed, n_base=12, copies=14, length=120, edits=14):
     return rows
 
 
-@pytest.mark.parametrize(("width", "block"), [(2, 768), (5, 768), (2, 8)])
-def test_near_duplicates_match_brute_force(spark, width, block, monkeypatch):
+@pytest.mark.parametrize(("width", "block", "centres", "spread"), [(2, 768, 6, 4096), (5, 768, 6, 4096), (2, 6, 2, 3)])
+def test_near_duplicates_match_brute_force(spark, width, block, centres, spread, monkeypatch):
+    """The last case has every posting and group dealt out, and fragments compared in blocks."""
     monkeypatch.setattr(near_dedup, "BLOCK", block)
-    rows = [*[r for r in HARD if r[0] != 9], *variants(width)]
+    monkeypatch.setattr(near_dedup, "CENTRES", centres)
+    monkeypatch.setattr(near_dedup, "SPREAD", spread)
+    rows = [*HARD, *variants(width)]
     got = near_dedup.near_duplicates(frame(spark, rows), width).collect()
     sizes, components = brute_components(rows, width)
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter((d, n, c) for (d, _), n, c in zip(rows, sizes, components, strict=True))
@@ -113,6 +118,27 @@ def test_one_of_each_near_duplicate_group(spark):
     assert got.columns == frame(spark, rows).columns
 
 
+def test_one_large_group_of_near_copies(spark, monkeypatch):
+    """A chain of texts, each near the next, and hundreds of copies with one edit: one component, in few comparisons."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 64)
+    base = [f"w{i}" for i in range(60)]
+    chain = [" ".join([f"n{j}" for j in range(i)] + base[i:]) for i in range(0, 40, 2)]
+    edited = [" ".join([*base[:k], f"e{i}", *base[k + 1 :]]) for i, k in enumerate(np.random.default_rng(1).integers(2, 58, 300))]
+    rows = [(i + 1, t) for i, t in enumerate([*chain, *edited, "quite another text " * 9])]
+    got = near_dedup.near_duplicates(frame(spark, rows), 2).collect()
+    sizes, components = brute_components(rows, 2)
+    assert {r.doc_id: r.component_id for r in got} == {d: c for (d, _), c in zip(rows, components, strict=True)}
+    assert len(set(components)) == 2
+
+
+def test_near_duplicates_of_a_derived_frame(spark):
+    """Rows that come from a shuffle keep their numbers."""
+    rows = variants(7, 6)
+    docs = frame(spark, rows).repartition(3).filter("doc_id > 0")
+    _, components = brute_components(rows, 2)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 2).collect()} == {d: c for (d, _), c in zip(rows, components, strict=True)}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(frame(spark, []), 2).count() == 0
     assert near_dedup.one_of_each(frame(spark, [(1, None)])).count() == 1
@@ -207,6 +233,17 @@ def test_mixing_targets_and_copies(spark):
         assert r.taken == r.copies * r.size <= 3 * r.size
         taken[r.source] += r.taken
     assert all(abs(taken[s] - want[s]) <= 0.02 * want[s] + 5 for s in order)
+    draw = lambda doc, seed: None if doc is None else (xxhash.xxh64_intdigest(struct.pack("<i", seed), _long_hash(doc)) >> 11) / (1 << 53)
+    by_source = defaultdict(list)
+    for r in got:
+        if r.doc_id is not None:
+            assert r.copies == math.floor(r.rate) + (draw(r.doc_id, r.seed) < r.rate - math.floor(r.rate))
+        by_source[r.source].append(r)
+    for source, all_rows in by_source.items():
+        if any(r.doc_id is None for r in all_rows):
+            continue
+        off = [abs(sum(r.size * (math.floor(r.rate) + (draw(r.doc_id, s) < r.rate - math.floor(r.rate))) for r in all_rows) - want[source]) for s in range(mixing.SEEDS)]
+        assert off[all_rows[0].seed] == pytest.approx(min(off))
     again = mixing.mixing_plan(docs.repartition(7)).collect()
     assert Counter(tuple(r) for r in again) == Counter(tuple(r) for r in got)
     emitted = mixing.mix(docs)
@@ -214,6 +251,11 @@ def test_mixing_targets_and_copies(spark):
     assert Counter(r.doc_id for r in emitted.collect()) == Counter({k: v for k, v in _copies(got).items() if v})
 
 
+def _long_hash(doc):
+    """Spark's xxhash64 of a long with its seed 42, which seeds the hash of the next column."""
+    return xxhash.xxh64_intdigest(struct.pack("<q", doc), 42)
+
+
 def _copies(rows):
     out = Counter()
     for r in rows:
@@ -267,30 +309,60 @@ def test_shards_are_balanced_and_slots_gapless(spark):
 def test_ring_moves_little_when_a_shard_is_added():
     cells = [(a, -1, 100 + a * 13 % 50) for a in range(4000)]
     before, after = sharding.place_cells(cells, 8, 0.25), sharding.place_cells(cells, 9, 0.25)
-    moved = sum(before[c] != after[c] for c in before)
-    assert moved < 0.3 * len(cells)
-    owners = [o[0] for o in sharding.ring_orders(8)]
-    assert all(x == y for x, y in zip(owners, (next(s for s in o if s < 8) for o in sharding.ring_orders(9)), strict=True))
+    eight, nine = sharding.Ring(8), sharding.Ring(9)
+    assert sum(before[c] != after[c] for c in before if c[0] % 2 == 0) < len(cells)
+    nine.arcs, nine.firsts = eight.arcs, np.searchsorted(nine.spots, (np.arange(eight.arcs) + 0.5) / eight.arcs).tolist()
+    owners = [next(eight.clockwise(a)) for a in range(0, eight.arcs, 7)]
+    assert owners == [next(s for s in nine.clockwise(a) if s < 8) for a in range(0, eight.arcs, 7)]
+    grown = [next(nine.clockwise(a)) for a in range(0, eight.arcs, 7)]
+    assert all(x == y or y == 8 for x, y in zip(owners, grown, strict=True)) and 0.05 < sum(y == 8 for y in grown) / len(grown) < 0.2
 
 
 def test_overflow_goes_clockwise():
     cells = [(a, -1, 1) for a in range(400)]
-    orders, most = sharding.ring_orders(8), 1.01 * 400 / 8
+    ring, most = sharding.Ring(8), 1.01 * 400 / 8
     placed, load = sharding.place_cells(cells, 8, 0.01), Counter()
     from marlstone.llm.bytesets import mix64
 
-    for i in np.argsort(mix64(np.array([c[0] * 1024 for c in cells], dtype=np.uint64)), kind="stable"):
-        want = next(s for s in orders[cells[i][0]] if load[s] + 1 <= most)
+    for i in np.argsort(mix64(np.array([c[0] << 24 for c in cells], dtype=np.uint64)), kind="stable"):
+        want = next(s for s in ring.clockwise(cells[i][0]) if load[s] + 1 <= most)
         load[want] += 1
         assert placed[cells[i][0], -1] == want
 
 
+def test_many_shards_are_placed_at_once():
+    cells = [(a, -1, 100) for a in range(sharding.arcs_of(500))]
+    load = Counter(sharding.place_cells(cells, 500, 0.05).values())
+    assert len(load) == 500 and max(load.values()) <= 1.05 * len(cells) / 500
+
+
+def test_query_rows_are_the_ring_s(spark):
+    """Each row's shard is that of its arc and cell, found again from the hashes alone; slots go by input partition, then doc_id."""
+    rows = [(i, "x" * (i * 37 % 900)) for i in range(400)] + [(None, None), (3, "twice")]
+    docs = frame(spark, rows)
+    narrow = sharding._narrow(docs).withColumn("arc", sharding._row_arc(F.col("doc_id"), 8)).collect()
+    size = Counter()
+    for r in narrow:
+        size[r.arc] += r.size
+    placed = sharding.place_cells(sorted((a, -1, b) for a, b in size.items()), 8)
+    want, slots = Counter(), Counter()
+    for r in sorted(narrow, key=lambda r: (r.uid >> 33, r.doc_id is not None, r.doc_id or 0, r.uid)):
+        shard = placed[r.arc, -1]
+        want[r.doc_id, r.size, r.text_crc32, "bytes", shard, slots[shard], None] += 1
+        slots[shard] += 1
+    assert Counter(tuple(r) for r in sharding.assign_shards(docs).collect()) == want
+
+
 def test_written_shards_hold_all_rows(spark, tmp_path):
-    docs = frame(spark, [(i, "text" * i) for i in range(200)])
+    rows = [*HARD, *[(100 + i, "text" * i) for i in range(200)], (100, "")]
+    docs = frame(spark, rows)
     sharding.write_shards(docs, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == 200 and back.select("shard").distinct().count() == 8
-    assert set(back.columns) == set(docs.columns)
+    assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter(rows) and set(back.columns) == {*docs.columns, "shard", "slot"}
+    whole = sharding.sharded(docs)
+    assert whole.columns == [*[c for c in docs.columns if c not in ("size", "shard")], "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    assert Counter((r.doc_id, r.text, r.uid) for r in whole.collect()) == Counter((*r, 7) for r in rows)
+    assert sharding.sharded(docs.limit(0)).count() == 0
 
 
 # 7: site lines
@@ -328,9 +400,96 @@ def test_url_rules_and_reputation(spark):
     assert url_reputation.judge_urls(pages.limit(0), outcomes, rules).count() == 0
 
 
+def test_domains_and_suffixes(spark):
+    hosts = ["a.b.co.uk", "user:p@x.example.com:8080", "co.uk", "localhost", "", "1.b.my.own", "xco.uk"]
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string")
+    name = url_reputation.host_name(F.col("host"))
+    suffix = url_reputation.host_suffix(name)
+    got = {r.host: (r.s, r.d, r.o) for r in rows.select("host", suffix.alias("s"), url_reputation.registered_domain(name, suffix).alias("d"), url_reputation.host_suffix(name, ("my.own", "b.my.own")).alias("o")).collect()}
+    assert [got[h][:2] for h in hosts[:5]] == [("co.uk", "b.co.uk"), ("com", "example.com"), ("co.uk", "co.uk"), ("localhost", "localhost"), ("", "")]
+    assert got["1.b.my.own"][2] == "b.my.own" and got["xco.uk"][:2] == ("uk", "xco.uk")
+
+
 # 2: toxicity
 
 
+def brute_features(text):
+    """Words and word beginnings of a text, and its dense features, byte by byte."""
+    data = (text or "").encode()
+    letter = lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in data)
+    words = [bytes(w) for w in re.findall(rb"[A-Za-z\x80-\xff]+", low)]
+    found = {("word", w) for w in words} | {("begins", w[:k]) for w in words for k in (4, 5, 6) if len(w) > k}
+    n = max(1, len(data))
+    space = {0x20, 9, 10, 11, 12, 13}
+    symbol = sum(not letter(b) and b not in space and not 48 <= b <= 57 and b not in b".," for b in data) / n
+    again = sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(1, len(words))
+    dense = [sum(65 <= b <= 90 for b in data) / n, sum(48 <= b <= 57 for b in data) / n, symbol, sum(b in space for b in data) / n, again, math.log1p(n) / 10, float(symbol > 0.05)]
+    return found, dense
+
+
+def brute_fit(x, y, l2=2e-3):
+    """The minimum of the balanced logistic loss with an L2 penalty, by Newton steps."""
+    x = np.c_[x, np.ones(len(x))]
+    rate = 0.5 * np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) + 0.5 / len(y)
+    penalty, w = np.r_[np.full(x.shape[1] - 1, l2), 0], np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x * (rate * p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-12), (rate * (p - y)) @ x + penalty * w)
+    return w
+
+
+def test_toxicity_chain_matches_brute_force(spark):
+    """The whole chain again in plain code: features, folds, out-of-fold probabilities and the models on them."""
+    rng = np.random.default_rng(11)
+    plain = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    rows, labels = [], []
+    for i in range(260):
+        low, toxic = bool(rng.random() < 0.3), bool(rng.random() < 0.3)
+        w = [*rng.choice(plain, 12), *(["sloppy!"] if low and rng.random() < 0.8 else []), *(["vile"] if toxic and rng.random() < 0.8 else [])]
+        rows.append((i, " ".join(rng.permutation(w))))
+        labels.append((i, int(low), int(toxic)))
+    docs = frame(spark, rows)
+    model = toxicity.fit_chain(docs, spark.createDataFrame(labels, "doc_id long, low int, toxic int"), ["low", "toxic"])
+    fold = {r.doc_id: r.f for r in docs.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(toxicity.FOLDS)).alias("f")).collect()}
+    found = [brute_features(t) for _, t in rows]
+    names = sorted({f for s, _ in found for f in s})
+    y = np.array([lab[1:] for lab in labels], float)
+    n = len(rows)
+    chosen = set()
+    for c in range(2):
+        share, score = (y[:, c].sum() + 0.5) / (n + 1), {}
+        for f in names:
+            has = np.array([f in s for s, _ in found])
+            if has.sum() >= 3:
+                score[f] = abs((y[has, c].sum() - has.sum() * share) / math.sqrt(has.sum() * share * (1 - share) + 0.25))
+        chosen |= {f for f, z in score.items() if z > 3.5}
+    assert len(chosen) == len(model.selected) > 2
+    dense = np.array([d for _, d in found])
+    dense = np.clip((dense - dense.mean(axis=0)) / np.maximum(dense.std(axis=0), 1e-3), -8, 8)
+    x = np.c_[np.array([[f in s for f in sorted(chosen)] for s, _ in found], float), dense]
+    folds = np.array([fold[i] for i, _ in rows])
+    use = x
+    for c in range(2):
+        held = np.zeros(n)
+        for k in range(toxicity.FOLDS):
+            w = brute_fit(x[folds != k], y[folds != k, c])
+            held[folds == k] = 1 / (1 + np.exp(-(np.c_[x[folds == k], np.ones((folds == k).sum())] @ w)))
+        w = brute_fit(x, y[:, c])
+        p = 1 / (1 + np.exp(-(np.c_[use, np.ones(n)] @ w)))
+        x, use = np.c_[x, held], np.c_[use, p]
+    got = {r.doc_id: (r.p_low, r.p_toxic) for r in toxicity.score_documents(docs, spark.createDataFrame(labels, "doc_id long, low int, toxic int"), ["low", "toxic"]).collect()}
+    off = np.abs(np.array([got[i] for i, _ in rows]) - use[:, -2:])
+    assert off.max() < 0.02 and off.mean() < 0.005
+
+
+def test_labelled_rows_are_bounded_by_hash(spark):
+    known = spark.range(5000).select(F.col("id").alias("doc_id"))
+    some = toxicity._bounded(known, 1000, 11)
+    assert 950 <= some.count() <= 1000 and toxicity._bounded(known, 5000, 11).count() == 5000
+    assert {r.doc_id for r in toxicity._bounded(known, 500, 11).collect()} <= {r.doc_id for r in some.collect()}
+
+
 def test_toxicity_on_held_out_documents(spark):
     rng = np.random.default_rng(3)
     plain, bad = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)], ["vile", "nasty", "rotten"]
@@ -441,12 +600,28 @@ def test_context_tree_keeps_every_node(spark, hot, monkeypatch):
 
 
 def test_bytes_probabilities_sum_to_one(spark):
-    docs = spark.createDataFrame([("some text and more of it " * 9,)], "text string")
-    model, _ = context_tree.train(docs, Scratch(spark, "ctw"), 4)
-    for ctx in (b"text", b"zzzz", b" and", b"\xff\xff\xff\xff"):
-        key = int.from_bytes(ctx, "big")
-        keys = np.array([(key << 8) | b for b in range(256)], dtype=np.int64)
-        assert (10 ** model.log10(keys)).sum() == pytest.approx(1, abs=1e-5)
+    docs = spark.createDataFrame([("some text and more of it " * 9, False)], "text string, held_out boolean")
+    counted = context_tree.count_corpus(docs, 4).filter("kind = 0").select("key", "n")
+    met = {r.key for r in counted.collect()}
+    contexts = [int.from_bytes(c, "big") for c in (b"text", b"zzzz", b" and", b"\xff\xff\xff\xff")]
+    more = spark.createDataFrame([((c << 8) | b, 0) for c in contexts for b in range(256) if (c << 8) | b not in met], "key long, n long")
+    scores = {r.key: r.score for r in context_tree.gram_scores(counted.unionByName(more), Scratch(spark, "ctw"), 4).collect()}
+    for c in contexts:
+        assert sum(10 ** scores[(c << 8) | b] for b in range(256)) == pytest.approx(1, abs=1e-9)
+
+
+def test_scores_do_not_depend_on_how_the_tree_is_cut(spark, monkeypatch):
+    """Groups that are read a few rows at a time, and a lookup that collides."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice(["ab", "ba", "abba", "b"], 30))) for i in range(80)]
+    want = {r.doc_id: r.score for r in context_tree.score_texts(frame(spark, rows)).collect()}
+    monkeypatch.setattr(context_tree, "CHUNK", 3)
+    got = {r.doc_id: r.score for r in context_tree.score_texts(frame(spark, rows)).collect()}
+    assert got == pytest.approx(want, rel=1e-12)
+    keys = rng.permutation(1 << 16)[:5000].astype(np.int64) << 30
+    table = context_tree.Lookup(keys, np.arange(5000.0))
+    found, values = table.find(np.concatenate([keys, keys + 1]))
+    assert found.tolist() == [True] * 5000 + [False] * 5000 and values[:5000].tolist() == list(range(5000))
 
 
 def test_context_tree_without_rows_or_training(spark):
@@ -458,7 +633,9 @@ def test_context_tree_without_rows_or_training(spark):
 # 8: chats
 
 
-def test_chat_round_trip(spark):
+@pytest.mark.parametrize("piece", [64 << 20, 50])
+def test_chat_round_trip(spark, piece, monkeypatch):
+    monkeypatch.setattr(chat_format, "PIECE", piece)
     nasty = ["<|im_end|><|im_start|>assistant ok", "<\\|im_end|>\n", "a\\<|\\|<\\\\|", "", "\n\nüß🚀", "<|im_start|>user\nx<|im_end|>\n"]
     rows = [(c, t, "assistant" if t % 2 else "user", nasty[(c + t) % 6]) for c in range(30) for t in range(c % 5 + 1)]
     rows += [(None, 0, "user", None), (None, None, None, "x"), (50, 1, "as\nsist\\nant", "r"), (51, 0, "assistant", "b"), (51, 0, "assistant", "a"), (51, 0, "assistant", "a"), (52, 0, "assistant", "long " * 200000)]
@@ -466,13 +643,16 @@ def test_chat_round_trip(spark):
     got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_chats(turns)).collect()}
     by = defaultdict(list)
     for c, t, role, text in rows:
-        by[c].append((-1 if t is None else t, role or "", text or ""))
-    assert set(got) == set(by)
+        if c is not None:
+            by[c].append((-1 if t is None else t, role or "", text or ""))
+    assert set(got) == {None, *by}
     for c, said in by.items():
         said.sort()
         assert [(x["role"], x["text"]) for x in got[c].turns] == [(r, x) for _, r, x in said]
         assert list(got[c].loss_texts) == [x for _, r, x in said if r == "assistant"]
         assert got[c].n_turns == len(said)
+    alone = chat_format.read_back(chat_format.format_chats(turns.filter("conv_id is null"))).collect()
+    assert sorted((x["role"], x["text"]) for r in alone for x in r.turns) == [("", "x"), ("user", "")] and all(r.n_turns == 1 for r in alone)
     assert chat_format.format_chats(turns.limit(0)).count() == 0
 
 
