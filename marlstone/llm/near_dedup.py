@@ -305,7 +305,7 @@ def _candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
     chosen = ranked.withColumn("met", F.slice("met", 1, F.greatest(F.lit(0), F.size("met") - (K - PREFIX)))).filter("size(met) > 0")
     mask = F.expr("aggregate(met, 0L, (acc, x) -> acc | shiftleft(1L, cast(shiftright(x.key, 32) as int)))")
     prefix = scratch.keep(chosen.select("cid", mask.alias("mask"), F.col("met.key").alias("keys")))
-    entries = prefix.select("cid", F.explode("keys").alias("key"))
+    entries = scratch.keep(prefix.select("cid", F.explode("keys").alias("key")))
     totals = scratch.keep(entries.groupBy("key").agg(F.count(F.lit(1)).alias("total")).filter("total > 1"))
     described = prefix.select("cid", "mask").join(classes.select("cid", "n", "sig"), "cid")
     full = entries.join(totals.hint("merge"), "key").join(described, "cid")
