@@ -39,8 +39,9 @@ from .common import Scratch
 DEPTH = 5
 HOT_GRAMS = 1 << 21
 HOT_WORDS = 1 << 18
-PIECE = 1 << 20
-CHUNK = 150_000
+PIECE = 1 << 19
+SLICE = 500
+CHUNK = 100_000
 END, BLANK = 0xFF, 0x20
 GRAM, WORD, DOC = 0, 1, 2
 
@@ -90,6 +91,14 @@ def _count(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.append(first, len(keys)))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches a few rows at a time; what a batch took is given back after it."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, SLICE):
+            yield batch.slice(lo, SLICE)
+        pa.default_memory_pool().release_unused()
+
+
 def _counter(depth: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {GRAM: [], WORD: []}
@@ -100,7 +109,7 @@ def _counter(depth: int):
             held[kind] = []
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(counts)], names=["kind", "key", "n"])
 
-        for batch in batches:
+        for batch in _slices(batches):
             apart = batch.column("held_out")
             for learn in (True, False):
                 part = batch.filter(pc.invert(apart) if learn else apart)
@@ -112,9 +121,9 @@ def _counter(depth: int):
                     if learn:
                         held[WORD].append(_count(word_hashes(data, *spans[:2]).view(np.int64)))
                     for kind in (GRAM, WORD):
-                        if sum(len(k) for k, _ in held[kind]) > 3_000_000:
+                        if sum(len(k) for k, _ in held[kind]) > 2_000_000:
                             held[kind] = [_summed(np.concatenate([k for k, _ in held[kind]]), np.concatenate([c for _, c in held[kind]]))]
-                            if len(held[kind][0][0]) > 2_000_000:
+                            if len(held[kind][0][0]) > 1_500_000:
                                 yield flush(kind)
         for kind in (GRAM, WORD):
             if held[kind]:
@@ -331,12 +340,12 @@ class Lookup:
         self.keys, self.values = keys, values
         self.bits = max(4, int(1.6 * len(keys)).bit_length())
         self.slots = np.full(1 << self.bits, -1, np.int32)
-        left, slot, self.most = np.arange(len(keys), dtype=np.int32), self._slots(keys), 0
+        left, slot = np.arange(len(keys), dtype=np.int32), self._slots(keys)
         while len(left):
             free = self.slots[slot] < 0
             self.slots[slot[free]] = left[free]
             more = self.slots[slot] != left
-            left, slot, self.most = left[more], (slot[more] + 1) & ((1 << self.bits) - 1), self.most + 1
+            left, slot = left[more], (slot[more] + 1) & ((1 << self.bits) - 1)
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         mixed = keys.view(U64) * U64(0x9E3779B97F4A7C15)
@@ -345,17 +354,15 @@ class Lookup:
     def find(self, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(found, value or 0) of each."""
         found, values = np.zeros(len(sought), bool), np.zeros(len(sought))
-        if not len(self.keys):
-            return found, values
-        left, slot = np.arange(len(sought)), self._slots(sought)
-        for _ in range(self.most):
-            if not len(left):
-                break
-            place = self.slots[slot]
-            met = (self.keys[place] == sought[left]) & (place >= 0)
-            found[left[met]], values[left[met]] = True, self.values[place[met]]
-            other = ~met & (place >= 0)
-            left, slot = left[other], (slot[other] + 1) & ((1 << self.bits) - 1)
+        for lo in range(0, len(sought) if len(self.keys) else 0, 1 << 16):
+            part = sought[lo : lo + (1 << 16)]
+            left, slot = np.arange(lo, lo + len(part)), self._slots(part)
+            while len(left):
+                place = self.slots[slot]
+                met = (self.keys[place] == sought[left]) & (place >= 0)
+                found[left[met]], values[left[met]] = True, self.values[place[met]]
+                other = ~met & (place >= 0)
+                left, slot = left[other], (slot[other] + 1) & ((1 << self.bits) - 1)
         return found, values
 
 
@@ -387,7 +394,7 @@ def _tail(keys: np.ndarray, rows: np.ndarray, n: int) -> tuple[pa.Array, pa.Arra
 def _scorer(depth: int, tree, hot):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, words = tree.value, hot.value
-        for batch in batches:
+        for batch in _slices(batches):
             for row, data, offsets in pieces(batch.column("text"), PIECE):
                 n = len(offsets) - 1
                 spans = word_spans(data, offsets)
