@@ -1,4 +1,4 @@
-"""The queries op1 to op10, with production parameters, over whole tables."""
+"""The queries op1 to op13, with production parameters, over whole tables."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import format_chats, read_back
+from .chat_repair import conversations
+from .common import Scratch
 from .context_tree import score_texts
 from .decontaminate import contained_items
 from .exact_dedup import exact_duplicates
@@ -15,8 +17,10 @@ from .mixing import mixing_plan
 from .near_dedup import near_duplicates
 from .sharding import assign_shards
 from .site_lines import drop_boilerplate
+from .token_output import token_digests, write_token_files
 from .toxicity import score_documents
 from .url_reputation import judge_urls
+from .whitening import whiten
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -88,4 +92,35 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_reputation, op2_toxicity_chain, op3_minhash_near_dedup, op4_mixing, op5_context_tree_scoring, op6_ring_sharding, op7_site_lines, op8_chat_format, op9_decontaminate, op10_exact_dedup)}
+def damaged(turns: DataFrame) -> DataFrame:
+    """Rows as a bad export leaves them, by crc32 of ``conv_id:turn`` (nulls: one space) modulo 20: 0 drops a row, 1 empties its text, 2 removes its ``[.!?]``, 3 repeats it, 4 makes its role user."""
+    spaced = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(spaced("conv_id"), F.lit(":"), spaced("turn")).cast("binary")) % 20
+    rows = turns.select("conv_id", "turn", spaced("role").alias("role"), spaced("text").alias("text"), kind.alias("kind")).filter("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1))).alias("copy")).drop("copy")
+
+
+def op11_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    found = conversations(damaged(turns))
+    every = turns.select(F.col("conv_id").cast("long").alias("conv")).distinct()
+    joined = every.join(found, F.col("conv").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select(F.col("conv").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
+def op12_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    scratch = Scratch(spark, "tokens")
+    write_token_files(table(spark, sf_dir, "documents"), scratch.root, public_tokenizers.path("word_bpe_49k.json"))
+    return token_digests(spark, scratch.root)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_reputation, op2_toxicity_chain, op3_minhash_near_dedup, op4_mixing, op5_context_tree_scoring, op6_ring_sharding, op7_site_lines, op8_chat_format, op9_decontaminate, op10_exact_dedup, op11_chat_repair, op12_token_output, op13_whitening)}
