@@ -122,8 +122,8 @@ def test_one_conversation_of_all_rows(spark):
 def test_repair_of_nothing_and_its_rows(spark):
     assert chat_repair.conversations(turns_of(spark, [])).count() == 0
     rows = chat_repair.repair(turns_of(spark, [(1, 0, "assistant", "A."), (1, 1, "assistant", "B")])).orderBy("part", "chunk").collect()
-    assert ("".join(r.audit for r in rows), sum(r.cost for r in rows)) == ("IKIK", 5)
-    assert [(x.role, x.text) for r in rows for x in r.repaired] == [("user", ""), ("assistant", "A."), ("user", ""), ("assistant", "B")]
+    assert ("".join(r.audit for r in rows), sum(r.cost for r in rows)) == ("RK", 3)
+    assert [(x.role, x.text) for r in rows for x in r.repaired] == [("user", "A."), ("assistant", "B")]
 
 
 def test_repair_query_matches_brute_force(spark):
