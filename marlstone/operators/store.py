@@ -1,21 +1,28 @@
 """The knowledge store: append logs, and views that give each key's present state.
 
-Every write is a numbered batch, a folder ``batch=N`` in each table it touches, so a batch that is written
-again (a replayed micro-batch) replaces itself. ``seq`` is (batch, row): a view is a grouped
-max_by / min_by over it, which combines before the shuffle, so a key that is written very often is no
-burden. Full-text postings and corpus figures are kept with each write of pages, so a search reads no texts.
+A write adds folders of rows, one for each table it touches, and becomes visible by one commit (see ``commits``), so readers see whole
+writes only. ``seq`` is (batch, row), where the batch is the commit's number: a view is a grouped max_by / min_by over it, which
+combines before the shuffle, so a key that is written very often is no burden. A write that a stream replays is
+told by the stream's name and micro-batch, and passed over.
+
+Positional postings are kept with each write of pages, so a search reads no texts but those it shows. ``compact`` writes every table's
+present state, sorted by key (postings by term), as a snapshot with the corpus figures; readers take that and the commits after it.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.operators.retrieval import bm25_of_postings, fused_search, postings, ranked, snippet, tokens, vector_search
+from marlstone.functions.analysis import Analyzer
+from marlstone.operators import fulltext
+from marlstone.operators.commits import Commits, State
+from marlstone.operators.retrieval import fused_search, ranked, vector_search
 
 SCHEMAS = {
     "pages": "row long, slug string, content string, frontmatter string, updated_at string, id string, collection string, collection_path string, scope string, memory string, deleted boolean, doc_len int",
@@ -26,10 +33,12 @@ SCHEMAS = {
     "concepts": "row long, uri string, pref_label string, alt_labels array<string>, hidden_labels array<string>, broader array<string>, narrower array<string>, related array<string>, scope_note string, in_scheme string, top_concept_of string",
     "schemes": "row long, uri string, pref_label string, top_concepts array<string>",
     "settings": "row long, key string, value string",
-    "postings": "row long, slug string, term string, tf long, doc_len int",
-    "figures": "pages long, words long",
+    "postings": "row long, slug string, term string, tf long, doc_len int, positions array<int>",
 }
 
+#: What each table's snapshot is sorted by.
+SORTED = {"pages": ["slug"], "edges": ["source", "target", "type"], "facts": ["subject", "id"], "page_tags": ["tag", "page"], "vectors": ["slug"], "concepts": ["uri"], "schemes": ["uri"], "settings": ["key"], "postings": ["term", "slug"]}
+
 #: Names of stores that need a package of their own.
 ELSEWHERE = ("qdrant", "meilisearch", "postgres", "lancedb", "zapdb", "replicate", "vfs")
 
@@ -60,134 +69,157 @@ def now() -> Column:
 
 
 class Store:
-    """Pages, edges, facts, tags, vectors, concepts and settings under one folder, read and written by Spark."""
+    """Pages, edges, facts, tags, vectors, concepts and settings under one folder, read and written by Spark.
+
+    ``analyzer`` makes the terms of the index (by the search flags, if it isn't given). After ``compact_every`` commits a write
+    compacts the store; with 0 it is left to the caller.
+    """
 
     kind = "parquet"
 
-    def __init__(self, spark: SparkSession, path: str, fmt: str = "parquet"):
+    def __init__(self, spark: SparkSession, path: str, fmt: str = "parquet", analyzer: Analyzer | None = None, compact_every: int = 0):
         self.spark, self.path, self.fmt = spark, path.rstrip("/"), fmt
+        self.analyzer, self.compact_every = analyzer or Analyzer.of_flags(), compact_every
+        self.commits = Commits(spark, path)
         self._held: list[DataFrame] = []
 
     def init(self) -> Store:
-        for name, schema in SCHEMAS.items():
-            if not self._exists(f"{name}/batch=0"):
-                self.spark.createDataFrame([], schema).write.format(self.fmt).save(f"{self.path}/{name}/batch=0")
+        """Ready for reads and writes: texts are indexed again if the kept terms were made by another analyzer."""
+        made = self._analyzers(self.commits.state())
+        if made - {self.analyzer.version}:
+            self.compact(index_again=True)
         return self
 
-    # batches
+    def _analyzers(self, state: State) -> set[str]:
+        return {c["analyzer"] for c in [state.snapshot, *state.commits] if c.get("analyzer")}
 
-    def _file(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+    # commits
 
-    def _exists(self, name: str) -> bool:
-        fs, path = self._file(name)
-        return fs.exists(path)
+    def _save(self, name: str, rows: DataFrame) -> str:
+        """Writes rows to a folder of their own, which no reader sees before it is committed; columns that ``rows`` lacks become null. Rows keep their order."""
+        folder = f"data/{name}/{uuid.uuid4().hex}"
+        rows = rows if "row" in rows.columns else rows.withColumn("row", F.monotonically_increasing_id())
+        schema = T._parse_datatype_string(SCHEMAS[name])
+        rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).write.format(self.fmt).save(f"{self.path}/{folder}")
+        return folder
 
-    def _claim(self) -> int:
-        """A batch number of one's own: the first whose marker could be created, so that two writers never share one."""
-        fs, path = self._file("_claims")
-        fs.mkdirs(path)
-        number = 1 + max((int(f.getPath().getName()) for f in fs.listStatus(path)), default=0)
-        while not fs.createNewFile(self._file(f"_claims/{number}")[1]):
-            number += 1
+    def write(self, tables: dict[str, DataFrame], txn: tuple[str, int] | None = None) -> int | None:
+        """Writes rows to several tables as one commit; returns its number. Pages bring their postings.
+
+        ``txn`` is (stream, micro-batch): one that was committed before is passed over, and None is returned.
+        """
+        if txn and self.commits.state().seen(txn[0]) >= txn[1]:
+            return None
+        folders = {name: self._save(name, rows) for name, rows in tables.items() if name != "pages"}
+        more = {}
+        if "pages" in tables:
+            rows = tables["pages"]
+            more = {"updated_at": now(), "content": F.lit(None).cast("string")}
+            stamped = rows.withColumns({c: v for c, v in more.items() if c not in rows.columns})
+            counted = stamped.withColumn("doc_len", F.size(self.analyzer.terms(F.coalesce("content", F.lit("")))))
+            folders["pages"] = self._save("pages", counted)
+            written = self._load("pages", [(folders["pages"], 0)])
+            last = written.groupBy("slug").agg(F.max_by(F.struct("row", "content", "deleted"), "row").alias("p")).select("slug", "p.*")
+            folders["postings"] = self._save("postings", self._postings(last.filter(~F.coalesce("deleted", F.lit(False)))))
+            more = {"analyzer": self.analyzer.version}
+        number = self.commits.add(folders, {txn[0]: txn[1]} if txn else {}, more)
+        if self.compact_every and len(self.commits.state().commits) > self.compact_every:
+            self.compact()
         return number
 
-    def batch_of(self, stream: str, batch_id: int) -> int:
-        """The number of a stream's micro-batch: claimed once, and the same when the micro-batch is replayed."""
-        fs, path = self._file(f"_streams/{stream}-{batch_id}")
-        fs.mkdirs(path)
-        found = [int(f.getPath().getName()) for f in fs.listStatus(path)]
-        if not found:
-            found = [self._claim()]
-            fs.createNewFile(self._file(f"_streams/{stream}-{batch_id}/{found[0]}")[1])
-        return min(found)
-
-    def raw(self, name: str) -> DataFrame:
-        """A table with its columns ``batch`` and ``row``."""
-        return self.spark.read.format(self.fmt).schema(f"{SCHEMAS[name]}, batch long").load(f"{self.path}/{name}")
-
-    def log(self, name: str) -> DataFrame:
-        return self.raw(name).withColumn("seq", F.struct("batch", "row")).drop("batch", "row")
-
-    def append(self, name: str, rows: DataFrame, batch: int | None = None) -> int:
-        """Writes rows as a batch; columns that ``rows`` lacks become null. Rows keep their order."""
-        batch = self._claim() if batch is None else batch
-        rows = rows if "row" in rows.columns else rows.withColumn("row", F.monotonically_increasing_id())
-        schema = T._parse_datatype_string(SCHEMAS[name])
-        rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).write.format(self.fmt).mode("overwrite").save(f"{self.path}/{name}/batch={batch}")
-        return batch
+    def _postings(self, pages: DataFrame) -> DataFrame:
+        """Postings of pages (slug, row, content), sorted by term."""
+        terms = fulltext.positional_postings(pages, self.analyzer, more=["row"])
+        return terms.repartitionByRange("term", "slug").sortWithinPartitions("term", "slug")
+
+    # tables
+
+    def _load(self, name: str, folders: list[tuple[str, int]]) -> DataFrame:
+        """Rows of committed folders with their ``batch``."""
+        if not folders:
+            return self.spark.createDataFrame([], f"{SCHEMAS[name]}, batch long")
+        rows = self.spark.read.format(self.fmt).schema(SCHEMAS[name]).load([f"{self.path}/{f}" for f, _ in folders])
+        batch = F.create_map(*[x for f, b in folders for x in (F.lit(f.rpartition("/")[2]), F.lit(b).cast("long"))])
+        return rows.withColumn("batch", F.element_at(batch, F.regexp_extract(F.col("_metadata.file_path"), r"/([0-9a-f]{32})/[^/]*$", 1)))
+
+    def raw(self, name: str, state: State | None = None) -> DataFrame:
+        """A table with its columns ``batch`` and ``row``, as of now."""
+        return self._load(name, (state or self.commits.state()).folders(name))
+
+    def log(self, name: str, state: State | None = None) -> DataFrame:
+        return self.raw(name, state).withColumn("seq", F.struct("batch", "row")).drop("batch", "row")
 
     # pages and their index
 
-    def upsert_pages(self, rows: DataFrame, batch: int | None = None) -> int:
-        """Writes pages, and their postings and what they change in the corpus figures."""
-        more = [] if "updated_at" in rows.columns else [now().alias("updated_at")]
-        batch = self.append("pages", rows.select("*", F.size(tokens(F.coalesce("content", F.lit("")))).alias("doc_len"), *more), batch)
-        self._index(batch)
-        return batch
-
-    def _index(self, batch: int) -> None:
-        written = self.raw("pages").filter(F.col("batch") == batch)
-        last = written.groupBy("slug").agg(F.max_by(F.struct("row", "content", "deleted"), "row").alias("p")).select("slug", "p.*")
-        live = last.filter(~F.coalesce("deleted", F.lit(False)))
-        terms = postings(live, more=["row"])
-        self.append("postings", terms.repartitionByRange("term", "slug").sortWithinPartitions("term", "slug"), batch)
-        touched = written.select("slug").distinct()
-        sums = F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("words")
-        after = self.versions(touched, batch).agg(*sums)
-        before = self.versions(touched, batch - 1).agg(F.count(F.lit(1)).alias("p"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("w"))
-        change = after.join(F.broadcast(before)).select((F.col("pages") - F.col("p")).alias("pages"), (F.col("words") - F.col("w")).alias("words"))  # one row each
-        self.append("figures", change, batch)
-
-    def versions(self, slugs: DataFrame | None = None, upto: int | None = None) -> DataFrame:
-        """(slug, seq, doc_len) of the pages there are, without their texts; of some slugs, or as of a batch."""
-        log = self.raw("pages").select("slug", "batch", "row", "deleted", "doc_len")
-        log = log if upto is None else log.filter(F.col("batch") <= upto)
-        log = log if slugs is None else log.join(slugs, "slug", "left_semi")
-        last = log.groupBy("slug").agg(F.max(F.struct("batch", "row", "deleted", "doc_len")).alias("v")).filter(~F.coalesce("v.deleted", F.lit(False)))
-        return last.select("slug", F.struct("v.batch", "v.row").alias("seq"), "v.doc_len")
-
-    def figures(self) -> DataFrame:
-        """One row (n, avg_len) over all pages, from the figures that writes kept."""
-        sums = self.raw("figures").agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("n"), F.sum("words").alias("words"))
-        return sums.select("n", (F.col("words") / F.col("n")).alias("avg_len"))
-
-    def matches(self, terms: list[str]) -> DataFrame:
-        """(slug, term, tf, doc_len) of the terms in the present pages; the terms are pushed to the scan of sorted postings."""
-        asked = sorted({t.lower() for t in terms})
-        met = self.log("postings").filter(F.col("term").isin(asked))
-        live = self.versions(met.select("slug").distinct()).select("slug", "seq")
-        return met.join(live, ["slug", "seq"]).drop("seq")
+    def upsert_pages(self, rows: DataFrame, txn: tuple[str, int] | None = None) -> int | None:
+        return self.write({"pages": rows}, txn)
+
+    def _changed(self, state: State) -> DataFrame:
+        """(slug, seq, doc_len, deleted) of the last write of the pages that were written after the snapshot."""
+        log = self._load("pages", state.added("pages")).select("slug", "batch", "row", "deleted", "doc_len")
+        last = log.groupBy("slug").agg(F.max(F.struct("batch", "row", "deleted", "doc_len")).alias("v"))
+        return last.select("slug", F.struct("v.batch", "v.row").alias("seq"), "v.doc_len", F.coalesce("v.deleted", F.lit(False)).alias("deleted"))
+
+    def figures(self, state: State | None = None) -> DataFrame:
+        """One row (n, avg_len) over all pages: the snapshot's figures, and what the pages written since then change in them."""
+        state = state or self.commits.state()
+        base = state.snapshot.get("figures", {"pages": 0, "words": 0})
+        n, words = F.lit(base["pages"]), F.lit(base["words"])
+        changed = self._changed(state)
+        held = [f for f in state.folders("pages") if f not in state.added("pages")]
+        before = self._load("pages", held).select("slug", F.col("doc_len").alias("was"))
+        met = changed.join(before.join(changed.select("slug"), "slug", "left_semi"), "slug", "left")
+        live, old = F.when(F.col("deleted"), 0).otherwise(1), F.when(F.col("was").isNull(), 0).otherwise(1)
+        sums = met.agg(F.coalesce(F.sum(live - old), F.lit(0)).alias("pages"), F.coalesce(F.sum(live * F.col("doc_len") - F.coalesce("was", F.lit(0))), F.lit(0)).alias("words"))
+        sums = sums.select((F.col("pages") + n).alias("n"), (F.col("words") + words).alias("words"))
+        return sums.select("n", F.when(F.col("n") > 0, F.col("words") / F.col("n")).alias("avg_len"))
+
+    def index(self, state: State | None = None) -> DataFrame:
+        """(slug, term, tf, doc_len, positions) of the present pages: the snapshot's postings of pages that weren't written since, and the last writes' of those that were. A filter on the term reaches both scans."""
+        state = state or self.commits.state()
+        columns = ["slug", "term", "tf", "doc_len", "positions"]
+        held = [f for f in state.folders("postings") if f not in state.added("postings")]
+        old = self._load("postings", held).select(*columns)
+        if not state.commits:
+            return old
+        changed = self._changed(state)
+        new = self._load("postings", state.added("postings")).withColumn("seq", F.struct("batch", "row")).join(changed.filter("NOT deleted").select("slug", "seq"), ["slug", "seq"]).select(*columns)
+        return old.join(changed.select("slug"), "slug", "left_anti").unionByName(new)
 
     def delete_page(self, slug: str) -> None:
         """Marks the page and its outgoing edges as deleted; again is harmless."""
-        batch = self.append("pages", self.spark.createDataFrame([(slug, True)], "slug string, deleted boolean"))
-        self._index(batch)
         gone = edges_for(self.edges(), slug, "out").select("source", "target", "type").withColumn("deleted", F.lit(True))
-        self.append("edges", gone, batch)
+        self.write({"pages": self.spark.createDataFrame([(slug, True)], "slug string, deleted boolean"), "edges": gone})
 
-    def upsert_edges(self, rows: DataFrame, batch: int | None = None) -> None:
-        self.append("edges", rows, batch)
+    def upsert_edges(self, rows: DataFrame, txn: tuple[str, int] | None = None) -> None:
+        self.write({"edges": rows}, txn)
 
-    def upsert_facts(self, rows: DataFrame, batch: int | None = None) -> None:
-        self.append("facts", with_fact_defaults(rows), batch)
+    def upsert_facts(self, rows: DataFrame, txn: tuple[str, int] | None = None) -> None:
+        self.write({"facts": with_fact_defaults(rows)}, txn)
 
     def upsert_vectors(self, rows: DataFrame) -> None:
         """Embeddings (slug, embedding) of pages, made by any client."""
-        self.append("vectors", rows)
+        self.write({"vectors": rows})
+
+    def add_tags(self, rows: DataFrame) -> None:
+        """Tags (page, tag)."""
+        self.write({"page_tags": rows})
 
-    def pages(self) -> DataFrame:
-        return latest_pages(self.log("pages").drop("doc_len"))
+    def pages(self, state: State | None = None) -> DataFrame:
+        return latest_pages(self.log("pages", state)).drop("doc_len")
 
-    def edges(self) -> DataFrame:
-        return latest_edges(self.log("edges"))
+    def edges(self, state: State | None = None) -> DataFrame:
+        return latest_edges(self.log("edges", state))
 
-    def facts(self) -> DataFrame:
-        return latest_facts(self.log("facts"))
+    def facts(self, state: State | None = None) -> DataFrame:
+        return latest_facts(self.log("facts", state))
 
-    def vectors(self) -> DataFrame:
-        return self.log("vectors").groupBy("slug").agg(F.max_by("embedding", "seq").alias("embedding")).join(self.versions().select("slug"), "slug", "left_semi")
+    def vectors(self, state: State | None = None) -> DataFrame:
+        last = self.log("vectors", state).groupBy("slug").agg(F.max_by("embedding", "seq").alias("embedding"))
+        return last.join(self.pages(state).select("slug"), "slug", "left_semi")
+
+    def page_tags(self, state: State | None = None) -> DataFrame:
+        return self.log("page_tags", state).select("page", "tag").distinct()
 
     def get_page(self, slug: str) -> DataFrame:
         """(slug, content, updated_at); the filter on the key reaches the scan."""
@@ -202,38 +234,81 @@ class Store:
     def recall(self, entity: str, limit: int = 50, since: str = "1970-01-01") -> DataFrame:
         return recall(self.facts(), entity, limit, since)
 
-    def search(self, terms: list[str], limit: int = 50, tags: list[str] = (), since: str | None = None, near: list[float] | None = None) -> DataFrame:
+    def search(self, query: str | list[str], limit: int = 50, tags: list[str] = (), since: str | None = None, near: list[float] | None = None) -> DataFrame:
         """(slug, excerpt, score, source) of pages by full text, and by the vector ``near`` where one is given; of those with any of the tags and updated since then.
 
-        Texts are read only for the excerpts of what was found.
+        ``query`` is an expression (words, phrases in quotes, OR, ``-`` to exclude, ``*`` for a prefix) or a list of words, all of
+        which are wanted. Texts are read only for the excerpts of what was found.
         """
-        words = bm25_of_postings(self.matches(terms), self.figures(), terms)
-        close = self.vectors() if near is not None else None
+        state = self.commits.state()
+        asked = query if isinstance(query, str) else " ".join('"' + t.replace('"', " ") + '"' for t in query)
+        queries = self.spark.createDataFrame([(0, asked)], "qid int, query string")
+        hits = fulltext.atom_hits(self.index(state), fulltext.parsed_atoms(queries, self.analyzer))
+        words = fulltext.search(self.index(state), self.figures(state), queries, self.analyzer, hits=hits).select("slug", "score")
+        close = self.vectors(state) if near is not None else None
         if tags or since:
-            fits = self.pages().select("slug", "updated_at").filter(F.col("updated_at") >= since if since else F.lit(True)).select("slug")
+            fits = self.pages(state).select("slug", "updated_at").filter(F.col("updated_at") >= since if since else F.lit(True)).select("slug")
             if tags:
-                fits = fits.join(self.log("page_tags").filter(F.col("tag").isin(list(tags))).select(F.col("page").alias("slug")), "slug", "left_semi")
+                fits = fits.join(self.log("page_tags", state).filter(F.col("tag").isin(list(tags))).select(F.col("page").alias("slug")), "slug", "left_semi")
             words = words.join(fits, "slug", "left_semi")
             close = close.join(fits, "slug", "left_semi") if close is not None else None
         lists = ranked(words, 2 * limit), None if close is None else ranked(vector_search(close, near, 2 * limit), 2 * limit)
         found = fused_search(*lists, limit)
-        texts = latest_pages(self.log("pages").join(F.broadcast(found.select("slug")), "slug", "left_semi")).select("slug", "content")  # at most ``limit`` slugs
-        return found.join(texts, "slug").select("slug", snippet(F.col("content"), terms[0] if terms else "").alias("excerpt"), "score", "source").orderBy(F.desc("score"), "slug")
+        some = F.broadcast(found.select("slug"))  # at most ``limit`` slugs
+        texts = latest_pages(self.log("pages", state).join(some, "slug", "left_semi")).select("slug", "content")
+        windows = fulltext.best_windows(hits.join(some, "slug", "left_semi"))
+        shown = found.join(windows.drop("qid"), "slug", "left").withColumns({"first": F.coalesce("first", F.lit(0)), "places": F.coalesce("places", F.array().cast("array<int>"))})
+        return fulltext.excerpts(shown, texts, self.analyzer).select("slug", "excerpt", "score", "source").orderBy(F.desc("score"), "slug")
+
+    def search_all(self, queries: DataFrame, top_k: int = 10) -> DataFrame:
+        """(qid, slug, score, rank) of each expression of a table (qid, query), from the kept index."""
+        state = self.commits.state()
+        return fulltext.search(self.index(state), self.figures(state), queries, self.analyzer, top_k)
+
+    # upkeep
+
+    def compact(self, index_again: bool = False) -> int:
+        """Writes each table's present state, sorted by key, as a snapshot; returns the number of the last commit in it.
+
+        Commits made meanwhile stay after the snapshot, so writers needn't wait. Postings are moved on as they are, unless texts are to be indexed again.
+        """
+        state = self.commits.state()
+        views = {"pages": latest_pages(self.log("pages", state)), "edges": self.edges(state), "facts": self.facts(state), "page_tags": self.page_tags(state), "vectors": self.vectors(state), "concepts": own_concepts(self.log("concepts", state)), "schemes": self.schemes(state), "settings": latest_settings(self.log("settings", state))}
+        folders = {name: self._save(name, rows.repartitionByRange(*SORTED[name]).sortWithinPartitions(*SORTED[name])) for name, rows in views.items() if state.folders(name)}
+        figures = {"pages": 0, "words": 0}
+        if "pages" in folders:
+            pages = self._load("pages", [(folders["pages"], 0)])
+            if index_again:
+                counted = pages.drop("doc_len", "batch").withColumn("doc_len", F.size(self.analyzer.terms(F.coalesce("content", F.lit("")))))
+                folders["pages"] = self._save("pages", counted)
+                pages = self._load("pages", [(folders["pages"], 0)])
+                folders["postings"] = self._save("postings", self._postings(pages))
+            else:
+                folders["postings"] = self._save("postings", self.index(state).withColumn("row", F.lit(0)).repartitionByRange("term", "slug").sortWithinPartitions("term", "slug"))
+            row = pages.agg(F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("words")).first()
+            figures = {"pages": row.pages, "words": row.words}
+        streams = {name for c in [state.snapshot, *state.commits] for name in c.get("streams", {})}
+        self.commits.add_snapshot(state.version, folders, {name: state.seen(name) for name in streams}, {"figures": figures, "analyzer": self.analyzer.version})
+        return state.version
+
+    def vacuum(self, keep_seconds: float = 3600) -> list[str]:
+        """Deletes what no reader of the present state needs and is older than ``keep_seconds``, such as the leavings of killed writes; a write or read may not take longer than that."""
+        return self.commits.vacuum(keep_seconds)
 
     # concepts and settings
 
     def add_concepts(self, rows: DataFrame) -> None:
         """Concepts by uri; a column that is null or missing leaves what was said before."""
-        self.append("concepts", rows)
+        self.write({"concepts": rows})
 
     def add_schemes(self, rows: DataFrame) -> None:
-        self.append("schemes", rows)
+        self.write({"schemes": rows})
 
     def concepts(self) -> DataFrame:
         return latest_concepts(self.log("concepts"))
 
-    def schemes(self) -> DataFrame:
-        return self.log("schemes").groupBy("uri").agg(F.max_by(F.struct("pref_label", "top_concepts"), "seq").alias("v")).select("uri", "v.*")
+    def schemes(self, state: State | None = None) -> DataFrame:
+        return self.log("schemes", state).groupBy("uri").agg(F.max_by(F.struct("pref_label", "top_concepts"), "seq").alias("v")).select("uri", "v.*")
 
     def concept(self, uri: str):
         """The concept's row, or None."""
@@ -277,8 +352,7 @@ class Settings:
         return self.store.spark.createDataFrame(list(values.items()), "key string, value string")
 
     def overrides(self) -> DataFrame:
-        last = self.store.log("settings").groupBy("key").agg(F.max_by(F.struct("value"), "seq").alias("v"))
-        return last.select("key", "v.value").filter("value is not null")
+        return latest_settings(self.store.log("settings"))
 
     def snapshot(self) -> DataFrame:
         """(key, value, source) of all keys."""
@@ -290,14 +364,14 @@ class Settings:
         return (row.value, row.source) if row else (None, "absent")
 
     def set(self, values: dict[str, str]) -> None:
-        self.store.append("settings", self._layer(values))
+        self.store.write({"settings": self._layer(values)})
 
     def clear(self, keys: list[str]) -> None:
-        self.store.append("settings", self._layer(dict.fromkeys(keys)))
+        self.store.write({"settings": self._layer(dict.fromkeys(keys))})
 
     def reset(self) -> None:
         """Clears all that are set."""
-        self.store.append("settings", self.overrides().select("key"))
+        self.store.write({"settings": self.overrides().select("key")})
 
 
 def settings(overrides: DataFrame, environment: DataFrame, defaults: DataFrame) -> DataFrame:
@@ -332,14 +406,24 @@ def latest_facts(log: DataFrame) -> DataFrame:
     return found.select("id", "f.subject", "f.predicate", "l.object", "f.source", "l.ts", F.coalesce("l.confidence", F.lit(1.0)).alias("confidence"))
 
 
+def latest_settings(log: DataFrame) -> DataFrame:
+    """Each key's last value; those cleared are gone."""
+    return log.groupBy("key").agg(F.max_by(F.struct("value"), "seq").alias("v")).select("key", "v.value").filter("value is not null")
+
+
+def own_concepts(log: DataFrame) -> DataFrame:
+    """By uri, each column's last value that isn't null."""
+    plain = [c for c in log.columns if c not in ("uri", "seq")]
+    last = lambda c: F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
+    return log.groupBy("uri").agg(*[last(c) for c in plain])
+
+
 def latest_concepts(log: DataFrame) -> DataFrame:
     """By uri, each column's last value that isn't null; broader and narrower also hold what other concepts say of them.
 
     Concepts that are only linked to are labelled by their uri.
     """
-    plain = [c for c in log.columns if c not in ("uri", "seq")]
-    last = lambda c: F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
-    own = log.groupBy("uri").agg(*[last(c) for c in plain])
+    own = own_concepts(log)
     links = own.select("uri", F.explode("broader").alias("broader")).unionByName(own.select(F.explode("narrower").alias("uri"), F.col("uri").alias("broader")))
     up = links.groupBy("uri").agg(F.array_sort(F.collect_set("broader")).alias("up"))
     down = links.groupBy(F.col("broader").alias("uri")).agg(F.array_sort(F.collect_set("uri")).alias("down"))

@@ -18,40 +18,40 @@ from pyspark.sql.streaming import StreamingQuery
 
 from marlstone.operators.extract import extract_edges
 from marlstone.operators.graph import reconcile
-from marlstone.operators.store import SCHEMAS, Store, latest_edges
+from marlstone.operators.store import Store
+from marlstone.sources.store_source import StoreSource
 
 
-def on_page_write(store: Store, pages: DataFrame, batch: int | None = None) -> None:
-    """Write pages (slug, content, page_type) and the edges found in them as one batch.
+def on_page_write(store: Store, pages: DataFrame, txn: tuple[str, int] | None = None) -> int | None:
+    """Write pages (slug, content, page_type) and the edges found in them as one commit; its number, or None if ``txn`` was committed before.
 
     All edges found are written, so that one that stays takes its new evidence; those that are gone are marked.
     """
-    batch = store.upsert_pages(pages.drop("page_type"), batch)
     new = extract_edges(pages)
-    earlier = latest_edges(store.log("edges").filter(F.col("seq.batch") < batch))
-    prior = earlier.join(pages.select(F.col("slug").alias("source")).distinct(), "source", "left_semi")
+    prior = store.edges().join(pages.select(F.col("slug").alias("source")).distinct(), "source", "left_semi")
     _, remove = reconcile(prior, new)
     gone = remove.select("source", "target", "type", F.lit(None).cast("string").alias("evidence"), F.lit(True).alias("deleted"))
-    store.upsert_edges(new.withColumn("deleted", F.lit(False)).unionByName(gone), batch)
+    return store.write({"pages": pages.drop("page_type"), "edges": new.withColumn("deleted", F.lit(False)).unionByName(gone)}, txn)
 
 
 def ingest_stream(spark: SparkSession, store: Store, path: str, checkpoint: str, page_type: str | None = None) -> StreamingQuery:
     """Every new text file under ``path`` becomes a page; its slug is its name without ending. Runs over what is there, then stops.
 
-    A micro-batch that is replayed writes the same batch again, so nothing is doubled.
+    A micro-batch that is replayed after it was committed is passed over, so nothing is doubled.
     """
     name = f"{hash_text(checkpoint):x}"
     files = spark.readStream.format("text").option("wholetext", "true").load(path).select(F.col("value").alias("content"), F.col("_metadata.file_name").alias("name"))
     pages = files.select(F.regexp_replace(F.replace("name", F.lit("%20"), F.lit(" ")), r"\.[^.]+$", "").alias("slug"), "content", F.lit(page_type).cast("string").alias("page_type"))
-    return pages.writeStream.foreachBatch(lambda df, i: on_page_write(store, df, store.batch_of(name, i))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return pages.writeStream.foreachBatch(lambda df, i: on_page_write(store, df, (name, i))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def change_feed(spark: SparkSession, store: Store, kinds: list[str] = ("pages", "edges", "facts")) -> DataFrame:
-    """A stream of (kind, key, batch, event) of new rows of the logs."""
+    """A stream of (kind, key, batch, event) of new rows of the logs, whole commits in their order."""
     keys = {"pages": ["slug"], "edges": ["source", "target", "type"], "facts": ["id"]}
+    spark.dataSource.register(StoreSource)
     out = None
     for kind in kinds:
-        rows = spark.readStream.format(store.fmt).schema(f"{SCHEMAS[kind]}, batch long").load(f"{store.path}/{kind}")
+        rows = spark.readStream.format(StoreSource.name()).option("path", store.path).option("table", kind).load()
         event = rows.select(F.lit(kind).alias("kind"), F.concat_ws("::", *keys[kind]).alias("key"), "batch", F.to_json(F.struct("*")).alias("event"))
         out = event if out is None else out.unionByName(event)
     return out
