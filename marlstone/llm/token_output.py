@@ -16,10 +16,12 @@ encodes, compresses and writes its range in order, holding a segment. What is ga
 
 from __future__ import annotations
 
+import array
 import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,10 @@ CACHED_WORDS = 1 << 20
 SMALL = 100_000
 SEGMENTS = "shard int, segment int, before long, width int, dictionary_id string, first_doc long, last_doc long, doc_ids array<long>, offsets array<long>, counts array<long>, payload binary"
 BLANKS = " \t\n\x0b\x0c\r"
+MARKS = ".,;:!?"
+#: Lower-case letters of one or two bytes that normalising leaves alone: a-z and those of Latin-1.
+LETTERS = [chr(c) for c in [*range(97, 123), *range(0xDF, 0x100)] if c != 0xF7]
+LETTER_RUN = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+"
 
 
 class Encoder(dict):
@@ -52,23 +58,25 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.bare = Tokenizer(self.tokenizer.model)
+        self.model, self.run = self.tokenizer.model, re.compile(LETTER_RUN).fullmatch
+        self.marks = set(re.findall(rb".", MARKS.encode()))
         self.width = 2 if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.end = np.array([end_id], self.kind).tobytes()
         self.by_word = drops_blanks(self.tokenizer)
-        self.lowers = self.by_word and ignores_case(self.tokenizer)
+        self.shown = shown_bytes()
+        self.lowers = self.by_word and ignores_case(self.tokenizer, self.shown)
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return array.array("H" if self.width == 2 else "I", ids).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        if self.lowers and (plain := re.fullmatch(rb"([a-z]+)([.,;:!?])", word)):
-            ids = self[plain[1]] + self[plain[2]]  # letters and a mark are pieces of their own
-        elif self.lowers and re.fullmatch(rb"[a-z]+", word):
-            ids = self._pack([t.id for t in self.bare.model.tokenize(word.decode())])  # a piece that normalising leaves alone
+        if self.lowers and self.run(word):
+            ids = self._pack([t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.shown))])  # a piece as it is
+        elif self.lowers and word[-1:] in self.marks and self.run(word[:-1]):
+            ids = self[word[:-1]] + self[word[-1:]]  # letters and a mark are pieces of their own
         else:
             ids = self._pack(self.tokenizer.encode(word.decode(errors="replace"), add_special_tokens=False).ids)
         self[word] = ids
@@ -108,13 +116,26 @@ def _known(normalizer: dict | None) -> bool:
     return all(p["type"] in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase") or p["type"] == "Replace" and p["pattern"] == {"Regex": "\\s+"} and p["content"] == " " for p in parts)
 
 
-def ignores_case(tokenizer) -> bool:
-    """Whether A-Z may be lower-cased first, words of letters are one piece each, and a mark after a letter starts another: tried on all pairs."""
+def shown_bytes() -> dict[int, int]:
+    """How byte-level tokenizers show each byte: printable ones as they are, others by the characters from U+0100 on."""
+    plain = [*range(33, 127), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 0x100 + i for i, b in enumerate(others)}
+
+
+def ignores_case(tokenizer, shown: dict[int, int]) -> bool:
+    """Whether A-Z may be lower-cased first, words of LETTERS are one piece each, shown by their bytes, and a mark after a letter starts another: tried on all pairs."""
     if tokenizer.normalizer is None or tokenizer.normalizer.normalize_str("AZ") != "az":
         return False
-    letters = [chr(c) for c in range(97, 123)]
-    alone = all([p for p, _ in _pieces(tokenizer, a + b)] == [a + b] for a in letters for b in letters)
-    return alone and all([p for p, _ in _pieces(tokenizer, a + m)] == [a, m] for a in letters for m in ".,;:!?")
+    look = lambda text: text.encode().decode("latin-1").translate(shown)
+    alone = all([p for p, _ in _pieces(tokenizer, a + b)] == [look(a + b)] for a in LETTERS for b in LETTERS)
+    return alone and all([p for p, _ in _pieces(tokenizer, a + m)] == [look(a), m] for a in LETTERS for m in MARKS)
+
+
+@cache
+def encoder(path: str, end_id: int) -> Encoder:
+    """One for all tasks of a Python worker, so that words are new once a worker."""
+    return Encoder(path, end_id)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -127,7 +148,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = 1, sample_do
     step = max(1, docs.count() // sample_docs)
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer, end_id)
+        encode = encoder(tokenizer, end_id)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([encode(t)[:SAMPLE_BYTES] for t in batch.column("text").to_pylist()], pa.binary())], names=["ids"])
 
@@ -142,7 +163,7 @@ def _segment_writer(tokenizer: str, end_id: int, dictionary: bytes, segment_docs
     name = hashlib.sha256(dictionary).hexdigest()
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer, end_id)
+        encode = encoder(tokenizer, end_id)
         squeeze = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         shard, number, before = TaskContext.get().partitionId(), 0, 0
         ids, counts, frames, size = [], [], [], 0
