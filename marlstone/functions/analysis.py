@@ -53,10 +53,9 @@ class Analyzer:
 
     def plain(self, text: Column) -> Column:
         """Lower case, without marks."""
-        low = F.lower(text)
-        if not self.fold:
-            return low
-        return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(low, *folds()), MARKS, "")).otherwise(low)
+        low = F.lower(F.translate(text, "\u0130", "I"))  # the one letter that would become two characters
+        folded = F.regexp_replace(F.translate(low, *folds()), MARKS, "") if self.fold else low
+        return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(F.lower(text))
 
     def terms(self, text: Column) -> Column:
         """The terms in order; null of null."""
@@ -98,3 +97,7 @@ class Analyzer:
         kinds.append(rf"{letters}(?:{letters}{f'|[{marks}]' if self.fold else ''})*")
         between = rf"[^\p{{L}}\p{{N}}{PAIRED if self.pairs else ''}{SYMBOLS[1:-1] if self.triples else ''}]*"
         return F.when(text.rlike("|".join(cut)), F.regexp_extract_all(text, F.lit(f"{between}(?:{'|'.join(kinds)})"), 0)).otherwise(word)
+
+
+#: What texts are scanned with where there is no index.
+DEFAULT = Analyzer()

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marlstone.functions.analysis import DEFAULT
 from marlstone.functions.vectors import cosine, l2_normalize
 
 RRF_K = 20
@@ -24,8 +25,8 @@ BM25_K1, BM25_B = 1.2, 0.75
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9\p{L}\p{N}]+"), 0)
+    """The terms of a text, as the index of a store has them; a null text has none."""
+    return DEFAULT.terms(F.coalesce(text, F.lit("")))
 
 
 def postings(pages: DataFrame, slug: str = "slug", text: str = "content", more: list[str] = ()) -> DataFrame:

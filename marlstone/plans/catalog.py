@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from marlstone.plans import graphs, media, retrieval, stores, texts
+from marlstone.plans import graphs, media, retrieval, search, stores, texts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (retrieval, stores, graphs, texts, media):
+for _module in (retrieval, search, stores, graphs, texts, media):
     QUERIES |= _module.HERE.queries
     ORACLES |= _module.HERE.oracles

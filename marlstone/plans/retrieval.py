@@ -13,7 +13,7 @@ from marlstone.plans.registry import Registry, table
 HERE = Registry()
 TERMS = ["from", "with", "this"]
 
-WORDS = r"docs AS (SELECT doc_id AS slug, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents)"
+WORDS = r"docs AS (SELECT doc_id AS slug, list_filter(string_split_regex(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents)"
 BM25 = (
     WORDS
     + """,

@@ -1,7 +1,7 @@
 """The store as a data source: ``spark.dataSource.register(StoreSource)``, then ``format("marlstone")``.
 
-Options: ``path``, and ``table`` (pages, edges, facts, ...). Reading gives the table's log (with ``batch``) as of the last commit; filters
-on ``batch`` choose the folders that are read. A stream reads commit by commit: its offset is a commit's number, so a micro-batch holds whole writes and is the same when
+Options: ``path``, and ``table`` (pages, edges, facts, ...). Reading gives the table's log (with ``batch``) as of the last commit; with
+``push`` bounds of ``batch`` choose the folders that are read. A stream reads commit by commit: its offset is a commit's number, so a micro-batch holds whole writes and is the same when
 it is replayed. Writing appends rows as one commit, made when all tasks are done; a job that fails leaves nothing that readers see. Pages
 are written by the store, as they bring their postings.
 
@@ -26,6 +26,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from marlstone.operators.store import SCHEMAS
 
 
+#: Arrow's types of the store's.
+KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string())}
+
+
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (pafs.LocalFileSystem(), os.path.abspath(path))
 
@@ -85,6 +89,18 @@ class StoreReader(DataSourceReader):
         self.options, self.schema = options, schema
         self.low, self.high = 0, 1 << 62
 
+    def partitions(self) -> list[FolderFile]:
+        log = _Log(self.options)
+        return [p for p in log.files(0, log.last(), True) if self.low <= p.batch <= self.high] or [FolderFile("", 0)]
+
+    def read(self, partition: FolderFile) -> Iterator[pa.RecordBatch]:
+        if partition.path:
+            yield from _Log(self.options).rows(partition, to_arrow_schema(self.schema))
+
+
+class PushingReader(StoreReader):
+    """With the option ``push``, which needs the session's ``spark.sql.python.filterPushdown.enabled``."""
+
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Bounds of ``batch`` choose folders; Spark applies all filters itself as well."""
         for f in filters:
@@ -95,14 +111,6 @@ class StoreReader(DataSourceReader):
                     self.high = min(self.high, f.value - isinstance(f, LessThan))
             yield f
 
-    def partitions(self) -> list[FolderFile]:
-        log = _Log(self.options)
-        return [p for p in log.files(0, log.last(), True) if self.low <= p.batch <= self.high] or [FolderFile("", 0)]
-
-    def read(self, partition: FolderFile) -> Iterator[pa.RecordBatch]:
-        if partition.path:
-            yield from _Log(self.options).rows(partition, to_arrow_schema(self.schema))
-
 
 class StoreStream(DataSourceStreamReader):
     def __init__(self, options: dict, schema: T.StructType):
@@ -143,7 +151,7 @@ class StoreWriter(DataSourceWriter):
         from pyspark import TaskContext
 
         log, part = _Log(self.options), TaskContext.get().partitionId()
-        full = to_arrow_schema(T._parse_datatype_string(SCHEMAS[self.table]))
+        full = pa.schema([(c.split()[0], KINDS[c.split()[1]]) for c in SCHEMAS[self.table].split(", ")])
         log.fs.create_dir(f"{log.root}/{self.folder}", recursive=True)
         writer, held, at = None, [], part << 33
         file = f"part-{part:05d}-{TaskContext.get().attemptNumber()}.parquet"
@@ -216,7 +224,8 @@ class StoreSource(DataSource):
         return f"{SCHEMAS[self.options.get('table', 'pages')]}, batch long"
 
     def reader(self, schema: T.StructType) -> StoreReader:
-        return StoreReader(dict(self.options), schema)
+        kind = PushingReader if self.options.get("push") == "true" else StoreReader
+        return kind(dict(self.options), schema)
 
     def streamReader(self, schema: T.StructType) -> StoreStream:
         return StoreStream(dict(self.options), schema)
