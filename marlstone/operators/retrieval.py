@@ -6,8 +6,6 @@ passed as ``keys`` and partition everything. Ranks and positions count from 0.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -224,49 +222,6 @@ def vector_search(vectors: DataFrame, query: list[float], top_k: int) -> DataFra
     return vectors.select("slug", cosine(F.col("embedding"), at).alias("score")).orderBy(F.desc("score"), "slug").limit(top_k)
 
 
-def vector_search_many(vectors: DataFrame, asked: DataFrame, top_k: int, block: int = 256) -> DataFrame:
-    """(qid, slug, score, rank) of the nearest ``top_k`` by cosine of each query (qid, embedding), ties by slug.
-
-    Queries go round in blocks of ``block``, so what a task holds is bounded however many there are; a task multiplies
-    its batches with a block and passes on the best of its own, which a window group limit then cuts per query.
-    """
-    spark = vectors.sparkSession
-    queries = asked.select(F.col("qid").cast("long").alias("qid"), F.col("embedding").cast("array<double>").alias("embedding")).withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-asked.count() // block)))))
-    blocks = [r.block for r in queries.select("block").distinct().orderBy("block").collect()]
-    found = None
-    for b in blocks:
-        rows = queries.filter(F.col("block") == b).orderBy("qid").collect()  # a block
-        held = spark.sparkContext.broadcast((np.array([r.qid for r in rows]), _unit(np.array([r.embedding for r in rows]))))
-        part = vectors.select("slug", F.col("embedding").cast("array<double>").alias("embedding")).mapInPandas(_nearest(held, top_k), f"qid long, slug {dict(vectors.dtypes)['slug']}, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], f"qid long, slug {dict(vectors.dtypes)['slug']}, score double, rank int")
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "slug")) - 1
-    return found.withColumn("rank", place).filter(F.col("rank") < top_k)
-
-
-def _unit(rows: np.ndarray) -> np.ndarray:
-    length = np.linalg.norm(rows, axis=1, keepdims=True)
-    return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
-
-
-def _nearest(held, top_k: int):
-    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, queries = held.value
-        for pdf in frames:
-            pdf = pdf[pdf["embedding"].map(lambda e: e is not None and len(e) == queries.shape[1])]
-            if not len(pdf):
-                continue
-            slugs = pdf["slug"].to_numpy()
-            scores = queries @ _unit(np.stack(pdf["embedding"].to_numpy())).T
-            # all that reach a query's k-th best stay, so that ties are settled by slug later
-            least = np.partition(scores, -top_k, axis=1)[:, -top_k][:, None] if len(slugs) > top_k else -np.inf
-            query, row = np.nonzero(scores >= least)
-            yield pd.DataFrame({"qid": qids[query], "slug": slugs[row], "score": scores[query, row]})
-
-    return nearest
-
-
 def two_stage_rank(candidates: DataFrame, query: list[float], coarse: int, coarse_k: int, final_k: int) -> DataFrame:
     """(slug, score): the best ``coarse_k`` by cosine of short vectors, then by cosine of full ones.
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.functions.vectors import coarse_dim, cosine, embedding_models, l2_normalize, mrl_truncate, prefixed
 from marlstone.operators import retrieval as R
+from marlstone.operators.scratch import shared_folder
+from marlstone.operators.vector_index import VectorIndex, search_in_blocks
 from marlstone.plans.registry import Registry, table
 
 HERE = Registry()
@@ -118,7 +122,7 @@ NEAREST = "v AS (SELECT vec_id AS slug, embedding::DOUBLE[] AS v, label FROM emb
 def nearest(spark: SparkSession, d: str, k: int) -> DataFrame:
     """(qid, slug, score, rank) of the vectors whose id is divisible by 50, among all."""
     every = vectors(spark, d)
-    return R.vector_search_many(every, every.filter("slug % 50 = 0").select(F.col("slug").alias("qid"), "embedding"), k)
+    return search_in_blocks(every, every.filter("slug % 50 = 0").select(F.col("slug").alias("qid"), "embedding"), k)
 
 
 @HERE.add(f"WITH {NEAREST.replace('@', '10')} SELECT qid, slug, score, rank FROM near", floats=("score",))
@@ -126,6 +130,25 @@ def vector_topk_many(spark, d):
     return nearest(spark, d, 10)
 
 
+def indexed(spark: SparkSession, d: str, probes: int | None) -> DataFrame:
+    """The nearest ten of each vector whose id is divisible by 50, through an index of all vectors."""
+    every = vectors(spark, d)
+    index = VectorIndex(spark, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}").build(every)
+    return index.search(every.filter("slug % 50 = 0").select(F.col("slug").alias("qid"), "embedding"), 10, probes)
+
+
+@HERE.add(f"WITH {NEAREST.replace('@', '10')} SELECT qid, slug, score, rank FROM near", floats=("score",))
+def vector_index_all_cells(spark, d):
+    """With all cells looked at, codes and their bounds lose nothing."""
+    return indexed(spark, d, 1 << 20)
+
+
+@HERE.add()
+def vector_index_topk(spark, d):
+    """With as many cells as the index measured; tests hold the recall to 0.9."""
+    return indexed(spark, d, None)
+
+
 MEANS = f"""WITH {NEAREST.replace('@', '20')}, g AS (SELECT *, (label = qlabel)::INT AS g FROM near), rel AS (SELECT a.slug AS qid, count(*) AS n FROM v a JOIN v b USING (label) WHERE a.slug % 50 = 0 GROUP BY 1), ks AS (SELECT unnest([1, 5, 10, 20]) AS k),
 per AS (SELECT ks.k, rel.qid, coalesce(1.0 / (min(CASE WHEN g = 1 THEN rank + 1 END)), 0) AS rr, sum(CASE WHEN rank < k THEN g ELSE 0 END) AS hits, any_value(rel.n) AS n, sum(CASE WHEN rank < k THEN g / log2(rank + 2) ELSE 0 END) AS dcg FROM ks, rel JOIN g ON g.qid = rel.qid GROUP BY 1, 2),
 best AS (SELECT k, qid, (SELECT sum(1 / log2(i + 1)) FROM range(1, 21) AS r(i) WHERE i <= least(k, n)) AS ideal FROM ks, rel)
