@@ -47,13 +47,16 @@ def upload_patched(current: Column, offset: Column, chunk: Column, length: Colum
 
 
 def fold_uploads(chunks: DataFrame) -> DataFrame:
-    """Chunks that each name the offset where they begin, in the order ``seq``, by upload: adds end and complete.
+    """Chunks that each name the offset where they begin, in the order ``seq``, by upload: adds end (the upload's offset then), status and complete.
 
-    ``chunks`` (upload, seq, size, length): the offset is a running sum; what goes beyond the length is refused and
-    everything behind it fails on its offset.
+    ``chunks`` (upload, seq, size, length): the offset they name is a running sum; what goes beyond the length is refused and
+    everything behind it fails on its offset, so the upload's offset stays where it was.
     """
-    sofar = F.sum("size").over(Window.partitionBy("upload").orderBy("seq"))
-    return chunks.withColumn("end", sofar).withColumn("status", F.when(F.col("end") <= F.col("length"), 204).otherwise(409)).withColumn("complete", F.col("end") == F.col("length"))
+    order = Window.partitionBy("upload").orderBy("seq")
+    sent = chunks.withColumn("sent", F.sum("size").over(order))
+    fits = F.col("sent") <= F.col("length")
+    end = F.coalesce(F.max(F.when(fits, F.col("sent"))).over(order), F.lit(0).cast("long"))
+    return sent.withColumns({"end": end, "status": F.when(fits, 204).otherwise(409), "complete": F.col("sent") == F.col("length")}).drop("sent")
 
 
 def upload_metadata(header: Column) -> Column:

@@ -5,13 +5,12 @@ Weighted edges are rows of (source, target, weight, ord); ``ord`` is their input
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import connected_components
-from .scratch import Checkpoints, checkpoint
+from .scratch import Checkpoints, Tables, checkpoint
 
 
 def normalize_edges(edges: DataFrame) -> DataFrame:
@@ -71,101 +70,93 @@ def components(edges: DataFrame) -> DataFrame:
     return found.unionByName(loops.select("node", F.col("node").alias("component")))
 
 
-def louvain(edges: DataFrame, passes: int = 10, whole: int = 50_000) -> DataFrame:
-    """(node, community): one level of greedy modularity moves; ids count communities in the order of their nodes.
+GAIN = 1e-10
 
-    Communities never cross connected components; the total weight is global. Components of at most ``whole`` edges
-    are one task each: nodes are visited in the order in which edges first name them (source before target), a move must
-    gain more than 0, and ties go to the community met first. Larger components are clustered by
-    ``moved_in_rounds``, which spreads over all tasks and visits half of the nodes at a time instead.
+
+def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
+    """One row (modularity) of a partition (node, community): the sum over communities of inner / m - (degree / 2m)^2; null without weight."""
+    home = lambda c: communities.select(F.col("node").alias(c), F.col("community").alias(f"{c}_home"))
+    placed = edges.join(home("source"), "source").join(home("target"), "target")
+    inner = F.when(F.col("source_home") == F.col("target_home"), F.col("weight")).otherwise(0.0)
+    both = placed.select(F.col("source_home").alias("c"), inner.alias("inner"), "weight").unionByName(placed.select(F.col("target_home").alias("c"), F.lit(0.0).alias("inner"), "weight"))
+    each = both.groupBy("c").agg(F.sum("inner").alias("inner"), F.sum("weight").alias("degree"))
+    m = F.sum("degree") / 2
+    return each.agg((F.sum("inner") / m - F.sum(F.col("degree") * F.col("degree")) / (4 * m * m)).alias("modularity"))
+
+
+def louvain(edges: DataFrame, passes: int = 10) -> DataFrame:
+    """(node, community): one level of modularity moves; ids count communities in the order in which edges first name a node of theirs.
+
+    Nodes begin alone. In a round each node looks for the neighbouring community whose gain is best (ties: the first named); of the nodes that want to move, those
+    move that come first, by a hash, among their neighbours that want to. If modularity didn't grow by that, the round is undone, and of each community only the best move that
+    touches it is made, where that is the best for both communities it touches: these gains add up, so modularity grows. The
+    same rule holds at every size, and partitioning doesn't change the result. It ends when no move gains, after 8 rounds a pass at most.
     """
+    tables = Tables(edges.sparkSession)
     total = edges.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
-    labelled = checkpoint(edges.join(components(edges).withColumnRenamed("node", "source"), "source").select("source", "target", "weight", "ord", "component"))
-    sizes = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("edges"))
-    giant = checkpoint(sizes.filter(F.col("edges") > whole).select("component"))
-    small = labelled.join(giant, "component", "left_anti")
-    kind = dict(edges.dtypes)["source"]
-    found = small.groupBy("component").applyInPandas(_sequential(passes, total), f"node {kind}, lead long, seen long").select("node", "lead")
-    if not giant.isEmpty():
-        found = found.unionByName(moved_in_rounds(labelled.join(giant, "component", "left_semi"), total, passes))
-    found = checkpoint(found)
-    leads = found.select("lead").distinct().repartitionByRange("lead").withColumn("part", F.spark_partition_id())
-    leads = checkpoint(leads.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("lead")) - 1))
-    tops = leads.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = tops.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row per partition
-    ids = leads.join(before, "part").select("lead", (F.col("at") + F.col("before")).alias("community"))
-    return found.join(ids, "lead").select("node", "community")
+    ends = edges.select(F.col("source").alias("node"), F.col("target").alias("other"), "weight", (F.col("ord") * 2).alias("at"))
+    ends = ends.unionByName(edges.select(F.col("target").alias("node"), F.col("source").alias("other"), "weight", (F.col("ord") * 2 + 1).alias("at")))
+    nodes = ends.groupBy("node").agg(F.sum("weight").alias("degree"), F.min("at").alias("seen"))
+    links = tables.keep(ends.filter("node <> other").groupBy("node", "other").agg(F.sum("weight").alias("weight")))
+    state = tables.keep(nodes.withColumn("home", F.col("seen")))
+    twice = max(2 * total, 1e-9)
+    kept, reached, careful = None, float("-inf"), False
+    for turn in range(8 * passes):
+        homes = state.select(F.col("node").alias("other"), F.col("home").alias("to"))
+        pulls = tables.keep(links.join(homes, "other").groupBy("node", "to").agg(F.sum("weight").alias("pull")))
+        held = tables.keep(state.groupBy("home").agg(F.sum("degree").alias("held")))
+        inner = pulls.join(state.select("node", F.col("home").alias("to")), ["node", "to"]).agg(F.coalesce(F.sum("pull"), F.lit(0.0))).first()[0]
+        value = inner / twice - held.agg(F.coalesce(F.sum(F.col("held") * F.col("held")), F.lit(0.0))).first()[0] / twice**2
+        if value <= reached + 1e-12:
+            if careful:
+                state = kept[0]
+                break
+            (state, pulls, held), careful = kept, True
+        else:
+            kept, reached, careful = (state, pulls, held), value, False
+        moves = _wanted(pulls, state, held, twice)
+        if careful:
+            moves = _apart(moves)
+        else:
+            first = F.struct(F.xxhash64("node", F.lit(turn)), "node")
+            mine = moves.select("node", first.alias("mine"))
+            before = links.join(mine, "node").join(mine.select(F.col("node").alias("other"), F.col("mine").alias("theirs")), "other").filter("theirs < mine").select("node").distinct()
+            moves = moves.join(before, "node", "left_anti")
+        moves = tables.keep(moves.select("node", "to"))
+        if moves.isEmpty():
+            break
+        state = tables.keep(state.join(moves, "node", "left").select("node", "degree", "seen", F.coalesce("to", "home").alias("home")))
+    leads = state.groupBy("home").agg(F.min("seen").alias("lead"))
+    return _numbered(tables.keep(state.join(leads, "home").select("node", "lead")))
 
 
-def _sequential(passes: int, total: float):
-    """Clusters a component's edges, node by node."""
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable")
-        seen: dict = {}
-        near: dict = {}
-        for s, t, w, o in zip(pdf["source"], pdf["target"], pdf["weight"], pdf["ord"], strict=True):
-            seen.setdefault(s, 2 * o)
-            seen.setdefault(t, 2 * o + 1)
-            near.setdefault(s, []).append((t, w))
-            near.setdefault(t, []).append((s, w))
-        degree = {n: sum(w for _, w in near[n]) for n in seen}
-        home = {n: i for i, n in enumerate(seen)}
-        held = {home[n]: degree[n] for n in seen}
-        for _ in range(passes):
-            moved = False
-            for n in seen:
-                own, pull = home[n], {}
-                for other, w in near[n]:
-                    pull[home[other]] = pull.get(home[other], 0.0) + w
-                gains = [(w - degree[n] * held[c] / max(2 * total, 1e-9), c) for c, w in pull.items() if c != own]
-                top = max((g for g, _ in gains), default=0.0)
-                if top > 0:
-                    to = next(c for g, c in gains if g == top)
-                    held[own] -= degree[n]
-                    held[to] += degree[n]
-                    home[n], moved = to, True
-            if not moved:
-                break
-        lead: dict = {}
-        for n in seen:
-            lead.setdefault(home[n], seen[n])
-        return pd.DataFrame({"node": list(seen), "lead": [lead[home[n]] for n in seen], "seen": list(seen.values())})
+def _wanted(pulls: DataFrame, state: DataFrame, held: DataFrame, twice: float) -> DataFrame:
+    """(node, home, to, gain): each node's best community, where that is better than staying."""
+    away = pulls.join(state, "node").join(held.withColumnRenamed("home", "to"), "to")
+    stays = F.col("to") == F.col("home")
+    rate = F.round(F.col("pull") - F.col("degree") * F.col("held") / F.lit(twice), 10)
+    best = away.groupBy("node").agg(F.max(F.when(~stays, F.struct(rate.alias("rate"), (-F.col("to")).alias("back")))).alias("b"), F.max(F.when(stays, F.col("pull"))).alias("own"))
+    with_home = state.join(held, "home").join(best.filter("b IS NOT NULL"), "node")
+    stay = F.round(F.coalesce("own", F.lit(0.0)) - F.col("degree") * (F.col("held") - F.col("degree")) / F.lit(twice), 10)
+    return with_home.select("node", "home", (-F.col("b.back")).alias("to"), (F.col("b.rate") - stay).alias("gain")).filter(F.col("gain") > GAIN)
 
-    return cluster
 
+def _apart(moves: DataFrame) -> DataFrame:
+    """Of moves (node, home, to, gain) those that are the best for both communities they touch, so that no two touch the same."""
+    best = F.max(F.struct("gain", F.xxhash64("node").alias("turn"), "node"))["node"].alias("best")
+    touched = moves.select(F.col("home").alias("c"), "node", "gain").unionByName(moves.select(F.col("to").alias("c"), "node", "gain"))
+    bests = touched.groupBy("c").agg(best)
+    return moves.join(bests.select(F.col("c").alias("home"), F.col("best").alias("node")), ["home", "node"]).join(bests.select(F.col("c").alias("to"), F.col("best").alias("node")), ["to", "node"])
 
-def moved_in_rounds(edges: DataFrame, total: float, passes: int = 10) -> DataFrame:
-    """(node, lead): communities of a large graph; ``lead`` is the first place in which an edge names a node of the community.
 
-    A round sums each node's weight by neighbouring community (partially, before the shuffle) and moves a hashed half
-    of the nodes to the community of the best gain, if that is more than staying gains; halves keep
-    neighbours from swapping for ever. It ends when a pass of two rounds moves nothing, or after ``passes``.
-    """
-    both = edges.select(F.col("source").alias("node"), F.col("target").alias("other"), "weight", (F.col("ord") * 2).alias("at"))
-    both = checkpoint(both.unionByName(edges.select(F.col("target").alias("node"), F.col("source").alias("other"), "weight", (F.col("ord") * 2 + 1).alias("at"))))
-    nodes = both.groupBy("node").agg(F.sum("weight").alias("degree"), F.min("at").alias("seen"))
-    state = checkpoint(nodes.withColumn("home", F.col("seen")))
-    quiet = 0
-    for turn in range(2 * passes):
-        held = state.groupBy("home").agg(F.sum("degree").alias("held"))
-        pulls = both.join(state.select(F.col("node").alias("other"), F.col("home").alias("to")), "other").groupBy("node", "to").agg(F.sum(F.when(F.col("node") != F.col("other"), F.col("weight")).otherwise(0.0)).alias("pull"))
-        rated = pulls.join(state, "node").join(held.select(F.col("home").alias("to"), "held"), "to")
-        stays = F.col("to") == F.col("home")
-        gain = F.col("pull") - F.col("degree") * (F.col("held") - F.when(stays, F.col("degree")).otherwise(0.0)) / F.lit(max(2 * total, 1e-9))
-        best = rated.select("node", "to", "pull", gain.alias("gain"), stays.alias("stays")).groupBy("node").agg(
-            F.max_by("to", F.when(~F.col("stays"), F.struct("gain", -F.col("to")))).alias("to"), F.max(F.when(~F.col("stays"), F.col("gain"))).alias("gain"), F.max(F.when(F.col("stays"), F.col("gain"))).alias("stay")
-        )
-        alone = state.join(held, "home").select("node", (-F.col("degree") * (F.col("held") - F.col("degree")) / F.lit(max(2 * total, 1e-9))).alias("alone"))
-        rated = state.join(best, "node").join(alone, "node")
-        moves = (F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2) & (F.col("gain") > F.coalesce("stay", "alone") + 1e-12)
-        new = checkpoint(rated.select("node", "degree", "seen", F.when(F.coalesce(moves, F.lit(False)), F.col("to")).otherwise(F.col("home")).alias("home"), F.coalesce(moves, F.lit(False)).alias("moved")))
-        quiet = (quiet if turn % 2 else 0) + new.filter("moved").isEmpty()
-        state = new.drop("moved")
-        if turn % 2 and quiet == 2:
-            break
-    leads = state.groupBy("home").agg(F.min("seen").alias("lead"))
-    return state.join(leads, "home").select("node", "lead")
+def _numbered(found: DataFrame) -> DataFrame:
+    """(node, community) from (node, lead): leads counted in their order, by ranges, so that no task numbers them all."""
+    leads = found.select("lead").distinct().repartitionByRange("lead").withColumn("part", F.spark_partition_id())
+    leads = checkpoint(leads.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("lead")) - 1))
+    tops = leads.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = tops.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row per partition
+    ids = leads.join(before, "part").select("lead", (F.col("at") + F.col("before")).alias("community"))
+    return found.join(ids, "lead").select("node", "community")
 
 
 def graph_maintenance(edges: DataFrame, k: int = 10) -> dict[str, DataFrame]:

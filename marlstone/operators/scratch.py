@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +35,26 @@ class Checkpoints:
 
     def drop(self, *tables: DataFrame) -> None:
         """Checkpoints stay until their folder is cleared."""
+
+
+class Tables:
+    """Tables between steps, written to the shared folder and read back.
+
+    Unlike checkpoints they carry no constraints of the plans that made them, which a loop would pile up.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.paths = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{len(self.paths)}"
+        df.write.parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(kept)] = (path, kept)
+        return kept
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        for table in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[id(table)][0])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -45,6 +45,18 @@ def graph_pfnet(spark, d):
     return G.pfnet(G.normalize_edges(trade(spark, d)))
 
 
+@HERE.add(
+    """WITH e AS (SELECT 'nation/' || n_nationkey AS a, 'region/' || n_regionkey AS b, n_regionkey AS ca, n_regionkey AS cb FROM nation UNION ALL SELECT 'customer/' || c_custkey, 'nation/' || c_nationkey, c_custkey % 5, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey),
+h AS (SELECT c, count(*)::DOUBLE AS d FROM (SELECT ca AS c FROM e UNION ALL SELECT cb FROM e) AS ends GROUP BY 1), m AS (SELECT count(*)::DOUBLE AS m FROM e)
+SELECT (SELECT count(*) FROM e WHERE ca = cb) / any_value(m) - sum(d * d) / (4 * any_value(m) * any_value(m)) AS modularity FROM h, m""", floats=("modularity",))
+def graph_modularity(spark, d):
+    """Of the geography's edges, with customers put into communities by their number."""
+    nation = table(spark, d, "nation").select(F.concat(F.lit("nation/"), "n_nationkey").alias("node"), F.col("n_regionkey").cast("long").alias("community"))
+    region = table(spark, d, "region").select(F.concat(F.lit("region/"), "r_regionkey").alias("node"), F.col("r_regionkey").cast("long").alias("community"))
+    customer = table(spark, d, "customer").select(F.concat(F.lit("customer/"), "c_custkey").alias("node"), (F.col("c_custkey") % 5).alias("community"))
+    return G.modularity(typed_edges(spark, d).withColumn("weight", F.lit(1.0)), nation.unionByName(region).unionByName(customer))
+
+
 @HERE.add()
 def graph_louvain(spark, d):
     return G.graph_maintenance(trade(spark, d))["communities"]

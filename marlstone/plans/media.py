@@ -71,13 +71,6 @@ def captions_text(spark, d):
     return rendered(table(spark, d, "lineitem"))
 
 
-@HERE.add(TEXTS)
-def captions_all(spark, d):
-    """All orders' captions, sorted into the orders by a window before they are gathered."""
-    line = table(spark, d, "lineitem")
-    return rendered(line.withColumn("l_linenumber", F.col("l_linenumber").cast("int")))
-
-
 @HERE.add(
     f"""WITH g AS (SELECT n_nationkey AS k, 4 AS c, 2 AS r, 160 AS w, 90 AS h, 10.5::DOUBLE AS iv, n_nationkey * 7.0::DOUBLE AS total FROM nation), q AS (SELECT k, c, w, h, iv, total, unnest(range(0, least(ceil(total / iv)::INT, c * r))) AS i FROM g),
 t AS (SELECT k, string_agg((i + 1) || chr(10) || {AT('(i * iv)', '.')} || ' --> ' || {AT('least(i * iv + iv, total)', '.')} || chr(10) || 's.jpg#xywh=' || (i % c * w) || ',' || (i // c * h) || ',' || w || ',' || h || chr(10), chr(10) ORDER BY i) AS cues FROM q GROUP BY k)
@@ -111,7 +104,7 @@ def bbox(spark, d):
     return places(spark, d).select("k", box["min_lat"].alias("min_lat"), box["max_lng"].alias("max_lng"), in_box(lat + 2, lng - 4, box).alias("inside"))
 
 
-@HERE.add("WITH c AS (SELECT l_orderkey AS upload, l_linenumber AS seq, l_quantity::BIGINT AS size, 100::BIGINT AS length FROM lineitem), e AS (SELECT *, sum(size) OVER (PARTITION BY upload ORDER BY seq) AS \"end\" FROM c) SELECT upload, seq, \"end\"::BIGINT AS \"end\", CASE WHEN \"end\" <= length THEN 204 ELSE 409 END AS status, \"end\" = length AS complete FROM e")
+@HERE.add("WITH c AS (SELECT l_orderkey AS upload, l_linenumber AS seq, l_quantity::BIGINT AS size, 100::BIGINT AS length FROM lineitem), e AS (SELECT *, sum(size) OVER (PARTITION BY upload ORDER BY seq) AS sent FROM c) SELECT upload, seq, coalesce(max(sent) FILTER (sent <= length) OVER (PARTITION BY upload ORDER BY seq), 0)::BIGINT AS \"end\", CASE WHEN sent <= length THEN 204 ELSE 409 END AS status, sent = length AS complete FROM e")
 def upload_fold(spark, d):
     c = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("upload"), F.col("l_linenumber").alias("seq"), F.col("l_quantity").cast("long").alias("size"), F.lit(100).cast("long").alias("length"))
     return P.fold_uploads(c).select("upload", "seq", "end", "status", "complete")
@@ -124,14 +117,15 @@ def upload_patch(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r["status"].alias("status"), r["new_offset"].alias("new_offset"), r["complete"].alias("complete"), made.alias("location"))
 
 
-RANGES = "('bytes=0-99', 'ok', 0, 99), ('bytes=-100', 'ok', 900, 999), ('bytes=2000-3000', 'unsatisfiable', NULL, NULL), ('bytes=5', 'ok', 5, 999), ('bytes=5-', 'ok', 5, 999), ('bytes=0-1,5-6', 'ok', 0, 1), ('items=1-2', NULL, NULL, NULL), ('bytes=', NULL, NULL, NULL), ('bytes=-0', NULL, NULL, NULL), ('bytes=a-b', NULL, NULL, NULL), ('bytes=900-2000', 'ok', 900, 999)"
-
-
-@HERE.add(f"SELECT h, status, \"start\"::BIGINT AS \"start\", \"end\"::BIGINT AS \"end\", 'bytes ' || \"start\" || '-' || \"end\" || '/1000' AS header FROM (VALUES {RANGES}) AS t(h, status, \"start\", \"end\")")
+@HERE.add("""WITH r AS (SELECT l_orderkey, l_linenumber, l_linenumber * 100 AS a, l_linenumber * 100 + l_quantity::BIGINT * 10 - 50 AS b, l_partkey % 4 AS k FROM lineitem), p AS (SELECT *, CASE k WHEN 2 THEN greatest(0, 600 - a) ELSE a END AS s, CASE k WHEN 0 THEN least(b, 599) WHEN 3 THEN NULL ELSE 599 END AS e FROM r)
+SELECT l_orderkey, l_linenumber, CASE WHEN k = 3 THEN NULL WHEN k <> 2 AND (a >= 600 OR (k = 0 AND a > b)) THEN 'unsatisfiable' ELSE 'ok' END AS status, CASE WHEN status = 'ok' THEN s END::BIGINT AS "start", CASE WHEN status = 'ok' THEN e END::BIGINT AS "end", CASE WHEN status = 'ok' THEN 'bytes ' || s || '-' || e || '/600' END AS header FROM p""")
 def range_parse(spark, d):
-    heads = spark.createDataFrame([(r.split("'")[1],) for r in RANGES.split("), ")], "h string")
-    r = P.parse_range(F.col("h"), F.lit(1000).cast("long"))
-    return heads.select("h", r.alias("r")).select("h", "r.status", "r.start", "r.end", P.content_range(F.col("r.start"), F.col("r.end"), F.lit(1000)).alias("header"))
+    """Headers of four forms, made of the lines' numbers."""
+    a = (F.col("l_linenumber") * 100).cast("string")
+    b = (F.col("l_linenumber") * 100 + F.col("l_quantity").cast("long") * 10 - 50).cast("string")
+    head = F.element_at(F.array(F.concat(F.lit("bytes="), a, F.lit("-"), b), F.concat(F.lit("bytes="), a, F.lit("-")), F.concat(F.lit("bytes=-"), a), F.concat(F.lit("items="), a, F.lit("-"), b)), (F.col("l_partkey") % 4 + 1).cast("int"))
+    r = P.parse_range(head, F.lit(600).cast("long"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r.alias("r")).select("l_orderkey", "l_linenumber", "r.status", "r.start", "r.end", P.content_range(F.col("r.start"), F.col("r.end"), F.lit(600)).alias("header"))
 
 
 @HERE.add("SELECT c_custkey, c_name AS name, '' AS flag FROM customer")
@@ -315,7 +309,11 @@ def video_texts(spark, d):
     return n.select("n_nationkey", A.video_text(F.col("n_name"), frames, said).alias("text"))
 
 
-@HERE.add("SELECT m AS mime, s AS strategy FROM (VALUES ('image/png', 'image'), ('audio/wav', 'audio'), ('video/mp4', 'video'), ('message/rfc822', 'email'), ('application/pdf', 'pdf'), ('application/zip', 'archive'), ('text/csv', 'spreadsheet'), ('application/vnd.oasis.opendocument.spreadsheet', 'spreadsheet'), ('text/plain', 'text')) AS t(m, s)")
+@HERE.add("SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'image' WHEN 1 THEN 'audio' WHEN 2 THEN 'video' WHEN 3 THEN 'email' WHEN 4 THEN 'pdf' WHEN 5 THEN 'archive' WHEN 8 THEN 'text' ELSE 'spreadsheet' END AS strategy, CASE doc_id % 9 WHEN 8 THEN 'text/plain' WHEN 6 THEN 'text/csv' WHEN 0 THEN 'image/png' ELSE '' END AS named FROM documents")
 def strategies(spark, d):
+    """Of media types that go round over the documents; and the type of a file name."""
     kinds = ["image/png", "audio/wav", "video/mp4", "message/rfc822", "application/pdf", "application/zip", "text/csv", "application/vnd.oasis.opendocument.spreadsheet", "text/plain"]
-    return spark.createDataFrame([(k,) for k in kinds], "mime string").select("mime", A.pick_strategy(F.col("mime")).alias("strategy"))
+    at = (F.col("doc_id") % 9 + 1).cast("int")
+    ending = F.element_at(F.array(*[F.lit({"image/png": "png", "text/csv": "csv", "text/plain": "strange"}.get(k)) for k in kinds]), at)
+    named = F.coalesce(A.mime_of(F.concat(F.col("source"), F.lit("."), ending)), F.lit(""))
+    return table(spark, d, "documents").select("doc_id", A.pick_strategy(F.element_at(F.array(*[F.lit(k) for k in kinds]), at)).alias("strategy"), F.when(ending.isNull(), "").otherwise(named).alias("named"))

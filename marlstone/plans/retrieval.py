@@ -180,11 +180,15 @@ def mrl_vectors(spark, d):
 
 
 @HERE.add(
-    """WITH m(slug, dim, mrl) AS (VALUES ('ollama:nomic-embed-text', 768, [128, 256, 512, 768]), ('intfloat/e5-large-v2', 1024, NULL), ('openai:text-embedding-3-small', 1536, [256, 512, 768, 1024, 1536]), ('openai:text-embedding-3-large', 3072, [256, 512, 1024, 2048, 3072]))
-SELECT slug, CASE WHEN mrl IS NULL THEN dim ELSE coalesce(list_min(list_filter(mrl, lambda x: x >= dim / 8)), list_max(mrl)) END AS coarse, CASE WHEN slug = 'intfloat/e5-large-v2' THEN 'query: ' ELSE '' END || 'hello' AS asked FROM m"""
+    """WITH m(n, slug, dim, mrl) AS (VALUES (0, 'ollama:nomic-embed-text', 768, [128, 256, 512, 768]), (1, 'intfloat/e5-large-v2', 1024, NULL), (2, 'openai:text-embedding-3-small', 1536, [256, 512, 768, 1024, 1536]), (3, 'openai:text-embedding-3-large', 3072, [256, 512, 1024, 2048, 3072]))
+SELECT doc_id, slug, CASE WHEN mrl IS NULL THEN dim ELSE coalesce(list_min(list_filter(mrl, lambda x: x >= dim / 8)), list_max(mrl)) END AS coarse, CASE WHEN n = 1 THEN CASE WHEN doc_id % 2 = 0 THEN 'query: ' ELSE 'passage: ' END ELSE '' END || left(text, 30) AS asked FROM documents JOIN m ON n = (doc_id // 2) % 4"""
 )
 def embedding_catalogue(spark, d):
-    return embedding_models(spark).select("slug", coarse_dim(F.col("dim"), F.col("mrl_dims")).alias("coarse"), prefixed(F.lit("hello"), F.lit("query"), F.col("query_prefix"), F.col("passage_prefix")).alias("asked"))
+    """Each document's text as its model wants it, as a query or a passage, and the model's coarse dimension."""
+    names = ["ollama:nomic-embed-text", "intfloat/e5-large-v2", "openai:text-embedding-3-small", "openai:text-embedding-3-large"]
+    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 30).alias("text"), F.element_at(F.array(*map(F.lit, names)), (F.pmod(F.floor(F.col("doc_id") / 2), F.lit(4)) + 1).cast("int")).alias("slug"))
+    task = F.when(F.col("doc_id") % 2 == 0, "query").otherwise("passage")
+    return docs.join(F.broadcast(embedding_models(spark)), "slug").select("doc_id", "slug", coarse_dim(F.col("dim"), F.col("mrl_dims")).alias("coarse"), prefixed(F.col("text"), task, F.col("query_prefix"), F.col("passage_prefix")).alias("asked"))  # four models
 
 
 @HERE.add("WITH h AS (SELECT conv_id || '::' || turn AS slug, conv_id, length(text)::DOUBLE AS score FROM conversations), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, slug) AS n FROM h) SELECT slug, score FROM r WHERE n <= 1")
@@ -239,15 +243,17 @@ def eval_metrics(spark, d):
     return R.evaluate(run, qrels)
 
 
-ASKED = """('"hello world"'), ('foo AND bar'), ('rust'), ('a b c d e f g h i j'), ('how does it work today'), ('alpha -beta')"""
-KIND = """WITH q(q) AS (VALUES """ + ASKED + r"""), c AS (SELECT q, regexp_full_match(trim(q), '".+"') AS ph, regexp_matches(trim(q), '\b(AND|OR|NOT)\b|\s-\S') AS bo, len(string_split_regex(trim(q), '\s+')) AS n FROM q)
-SELECT q, CASE WHEN ph THEN 10 WHEN bo THEN 15 WHEN n <= 2 THEN 15 WHEN n >= 10 THEN 40 ELSE 20 END AS k, CASE WHEN ph THEN 0.8 WHEN bo THEN 0.7 WHEN n <= 2 THEN 0.65 WHEN n >= 10 THEN 0.3 ELSE 0.5 END::DOUBLE AS fts FROM c"""
+KIND = r"""WITH w AS (SELECT doc_id, doc_id % 5 AS k, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents)
+SELECT doc_id, CASE k WHEN 0 THEN 10 WHEN 1 THEN 15 WHEN 2 THEN 15 WHEN 3 THEN 40 ELSE 20 END AS k, CASE k WHEN 0 THEN 0.8 WHEN 1 THEN 0.7 WHEN 2 THEN 0.65 WHEN 3 THEN 0.3 ELSE 0.5 END::DOUBLE AS fts, CASE k WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 3 THEN 12 ELSE 5 END::INT AS n FROM w WHERE len(w) >= 12"""
 
 
 @HERE.add(KIND)
 def query_kinds(spark, d):
-    q = F.col("q")
-    return spark.sql(f"SELECT * FROM VALUES {ASKED} AS t(q)").select("q", R.select_rrf_k(q).alias("k"), R.select_weights(q)["fts"].alias("fts"))
+    """Queries of five kinds from the documents' words: a phrase, an expression, two, twelve and five words."""
+    words = table(spark, d, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0).alias("w")).filter("size(w) >= 12")
+    some = lambda n: F.array_join(F.slice("w", 1, n), " ")
+    q = F.element_at(F.array(F.concat(F.lit('"'), some(2), F.lit('"')), F.concat(some(1), F.lit(" OR "), F.element_at("w", 2)), some(2), some(12), some(5)), (F.col("doc_id") % 5 + 1).cast("int"))
+    return words.select("doc_id", R.select_rrf_k(q).alias("k"), R.select_weights(q)["fts"].alias("fts"), R.characterize(q)["token_count"].alias("n"))
 
 
 @HERE.add("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS similarity FROM v a JOIN v b ON b.vec_id = a.vec_id + 1", floats=("similarity",))

@@ -142,9 +142,12 @@ def memory_router(spark, d):
     return S.resolve_memory(c.select("c_custkey", headers.alias("headers")), handles, ["x-memory", "x-store"]).select("c_custkey", "memory")
 
 
-@HERE.add("SELECT * FROM (VALUES ('title-generation', 'ollama:qwen3.5:7b'), ('content-revision', 'ollama:qwen3.5:27b'), ('summarization', 'ollama:qwen3.5:27b'), ('embedding', 'ollama:nomic-embed-text'), ('link-typing', 'ollama:qwen3.5:27b'), ('chat', 'ollama:qwen3.5:27b'), ('structured-extract', 'ollama:qwen3.5:27b'), ('vision-description', 'ollama:qwen3.5:27b'), ('transcription', NULL), ('diarization', NULL)) AS t(task, slug)")
+@HERE.add("WITH t(n, task, slug) AS (VALUES (0, 'title-generation', 'ollama:qwen3.5:7b'), (1, 'content-revision', 'ollama:qwen3.5:27b'), (2, 'summarization', 'ollama:qwen3.5:27b'), (3, 'embedding', 'ollama:nomic-embed-text'), (4, 'link-typing', 'ollama:qwen3.5:27b'), (5, 'chat', 'ollama:qwen3.5:27b'), (6, 'structured-extract', 'ollama:qwen3.5:27b'), (7, 'vision-description', 'ollama:qwen3.5:27b'), (8, 'transcription', NULL), (9, 'diarization', NULL)) SELECT o_orderkey, task, slug FROM orders JOIN t ON n = o_custkey % 10")
 def model_choice(spark, d):
-    return select_models(model_profiles(spark), tasks(spark))
+    """The model for the task of each order; tasks go round by customer."""
+    names = ["title-generation", "content-revision", "summarization", "embedding", "link-typing", "chat", "structured-extract", "vision-description", "transcription", "diarization"]
+    wanted = table(spark, d, "orders").select("o_orderkey", F.element_at(F.array(*map(F.lit, names)), (F.col("o_custkey") % 10 + 1).cast("int")).alias("task"))
+    return wanted.join(F.broadcast(select_models(model_profiles(spark), tasks(spark))), "task").select("o_orderkey", "task", "slug")  # ten tasks
 
 
 @HERE.add("SELECT r_name AS key, CASE WHEN r_regionkey % 3 = 0 THEN 'o' WHEN r_regionkey % 3 = 1 THEN 'e' ELSE 'd' END AS value, CASE WHEN r_regionkey % 3 = 0 THEN 'db_override' WHEN r_regionkey % 3 = 1 THEN 'env' ELSE 'default' END AS source FROM region")

@@ -11,6 +11,7 @@ from marlstone.operators import extract as E
 from marlstone.operators import retrieval as R
 from marlstone.operators.inference import typed_by_model
 from marlstone.plans.registry import Registry, table
+from marlstone.plans.search import expressions
 
 HERE = Registry()
 
@@ -141,14 +142,13 @@ def code_chunks(spark, d):
     return p.select("p_partkey", F.explode(E.code_chunks(source, F.lit("a.py"))).alias("c")).select("p_partkey", "c.*")
 
 
-ASKED = """('"hello world" foo OR bar -baz qux'), ('rust async'), ('-only'), ('a OR b OR c d'), ('"x y" OR z'), ('tail OR')"""
-
-
 @HERE.add(
-    """SELECT * FROM (VALUES ('"hello world" foo OR bar -baz qux', '"hello world" AND qux AND (foo OR bar) NOT baz'), ('rust async', 'rust AND async'), ('-only', 'NOT only'), ('a OR b OR c d', 'd AND (a OR b OR c)'), ('"x y" OR z', '"x y" AND OR AND z'), ('tail OR', 'OR AND (tail)')) AS t(q, m)"""
+    r"""WITH w AS (SELECT doc_id AS qid, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w, (doc_id // 50) % 6 AS k FROM documents WHERE doc_id % 50 = 0)
+SELECT qid, CASE k WHEN 0 THEN '"' || w[3] || ' ' || w[4] || '"' WHEN 1 THEN w[2] || ' AND (' || w[3] || ' OR ' || w[6] || ')' WHEN 2 THEN w[3] || ' NOT ' || w[7] WHEN 3 THEN '"' || substr(w[4], 1, 3) || '*"' WHEN 4 THEN '"' || w[3] || ' ' || w[4] || '" AND (' || w[6] || ' OR ' || w[7] || ')' ELSE w[2] || ' AND ' || w[3] || ' NOT ' || w[5] END AS m FROM w WHERE len(w) >= 8"""
 )
 def web_search(spark, d):
-    return spark.sql(f"SELECT * FROM VALUES {ASKED} AS t(q)").select("q", T.match_expression(T.parse_web_search(F.col("q"))).alias("m"))
+    """The match expressions of searches that are made of the documents' words."""
+    return expressions(spark, d).select("qid", T.match_expression(T.parse_web_search(F.col("query"))).alias("m"))
 
 
 @HERE.add(r"SELECT doc_id FROM documents WHERE list_contains(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), 'with') AND NOT list_contains(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), 'from')")
@@ -158,10 +158,12 @@ def web_search_filter(spark, d):
     return docs.join(F.broadcast(asked)).filter(T.matches_query(F.col("w"), F.col("p"))).select("doc_id")  # one query
 
 
-@HERE.add("SELECT * FROM (VALUES ('openai:gpt-4o', 'openai', 'gpt-4o', 'openai:gpt-4o'), ('qwen3:8b', 'ollama', 'qwen3:8b', 'ollama:qwen3:8b'), ('plain', 'ollama', 'plain', 'ollama:plain')) AS t(s, provider, model, again)")
+@HERE.add("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'openai' ELSE 'ollama' END AS provider, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_brand || ':' || p_name ELSE p_name END AS model, CASE p_partkey % 3 WHEN 0 THEN 'openai:' || p_name WHEN 1 THEN 'ollama:' || p_brand || ':' || p_name ELSE 'ollama:' || p_name END AS again FROM part")
 def model_slugs(spark, d):
-    s = T.parse_slug(F.col("s"))
-    return spark.sql("SELECT * FROM VALUES ('openai:gpt-4o'), ('qwen3:8b'), ('plain') AS t(s)").select("s", s["provider"].alias("provider"), s["model"].alias("model"), T.format_slug(s["provider"], s["model"]).alias("again"))
+    """Slugs with a known provider, an unknown one, and none, of the parts' names."""
+    slug = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("openai:"), "p_name")).when(F.col("p_partkey") % 3 == 1, F.concat_ws(":", "p_brand", "p_name")).otherwise(F.col("p_name"))
+    s = T.parse_slug(slug)
+    return table(spark, d, "part").select("p_partkey", s["provider"].alias("provider"), s["model"].alias("model"), T.format_slug(s["provider"], s["model"]).alias("again"))
 
 
 class Labeller:

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from marlstone.operators.extract import extract_edges
 from marlstone.operators.graph import reconcile
+from marlstone.operators.scratch import Tables
 from marlstone.operators.store import Store
 from marlstone.sources.store_source import StoreSource
 
@@ -66,26 +67,62 @@ def watch(feed: DataFrame, kinds: list[str] | None = None, page_tags: DataFrame
     return feed
 
 
+class Ledger:
+    """Which listeners have had which micro-batch, as empty folders under a path."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _at(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def has(self, batch: int, listener: str) -> bool:
+        fs, path = self._at(f"{batch}/{listener}")
+        return fs.exists(path)
+
+    def add(self, batch: int, listener: str) -> None:
+        fs, path = self._at(f"{batch}/{listener}")
+        fs.mkdirs(path)
+
+    def forget(self, before: int) -> None:
+        """Lets go of earlier micro-batches; only the last can come again."""
+        fs, root = self._at("")
+        for found in fs.listStatus(root) if fs.exists(root) else []:
+            if int(found.getPath().getName()) < before:
+                fs.delete(found.getPath(), True)
+
+
 class EventBus:
     """Listeners by event type, or ``*`` for all; ``attach`` runs them on each micro-batch of their events."""
 
     def __init__(self) -> None:
-        self.listeners: dict[str, list[Callable[[DataFrame], None]]] = {}
-
-    def on(self, kind: str, listener: Callable[[DataFrame], None]) -> Callable[[], None]:
-        self.listeners.setdefault(kind, []).append(listener)
-        return lambda: self.listeners[kind].remove(listener)
-
-    def emit(self, events: DataFrame) -> None:
-        """``events`` has type and data, and ts (now, where it is null or missing)."""
+        self.listeners: dict[str, tuple[str, Callable[[DataFrame], None]]] = {}
+
+    def on(self, kind: str, listener: Callable[[DataFrame], None], name: str | None = None) -> Callable[[], None]:
+        """``name`` tells the listener from others when a stream starts again; without it it is the kind and a number."""
+        name = name or f"{kind.replace('*', 'all')}-{sum(k == kind for k, _ in self.listeners.values())}"
+        if name in self.listeners:
+            raise ValueError(f"there is a listener {name!r}")
+        self.listeners[name] = kind, listener
+        return lambda: self.listeners.pop(name, None)
+
+    def emit(self, events: DataFrame, batch: int | None = None, ledger: Ledger | None = None) -> None:
+        """``events`` has type and data, and ts (now, where it is null or missing). Listeners that have had the batch, by the ledger, are passed over."""
         ts = F.coalesce(F.col("ts"), F.current_timestamp()) if "ts" in events.columns else F.current_timestamp()
         events = events.withColumn("ts", ts)
-        for kind, listeners in self.listeners.items():
-            for listener in listeners:
+        for name, (kind, listener) in list(self.listeners.items()):
+            if ledger is None or not ledger.has(batch, name):
                 listener(events if kind == "*" else events.filter(F.col("type") == kind))
+                if ledger is not None:
+                    ledger.add(batch, name)
+        if ledger is not None:
+            ledger.forget(batch)
 
     def attach(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
-        return stream.writeStream.foreachBatch(lambda df, _: self.emit(df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        """Runs over what is there, then stops. A micro-batch that is replayed because a listener failed reaches those that had it no second time."""
+        ledger = Ledger(stream.sparkSession, f"{checkpoint}-listeners")
+        return stream.writeStream.foreachBatch(lambda df, batch: self.emit(df, batch, ledger)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 # Recipes
@@ -266,15 +303,37 @@ def hash_text(text: str) -> int:
 def breaker_states(calls: DataFrame, threshold: int = 5, cooldown_ms: int = 30_000) -> DataFrame:
     """(service, seq, state) before each call of (service, seq, ms, ok): the breaker's fold over a log.
 
-    Failures in a row are counted with windows: since the last success before a call. The circuit opened
-    at the failure that reached the threshold, and is half-open once the cooldown has passed.
+    The log is dealt in ranges of (service, seq), so a service with most of the calls is spread. A range sums up what it does to a service
+    (whether a call succeeded, failures since then, and when they reached the threshold); these few rows are composed in order, and each range's
+    calls are then told from what came in and what went before in the range. The circuit opened at the failure that reached the
+    threshold, and is half-open once the cooldown has passed. Calls of a service need different seqs.
     """
     from pyspark.sql.window import Window
 
-    before = Window.partitionBy("service").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    runs = calls.withColumn("run", F.coalesce(F.sum(F.when(F.col("ok"), 1).otherwise(0)).over(before), F.lit(0)))
-    inside = Window.partitionBy("service", "run").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    tables = Tables(calls.sparkSession)
+    parts = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tables.keep(calls.select("service", "seq", "ms", "ok").repartitionByRange(parts, "service", "seq").withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy("service", "part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    runs = dealt.withColumn("run", F.coalesce(F.sum(F.when(F.col("ok"), 1).otherwise(0)).over(before), F.lit(0)))
+    inside = Window.partitionBy("service", "part", "run").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     fails = runs.withColumn("failures", F.coalesce(F.sum(F.when(F.col("ok"), 0).otherwise(1)).over(inside), F.lit(0)))
-    opened = F.min(F.when(~F.col("ok") & (F.col("failures") + 1 >= threshold), F.col("ms"))).over(inside)
+    # what a range does: successes, failures behind the last, and those before the first
+    sums = fails.groupBy("service", "part", "run").agg(F.max(F.when(F.col("ok"), 1).otherwise(0)).alias("closed"), F.sum(F.when(F.col("ok"), 0).otherwise(1)).alias("failed"))
+    ranges = sums.groupBy("service", "part").agg(F.max("closed").alias("reset"), F.max_by("failed", "run").alias("last_failed"), F.max_by("closed", "run").alias("ends_closed"))
+    trailing = F.when(F.col("ends_closed") == 1, 0).otherwise(F.col("last_failed"))
+    order = Window.partitionBy("service").orderBy("part")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    grouped = ranges.withColumn("trailing", trailing).withColumn("since", F.coalesce(F.sum("reset").over(order), F.lit(0)))
+    # failures that come in: those behind the last success of the ranges before
+    group = Window.partitionBy("service", "since").orderBy("part")
+    grouped = grouped.withColumn("upto", F.sum("trailing").over(group))
+    carried = grouped.select("service", "part", F.coalesce(F.lag("upto").over(order), F.lit(0)).alias("carried"))
+    known = fails.join(carried, ["service", "part"]).withColumn("failures", F.col("failures") + F.when(F.col("run") == 0, F.col("carried")).otherwise(0))
+    reached = F.when(~F.col("ok") & (F.col("failures") + 1 == threshold), F.col("ms"))
+    known = known.withColumn("opened", F.max(reached).over(inside))
+    opens = known.groupBy("service", "part").agg(F.max_by(reached, F.when(reached.isNotNull(), F.col("seq"))).alias("opened_here"))
+    came = opens.select("service", "part", F.last("opened_here", True).over(earlier).alias("came_open"))
+    told = known.join(came, ["service", "part"])
+    opened = F.when((F.col("run") == 0) & (F.col("carried") >= threshold), F.col("came_open")).otherwise(F.col("opened"))
     state = F.when(F.col("failures") < threshold, "closed").when(F.col("ms") - opened >= cooldown_ms, "half-open").otherwise("open")
-    return fails.select("service", "seq", state.alias("state"))
+    return told.select("service", "seq", state.alias("state"))
