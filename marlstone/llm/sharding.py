@@ -4,9 +4,10 @@ Keys and virtual nodes are hashed onto a ring. A key goes to the first shard
 clockwise that still has room; no shard takes more than (1 + ``slack``) times the
 mean number of bytes. Keys are placed by the ring's arc: there are ``ARCS`` arcs for each
 shard, so the table of bytes per arc has a proven bound whatever the
-input, and only that table is walked on the driver, each arc from its own place until there is room. A heavy arc (say, a
-key that holds a third of all rows) is split into cells by a hash of its rows' texts, which moves with
-them, and a cell that is still heavy (one text very often) by the rows' places.
+input, and only that table is walked on the driver, each arc from its own place until there is room. An arc that holds more than a fixed
+share of all bytes (say, a key with a third of all rows) is split into cells by a hash of its rows' texts, which moves with
+them, and a cell that is still heavy (one text very often) by the rows' places: into four for each such share, so that all cells
+together are at most a few hundred for each shard.
 
 Scale: one narrow pass counts bytes per cell with partial sums; the cell-to-shard
 table is broadcast up to ``BROADCAST`` rows and joined beyond; slots are numbered
@@ -26,7 +27,8 @@ from .bytesets import U64, mix64
 from .common import Scratch, fresh, utf8
 
 ARCS = 1 << 11
-SPLIT = 256
+#: Shares of all bytes, for each shard: an arc or cell of more than one is split, into PIECES for each that it holds.
+SHARES, PIECES = 64, 4
 VIRTUAL = 256
 SLACK = 0.01
 #: A cell table of more rows isn't broadcast.
@@ -67,7 +69,7 @@ def place_cells(cells: list[tuple[int, int, int]], shards: int, slack: float = S
     """
     ring = Ring(shards)
     most = (1 + slack) * sum(c[2] for c in cells) / shards
-    code = mix64(np.array([(c[0] << 24) + c[1] + 1 for c in cells], dtype=U64))
+    code = mix64(np.array([((c[0] << 24) + c[1] + 1) & 0xFFFFFFFFFFFFFFFF for c in cells], dtype=U64))
     load, out = [0] * shards, {}
     for i in np.argsort(code, kind="stable"):
         arc, cell, size = cells[i]
@@ -82,14 +84,17 @@ def _row_arc(doc_id: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(arcs_of(shards))).cast("int")
 
 
-def _cell(row: DataFrame, heavy: list[int], heavier: list[tuple[int, int]]) -> DataFrame:
-    """Adds ``cell``: -1, the row's part of a heavy arc by its text, or by its place too where that part is still heavy."""
-    by_text = F.pmod(F.xxhash64("text_crc32", "size"), F.lit(SPLIT)).cast("int")
-    by_place = F.lit(SPLIT) + by_text * SPLIT + F.pmod(F.xxhash64("uid"), F.lit(SPLIT)).cast("int")
-    again = F.lit(False)
-    for arc in sorted({a for a, _ in heavier}):
-        again = again | ((F.col("arc") == arc) & by_text.isin([c for a, c in heavier if a == arc]))
-    return row.withColumn("cell", F.when(~F.col("arc").isin(heavy), -1).when(again, by_place).otherwise(by_text))
+def _cell(rows: DataFrame, parts: dict[int, int], more: dict[tuple[int, int], int]) -> DataFrame:
+    """Adds ``cell``: -1, the row's part of a heavy arc by its text, or by its place too where that part is still heavy. ``parts`` is by arc, ``more`` by (arc, part)."""
+    inner = {a: {} for a in parts}
+    for (arc, part), n in more.items():
+        inner[arc][part] = n
+    table = rows.sparkSession.createDataFrame([(a, n, inner[a]) for a, n in parts.items()], "arc int, parts int, more map<int,int>")
+    split = rows.join(F.broadcast(table) if len(parts) <= BROADCAST else table, "arc", "left")
+    by_text = F.pmod(F.xxhash64("text_crc32", "size"), F.col("parts")).cast("int")
+    again = F.try_element_at("more", by_text)
+    by_place = (by_text + 1).cast("long") * (1 << 32) + F.pmod(F.xxhash64("uid"), again)
+    return split.withColumn("cell", F.when(F.col("parts").isNull(), -1).when(again.isNotNull(), by_place).otherwise(by_text.cast("long"))).drop("parts", "more")
 
 
 def assign_shards(docs: DataFrame, shards: int = 8, slack: float = SLACK) -> DataFrame:
@@ -130,8 +135,8 @@ def _numbered(narrow: DataFrame, shards: int, slack: float) -> DataFrame:
     """Places of rows (doc_id, size, text_crc32, uid)."""
     scratch = Scratch(narrow.sparkSession, "ring")
     rows = scratch.keep(narrow.withColumn("arc", _row_arc(F.col("doc_id"), shards)))
-    placed, heavy, heavier = cell_table(rows, shards, slack)
-    rows = _cell(rows, heavy, heavier).join(placed, ["arc", "cell"]).withColumn("block", F.shiftright("uid", 33))
+    placed, parts, more = cell_table(rows, shards, slack)
+    rows = _cell(rows, parts, more).join(placed, ["arc", "cell"]).withColumn("block", F.shiftright("uid", 33))
     counts = rows.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("shard", "block", (F.sum("n").over(Window.partitionBy("shard").orderBy("block")) - F.col("n")).alias("before"))  # a row per shard and input partition
     inner = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "uid"))
@@ -139,25 +144,25 @@ def _numbered(narrow: DataFrame, shards: int, slack: float) -> DataFrame:
     return numbered.select("doc_id", "uid", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("at") + F.col("before")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-def cell_table(rows: DataFrame, shards: int, slack: float = SLACK) -> tuple[DataFrame, list[int], list[tuple[int, int]]]:
-    """((arc, cell, shard), heavy arcs, heavy cells) for rows of (size, text_crc32, uid, arc); cell -1 stands for a whole arc."""
+def cell_table(rows: DataFrame, shards: int, slack: float = SLACK) -> tuple[DataFrame, dict[int, int], dict[tuple[int, int], int]]:
+    """((arc, cell, shard), parts of heavy arcs, parts of heavy parts) for rows of (size, text_crc32, uid, arc); cell -1 stands for a whole arc."""
     arcs = {r.arc: int(r.b) for r in rows.groupBy("arc").agg(F.sum("size").alias("b")).collect()}  # at most ``arcs_of(shards)`` rows
-    total = sum(arcs.values())
-    limit = max(total / 512 * 8 / max(8, shards), 1 << 16)
-    heavy = [a for a, b in arcs.items() if b > limit]
-    cells, heavier = [(a, -1, b) for a, b in arcs.items() if b <= limit], []
+    share = max(1, sum(arcs.values()) / (SHARES * shards))
+    into = lambda b: -int(-PIECES * b // share)
+    parts = {a: into(b) for a, b in arcs.items() if b > share}
+    cells, more = [(a, -1, b) for a, b in arcs.items() if b <= share], {}
 
     def split() -> list[tuple[int, int, int]]:
-        inside = rows.filter(F.col("arc").isin(heavy))
-        return [(r.arc, r.cell, int(r.b)) for r in _cell(inside, heavy, heavier).groupBy("arc", "cell").agg(F.sum("size").alias("b")).collect()]  # at most SPLIT or SPLIT * SPLIT for each heavy arc
+        inside = rows.join(F.broadcast(rows.sparkSession.createDataFrame([(a,) for a in parts], "arc int")), "arc")  # fewer than SHARES a shard
+        return [(r.arc, r.cell, int(r.b)) for r in _cell(inside, parts, more).groupBy("arc", "cell").agg(F.sum("size").alias("b")).collect()]  # at most about PIECES for each share, twice
 
-    if heavy:
-        parts = split()
-        heavier = [(a, c) for a, c, b in parts if b > limit]
-        cells += split() if heavier else parts
+    if parts:
+        found = split()
+        more = {(a, int(c)): into(b) for a, c, b in found if b > share}
+        cells += split() if more else found
     placed = place_cells(sorted(cells), shards, slack)
-    table = rows.sparkSession.createDataFrame([(a, c, s) for (a, c), s in placed.items()] or [(-1, -1, 0)], "arc int, cell int, shard int")
-    return F.broadcast(table) if len(placed) <= BROADCAST else table, heavy, heavier
+    table = rows.sparkSession.createDataFrame([(a, c, s) for (a, c), s in placed.items()] or [(-1, -1, 0)], "arc int, cell long, shard int")
+    return F.broadcast(table) if len(placed) <= BROADCAST else table, parts, more
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, slack: float = SLACK) -> None:

@@ -306,6 +306,24 @@ def test_shards_are_balanced_and_slots_gapless(spark):
     assert sharding.assign_shards(frame(spark, [])).count() == 0
 
 
+def test_small_tables_are_balanced_too(spark):
+    """No shard is further above the mean than the slack and a document."""
+    got = sharding.assign_shards(spark.read.parquet(f"{SF}/documents.parquet")).groupBy("shard").agg(F.sum("size").alias("b"), F.max("size").alias("m")).collect()
+    mean, largest = sum(r.b for r in got) / 8, max(r.m for r in got)
+    assert len(got) == 8 and all(r.b <= 1.01 * mean + largest for r in got)
+    others = sorted(r.b for r in got)[:-1]
+    assert max(others) <= 1.02 * mean
+
+
+def test_one_text_of_one_key_is_spread(spark):
+    rows = [(5, "same" * 50)] * 3000 + [(i, "x" * 40) for i in range(3000)]
+    load = Counter()
+    for r in sharding.assign_shards(frame(spark, rows)).collect():
+        load[r.shard] += r.size
+    mean = sum(load.values()) / 8
+    assert len(load) == 8 and max(load.values()) <= 1.02 * mean
+
+
 def test_ring_moves_little_when_a_shard_is_added():
     cells = [(a, -1, 100 + a * 13 % 50) for a in range(4000)]
     before, after = sharding.place_cells(cells, 8, 0.25), sharding.place_cells(cells, 9, 0.25)
@@ -338,7 +356,7 @@ def test_many_shards_are_placed_at_once():
 
 def test_query_rows_are_the_ring_s(spark):
     """Each row's shard is that of its arc and cell, found again from the hashes alone; slots go by input partition, then doc_id."""
-    rows = [(i, "x" * (i * 37 % 900)) for i in range(400)] + [(None, None), (3, "twice")]
+    rows = [(i, "x" * (i * 37 % 60)) for i in range(4000)] + [(None, None), (3, "twice")]  # no arc holds a share
     docs = frame(spark, rows)
     narrow = sharding._narrow(docs).withColumn("arc", sharding._row_arc(F.col("doc_id"), 8)).collect()
     size = Counter()
