@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.analysis import Analyzer
 from marlstone.operators import fulltext
 from marlstone.operators import store as S
+from marlstone.operators.ranked_index import RankedIndex
 from marlstone.operators.scratch import shared_folder
 from marlstone.plans.registry import Registry, table
 from marlstone.streaming.feeds import change_feed
@@ -122,6 +123,29 @@ def search_scripts(spark, d):
     return out
 
 
+RANKED = r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents), t AS (SELECT doc_id, len(w) AS len, len(list_filter(w, lambda x: x = 'for')) AS a FROM w), f AS (SELECT count(*) AS n, avg(len) AS l, sum((a > 0)::INT) AS da FROM t)
+SELECT doc_id::VARCHAR AS slug, greatest(1e-6, ln((n - da + 0.5) / (da + 0.5))) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * len / l)) AS score FROM t, f WHERE a > 0 ORDER BY score DESC, slug LIMIT 10"""
+
+
+@HERE.add(RANKED, floats=("score",))
+def search_pruned(spark, d):
+    """The first ten pages by a frequent word, from those levels of its postings that can hold them."""
+    store = document_store(spark, d)
+    ranked = RankedIndex(spark, f"{shared_folder(spark)}/ranked-{uuid.uuid4().hex}").build(store.index(), store.figures())
+    return ranked.top(["for"], 10).pages
+
+
+@HERE.add("SELECT 'brand/' || p_brand AS uri, p_brand AS pref_label, []::VARCHAR[] AS broader, list_sort(list(DISTINCT 'size/' || p_brand || '/' || p_size)) AS narrower, count(DISTINCT p_size) AS n FROM part GROUP BY p_brand UNION ALL SELECT DISTINCT 'size/' || p_brand || '/' || p_size, 'size ' || p_size, ['brand/' || p_brand], []::VARCHAR[], 0 FROM part")
+def concept_lists(spark, d):
+    """Concepts of a store as listed: brands, and sizes below them, written in two commits and compacted between."""
+    p, store = table(spark, d, "part"), fresh_store(spark)
+    store.add_concepts(p.select(F.concat(F.lit("brand/"), "p_brand").alias("uri"), F.col("p_brand").alias("pref_label")).distinct())
+    store.compact()
+    below = p.select(F.concat_ws("/", F.lit("size"), "p_brand", "p_size").alias("uri"), F.concat(F.lit("size "), "p_size").alias("pref_label"), F.array(F.concat(F.lit("brand/"), "p_brand")).alias("broader")).distinct()
+    store.add_concepts(below)
+    return store.concepts().select("uri", "pref_label", "broader", "narrower", F.size("narrower").cast("long").alias("n"))
+
+
 SNAPSHOT = r"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'late from news' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 3),
 w AS (SELECT doc_id, list_filter(string_split_regex(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM d), t AS (SELECT doc_id, len(w) AS len, len(list_filter(w, lambda x: x = 'from')) AS a FROM w), f AS (SELECT count(*) AS n, avg(len) AS l, sum((a > 0)::INT) AS da FROM t)
 SELECT doc_id::VARCHAR AS slug, greatest(1e-6, ln((n - da + 0.5) / (da + 0.5))) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * len / l)) AS score, n, l AS avg_len FROM t, f WHERE a > 0"""

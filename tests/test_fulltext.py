@@ -277,3 +277,31 @@ def test_store_as_a_data_source(spark, tmp_path):
     assert sorted(r.source for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c", "d"]
     assert sorted(r.source for r in read("edges").collect()) == ["a", "b", "c", "d"]
     assert feeds.change_feed(spark, s).isStreaming
+
+
+# ranking that skips postings
+
+
+def test_pruned_ranking_is_that_of_all_postings(spark):
+    import uuid
+
+    from marlstone.operators.ranked_index import RankedIndex
+    from marlstone.operators.scratch import shared_folder
+
+    pick = random.Random(6)
+    words = [f"w{i}" for i in range(40)]
+    pages = [(f"p{i:04}", " ".join(pick.choices(words, [1 / (k + 1) for k in range(40)], k=pick.choice([3, 10, 60, 300])))) for i in range(800)]
+    df = spark.createDataFrame(pages, PAGE)
+    index = fulltext.positional_postings(df, Analyzer())
+    lengths = [len(t.split()) for _, t in pages]
+    figures = spark.createDataFrame([(len(pages), sum(lengths) / len(pages))], "n long, avg_len double")
+    ranked = RankedIndex(spark, f"{shared_folder(spark)}/ranked-{uuid.uuid4().hex}").build(index, figures)
+    less = 0
+    for terms in (["w20"], ["w5", "w9"], ["w0", "w39"], ["w30", "w31", "w32"], ["w7", "nothing"], []):
+        found = ranked.top(terms, 5)
+        want = [(r.slug, r.score) for r in bm25(df, terms).orderBy(F.desc("score"), "slug").limit(5).collect()]
+        got = [(r.slug, r.score) for r in found.pages.collect()]
+        assert [s for s, _ in got] == [s for s, _ in want] and [x for _, x in got] == pytest.approx([x for _, x in want])
+        less += found.read < found.total
+    found = ranked.top(["w8"], 3)
+    assert less >= 2 and found.read < 0.5 * found.total, (found.read, found.total)
