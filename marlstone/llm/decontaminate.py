@@ -131,7 +131,7 @@ class ItemIndex:
 
 
 def item_indexes(benchmark: DataFrame, width: int) -> list:
-    """Broadcast indexes of bounded blocks of items; items without words are in none."""
+    """Broadcast indexes of bounded blocks of items; items without words are in none, nor are null texts. Null and repeated item_ids stay; no items give no blocks."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     sized = items.select(F.octet_length(utf8(F.col("text"))).alias("b"), F.xxhash64("text", "item_id").alias("h"))

@@ -46,7 +46,8 @@ def source_targets(sources: DataFrame, scratch: Scratch, weights: list[int], cap
     """Adds ``target`` to (source, source_size): the total shared by weight.
 
     No target exceeds ``cap`` times its source's size; what is above is shared anew by
-    weight among the others until none is above. Each pass is one aggregation of sums.
+    weight among the others until none is above. Each pass is one aggregation of sums. A null source comes last; sources
+    of size 0 get no target above 0; repeated sources aren't expected, as these are sums by source.
     """
     ranked = _ranked(sources, scratch)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
@@ -91,7 +92,7 @@ def mixing_plan(docs: DataFrame, weights: list[int] | None = None, cap: float =
 
 
 def source_rates(docs: DataFrame, weights: list[int] | None = None, cap: float = 3.0) -> DataFrame:
-    """(source, rate, seed) of each source: all that ``mix`` needs to draw."""
+    """(source, rate, seed) of each source: all that ``mix`` needs to draw. Null sources are one source; null texts have no words; no rows give no sources."""
     return mixing_plan(docs, weights, cap).groupBy("source").agg(F.first("rate").alias("rate"), F.first("seed").alias("seed"))
 
 

@@ -18,7 +18,10 @@ from .common import Scratch
 
 
 def boilerplate_lines(pages: DataFrame, host: Column, text: Column, ratio: float, min_pages: int) -> DataFrame:
-    """(host_key, line, pages_with, host_pages) of the lines to drop; empty lines never are."""
+    """(host_key, line, pages_with, host_pages) of the lines to drop; empty lines never are.
+
+    Null hosts are one host, null texts have no lines, a line counts once a page however often it stands there, and no pages give no rows.
+    """
     keyed = pages.select(host.alias("host_key"), F.array_distinct(F.split(F.coalesce(text, F.lit("")), "\n", -1)).alias("lines"))
     totals = keyed.groupBy("host_key").agg(F.count(F.lit(1)).alias("host_pages"))
     lines = keyed.select("host_key", F.explode("lines").alias("line")).filter("line <> ''")
@@ -28,7 +31,7 @@ def boilerplate_lines(pages: DataFrame, host: Column, text: Column, ratio: float
 
 
 def drop_boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = 0.02, min_pages: int = 5) -> DataFrame:
-    """The columns of ``pages`` plus clean_text, n_lines, n_dropped.
+    """The columns of ``pages`` plus clean_text, n_lines, n_dropped; columns of ``pages`` with these names give way.
 
     Lines are split at ``\\n`` and compared exactly; a line counts once a page.
     Lines on fewer than ``min_pages`` pages of a host stay, however small the host. Null texts

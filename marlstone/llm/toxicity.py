@@ -244,7 +244,7 @@ def _best_limit(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def chain_probabilities(model: ChainModel, docs: DataFrame, text: str = "text") -> F.Column:
-    """array<double> Column of the categories' probabilities for ``docs``."""
+    """array<double> Column of the categories' probabilities for ``docs``; null texts count as empty, and equal texts get equal probabilities."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("array<double>")

@@ -83,7 +83,7 @@ def host_reputation(hosts: DataFrame, outcomes: DataFrame, z: float = 1.64, suff
     """(host, n, good, mean, lower, upper) for every distinct host of ``hosts``.
 
     Domain and suffix leave a host's user and port out; the host itself keeps them. ``outcomes`` has host and good (0 or 1; null: unlabelled, not counted). Hosts without outcomes
-    keep their domain's prior; with no outcomes at all the mean is one half.
+    keep their domain's prior; with no outcomes at all the mean is one half. A null host is passed over, repeated ones count once, the empty host is a host; no hosts give no rows.
     """
     scratch = Scratch(hosts.sparkSession, "hosts")
     counted = outcomes.filter("good is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"))
