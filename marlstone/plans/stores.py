@@ -157,12 +157,13 @@ def runtime_settings(spark, d):
     return S.settings(layer("r_regionkey % 3 = 0", "o"), layer("r_regionkey % 3 <= 1", "e"), layer("true", "d"))
 
 
-@HERE.add(
-    """WITH c AS (SELECT user_id AS service, event_id AS seq, epoch_ms(ts) AS ms, value >= 20 AS ok FROM events), r AS (SELECT *, coalesce(sum(ok::INT) OVER (PARTITION BY service ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM c),
+BREAKERS = """WITH c AS (SELECT user_id AS service, event_id AS seq, epoch_ms(ts) AS ms, value >= 20 AS ok FROM events), r AS (SELECT *, coalesce(sum(ok::INT) OVER (PARTITION BY service ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM c),
 f AS (SELECT *, coalesce(sum((NOT ok)::INT) OVER (PARTITION BY service, run ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fails FROM r),
 o AS (SELECT *, min(CASE WHEN NOT ok AND fails + 1 >= 2 THEN ms END) OVER (PARTITION BY service, run ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opened FROM f)
 SELECT service, seq, CASE WHEN fails < 2 THEN 'closed' WHEN ms - opened >= 3600000 THEN 'half-open' ELSE 'open' END AS state FROM o"""
-)
+
+
+@HERE.add(BREAKERS)
 def breaker_log(spark, d):
     from marlstone.streaming.feeds import breaker_states
 
@@ -170,6 +171,24 @@ def breaker_log(spark, d):
     return breaker_states(calls, 2, 3_600_000)
 
 
+@HERE.add(BREAKERS)
+def breaker_live(spark, d):
+    """The log's states as a stream tells them, with the service's breaker as state."""
+    from marlstone.streaming.breaker import breaker_stream
+
+    rows, root = table(spark, d, "events"), f"{shared_folder(spark)}/breaker-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(rows.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    calls = stream.select(F.col("user_id").alias("service"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), (F.col("value") >= 20).alias("ok"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        breaker_stream(calls, 2, 3_600_000).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.parquet(f"{root}/out").filter("seq IS NOT NULL").select(F.col("service").cast("long").alias("service"), "seq", "state")
+
+
 @HERE.add("WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents), t AS (SELECT doc_id, len(w)::DOUBLE AS len, len(list_filter(w, lambda x: x = 'from'))::DOUBLE AS a, len(list_filter(w, lambda x: x = 'with'))::DOUBLE AS b FROM d WHERE doc_id % 7 <> 3), f AS (SELECT count(*) AS n, avg(len) AS l, sum((a > 0)::INT) AS da, sum((b > 0)::INT) AS db FROM t), s AS (SELECT doc_id, greatest(1e-6, ln((n - da + 0.5) / (da + 0.5))) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * len / l)) + greatest(1e-6, ln((n - db + 0.5) / (db + 0.5))) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * len / l)) AS score FROM t, f WHERE a > 0 AND b > 0), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, 'd/' || doc_id) - 1 AS rank FROM s) SELECT 'd/' || doc_id AS slug, 1 / (60 + rank) AS score, 'keyword' AS source FROM r WHERE rank < 20", floats=("score",))
 def store_search(spark, d):
     """A store that was written in three batches (all pages with other texts, all texts, a seventh deleted), searched through its kept index."""
