@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.functions.analysis import Analyzer
+from marlstone.functions.text import search_flags
 from marlstone.operators import fulltext
 from marlstone.operators.commits import Commits, State
 from marlstone.operators.retrieval import fused_search, ranked, vector_search
@@ -80,6 +81,7 @@ class Store:
     def __init__(self, spark: SparkSession, path: str, fmt: str = "parquet", analyzer: Analyzer | None = None, compact_every: int = 0):
         self.spark, self.path, self.fmt = spark, path.rstrip("/"), fmt
         self.analyzer, self.compact_every = analyzer or Analyzer.of_flags(), compact_every
+        self.expressions = search_flags()["FTS_WEBSEARCH_TO_TSQUERY"]
         self.commits = Commits(spark, path)
         self._held: list[DataFrame] = []
 
@@ -238,8 +240,9 @@ class Store:
         """(slug, excerpt, score, source) of pages by full text, and by the vector ``near`` where one is given; of those with any of the tags and updated since then.
 
         ``query`` is an expression (words, phrases in quotes, OR, ``-`` to exclude, ``*`` for a prefix) or a list of words, all of
-        which are wanted. Texts are read only for the excerpts of what was found.
+        which are wanted; with the flag of search expressions off, a string is such a list too. Texts are read only for the excerpts of what was found.
         """
+        query = query.split() if isinstance(query, str) and not self.expressions else query
         state = self.commits.state()
         asked = query if isinstance(query, str) else " ".join('"' + t.replace('"', " ") + '"' for t in query)
         queries = self.spark.createDataFrame([(0, asked)], "qid int, query string")

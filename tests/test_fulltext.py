@@ -164,6 +164,13 @@ def test_search_and_excerpts_of_a_store(spark, tmp_path):
     assert {r.slug for r in s.search_all(spark.createDataFrame([(1, "fo*"), (2, "fine")], "qid int, query string")).collect()} == {"a", "b", "c"}
 
 
+def test_without_expressions_a_string_is_a_list_of_words(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("FTS_WEBSEARCH_TO_TSQUERY", "off")
+    s = store.open_store(spark, str(tmp_path / "s"))
+    s.upsert_pages(spark.createDataFrame([("a", "red or fox"), ("b", "red")], PAGE))
+    assert [r.slug for r in s.search("red OR fox").collect()] == ["a"]
+
+
 def test_index_is_made_again_for_another_analyzer(spark, tmp_path):
     path = str(tmp_path / "s")
     s = store.open_store(spark, path, analyzer=Analyzer(fold=False, pairs=False))
