@@ -41,9 +41,9 @@ class RankedIndex:
         figures.select(F.col("n").cast("long").alias("n"), F.coalesce("avg_len", F.lit(0.0)).alias("avg_len")).coalesce(1).write.parquet(f"{self.path}/figures")
         row = self._read("figures").first()
         share = F.col("tf") / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("doc_len") / F.lit(max(row.avg_len, 1e-9))))
-        leveled = index.select("slug", "term", "tf", "doc_len", share.alias("share"), F.floor(share * LEVELS).cast("int").alias("level"))
+        leveled = index.select("slug", "term", "tf", "doc_len", F.floor(share * LEVELS).cast("int").alias("level"))
         leveled.repartitionByRange("term", F.desc("level"), "slug").sortWithinPartitions("term", F.desc("level"), "slug").write.parquet(f"{self.path}/postings")
-        sums = self._read("postings").groupBy("term", "level").agg(F.count(F.lit(1)).alias("postings"), F.max("share").alias("most"))
+        sums = self._read("postings").groupBy("term", "level").agg(F.count(F.lit(1)).alias("postings"), F.max(share).alias("most"))
         sums.repartitionByRange("term").sortWithinPartitions("term", F.desc("level")).write.parquet(f"{self.path}/levels")
         return self
 

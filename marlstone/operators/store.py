@@ -5,7 +5,7 @@ writes only. ``seq`` is (batch, row), where the batch is the commit's number: a
 combines before the shuffle, so a key that is written very often is no burden. A write that a stream replays is
 told by the stream's name and micro-batch, and passed over.
 
-Positional postings are kept with each write of pages, so a search reads no texts but those it shows. ``compact`` writes every table's
+Positional postings are kept with each write of pages, made where a page is read and so without a shuffle; a search reads no texts but those it shows. ``compact`` writes every table's
 present state, sorted by key (postings by term), as a snapshot with the corpus figures; readers take that and the commits after it.
 """
 
@@ -121,8 +121,8 @@ class Store:
             counted = stamped.withColumn("doc_len", F.size(self.analyzer.terms(F.coalesce("content", F.lit("")))))
             folders["pages"] = self._save("pages", counted)
             written = self._load("pages", [(folders["pages"], 0)])
-            last = written.groupBy("slug").agg(F.max_by(F.struct("row", "content", "deleted"), "row").alias("p")).select("slug", "p.*")
-            folders["postings"] = self._save("postings", self._postings(last.filter(~F.coalesce("deleted", F.lit(False)))))
+            # of a page that is written twice here readers take the last row's postings, so the texts needn't be grouped
+            folders["postings"] = self._save("postings", self._postings(written.filter(~F.coalesce("deleted", F.lit(False)))))
             more = {"analyzer": self.analyzer.version}
         number = self.commits.add(folders, {txn[0]: txn[1]} if txn else {}, more)
         if self.compact_every and len(self.commits.state().commits) > self.compact_every:
@@ -130,9 +130,8 @@ class Store:
         return number
 
     def _postings(self, pages: DataFrame) -> DataFrame:
-        """Postings of pages (slug, row, content), sorted by term."""
-        terms = fulltext.positional_postings(pages, self.analyzer, more=["row"])
-        return terms.repartitionByRange("term", "slug").sortWithinPartitions("term", "slug")
+        """Postings of pages (slug, row, content) in runs that are sorted by term, so that a filter on the term skips most of a file's pages."""
+        return fulltext.positional_postings(pages, self.analyzer, more=["row"])
 
     # tables
 
@@ -156,6 +155,20 @@ class Store:
     def upsert_pages(self, rows: DataFrame, txn: tuple[str, int] | None = None) -> int | None:
         return self.write({"pages": rows}, txn)
 
+    def _rewritten(self, state: State, tables: list[tuple[str, int]]) -> DataFrame:
+        """(slug, last, gone) of those pages in folders of the table that are there more than once or deleted: the last write's seq, and whether it deletes."""
+        log = self._load("pages", tables).select("slug", "batch", "row", "deleted")
+        last = log.groupBy("slug").agg(F.max(F.struct("batch", "row", F.coalesce("deleted", F.lit(False)).alias("gone"))).alias("v"), F.count(F.lit(1)).alias("n"))
+        return last.filter((F.col("n") > 1) | F.col("v.gone")).select("slug", F.struct("v.batch", "v.row").alias("last"), "v.gone")
+
+    def _live(self, rows: DataFrame, rewritten: DataFrame) -> DataFrame:
+        """Of rows (slug, batch, row, ...) those of each page's last write. Only pages that were written again are looked up, so the others aren't moved."""
+        few, some = _small(rewritten)
+        if not some:
+            return rows
+        met = rows.join(few, "slug", "left")
+        return met.filter(F.col("last").isNull() | (~F.col("gone") & (F.col("last") == F.struct("batch", "row")))).drop("last", "gone")
+
     def _changed(self, state: State) -> DataFrame:
         """(slug, seq, doc_len, deleted) of the last write of the pages that were written after the snapshot."""
         log = self._load("pages", state.added("pages")).select("slug", "batch", "row", "deleted", "doc_len")
@@ -180,13 +193,16 @@ class Store:
         """(slug, term, tf, doc_len, positions) of the present pages: the snapshot's postings of pages that weren't written since, and the last writes' of those that were. A filter on the term reaches both scans."""
         state = state or self.commits.state()
         columns = ["slug", "term", "tf", "doc_len", "positions"]
-        held = [f for f in state.folders("postings") if f not in state.added("postings")]
+        added = state.added("postings")
+        held = [f for f in state.folders("postings") if f not in added]
         old = self._load("postings", held).select(*columns)
         if not state.commits:
             return old
-        changed = self._changed(state)
-        new = self._load("postings", state.added("postings")).withColumn("seq", F.struct("batch", "row")).join(changed.filter("NOT deleted").select("slug", "seq"), ["slug", "seq"]).select(*columns)
-        return old.join(changed.select("slug"), "slug", "left_anti").unionByName(new)
+        new = self._live(self._load("postings", added), self._rewritten(state, state.added("pages"))).select(*columns)
+        if not held:
+            return new
+        written, some = _small(self._changed(state).select("slug"))
+        return (old.join(written, "slug", "left_anti") if some else old).unionByName(new)
 
     def delete_page(self, slug: str) -> None:
         """Marks the page and its outgoing edges as deleted; again is harmless."""
@@ -276,7 +292,7 @@ class Store:
         Commits made meanwhile stay after the snapshot, so writers needn't wait. Postings are moved on as they are, unless texts are to be indexed again.
         """
         state = self.commits.state()
-        views = {"pages": latest_pages(self.log("pages", state)), "edges": self.edges(state), "facts": self.facts(state), "page_tags": self.page_tags(state), "vectors": self.vectors(state), "concepts": own_concepts(self.log("concepts", state)), "schemes": self.schemes(state), "settings": latest_settings(self.log("settings", state))}
+        views = {"pages": self._live(self.raw("pages", state), self._rewritten(state, state.folders("pages"))).drop("batch", "row", "deleted"), "edges": self.edges(state), "facts": self.facts(state), "page_tags": self.page_tags(state), "vectors": self.vectors(state), "concepts": own_concepts(self.log("concepts", state)), "schemes": self.schemes(state), "settings": latest_settings(self.log("settings", state))}
         folders = {name: self._save(name, rows.repartitionByRange(*SORTED[name]).sortWithinPartitions(*SORTED[name])) for name, rows in views.items() if state.folders(name)}
         figures = {"pages": 0, "words": 0}
         if "pages" in folders:
@@ -388,6 +404,12 @@ def settings(overrides: DataFrame, environment: DataFrame, defaults: DataFrame)
     return best.select("key", "b.value", "b.source")
 
 
+def _small(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The rows, to be broadcast if they are at most BROADCAST_ROWS, and their number up to that."""
+    n = rows.limit(fulltext.BROADCAST_ROWS + 1).count()
+    return (F.broadcast(rows) if n <= fulltext.BROADCAST_ROWS else rows), n
+
+
 def latest_pages(log: DataFrame) -> DataFrame:
     """Each slug's last write; deleted ones are gone."""
     values = [c for c in log.columns if c not in ("slug", "seq")]

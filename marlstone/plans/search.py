@@ -81,9 +81,9 @@ def snippet_windows(spark, d):
     """Where the excerpt of each page that fits an expression begins, and what its window is worth, from positions alone."""
     store, asked = document_store(spark, d), expressions(spark, d)
     state = store.commits.state()
-    hits = fulltext.atom_hits(store.index(state), fulltext.parsed_atoms(asked, store.analyzer))
-    fits = fulltext.search(store.index(state), store.figures(state), asked, store.analyzer, hits=hits).select("qid", "slug")
-    return fulltext.best_windows(hits.join(fits, ["qid", "slug"], "left_semi")).select("qid", "slug", F.col("window_score"), F.col("first").cast("long").alias("first"))
+    atoms = fulltext.parsed_atoms(asked, store.analyzer)
+    hits = fulltext.fitting(fulltext.atom_hits(store.index(state), atoms), atoms)
+    return fulltext.best_windows(hits, places=False).select("qid", "slug", F.col("window_score"), F.col("first").cast("long").alias("first"))
 
 
 #: Ten characters that are cut into pairs, one for each digit.

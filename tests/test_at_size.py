@@ -4,6 +4,8 @@ import hashlib
 import time
 
 from marlstone.functions import codecs
+from marlstone.functions.analysis import Analyzer
+from marlstone.operators import fulltext
 
 
 def test_addresses_of_many_keys_at_once():
@@ -18,3 +20,24 @@ def test_addresses_of_many_keys_at_once():
     for address, error in ((coded[0][3:], "missing prefix"), (coded[0] + "11", "wrong length"), ("mm:" + "1" * 40, "wrong length"), ("mm:10", "not in base 58: '0'"), (None, "missing prefix")):
         assert codecs._read_addresses([address]) == [(None, None, None, error)]
     assert [codecs.base58_decode(c[3:])[1:21] for c in coded[:20]] == [b[2] for b in back[:20]]
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_made_where_pages_are_read(spark):
+    pages = spark.createDataFrame([("a", "one two one"), ("b", "two"), ("c", None), ("d", "")], "slug string, content string")
+    made = fulltext.positional_postings(pages, Analyzer())
+    assert "Exchange" not in plan(made)
+    assert sorted(tuple(r) for r in made.collect()) == [("a", "one", 2, 3, [0, 2]), ("a", "two", 1, 3, [1]), ("b", "two", 1, 1, [0])]
+
+
+def test_expressions_are_judged_where_postings_are_dealt_by_page(spark):
+    """Matches of each expression and page aren't moved again."""
+    a = Analyzer()
+    index = fulltext.positional_postings(spark.createDataFrame([("a", "x y z"), ("b", "y x"), ("c", "x y w")], "slug string, content string"), a)
+    asked = spark.createDataFrame([(0, '"x y"'), (1, "x -w"), (2, '"x y"'), (3, "y OR q z*")], "qid int, query string")
+    found = fulltext.search(index, spark.createDataFrame([(3, 8 / 3)], "n long, avg_len double"), asked, a).drop("rank")
+    assert not [line for line in plan(found).splitlines() if "hashpartitioning(qid" in line and "slug" in line]
+    assert sorted((r.qid, r.slug) for r in found.collect()) == [(0, "a"), (0, "c"), (1, "a"), (1, "b"), (2, "a"), (2, "c"), (3, "a")]
