@@ -3,9 +3,11 @@
 import hashlib
 import time
 
-from marlstone.functions import codecs
+from pyspark.sql import functions as F
+
+from marlstone.functions import codecs, text
 from marlstone.functions.analysis import Analyzer
-from marlstone.operators import fulltext
+from marlstone.operators import fulltext, retrieval, vector_index
 
 
 def test_addresses_of_many_keys_at_once():
@@ -41,3 +43,33 @@ def test_expressions_are_judged_where_postings_are_dealt_by_page(spark):
     found = fulltext.search(index, spark.createDataFrame([(3, 8 / 3)], "n long, avg_len double"), asked, a).drop("rank")
     assert not [line for line in plan(found).splitlines() if "hashpartitioning(qid" in line and "slug" in line]
     assert sorted((r.qid, r.slug) for r in found.collect()) == [(0, "a"), (0, "c"), (1, "a"), (1, "b"), (2, "a"), (2, "c"), (3, "a")]
+
+
+def test_slugs_of_latin_letters_and_scripts_meet_python_little(spark):
+    """Only texts with a character that stands for several go to Python; scripts are counted in one pass."""
+    rows = [("Crème brûlée & Ｆｕｌｌ ①",), ("ﬁne ½ cup",), ("plain",), (None,)]
+    df = spark.createDataFrame(rows, "t string")
+    assert [r.s for r in df.select(text.slugify_all(F.array("t"))[0].alias("s")).collect()] == ["creme-brulee-and-full-1", "fine-1-2-cup", "plain", None]
+    assert df.filter(text._stands_for_more(F.col("t"))).count() == 1
+    assert "regexp_count" not in plan(df.select(text.detect_script(F.col("t"))))
+    many = spark.createDataFrame([("aé東🚀я!⁉",)], "t string").select(text._script_counts(F.col("t")).alias("c")).first().c
+    assert many == [2, 1, 2, 1, 0, 0, 0, 0, 1]
+
+
+def test_terms_of_texts_are_cut_once(spark):
+    """Postings need no shuffle, and the figures come from them."""
+    pages = spark.createDataFrame([("a", "one two one"), ("b", None)], "slug string, content string")
+    made = retrieval.postings(pages)
+    assert "Exchange" not in plan(made) and made.columns == ["slug", "term", "tf", "doc_len"]
+    assert tuple(retrieval.figures_of_postings(made, 2).first()) == tuple(retrieval.corpus_figures(pages).first()) == (2, 1.5)
+
+
+def test_queries_go_out_to_many_cells_in_small_batches(spark, tmp_path, monkeypatch):
+    """All cells for each query, in batches of one query."""
+    monkeypatch.setattr(vector_index, "PROBED_BYTES", 1)
+    rows = [(i, [float((i * k) % 7 - 3) for k in (1, 2, 3)] + [1.0]) for i in range(60)]
+    every = spark.createDataFrame(rows, "slug long, embedding array<double>")
+    asked = every.filter("slug < 9").withColumnRenamed("slug", "qid")
+    found = vector_index.VectorIndex(spark, str(tmp_path / "v")).build(every, cells=5).search(asked, 3, 5)
+    exact = vector_index.search_in_blocks(every, asked, 3)
+    assert sorted((r.qid, r.slug) for r in found.collect()) == sorted((r.qid, r.slug) for r in exact.collect())
