@@ -26,6 +26,8 @@ from marlstone.functions.vectors import cosine
 BLOCK = 1024
 SAMPLE, SAMPLE_BYTES = 16_384, 64 << 20
 MOST_CELLS = 1024
+#: Queries go out to their cells in batches of about so much.
+PROBED_BYTES = 4 << 20
 PACKED = "key long, part long, ids array<long>, cells binary"
 
 
@@ -197,10 +199,12 @@ class VectorIndex:
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    q = unit(batch.column("embedding").flatten().to_numpy().reshape(-1, dims))
-                    near = np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, :probes]
-                    again = pa.array(np.repeat(np.arange(len(q)), probes))
-                    yield pa.RecordBatch.from_arrays([batch.column("id").take(again), pa.array(near.ravel().astype(np.int64)), batch.column("embedding").take(again)], names=["id", "key", "embedding"])
+                    step = max(1, PROBED_BYTES // (8 * dims * probes))  # a query goes out once for each of its cells
+                    for some in (batch.slice(at, step) for at in range(0, batch.num_rows, step)):
+                        q = unit(some.column("embedding").flatten().to_numpy().reshape(-1, dims))
+                        near = np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, :probes]
+                        again = pa.array(np.repeat(np.arange(len(q)), probes))
+                        yield pa.RecordBatch.from_arrays([some.column("id").take(again), pa.array(near.ravel().astype(np.int64)), some.column("embedding").take(again)], names=["id", "key", "embedding"])
 
         spread = queries.mapInArrow(probe, "id long, key long, embedding array<double>").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(16)))
         theirs = packed(spread, dims).select("key", F.col("ids").alias("qids"), F.col("cells").alias("asked"))
