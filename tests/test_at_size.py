@@ -45,6 +45,24 @@ def test_expressions_are_judged_where_postings_are_dealt_by_page(spark):
     assert sorted((r.qid, r.slug) for r in found.collect()) == [(0, "a"), (0, "c"), (1, "a"), (1, "b"), (2, "a"), (2, "c"), (3, "a")]
 
 
+def test_asked_postings_move_as_a_row_of_each_page(spark):
+    """A row for each posting took four times the room; runs end anywhere, so a page may become two rows."""
+    texts = [("a", "x y x z"), ("b", "y y"), ("c", "z x")]
+    index = fulltext.positional_postings(spark.createDataFrame(texts, "slug string, content string").coalesce(1), Analyzer())
+    asked = spark.createDataFrame([("x", 0), ("y", 1), ("z", 2)], "term string, ask long")
+    numbered = index.join(F.broadcast(asked), "term")
+    assert sorted(r.slug for r in fulltext.packed_by_page(numbered).collect()) == ["a", "b", "c"]
+    split = fulltext.packed_by_page(numbered.repartitionByRange(3, "term")).collect()
+    assert len(split) > 3
+    assert sorted((r.slug, r.doc_len, a, r.places[e - n : e]) for r in split for a, n, e in zip(r.asks, r.counts, r.ends, strict=True)) == sorted((r.slug, r.doc_len, r.ask, r.positions) for r in numbered.collect())
+    queries = spark.createDataFrame([(0, '"x y"'), (1, "z*")], "qid int, query string")
+    hits = fulltext.atom_hits(index, fulltext.parsed_atoms(queries, Analyzer()))
+    lines = plan(hits).splitlines()
+    dealt = [i for i, line in enumerate(lines) if "Exchange hashpartitioning(slug" in line]
+    assert dealt and all("MapInArrow" in lines[i + 1] for i in dealt)
+    assert sorted((r.qid, r.slug, r.starts) for r in hits.collect()) == [(0, "a", [0]), (1, "a", [3]), (1, "c", [0])]
+
+
 def test_slugs_of_latin_letters_and_scripts_meet_python_little(spark):
     """Only texts with a character that stands for several go to Python; scripts are counted in one pass."""
     rows = [("Crème brûlée & Ｆｕｌｌ ①",), ("ﬁne ½ cup",), ("plain",), (None,)]
