@@ -6,7 +6,7 @@ combines before the shuffle, so a key that is written very often is no burden. A
 told by the stream's name and micro-batch, and passed over.
 
 Positional postings are kept with each write of pages, made where a page is read and so without a shuffle; a search reads no texts but those it shows. ``compact`` writes every table's
-present state, sorted by key (postings by term), as a snapshot with the corpus figures; readers take that and the commits after it.
+present state, sorted by key (postings by term in runs, as a write's are, so that they needn't be moved), as a snapshot with the corpus figures; readers take that and the commits after it.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ SCHEMAS = {
 }
 
 #: What each table's snapshot is sorted by.
-SORTED = {"pages": ["slug"], "edges": ["source", "target", "type"], "facts": ["subject", "id"], "page_tags": ["tag", "page"], "vectors": ["slug"], "concepts": ["uri"], "schemes": ["uri"], "settings": ["key"], "postings": ["term", "slug"]}
+SORTED = {"pages": ["slug"], "edges": ["source", "target", "type"], "facts": ["subject", "id"], "page_tags": ["tag", "page"], "vectors": ["slug"], "concepts": ["uri"], "schemes": ["uri"], "settings": ["key"]}
 
 #: Names of stores that need a package of their own.
 ELSEWHERE = ("qdrant", "meilisearch", "postgres", "lancedb", "zapdb", "replicate", "vfs")
@@ -289,7 +289,7 @@ class Store:
     def compact(self, index_again: bool = False) -> int:
         """Writes each table's present state, sorted by key, as a snapshot; returns the number of the last commit in it.
 
-        Commits made meanwhile stay after the snapshot, so writers needn't wait. Postings are moved on as they are, unless texts are to be indexed again.
+        Commits made meanwhile stay after the snapshot, so writers needn't wait. Postings are moved on as they are, in sorted runs that join small writes', unless texts are to be indexed again.
         """
         state = self.commits.state()
         views = {"pages": self._live(self.raw("pages", state), self._rewritten(state, state.folders("pages"))).drop("batch", "row", "deleted"), "edges": self.edges(state), "facts": self.facts(state), "page_tags": self.page_tags(state), "vectors": self.vectors(state), "concepts": own_concepts(self.log("concepts", state)), "schemes": self.schemes(state), "settings": latest_settings(self.log("settings", state))}
@@ -303,7 +303,7 @@ class Store:
                 pages = self._load("pages", [(folders["pages"], 0)])
                 folders["postings"] = self._save("postings", self._postings(pages))
             else:
-                folders["postings"] = self._save("postings", self.index(state).withColumn("row", F.lit(0)).repartitionByRange("term", "slug").sortWithinPartitions("term", "slug"))
+                folders["postings"] = self._save("postings", fulltext.sorted_runs(self.index(state), [("term", "ascending"), ("slug", "ascending")]).withColumn("row", F.lit(0)))
             row = pages.agg(F.count(F.lit(1)).alias("pages"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("words")).first()
             figures = {"pages": row.pages, "words": row.words}
         streams = {name for c in [state.snapshot, *state.commits] for name in c.get("streams", {})}
