@@ -1,22 +1,24 @@
 """Ranking that skips postings: the first pages of a conjunction without reading what can't be among them.
 
-Postings are kept by term and *level*, the posting's share of the most that its term can add to a score, in steps of 1 / ``LEVELS``. A small
-table has each level's number of postings and greatest share, which bounds what one of them adds. The corpus figures are kept with them.
+Postings are kept by term and *level*, the posting's share of the most that its term can add to a score, in steps of 1 / ``LEVELS``. A smaller
+table has each level's number of postings and greatest share in each run, which bounds what one of them adds. The corpus figures are kept with them.
 
 A search first reads the best levels of its terms, doubling them until they hold enough pages with all terms: the last of the first ``top_k`` gives a score to
 reach. Then it reads those levels only whose bound, with the best of all other terms, reaches that score. The result is that of
-reading all of the terms' postings. Levels are a column that files are sorted by, so what is skipped isn't read.
+reading all of the terms' postings. Files are written where the index is read, in runs sorted by term and level, so what is skipped isn't read and no posting is moved.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators.fulltext import BM25_B, BM25_K1, weight
+from marlstone.operators.fulltext import BM25_B, BM25_K1, in_runs, sorted_runs, weight
 
 LEVELS = 32
 #: So many times ``top_k`` postings of each term are read first.
@@ -32,6 +34,18 @@ class Found:
     total: int
 
 
+def _summed_runs(shares: DataFrame) -> DataFrame:
+    """(term, level, postings, most) of (term, level, share) by run; a search adds up the runs' rows of its own terms."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in in_runs(batches):
+            sums = pa.Table.from_batches([run]).group_by(["term", "level"]).aggregate([("share", "count"), ("share", "max")])
+            sums = sums.select(["term", "level", "share_count", "share_max"]).rename_columns(["term", "level", "postings", "most"])
+            yield from sums.sort_by([("term", "ascending"), ("level", "descending")]).combine_chunks().to_batches()
+
+    return shares.mapInArrow(summed, "term string, level int, postings long, most double")
+
+
 class RankedIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -42,9 +56,8 @@ class RankedIndex:
         row = self._read("figures").first()
         share = F.col("tf") / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("doc_len") / F.lit(max(row.avg_len, 1e-9))))
         leveled = index.select("slug", "term", "tf", "doc_len", F.floor(share * LEVELS).cast("int").alias("level"))
-        leveled.repartitionByRange("term", F.desc("level"), "slug").sortWithinPartitions("term", F.desc("level"), "slug").write.parquet(f"{self.path}/postings")
-        sums = self._read("postings").groupBy("term", "level").agg(F.count(F.lit(1)).alias("postings"), F.max(share).alias("most"))
-        sums.repartitionByRange("term").sortWithinPartitions("term", F.desc("level")).write.parquet(f"{self.path}/levels")
+        sorted_runs(leveled, [("term", "ascending"), ("level", "descending"), ("slug", "ascending")]).write.parquet(f"{self.path}/postings")
+        _summed_runs(self._read("postings").select("term", "level", share.alias("share"))).write.parquet(f"{self.path}/levels")
         return self
 
     def _read(self, name: str) -> DataFrame:
@@ -66,7 +79,8 @@ class RankedIndex:
         """The first ``top_k`` pages that have all terms, by falling score, then slug. Terms are as the index has them; repeated ones count once, and none finds nothing."""
         terms, row = sorted(set(terms)), self._read("figures").first()
         levels: dict[str, list] = {t: [] for t in terms}
-        for r in self._read("levels").filter(F.col("term").isin(terms)).collect():  # at most LEVELS for each term
+        parts = self._read("levels").filter(F.col("term").isin(terms))
+        for r in parts.groupBy("term", "level").agg(F.sum("postings").alias("postings"), F.max("most").alias("most")).collect():  # at most LEVELS for each term
             levels[r.term].append(r)
         total = sum(r.postings for rows in levels.values() for r in rows)
         if not terms or not all(levels.values()):

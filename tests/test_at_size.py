@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import codecs, text
 from marlstone.functions.analysis import Analyzer
-from marlstone.operators import fulltext, retrieval, store, vector_index
+from marlstone.operators import fulltext, ranked_index, retrieval, store, vector_index
 
 
 def test_addresses_of_many_keys_at_once():
@@ -84,6 +84,17 @@ def test_compaction_moves_no_postings(spark, tmp_path):
     assert s.index().count() == rows
 
 
+def test_ranked_postings_are_not_moved(spark, tmp_path):
+    pages = spark.range(3000).select(F.col("id").cast("string").alias("slug"), F.concat_ws(" ", F.lit("for"), F.sha2(F.col("id").cast("string"), 256), F.sha2((-F.col("id")).cast("string"), 256)).alias("content"))
+    index = fulltext.positional_postings(pages, Analyzer(), positions=False)
+    figures = spark.createDataFrame([(3000, 3.0)], "n long, avg_len double")
+    before = bytes_moved(spark)
+    made = ranked_index.RankedIndex(spark, str(tmp_path / "r")).build(index, figures)
+    assert bytes_moved(spark) - before < 10_000
+    found = made.top(["for"], 4)
+    assert [r.slug for r in found.pages.collect()] == ["0", "1", "10", "100"] and found.total == 3000
+
+
 def test_slugs_of_latin_letters_and_scripts_meet_python_little(spark):
     """Only texts with a character that stands for several go to Python; scripts are counted in one pass."""
     rows = [("Crème brûlée & Ｆｕｌｌ ①",), ("ﬁne ½ cup",), ("plain",), (None,)]
