@@ -64,6 +64,17 @@ def test_asked_postings_move_as_a_row_of_each_page(spark, monkeypatch):
     assert sorted((r.qid, r.slug, r.starts) for r in hits.collect()) == [(0, "a", [0]), (1, "a", [3]), (1, "c", [0])]
 
 
+def test_windows_are_found_where_packed_pages_are_dealt(spark):
+    """Pages of fitting expressions aren't moved again for their windows."""
+    a = Analyzer()
+    index = fulltext.positional_postings(spark.createDataFrame([("a", "x y z x y"), ("b", "y x")], "slug string, content string"), a)
+    atoms = fulltext.parsed_atoms(spark.createDataFrame([(0, '"x y"'), (1, "y -z")], "qid int, query string"), a)
+    found = fulltext.best_windows(fulltext.fitting(fulltext.atom_hits(index, atoms), atoms), 3, places=False)
+    shown = plan(found)
+    assert "asks" in shown and not [line for line in shown.splitlines() if "hashpartitioning(qid" in line and "slug" in line]
+    assert sorted((r.qid, r.slug, r.first, r.window_score) for r in found.collect()) == [(0, "a", 0, 1000), (1, "b", 0, 1000)]
+
+
 def bytes_moved(spark) -> int:
     """Bytes shuffled in this session so far."""
     context = spark.sparkContext
