@@ -37,6 +37,9 @@ SCHEMAS = {
     "postings": "row long, slug string, term string, tf long, doc_len int, positions array<int>",
 }
 
+#: How files are compressed, where it isn't left to Spark.
+PACKING = {"parquet": {"compression": "zstd"}}
+
 #: What each table's snapshot is sorted by.
 SORTED = {"pages": ["slug"], "edges": ["source", "target", "type"], "facts": ["subject", "id"], "page_tags": ["tag", "page"], "vectors": ["slug"], "concepts": ["uri"], "schemes": ["uri"], "settings": ["key"]}
 
@@ -102,7 +105,7 @@ class Store:
         folder = f"data/{name}/{uuid.uuid4().hex}"
         rows = rows if "row" in rows.columns else rows.withColumn("row", F.monotonically_increasing_id())
         schema = T._parse_datatype_string(SCHEMAS[name])
-        rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).write.format(self.fmt).save(f"{self.path}/{folder}")
+        rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).write.format(self.fmt).options(**PACKING.get(self.fmt, {})).save(f"{self.path}/{folder}")
         return folder
 
     def write(self, tables: dict[str, DataFrame], txn: tuple[str, int] | None = None) -> int | None:

@@ -3,6 +3,8 @@
 import hashlib
 import time
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from marlstone.functions import codecs, text
@@ -82,6 +84,53 @@ def bytes_moved(spark) -> int:
     return sum(e.totalShuffleWrite() for e in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(context._jsc.sc().statusStore().executorList(False)))
 
 
+def test_postings_of_many_prefixes_move_once(spark):
+    """A posting was moved for its term and for each prefix it fits, so what was moved grew with the prefixes that were asked; and a filter by several hundred prefixes was too deep."""
+    word = F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 6)
+    index = fulltext.positional_postings(spark.range(500).select(F.col("id").cast("string").alias("slug"), word.alias("content")), Analyzer())
+    one, digits = "0123456789abcdef", "012345"
+    asked = [*one, *[a + b for a in one for b in one], *[a + b + c for a in one for b in digits for c in digits]]
+    rows = spark.createDataFrame([(x, True, i) for i, x in enumerate(asked)], "term string, prefix boolean, ask long")
+    keyed = fulltext._keyed(index, rows)
+    assert keyed.count() == 500 and {r.n for r in keyed.select(F.size("positions").alias("n")).collect()} == {1}
+    hits = fulltext.atom_hits(index, fulltext.parsed_atoms(spark.createDataFrame([(i, f"{x}*") for i, x in enumerate(asked)], "qid int, query string"), Analyzer()))
+    found = {(r.qid, r.slug) for r in hits.collect()}
+    assert found == {(i, r.slug) for r in index.collect() for i, x in enumerate(asked) if r.term.startswith(x)}
+
+
+def test_terms_that_are_asked_for_in_several_ways(spark, monkeypatch):
+    """As a word, as a prefix and by shorter prefixes; the same of many terms as of those that are pushed to the scan, and where tables of them aren't broadcast."""
+    texts = [("a", "tea team te t teams " + "x " * 70_000 + "team"), ("b", "te tex"), ("c", "team")]
+    index = fulltext.positional_postings(spark.createDataFrame(texts, "slug string, content string"), Analyzer())
+    asked = ["te", "te*", "team", "tea*", "t*", "tea* -team", '"te te*"', "teams*", "teamster*", '"x team"']
+    atoms = fulltext.parsed_atoms(spark.createDataFrame(list(enumerate(asked)), "qid int, query string"), Analyzer())
+    far = 70_005
+    want = [(0, "a", [2]), (0, "b", [0]), (1, "a", [0, 1, 2, 4, far]), (1, "b", [0, 1]), (1, "c", [0]), (2, "a", [1, far]), (2, "c", [0]), (3, "a", [0, 1, 4, far]), (3, "c", [0]), (4, "a", [0, 1, 2, 3, 4, far]), (4, "b", [0, 1]), (4, "c", [0])]
+    want += [(5, "a", [0, 1, 4, far]), (5, "a", [1, far]), (5, "c", [0]), (5, "c", [0]), (6, "b", [0]), (7, "a", [4]), (9, "a", [far - 1])]
+    for name, most in ((None, None), ("PUSHED", 0), ("BROADCAST_ROWS", 0)):
+        if name:
+            monkeypatch.setattr(fulltext, name, most)
+        assert sorted((r.qid, r.slug, r.starts) for r in fulltext.atom_hits(index, atoms).collect()) == sorted(want)
+
+
+def test_windows_of_many_expressions_at_once(monkeypatch):
+    """A few matches at a time against brute force; windows don't reach into another expression's matches."""
+    rng = np.random.default_rng(5)
+    rows = [(q, int(rng.integers(1, 4)), sorted(rng.choice(90, int(rng.integers(1, 25)), replace=False).tolist())) for q in range(40) for _ in range(int(rng.integers(1, 5)))]
+    order = rng.permutation(len(rows))
+    page = pa.table({"slug": ["p"] * len(rows), "qid": [rows[i][0] for i in order], "size": pa.array([rows[i][1] for i in order], pa.int32()), "starts": pa.array([rows[i][2] for i in order], pa.list_(pa.int32()))})
+    for run in (fulltext.RUN, 30):
+        monkeypatch.setattr(fulltext, "RUN", run)
+        made = [r for b in fulltext._page_windows(page, 7, True) for r in b.to_pylist()]
+        assert sorted(r["qid"] for r in made) == list(range(40))
+        for r in made:
+            atoms = [(size, starts) for q, size, starts in rows if q == r["qid"]]
+            near = lambda at: [[p for p in starts if at <= p < at + 7] for _, starts in atoms]  # noqa: E731, B023
+            score, back = max((sum(1000 + len(x) - 1 for x in near(p) if x), -p) for _, starts in atoms for p in starts)
+            places = sorted({p + i for (size, _), x in zip(atoms, near(-back), strict=True) for p in x for i in range(size)})
+            assert (r["window_score"], r["first"], r["places"]) == (score, -back, places)
+
+
 def test_compaction_moves_no_postings(spark, tmp_path):
     """Pages are moved to be sorted by slug; their postings, several times the bytes, are sorted in runs where they are read."""
     s = store.open_store(spark, str(tmp_path / "s"))
