@@ -30,6 +30,14 @@ def l2_normalize(v: Column) -> Column:
     return F.when(length == 0, v).otherwise(F.transform(v, lambda x: x / length))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """A double to so many places, as SQL's engine rounds it: halves go away from zero, and what is rounded to zero keeps its sign."""
+    scaled = x * 10.0**places
+    even = F.rint(scaled)
+    whole = F.when(F.abs(scaled - even) == 0.5, scaled + F.signum(scaled) * 0.5).otherwise(even) / 10.0**places
+    return F.when(F.abs(whole) == float("inf"), x).otherwise(whole)
+
+
 def mrl_truncate(v: Column, dim: int) -> Column:
     """The first ``dim`` numbers, normalised."""
     if dim <= 0:
