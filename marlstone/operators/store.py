@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.functions.analysis import Analyzer
+from marlstone.functions.terms import Cutter
 from marlstone.functions.text import search_flags
 from marlstone.operators import fulltext
 from marlstone.operators.commits import Commits, State
@@ -121,7 +122,7 @@ class Store:
             rows = tables["pages"]
             more = {"updated_at": now(), "content": F.lit(None).cast("string")}
             stamped = rows.withColumns({c: v for c, v in more.items() if c not in rows.columns})
-            counted = stamped.withColumn("doc_len", F.size(self.analyzer.terms(F.coalesce("content", F.lit("")))))
+            counted = stamped.withColumn("doc_len", Cutter(self.analyzer).count(F.col("content")))
             folders["pages"] = self._save("pages", counted)
             written = self._load("pages", [(folders["pages"], 0)])
             # of a page that is written twice here readers take the last row's postings, so the texts needn't be grouped
@@ -301,7 +302,7 @@ class Store:
         if "pages" in folders:
             pages = self._load("pages", [(folders["pages"], 0)])
             if index_again:
-                counted = pages.drop("doc_len", "batch").withColumn("doc_len", F.size(self.analyzer.terms(F.coalesce("content", F.lit("")))))
+                counted = pages.drop("doc_len", "batch").withColumn("doc_len", Cutter(self.analyzer).count(F.col("content")))
                 folders["pages"] = self._save("pages", counted)
                 pages = self._load("pages", [(folders["pages"], 0)])
                 folders["postings"] = self._save("postings", self._postings(pages))

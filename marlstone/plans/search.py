@@ -11,7 +11,7 @@ from marlstone.functions.analysis import Analyzer
 from marlstone.operators import fulltext
 from marlstone.operators import store as S
 from marlstone.operators.ranked_index import RankedIndex
-from marlstone.operators.scratch import shared_folder
+from marlstone.operators.scratch import Tables, shared_folder
 from marlstone.plans.registry import Registry, table
 from marlstone.streaming.feeds import change_feed
 
@@ -113,14 +113,17 @@ def search_scripts(spark, d):
     words = table(spark, d, "documents").filter("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), F.filter(PLAIN.terms(F.col("text")), lambda x: Analyzer(pairs=False, triples=False).plain(x) != x).alias("w")).filter("size(w) > 0")
     accented = words.select("qid", Analyzer().plain(F.element_at("w", 1)).alias("query"))
     others = spark.createDataFrame([(-1, "一二"), (-2, "一二零"), (-3, "七"), (-4, "🔥"), (-5, "🚀🔥")], "qid long, query string")
-    asked, pages = accented.unionByName(others), mixed_scripts(spark, d)
-    out = asked
+    tables = Tables(spark)
+    asked, pages = tables.keep(accented.unionByName(others)), mixed_scripts(spark, d)
+    # many documents ask for the same word, which is searched once
+    once = tables.keep(asked.groupBy("query").agg(F.min("qid").alias("first")))
+    out = once
     for name, analyzer in (("folded", Analyzer()), ("plain", PLAIN)):
         store = fresh_store(spark, analyzer=analyzer)
         store.upsert_pages(pages)
-        counts = store.search_all(asked, None).groupBy("qid").agg(F.count(F.lit(1)).alias(name))
-        out = out.join(counts, "qid", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
-    return out
+        counts = store.search_all(once.select(F.col("first").alias("qid"), "query"), None).groupBy(F.col("qid").alias("first")).agg(F.count(F.lit(1)).alias(name))
+        out = out.join(counts, "first", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    return asked.join(out.drop("first"), "query").select("qid", "query", "folded", "plain")
 
 
 RANKED = r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents), t AS (SELECT doc_id, len(w) AS len, len(list_filter(w, lambda x: x = 'for')) AS a FROM w), f AS (SELECT count(*) AS n, avg(len) AS l, sum((a > 0)::INT) AS da FROM t)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import codecs, text
 from marlstone.functions.analysis import Analyzer
+from marlstone.functions.terms import Cutter
 from marlstone.functions.vectors import rounded
 from marlstone.operators import fulltext, ranked_index, retrieval, store, vector_index
 from marlstone.plans.catalog import ORACLES, QUERIES
@@ -222,3 +223,23 @@ def test_estimated_tokens_of_odd_texts_are_those_of_sql(spark, tmp_path):
     table = pa.table({"doc_id": range(len(texts)), "text": pa.array(texts, pa.string())})
     got, want = against_sql(spark, "token_estimate", tmp_path, ("documents", table))
     assert got == want
+
+
+def test_texts_are_cut_in_batches_as_one_by_one(spark, monkeypatch):
+    """Postings and lengths of written pages against the terms of what is asked, in runs that end anywhere; a text of 4 MB took Spark's expressions more than 10 s."""
+    rng = np.random.default_rng(4)
+    pool = list("ab c東京タ🚀🔥☀ÉéİΣσßﬁ½№❶・\u0301ÅǅǄ한국\x01\x02\n\x00-_Ⅷⅷ𝒜𐐀ёЁḀẞ゙A")
+    texts = ["".join(rng.choice(pool, int(rng.integers(0, 25)))) for _ in range(600)] + ["", None, "ΑΣ ΣΑΣ"]
+    pages = spark.createDataFrame(list(enumerate(texts)), "slug long, content string").coalesce(2)
+    monkeypatch.setattr("marlstone.functions.terms.RUN_BYTES", 97)
+    for a in (Analyzer(), Analyzer(fold=False), Analyzer(pairs=False, triples=False), Analyzer(pairs=False), Analyzer(triples=False)):
+        rows = pages.select("slug", a.terms(F.col("content")).alias("words"), Cutter(a).count(F.col("content")).alias("n")).collect()
+        want = {(r.slug, p): w for r in rows for p, w in enumerate(r.words or [])}
+        made = fulltext.positional_postings(pages, a).collect()
+        assert {(r.slug, p): r.term for r in made for p in r.positions} == want
+        assert [r.n for r in rows] == [len(r.words or []) for r in rows] and {r.slug: r.doc_len for r in made} == {r.slug: r.n for r in rows if r.n}
+    monkeypatch.undo()
+    long = pa.array(["Ærø é 東京 🚀 word " * 200_000])
+    cutter, start = Cutter(Analyzer()), time.time()
+    assert sum(t.sizes.sum() for _, _, t in cutter.runs(long)) == 200_000 * 5
+    assert time.time() - start < 5
