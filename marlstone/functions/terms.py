@@ -29,8 +29,9 @@ def letters() -> tuple[tuple[int, int], ...]:
     """Ranges (first, after the last) of the code points that are letters or digits to Spark."""
     spark, step = SparkSession.getActiveSession(), 1 << 12
     points = [i for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
-    blocks = [(i, "".join(map(chr, points[i : i + step]))) for i in range(0, len(points), step)]
-    rows = spark.createDataFrame(blocks, "at int, chars string").coalesce(1).select("at", F.regexp_replace("chars", r"[^\p{L}\p{N}]", "\x01").alias("kept")).collect()
+    starts = range(0, len(points), step)
+    blocks = spark.createDataFrame(pa.table({"at": pa.array(starts, pa.int32()), "chars": ["".join(map(chr, points[i : i + step])) for i in starts]}))
+    rows = blocks.select("at", F.regexp_replace("chars", r"[^\p{L}\p{N}]", "\x01").alias("kept")).collect()
     known = np.zeros(0x110001, np.int8)
     for r in rows:
         known[points[r.at : r.at + step]] = [c != "\x01" for c in r.kept]

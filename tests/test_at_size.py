@@ -13,7 +13,7 @@ from marlstone.functions import codecs, text
 from marlstone.functions.analysis import Analyzer
 from marlstone.functions.terms import Cutter
 from marlstone.functions.vectors import rounded
-from marlstone.operators import fulltext, ranked_index, retrieval, store, vector_index
+from marlstone.operators import expressions, fulltext, ranked_index, retrieval, store, vector_index
 from marlstone.plans.catalog import ORACLES, QUERIES
 
 
@@ -243,3 +243,28 @@ def test_texts_are_cut_in_batches_as_one_by_one(spark, monkeypatch):
     cutter, start = Cutter(Analyzer()), time.time()
     assert sum(t.sizes.sum() for _, _, t in cutter.runs(long)) == 200_000 * 5
     assert time.time() - start < 5
+
+
+def test_many_expressions_are_judged_by_the_block(spark, monkeypatch):
+    """A row for each match of each expression and page was made and grouped; now a block's pages are judged at once. The same by matches, and where a page's postings are in several runs."""
+    rng = np.random.default_rng(8)
+    words = ["red", "reed", "fox", "fog", "a", "b", "🚀", "🚀x", "東京都", "x"]
+    pages = [(f"p{i}", " ".join(rng.choice(words, int(rng.integers(0, 40))))) for i in range(50)] + [("far", "fox " + "y " * 70_000 + "red fox")]
+    asked = ["red fox", '"red fox"', "re* -fox", "fo* OR red", '"a b a"', "🚀 -東京", "red red", "r* re* red", '"red f*" OR x', "-red", "nothing", "", None, "fox -y", '"a 🚀"']
+    a = Analyzer()
+    index = fulltext.positional_postings(spark.createDataFrame(pages, "slug string, content string"), a).repartitionByRange(3, "term")
+    queries = spark.createDataFrame(list(enumerate(asked)), "qid long, query string")
+    figures = spark.createDataFrame([(len(pages), 31.5)], "n long, avg_len double")
+    atoms = fulltext.parsed_atoms(queries, a)
+    hits = fulltext.atom_hits(index, atoms).persist()
+    scored = lambda rows: sorted((r.qid, r.slug, round(r.score, 9), r["rank"]) for r in rows.collect())
+    placed = lambda rows: sorted((r.qid, r.slug, r.first, r.window_score) for r in rows.collect())
+    want = scored(fulltext.search(index, figures, queries, a, hits=hits)), placed(fulltext.best_windows(fulltext.fitting(hits, atoms), 4))
+    assert len(want[0]) == len(want[1]) > 200 and {r[1] for r in want[0]} > {"far"}
+    for block, places in ((8192, 1 << 20), (7, 1 << 20), (8192, 30)):
+        monkeypatch.setattr(expressions, "BLOCK", block)
+        monkeypatch.setattr(expressions, "BLOCK_PLACES", places)
+        judged = fulltext.search(index, figures, queries, a)
+        assert "Aggregate" not in plan(judged) and "Exchange" not in plan(fulltext.fitting_windows(index, queries, a, 4))
+        assert (scored(judged), placed(fulltext.fitting_windows(index, queries, a, 4))) == want
+    assert len(fulltext.whole_pages(index, fulltext._asked(atoms)).select("slug").distinct().collect()) == fulltext.whole_pages(index, fulltext._asked(atoms)).count()
