@@ -79,11 +79,9 @@ SELECT qid, slug::VARCHAR AS slug, max(value) AS window_score, arg_max(pos, valu
 @HERE.add(f"WITH {ATOMS}, {WINDOWS}")
 def snippet_windows(spark, d):
     """Where the excerpt of each page that fits an expression begins, and what its window is worth, from positions alone."""
-    store, asked = document_store(spark, d), expressions(spark, d)
-    state = store.commits.state()
-    atoms = fulltext.parsed_atoms(asked, store.analyzer)
-    hits = fulltext.fitting(fulltext.atom_hits(store.index(state), atoms), atoms)
-    return fulltext.best_windows(hits, places=False).select("qid", "slug", F.col("window_score"), F.col("first").cast("long").alias("first"))
+    store = document_store(spark, d)
+    found = fulltext.fitting_windows(store.index(), expressions(spark, d), store.analyzer)
+    return found.select("qid", "slug", "window_score", F.col("first").cast("long").alias("first"))
 
 
 #: Ten characters that are cut into pairs, one for each digit.
