@@ -268,3 +268,28 @@ def test_many_expressions_are_judged_by_the_block(spark, monkeypatch):
         assert "Aggregate" not in plan(judged) and "Exchange" not in plan(fulltext.fitting_windows(index, queries, a, 4))
         assert (scored(judged), placed(fulltext.fitting_windows(index, queries, a, 4))) == want
     assert len(fulltext.whole_pages(index, fulltext._asked(atoms)).select("slug").distinct().collect()) == fulltext.whole_pages(index, fulltext._asked(atoms)).count()
+
+
+def test_a_query_goes_once_to_a_place_however_many_cells_it_looks_at(spark, tmp_path, monkeypatch):
+    """Queries went out once for each cell, and each block of codes sent on their first ones, which grows with the square root of the vectors on top of their number."""
+    monkeypatch.setattr(vector_index, "BLOCK", 2)  # cells in several parts
+    monkeypatch.setattr(vector_index, "ASKED", 7)
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(400)]
+    every = spark.createDataFrame(rows, "slug long, embedding array<double>")
+    asked = every.filter("slug < 30").withColumnRenamed("slug", "qid")
+    index = vector_index.VectorIndex(spark, str(tmp_path / "v")).build(every, cells=60)
+    centres, _, _, spread = index._centres()
+    assert len(centres) == 60 and spread == 3
+    own = pa.table({"id": [r[0] for r in rows[:30]], "embedding": pa.array([r[1] for r in rows[:30]])}).to_batches()[0]
+    for probes in (1, 5, 60):
+        routed = vector_index._routed(own, centres, spread, probes, 16)
+        assert len(routed) == len({(r["id"], r["place"]) for r in routed.to_pylist()}) <= 30 * 16
+    cells = {r.id: r.key for r in index._read("entries").select("id", "key").collect()}
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    for probes in (1, 4, 60):
+        found = {(r.qid, r["rank"]): r.slug for r in index.search(asked, 3, probes).collect()}
+        for q, v in rows[:30]:
+            near = set(np.argsort(-(centres @ unit(v)), kind="stable")[:probes].tolist())
+            want = sorted((-float(unit(v) @ unit(w)), i) for i, w in rows if cells[i] in near)[:3]
+            assert [found.get((q, r)) for r in range(len(want))] == [i for _, i in want]
