@@ -27,7 +27,7 @@ OTHER, WORD, PAIR, SYMBOL, MARK = range(5)
 @cache
 def letters() -> tuple[tuple[int, int], ...]:
     """Ranges (first, after the last) of the code points that are letters or digits to Spark."""
-    spark, step = SparkSession.getActiveSession(), 1 << 12
+    spark, step = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate(), 1 << 12  # a stream's callback has no active one
     points = [i for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
     starts = range(0, len(points), step)
     blocks = spark.createDataFrame(pa.table({"at": pa.array(starts, pa.int32()), "chars": ["".join(map(chr, points[i : i + step])) for i in starts]}))
