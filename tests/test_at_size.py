@@ -226,7 +226,7 @@ def test_estimated_tokens_of_odd_texts_are_those_of_sql(spark, tmp_path):
 
 
 def test_texts_are_cut_in_batches_as_one_by_one(spark, monkeypatch):
-    """Postings and lengths of written pages against the terms of what is asked, in runs that end anywhere; a text of 4 MB took Spark's expressions more than 10 s."""
+    """Postings and lengths of written pages against the terms of what is asked, in runs that end anywhere; and a long text within a few seconds."""
     rng = np.random.default_rng(4)
     pool = list("ab c東京タ🚀🔥☀ÉéİΣσßﬁ½№❶・\u0301ÅǅǄ한국\x01\x02\n\x00-_Ⅷⅷ𝒜𐐀ёЁḀẞ゙A")
     texts = ["".join(rng.choice(pool, int(rng.integers(0, 25)))) for _ in range(600)] + ["", None, "ΑΣ ΣΑΣ"]
